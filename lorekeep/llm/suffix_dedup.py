@@ -15,8 +15,8 @@ rounds are bounded and Spark can deal the pieces out:
 4. From the last column to the first each round puts one symbol before the suffixes of each piece and
    updates their order (the column of the Burrows-Wheeler transform) and the common prefixes of
    neighbours, whole batches of groups at a time. Neighbours with `LENGTH` bytes in common are repeats.
-5. A selected string with more than `HOT` pieces is not gathered: its windows go on as 128-bit hashes,
-   counted with partial sums.
+5. A selected string of more than `HOT` texts is not gathered: its windows go on alone, each by its own
+   128-bit digest, equal ones merged on the spot like pieces.
 
 The transform is held in arrays of a batch of bounded size, not in external files: executors share none.
 
@@ -37,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, packed, shared_dir, unpacked
+from .common import packed, shared_dir, unpacked
 
 LENGTH, GRAM = 200, 32
-#: Pieces of a selected string that are compared in one task; windows of a block; pieces of a batch.
-HOT, BLOCK, BATCH = 20000, 1 << 20, 20000
+#: Most texts with a selected string whose pieces are compared together; windows of a block; pieces of a batch.
+HOT, BLOCK, BATCH = 50000, 1 << 20, 20000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LOW = 22  # bits of a place within a block, under the leading bits of its hash
 
@@ -97,7 +97,8 @@ def selected(text: bytes, length: int = LENGTH, gram: int = GRAM):
 
 
 def _places(batches):
-    """(tk, h, loc) of the selected strings of texts; loc: first window, its distance to the string, windows."""
+    """(tk, h, loc) of the selected strings of texts; loc: first window, its distance to the string, windows,
+    all bits turned if the text has selected an equal string before."""
     for b in batches:
         tks, hs, locs = [], [], []
         for tk, t in zip(b.column("tk"), b.column("text"), strict=True):
@@ -106,48 +107,58 @@ def _places(batches):
                 s = selected(raw)
                 tks += [tk.as_py()] * len(s)
                 hs.append(s[:, 0])
-                locs.append((s[:, 2] << 16) | ((s[:, 1] - s[:, 2]) << 8) | s[:, 3])
+                loc = (s[:, 2] << 16) | ((s[:, 1] - s[:, 2]) << 8) | s[:, 3]
+                first = np.zeros(len(s), bool)
+                first[np.unique(s[:, 0], return_index=True)[1]] = True
+                locs.append(np.where(first, loc, ~loc))
         if hs:
             yield pa.RecordBatch.from_arrays([pa.array(tks, pa.binary()), pa.array(np.concatenate(hs)), pa.array(np.concatenate(locs))], ["tk", "h", "loc"])
 
 
-PIECE = "tk binary, h long, off int, first long, n int, piece binary, span_end long"
+PIECE = "tk binary, h long, off int, first long, n int, piece binary, span_end long, digest long"
 
 
 def _piece_rows(rows):
-    names = ["tk", "h", "off", "first", "n", "piece", "span_end"]
-    types = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
+    names = ["tk", "h", "off", "first", "n", "piece", "span_end", "digest"]
+    types = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
 def _pieces(batches):
     """Pieces about the shared strings of texts; equal ones are merged and give spans (span_end not null)."""
     seen: dict = {}
+    rows: list = []
+
+    def put(key, tk, first, size, row):
+        if key not in seen:
+            seen[key] = (tk, first)
+            rows.append(row)
+            return
+        rows.append((tk, None, None, first, None, None, first + size, None))
+        if seen[key] is not None:
+            rows.append((seen[key][0], None, None, seen[key][1], None, None, seen[key][1] + size, None))
+            seen[key] = None
+
     for b in batches:
-        rows = []
         for tk, t, found in zip(b.column("tk").to_pylist(), b.column("text"), b.column("found"), strict=True):
             raw = t.as_py().encode()
             for x in found.as_py():
-                loc, h = x["loc"], x["h"]
+                loc, h = x["loc"] if x["loc"] >= 0 else ~x["loc"], x["h"]
                 first, off, n = loc >> 16, (loc >> 8) & 255, loc & 255
-                piece = raw[first : first + n - 1 + LENGTH]
-                key = (h, off, piece)
-                if key in seen:
-                    rows.append((tk, None, None, first, None, None, first + len(piece)))
-                    if seen[key] is not None:
-                        tk0, first0 = seen[key]
-                        rows.append((tk0, None, None, first0, None, None, first0 + len(piece)))
-                        seen[key] = None
+                if x["hot"]:
+                    for k in range(first, first + n):
+                        d = hashlib.md5(raw[k : k + LENGTH]).digest()
+                        put(d, tk, k, LENGTH, (tk, int.from_bytes(d[:8], "little", signed=True), None, k, None, None, None, int.from_bytes(d[8:], "little", signed=True)))
                 else:
-                    seen[key] = (tk, first)
-                    rows.append((tk, h, off, first, n, piece, None))
+                    piece = raw[first : first + n - 1 + LENGTH]
+                    put((h, off, piece), tk, first, len(piece), (tk, h, off, first, n, piece, None, None))
             if len(rows) > 8192:
                 yield _piece_rows(rows)
-                rows = []
+                rows.clear()
             if len(seen) > 100_000:
-                seen = {}
-        if rows:
-            yield _piece_rows(rows)
+                seen.clear()
+    if rows:
+        yield _piece_rows(rows)
 
 
 def repeated_starts(group: np.ndarray, off: np.ndarray, n: np.ndarray, pieces: list[bytes], length: int = LENGTH) -> np.ndarray:
@@ -196,10 +207,10 @@ def repeated_starts(group: np.ndarray, off: np.ndarray, n: np.ndarray, pieces: l
 
 
 def _spans(batches):
-    """Spans (tk, lo, hi) of repeats among pieces sorted by h; complete groups are compared in batches."""
+    """Spans (tk, lo, hi) of repeats among pieces sorted by h and digest; complete groups are compared in batches,
+    lone windows (they have a digest) with the one before."""
 
     def compare(rows):
-        rows = [r for r in rows if r is not None]
         h = np.array([r[1] for r in rows])
         group = np.cumsum(np.diff(h, prepend=h[0]) != 0)
         off, n = (np.array([r[k] for r in rows]) for k in (2, 4))
@@ -214,58 +225,41 @@ def _spans(batches):
         first = np.array([r[3] for r in rows])
         yield pa.RecordBatch.from_arrays([pa.array([rows[x][0] for x in i[a]], pa.binary()), pa.array(first[i[a]] + k[a]), pa.array(first[i[a]] + k[b] + LENGTH)], ["tk", "lo", "hi"])
 
-    held, last = [], 0  # last: where the current group begins
+    held, before = [], None
     for b in batches:
-        cols = [c.to_pylist() for c in b.columns]
-        done = [i for i, x in enumerate(cols[6]) if x is not None]
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array([cols[0][i] for i in done], pa.binary()), pa.array([cols[3][i] for i in done]), pa.array([cols[6][i] for i in done])], ["tk", "lo", "hi"])
-        for r in zip(*cols, strict=True):
-            if r[6] is None:
-                if held and held[-1][1] != r[1]:
-                    if len(held) >= BATCH:
-                        yield from compare(held)
-                        held = []
-                    last = len(held)
+        spans = []
+        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if r[6] is not None:
+                spans.append((r[0], r[3], r[6]))
+            elif r[7] is not None:
+                if before and before[:2] == (r[1], r[7]):
+                    spans.append((r[0], r[3], r[3] + LENGTH))
+                    if before[2]:
+                        spans.append(before[2])
+                    before = (r[1], r[7], None)
+                else:
+                    before = (r[1], r[7], (r[0], r[3], r[3] + LENGTH))
+            else:
+                if len(held) >= BATCH and held[-1][1] != r[1]:
+                    yield from compare(held)
+                    held = []
                 held.append(r)
+        if spans:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*spans, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)], ["tk", "lo", "hi"])
     if held:
         yield from compare(held)
 
 
-def _hot_windows(batches):
-    for b in batches:
-        tks, lo, x, y = [], [], [], []
-        for tk, first, n, piece in zip(*(b.column(c).to_pylist() for c in ("tk", "first", "n", "piece")), strict=True):
-            for k in range(n):
-                d = hashlib.md5(piece[k : k + LENGTH]).digest()
-                tks.append(tk)
-                lo.append(first + k)
-                x.append(int.from_bytes(d[:8], "little", signed=True))
-                y.append(int.from_bytes(d[8:], "little", signed=True))
-        if tks:
-            yield pa.RecordBatch.from_arrays([pa.array(tks, pa.binary()), pa.array(lo), pa.array(x), pa.array(y)], ["tk", "lo", "x", "y"])
-
-
 def repeats(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """Spans (tk, lo, hi) of the repeats in distinct texts (tk, text, n)."""
     places = texts.select("tk", "text").mapInArrow(_places, "tk binary, h long, loc long")
-    shared = materialise(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
-    found = places.join(shared.select("h"), "h").groupBy("tk").agg(F.collect_list(F.struct("h", "loc")).alias("found"))
+    shared = places.groupBy("h").agg(F.count("*").alias("n"), F.count_if(F.col("loc") >= 0).alias("texts")).where("n > 1")
+    found = places.join(shared.select("h", (F.col("texts") > hot).alias("hot")), "h")
+    found = found.groupBy("tk").agg(F.collect_list(F.struct("h", "loc", "hot")).alias("found"))
     pieces = texts.select("tk", "text").join(found, "tk").select("tk", "text", "found").mapInArrow(_pieces, PIECE)
-    busy = shared.where(F.col("n") > hot).select("h", F.lit(True).alias("hot"))
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if busy.isEmpty():
-        cool, heated = pieces, None
-    else:
-        pieces = materialise(pieces).join(busy, "h", "left")
-        cool, heated = pieces.where("hot is null").select("tk", "h", "off", "first", "n", "piece", "span_end"), pieces.where("hot")
-    deal = F.coalesce("h", F.xxhash64("tk", "first"))
-    out = cool.repartition(parts, deal).sortWithinPartitions("h", "tk", "first").mapInArrow(_spans, "tk binary, lo long, hi long")
-    if heated is not None:
-        w = heated.select("tk", "first", "n", "piece").mapInArrow(_hot_windows, "tk binary, lo long, x long, y long")
-        twice = w.groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1").select("x", "y")
-        out = out.union(w.join(twice, ["x", "y"]).select("tk", "lo", F.col("lo") + LENGTH))
-    return out
+    dealt = pieces.repartition(parts, F.coalesce("h", F.xxhash64("tk", "first"))).sortWithinPartitions("h", "digest")
+    return dealt.mapInArrow(_spans, "tk binary, lo long, hi long")
 
 
 def _result(batches, with_rest=False):

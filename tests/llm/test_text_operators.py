@@ -211,7 +211,7 @@ def plain_suffix(rows, n=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [20000, 1])
+@pytest.mark.parametrize("hot", [50000, 1])
 def test_suffix_dedup(as_docs, odd_texts, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "deduped", lambda d, f=suffix_dedup.deduped, **k: f(d, hot=hot, **k))
     got = suffix_dedup.op9(as_docs(odd_texts)).collect()
