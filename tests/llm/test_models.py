@@ -142,9 +142,10 @@ def test_pseudo_likelihood_learns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 4 = 0")
     known = pseudo_likelihood.vocabulary(docs)
     assert len(known) == pseudo_likelihood.TOP
-    params = pseudo_likelihood.train(docs, known)
+    params = pseudo_likelihood.train(pseudo_likelihood.tokenise(docs, known))
+    score = lambda d: pseudo_likelihood.score(pseudo_likelihood.tokenise(d, known), params).toPandas()
     other = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 40 = 1").select("doc_id", "text")
-    got = pseudo_likelihood.score(other, known, params).toPandas()
+    got = score(other)
     ids = pseudo_likelihood.Tokens(known)
     seen = [pseudo_likelihood.tokens(t, ids) for t in docs.select("text").toPandas().text]
     unigram = np.bincount(np.concatenate(seen), minlength=pseudo_likelihood.PAD) + 1.0
@@ -152,7 +153,7 @@ def test_pseudo_likelihood_learns(spark):
     plain = sum(logs[pseudo_likelihood.tokens(t, ids)].sum() for t in got.text)
     assert got.log_likelihood.sum() > 0.95 * plain  # both are negative
     mixed = spark.createDataFrame([(i, " ".join(random.Random(i).sample(t.split(), len(t.split())))) for i, t in zip(got.doc_id, got.text, strict=True)], "doc_id long, text string")
-    assert got.log_likelihood.sum() > pseudo_likelihood.score(mixed, known, params).toPandas().log_likelihood.sum()
+    assert got.log_likelihood.sum() > score(mixed).log_likelihood.sum()
 
 
 def test_pseudo_likelihood_plain(monkeypatch):
