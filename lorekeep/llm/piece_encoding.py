@@ -24,13 +24,17 @@ from functools import cache, cached_property
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Words remembered by a worker, and words that advance together.
 REMEMBER, TOGETHER = 1 << 19, 1 << 14
-LEAD = 20
+#: Texts encoded and decoded at a time: enough that many new words have equal length.
+TEXTS, BACK = 1024, 256
+LEAD, PAIR_BITS = 20, 20
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,8 +76,8 @@ class Pieces:
             raise ValueError("two pieces share a hash")
         self.leading = np.zeros(1 << LEAD, bool)
         self.leading[self.keys >> np.uint64(64 - LEAD)] = True
-        self.pairs = np.zeros(0, np.int64), np.zeros(0, bool)
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.pairs = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
+        self.words: dict[str, bytes] = {}
 
     @staticmethod
     def _hash(s: str) -> int:
@@ -90,9 +94,10 @@ class Pieces:
         found = self.keys[at] == h
         return where[found], self.key_ids[at[found]]
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        """The symbols after the model's merges: the best-scored adjacent pair first, leftmost of equal ones."""
-        while True:
+    def merged(self, symbols: list[str], least: int = 1) -> list[str]:
+        """The symbols after the model's merges, until `least` are left: the best-scored adjacent pair first,
+        leftmost of equal ones."""
+        while len(symbols) > least:
             best, at = None, -1
             for i in range(len(symbols) - 1):
                 j = self.ids.get(symbols[i] + symbols[i + 1])
@@ -101,27 +106,87 @@ class Pieces:
             if at < 0:
                 return symbols
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+        return symbols
 
     def allowed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether each pair of piece ids stays these two pieces when merged from characters."""
         pair = a * self.n + b
-        keys, known = self.pairs
-        at = np.minimum(np.searchsorted(keys, pair), max(0, len(keys) - 1))
-        new = np.unique(pair[keys[at] != pair] if len(keys) else pair)
-        if len(new):
-            if len(keys) > 1 << 22:
-                keys, known, new = keys[:0], known[:0], np.unique(pair)
-            split = [(self.text[p // self.n], self.text[p % self.n]) for p in new.tolist()]
-            ok = [self.merged([*x, *y]) == [x, y] for x, y in split]
-            at = np.searchsorted(keys, new)
-            self.pairs = keys, known = np.insert(keys, at, new), np.insert(known, at, ok)
-            at = np.searchsorted(keys, pair)
-        return known[at]
+        keys, known = self.pairs  # the last pair seen with each hash
+        slot = ((pair.astype(np.uint64) * MULT) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        out, miss = known[slot], np.flatnonzero(keys[slot] != pair)
+        if len(miss):
+            new, back = np.unique(pair[miss], return_inverse=True)
+            ok = self._stay(new // self.n, new % self.n)
+            out[miss] = ok[back]
+            slot = ((new.astype(np.uint64) * MULT) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+            slot, first = np.unique(slot, return_index=True)
+            keys[slot], known[slot] = new[first], ok[first]
+        return out
+
+    @cached_property
+    def edges(self):
+        """For each piece its right edges (itself, the right part of its last merge, that part's right part, ...)
+        and its left edges, -1 after the last; when each comes to be, as a rank; whether ranks rise with each
+        merge, so that merges happen in their order; hash and power of its length."""
+        rank, parts = -self.score_of, {}
+        for i in self.ids.values():
+            symbols = list(self.text[i])
+            while len(symbols) > 2:
+                short = self.merged(symbols[:], len(symbols) - 1)
+                if len(short) == len(symbols):
+                    break
+                symbols = short
+            parts[i] = [self.ids.get(x, -1) for x in symbols] if len(symbols) == 2 else []
+        born = np.full(self.n + 1, np.inf)
+        for i in self.ids.values():
+            born[i] = rank[i] if parts[i] else -np.inf
+        depth = max(len(t) for t in self.ids) if self.ids else 1
+        right, left = np.full((self.n, depth), -1), np.full((self.n, depth), -1)
+        regular = np.zeros(self.n, bool)
+        for i in self.ids.values():
+            for side, table in ((1, right), (0, left)):
+                x, k = i, 0
+                while x >= 0:
+                    table[i, k], k = x, k + 1
+                    x = parts[x][side] if parts.get(x) else -1
+            regular[i] = all(x >= 0 and born[x] < born[i] for x in parts[i]) if len(self.text[i]) > 1 else True
+        for i in sorted(self.ids.values(), key=lambda i: len(self.text[i])):
+            regular[i] &= all(regular[x] for x in parts[i])
+        hashes = np.zeros(self.n, np.uint64)
+        powers = np.ones(self.n, np.uint64)
+        for i in self.ids.values():
+            hashes[i], powers[i] = self._hash(self.text[i]), pow(int(MULT), len(self.text[i]), 2**64)
+        return right, left, born, regular, hashes, powers
+
+    def _stay(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """allowed, reckoned for all pairs at once: a merge across the seam happens if its two parts are at the
+        seam at one time and its rank comes before those of the merges that would take them away."""
+        right, left, born, regular, hashes, powers = self.edges
+        ok, odd = np.ones(len(a), bool), ~(regular[a] & regular[b])
+        for i in np.flatnonzero(odd).tolist():
+            x, y = self.text[a[i]], self.text[b[i]]
+            ok[i] = self.merged([*x, *y]) == [x, y]
+        for i in range(right.shape[1]):
+            live = np.flatnonzero(~odd & ok & (right[a, i] >= 0))
+            if not len(live):
+                break
+            for j in range(left.shape[1]):
+                live = live[ok[live] & (left[b[live], j] >= 0)]
+                if not len(live):
+                    break
+                r, m = right[a[live], i], left[b[live], j]
+                at, both = self.probe(hashes[r] * powers[m] + hashes[m])
+                r, m, w = r[at], m[at], live[at]
+                r_gone = born[right[a[w], i - 1]] if i else np.full(len(w), np.inf)
+                m_gone = born[left[b[w], j - 1]] if j else np.full(len(w), np.inf)
+                s = -self.score_of[both]
+                ok[w[(s < r_gone) & (s <= m_gone) & (born[r] <= m_gone) & (born[m] < r_gone)]] = False
+        return ok
 
     @cached_property
-    def written(self) -> list[bytes]:
+    def written(self) -> np.ndarray:
         """What each piece decodes to."""
-        return [bytes((self.byte_of[i],)) if i in self.byte_of else b"" if i in self.special else t.encode() for i, t in enumerate(self.text)]
+        return np.array([bytes((self.byte_of[i],)) if i in self.byte_of else b"" if i in self.special else t.encode() for i, t in enumerate(self.text)], object)
 
     @cached_property
     def alone(self) -> np.ndarray:
@@ -132,8 +197,8 @@ class Pieces:
         return out
 
 
-def viterbi(p: Pieces, words: list[str]) -> list[tuple[int, ...]]:
-    """The piece ids of words of equal length, all advancing together."""
+def viterbi(p: Pieces, words: list[str]) -> list[bytes]:
+    """The piece ids (int32) of words of equal length, all advancing together."""
     n, size = len(words), len(words[0])
     codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(np.uint64) + np.uint64(1)
     unknown = p.n  # stands for a character outside the vocabulary, which nothing merges with
@@ -145,11 +210,13 @@ def viterbi(p: Pieces, words: list[str]) -> list[tuple[int, ...]]:
     for end in range(1, size + 1):
         c = codes[:, end - 1]
         recent = np.concatenate([c[None], recent[: p.width - 1] * MULT + c])
-        for k in range(len(recent)):
+        todo, lone = np.arange(n), np.zeros(n, bool)
+        for k in reversed(range(len(recent))):  # a BPE prefix has one last piece: words that have found theirs drop out
             start = end - k - 1
-            at, got = p.probe(recent[k])
+            at, got = p.probe(recent[k] if len(todo) == n else recent[k][todo])
+            at = todo[at]
             if k == 0:
-                lone = np.ones(n, bool)
+                lone[todo] = True
                 lone[at] = False
             if not len(at):
                 continue
@@ -157,34 +224,54 @@ def viterbi(p: Pieces, words: list[str]) -> list[tuple[int, ...]]:
                 good = p.alone[got] & (best[start, at] > -np.inf)
                 at, got = at[good], got[good]
                 before = piece[start, at]
-                pair = (before >= 0) & (before < unknown)
-                good = np.ones(len(at), bool)
-                if pair.any():
+                pair = np.flatnonzero((before >= 0) & (before < unknown))
+                if len(pair):
+                    good = np.ones(len(at), bool)
                     good[pair] = p.allowed(before[pair], got[pair])
-                at, got = at[good], got[good]
+                    at, got = at[good], got[good]
                 value = best[start, at]
             else:
                 value = best[start, at] + p.score_of[got]
             better = value > best[end, at]
             at, got = at[better], got[better]
             best[end, at], back[end, at], piece[end, at] = value[better], k + 1, got
+            if p.bpe and len(at):
+                todo = todo[best[end, todo] == -np.inf]
+                if not len(todo):
+                    break
         # a character without a piece of its own
         at = np.flatnonzero(lone & (best[end] == -np.inf if p.bpe else lone))
         value = best[end - 1, at] + (0.0 if p.bpe else floor)
         better = value > best[end, at]
         at = at[better]
         best[end, at], back[end, at], piece[end, at] = value[better], 1, unknown
-    out, pos, alive = [[] for _ in range(n)], np.full(n, size), np.arange(n)
+    pos, alive, who, what, lone = np.full(n, size), np.arange(n), [], [], set()
     while len(alive):
-        for w, i, e in zip(alive.tolist(), piece[pos[alive], alive].tolist(), pos[alive].tolist(), strict=True):
+        at = pos[alive]
+        got = piece[at, alive]
+        lone.update(alive[got == unknown].tolist())
+        who.append(alive)
+        what.append(got)
+        pos[alive] = at - back[at, alive]
+        alive = alive[pos[alive] > 0]
+    whose = np.concatenate(who[::-1])
+    order = np.argsort(whose, kind="stable")
+    ids = np.concatenate(what[::-1])[order]
+    ends = np.cumsum(np.bincount(whose, minlength=n)).tolist()
+    flat, starts = ids.astype(np.int32).tobytes(), [0, *ends[:-1]]
+    out = [flat[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
+    for w in lone:  # characters outside the vocabulary
+        at, full = 0, []
+        for i in ids[starts[w] : ends[w]].tolist():
             if i == unknown:
-                raw = words[w][e - 1].encode("utf-8", "surrogatepass")
-                out[w].extend([p.byte[x] for x in reversed(raw)] if len(p.byte) == 256 else [p.unk])
+                raw = words[w][at].encode("utf-8", "surrogatepass")
+                full += [p.byte[x] for x in raw] if len(p.byte) == 256 else [p.unk]
+                at += 1
             else:
-                out[w].append(i)
-        pos[alive] -= back[pos[alive], alive]
-        alive = alive[pos[alive] > 0]
-    return [tuple(reversed(x)) for x in out]
+                full.append(i)
+                at += len(p.text[i])
+        out[w] = np.array(full, np.int32).tobytes()
+    return out
 
 
 @cache
@@ -209,45 +296,72 @@ def encode_batch(p: Pieces, texts: list[str | None]) -> list[np.ndarray | None]:
         for at in range(0, len(ws), step):
             p.words.update(zip(ws[at : at + step], viterbi(p, ws[at : at + step]), strict=True))
     known = p.words.__getitem__
-    return [None if ws is None else np.fromiter(chain.from_iterable(map(known, ws)), np.int32) for ws in cut]
+    return [None if ws is None else np.frombuffer(b"".join(map(known, ws)), np.int32) for ws in cut]
 
 
-def decode(p: Pieces, ids) -> str:
-    text = b"".join(map(p.written.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
+def decode(p: Pieces, ids: np.ndarray) -> str:
+    text = b"".join(p.written[ids].tolist()).decode("utf-8", "replace").replace(SPACE, " ")
     return text[1:] if p.prefix and text.startswith(" ") else text
 
 
+def _with(docs: DataFrame, name: str, kind: str, per_batch, step: int) -> DataFrame:
+    """docs with column `name` (in place of one of that name) of per_batch(rows), a few rows at a time."""
+    columns = [c for c in docs.columns if c != name]
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, step):
+                rows = b.slice(at, step)
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), per_batch(rows)], [*columns, name])
+
+    schema = T.StructType([f for f in docs.schema.fields if f.name != name] + [T.StructField(name, T._parse_datatype_string(kind))])
+    return docs.mapInArrow(run, schema)
+
+
+def _as_lists(found: list[np.ndarray | None]) -> pa.Array:
+    ends = np.cumsum([0, *(0 if x is None else len(x) for x in found)]).astype(np.int32)
+    flat = np.concatenate([np.zeros(0, np.int32), *(x for x in found if x is not None)])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()), mask=pa.array([x is None for x in found], pa.bool_()))
+
+
 def encode(docs: DataFrame, path: str | None = None, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """docs with array<int> column ids_col."""
     path = path or default_model()
 
-    @F.pandas_udf("array<int>")
-    def ids(texts):
-        import pandas as pd
-
-        p, out = pieces(path), []
-        for at in range(0, len(texts), 1024):
-            out += encode_batch(p, texts.iloc[at : at + 1024].tolist())
-        return pd.Series(out, index=texts.index, dtype=object)
+    def ids(rows):
+        return _as_lists(encode_batch(pieces(path), rows.column(text_col).to_pylist()))
 
-    return docs.withColumn(ids_col, ids(text_col))
+    return _with(docs, ids_col, "array<int>", ids, TEXTS)
 
 
 def decode_ids(docs: DataFrame, path: str | None = None, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """docs with the text of ids_col in text_col."""
     path = path or default_model()
 
-    @F.pandas_udf("string")
-    def text(ids):
+    def text(rows):
         p = pieces(path)
-        return ids.map(lambda x: None if x is None else decode(p, x.tolist()))
+        return pa.array([decode(p, x.values.to_numpy()) if x.is_valid else None for x in rows.column(ids_col)], pa.string())
 
-    return docs.withColumn(text_col, text(ids_col))
+    return _with(docs, text_col, "string", text, BACK)
 
 
-def op4(docs: DataFrame) -> DataFrame:
-    out = decode_ids(encode(docs.select("doc_id", "text")), text_col="_back")
-    return out.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).alias("n_ids"), F.col("_back").eqNullSafe(F.translate("text", SPACE, " ")).alias("round_trip"))
+def op4(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, ids, their number, and whether they decode to the text; the text itself does not come back."""
+    path = path or default_model()
+
+    def run(batches):
+        p = pieces(path)
+        for b in batches:
+            for at in range(0, b.num_rows, TEXTS):
+                rows = b.slice(at, TEXTS)
+                texts = rows.column("text").to_pylist()
+                found = encode_batch(p, texts)
+                same = [x is None or decode(p, x) == t.replace(SPACE, " ") for x, t in zip(found, texts, strict=True)]
+                n = pa.array([0 if x is None else len(x) for x in found], pa.int32())
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), _as_lists(found), n, pa.array(same, pa.bool_())], ["doc_id", "ids", "n_ids", "round_trip"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, n_ids int, round_trip boolean")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
