@@ -2,10 +2,187 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import vectors as V
+from ..operators import catalog, graph, incremental, lexical, search
+from ..streaming import sessions
+
+QUERY = ["the", "and", "the", "data"]
+DIM = 64
+
+
+def _t(spark, sf, name):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _docs(spark, sf):
+    """Conversations as documents: turns joined by a space, in order."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    return _t(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(turns, lambda t: t["text"]), " ").alias("text"))
+
+
+def _vectors(spark, sf):
+    return _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").alias("cluster"))
+
+
+def _items(spark, sf):
+    o = _t(spark, sf, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("created_at"), F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("provider"), F.pmod("o_custkey", F.lit(7)).alias("n_messages"), F.col("o_orderkey").alias("pos"), F.pmod("o_custkey", F.lit(5)).alias("cluster"))
+
+
+def _query_vector():
+    return V.literal([((i * 7) % 11 - 5) / 5 for i in range(DIM)])
+
+
+def _edges(spark, sf):
+    return graph.over_percentile(graph.similar_pairs(_vectors(spark, sf)), 0.95)
+
+
+def _round(df, *columns):
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _split(spark, sf):
+    d = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha"), "source", F.col("doc_id").alias("pos"))
+    return d.where("id % 3 <> 0"), d.where("id % 2 = 0").withColumn("sha", F.when(F.col("id") % 5 == 0, F.lit("old")).otherwise(F.col("sha")))
+
+
+def _hybrid(spark, sf):
+    v = _vectors(spark, sf)
+    semantic = v.select(F.col("id").alias("doc_id"), F.round(V.cosine(F.col("vector"), _query_vector()), 6).alias("score"))
+    chunk = _best(spark, sf).select("doc_id", F.round("score", 6).alias("score"))
+    docs = _t(spark, sf, "documents").select("doc_id", "text").join(v.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    return search.fuse(semantic, chunk, _round(lexical.bm25(docs, QUERY), "score"))
+
+
+def _best(spark, sf):
+    v = _vectors(spark, sf)
+    chunks = v.select((F.floor(F.col("id") / 4)).alias("doc_id"), F.col("id").alias("chunk_id"), "vector")
+    return search.best_chunk(chunks, _query_vector())
+
+
+def _events(spark, sf):
+    return sessions.sessionise(_t(spark, sf, "events").select("user_id", "ts", "event_id"))
+
+
+def _notes(spark, sf):
+    n = _t(spark, sf, "conversations").select("conv_id", (F.col("turn") % 2).alias("note_id"), F.substring("text", 1, 1).alias("text"), F.col("turn").alias("seq"))
+    return incremental.merge_notes(n.where("seq % 3 <> 0"), n.where("seq % 3 <> 1")).select("conv_id", "note_id", "text", "seq", "src")
+
 
 def queries() -> dict:
-    return {}
+    c = F.col
+    return {
+        "bm25_topk": lambda s, d: _round(lexical.bm25(_docs(s, d), QUERY).orderBy(F.desc("score"), F.desc("doc_id")).limit(10), "score"),
+        "bm25_scores": lambda s, d: _round(lexical.bm25(_docs(s, d), QUERY), "score"),
+        "term_idf": lambda s, d: _round(lexical.idf(_docs(s, d)), "idf"),
+        "tokenize_stats": lambda s, d: lexical.postings(_t(s, d, "documents")).groupBy("doc_id").agg(F.sum("tf").alias("n_tokens"), F.count("*").alias("n_terms")),
+        "top_terms_per_conv": lambda s, d: lexical.top_terms(_docs(s, d)),
+        "role_normalize": lambda s, d: _t(s, d, "conversations").groupBy(T.role(c("role")).alias("role")).agg(F.count("*").alias("n")),
+        "vector_normalize": lambda s, d: _vectors(s, d).select("id", F.round(V.normalise(c("vector"))[0], 6).alias("x0"), F.round(V.norm(V.normalise(c("vector"))), 6).alias("n")),
+        "cosine_topk": lambda s, d: _vectors(s, d).select("id", F.round(V.cosine(c("vector"), _query_vector()), 6).alias("score")).orderBy(F.desc("score"), F.desc("id")).limit(10),
+        "mean_pool_by_label": lambda s, d: graph.centroids(_vectors(s, d), DIM).select("cluster", F.posexplode("centre").alias("dim", "x")).withColumn("x", F.round("x", 6)),
+        "best_chunk_per_conv": lambda s, d: _round(_best(s, d), "score"),
+        "hybrid_rrf_search": lambda s, d: _round(_hybrid(s, d).orderBy(F.desc("rrf"), F.desc("doc_id")).limit(10), "rrf"),
+        "provider_postfilter_search": lambda s, d: _round(search.post_filter(_hybrid(s, d), c("doc_id") % 3 == 0, 5), "rrf"),
+        "similarity_pairs_p95": lambda s, d: _edges(s, d).agg(F.count("*").alias("n"), F.round(F.min("w"), 6).alias("low"), F.round(F.max("w"), 6).alias("high")),
+        "edge_topk_per_node": lambda s, d: _round(graph.top_edges(_edges(s, d), 3), "w"),
+        "edge_semi_filter": lambda s, d: _round(graph.visible(_edges(s, d), _vectors(s, d).where("cluster < 5")), "w"),
+        "edges_degree_capped": lambda s, d: _round(graph.degree_capped(_edges(s, d)), "w"),
+        "nearest_centroid": lambda s, d: _round(graph.nearest(_vectors(s, d), graph.centroids(_vectors(s, d), DIM)), "sim"),
+        "silhouette_simplified": lambda s, d: _round(graph.silhouette(_vectors(s, d), DIM), "s"),
+        "cluster_sizes": lambda s, d: _vectors(s, d).groupBy("cluster").agg(F.count("*").alias("n")),
+        "corpus_stats": lambda s, d: catalog.corpus_stats(_items(s, d)),
+        "provider_counts": lambda s, d: _items(s, d).groupBy("provider").agg(F.count("*").alias("n")),
+        "timeline_month_breakdown": lambda s, d: catalog.timeline(_items(s, d)),
+        "list_by_date": lambda s, d: catalog.listing(_items(s, d)).select("id", "created_at"),
+        "list_by_title": lambda s, d: catalog.listing(_items(s, d), "title", 5, 10).select("id", "name"),
+        "list_by_count": lambda s, d: catalog.listing(_items(s, d), "message_count", 0, 30, "F").select("id", "n_messages"),
+        "recent_before_after": lambda s, d: catalog.recent(_items(s, d), 25, "1997-01-01", "1996-01-01").select("id", "created_at"),
+        "sessionize_30m": lambda s, d: _events(s, d).select("event_id", "user_id", "session"),
+        "session_headers": lambda s, d: sessions.headers(_events(s, d)).drop("started", "ended"),
+        "delta_new_ids": lambda s, d: incremental.new_ids(*_split(s, d)).select("id"),
+        "classify_manifest": lambda s, d: incremental.classify(*_split(s, d)),
+        "upsert_union": lambda s, d: incremental.upsert(*_split(s, d)[::-1]).select("id", "sha"),
+        "freshest_per_id": lambda s, d: incremental.freshest(_t(s, d, "events").select(c("user_id").alias("id"), F.date_trunc("hour", "ts").alias("mtime"), c("event_id").alias("source_rank"))).select("id", "source_rank"),
+        "notes_merge": _notes,
+        "html_clean": lambda s, d: _t(s, d, "pages").select("page_id", F.md5(T.html_clean(c("html"))).alias("clean_md5")),
+        "chunk_words": lambda s, d: _t(s, d, "documents").select("doc_id", F.posexplode(T.chunk_words(c("text"))).alias("k", "chunk")).select("doc_id", "k", F.md5("chunk").alias("chunk_md5")),
+        "excerpt_snippet": lambda s, d: _t(s, d, "documents").select("doc_id", T.snippet(c("text")).alias("snippet"), F.length(T.excerpt(c("text"))).alias("n_excerpt")),
+        "keyword_filter": lambda s, d: _t(s, d, "documents").where(F.contains(F.lower("text"), F.lit("trash"))).orderBy("doc_id").limit(10).select("doc_id"),
+    }
+
+
+_SQL_DOCS = "docs AS (SELECT conv_id AS doc_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY 1)"
+_TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+_WEIGHT = "(CASE term WHEN 'the' THEN 2.0 ELSE 1.0 END)"
+
+
+def _sql_bm25(docs):
+    return f"""tok AS (SELECT doc_id, {_TOK} AS ts FROM {docs}), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM tok) GROUP BY ALL),
+dl AS (SELECT doc_id, len(ts) AS len FROM tok), cn AS (SELECT count(*) AS n, avg(len) AS avgdl FROM dl), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+bm AS (SELECT p.doc_id, sum({_WEIGHT} * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))) AS score
+ FROM p JOIN df USING (term) JOIN dl USING (doc_id), cn WHERE term IN ('the', 'and', 'data') GROUP BY 1)"""
+
+
+_Q = "[" + ", ".join(f"{((i * 7) % 11 - 5) / 5}::DOUBLE" for i in range(DIM)) + "]"
+_V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vector, label AS cluster FROM embeddings)"
+_COS = f"list_cosine_similarity(vector, {_Q})"
+_UNIT = "u AS (SELECT id, cluster, list_transform(vector, lambda x: x / sqrt(list_inner_product(vector, vector))) AS v FROM v)"
+_PAIRS = f"{_V}, {_UNIT}, pr AS (SELECT a.id AS a, b.id AS b, list_inner_product(a.v, b.v) AS w FROM u a JOIN u b ON a.id < b.id), e AS (SELECT * FROM pr WHERE w > (SELECT quantile_cont(w, 0.95) FROM pr))"
+_MEAN = f"{_V}, {_UNIT}, x AS (SELECT cluster, unnest(v) AS x, unnest(range(0, {DIM})) AS dim FROM u), m0 AS (SELECT cluster, dim, avg(x) AS x FROM x GROUP BY ALL), mm AS (SELECT cluster, list(x ORDER BY dim) AS m FROM m0 GROUP BY 1)"
+_ITEMS = "i AS (SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS created_at, o_orderpriority AS name, o_orderstatus AS provider, o_custkey % 7 AS n_messages, o_custkey % 5 AS cluster FROM orders)"
+_BEST = f"{_V}, bc AS (SELECT id // 4 AS doc_id, {_COS} AS score, id AS chunk_id FROM v QUALIFY row_number() OVER (PARTITION BY id // 4 ORDER BY score DESC, id) = 1)"
+_RRF = f"""{_BEST}, {_sql_bm25("(SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))")},
+r AS (SELECT doc_id, 1 / (60 + row_number() OVER (ORDER BY s DESC, doc_id DESC)) AS part FROM (SELECT id AS doc_id, round({_COS}, 6) AS s FROM v)
+UNION ALL SELECT doc_id, CASE WHEN s > 0 THEN part END FROM (SELECT doc_id, s, 1 / (60 + row_number() OVER (ORDER BY s DESC, doc_id DESC)) AS part FROM (SELECT doc_id, round(score, 6) AS s FROM bc))
+UNION ALL SELECT doc_id, CASE WHEN s > 0 THEN part END FROM (SELECT doc_id, s, 1 / (60 + row_number() OVER (ORDER BY s DESC, doc_id DESC)) AS part FROM (SELECT doc_id, round(score, 6) AS s FROM bm))),
+h AS (SELECT doc_id, sum(part) AS rrf FROM r GROUP BY 1)"""
+_SPLIT = "d AS (SELECT doc_id AS id, sha256(text) AS sha FROM documents), f AS (SELECT * FROM d WHERE id % 3 <> 0), k AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'old' ELSE sha END AS sha FROM d WHERE id % 2 = 0)"
+_SESS = "q AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events), ss AS (SELECT event_id, user_id, ts, sum(CASE WHEN gap IS NULL OR gap > INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM q)"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    stop = ", ".join(f"'{w}'" for w in T.STOP)
+    bm = f"WITH {_SQL_DOCS}, {_sql_bm25('docs')} SELECT doc_id, round(score, 6) AS score FROM bm"
+    return {
+        "bm25_topk": f"{bm} ORDER BY bm.score DESC, doc_id DESC LIMIT 10",
+        "bm25_scores": bm,
+        "term_idf": f"WITH {_SQL_DOCS}, {_sql_bm25('docs')} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, cn",
+        "tokenize_stats": f"SELECT doc_id, count(*) AS n_tokens, count(DISTINCT t) AS n_terms FROM (SELECT doc_id, unnest({_TOK}) AS t FROM documents) GROUP BY 1",
+        "top_terms_per_conv": f"WITH {_SQL_DOCS}, w AS (SELECT doc_id, unnest(ws) AS term, unnest(range(0, len(ws))) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{{3,}}') AS ws FROM docs)) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos)::INT AS rank, term, n FROM (SELECT doc_id, term, count(*) AS n, min(pos) AS pos FROM w WHERE term NOT IN ({stop}) GROUP BY ALL) QUALIFY rank <= 5",
+        "role_normalize": "SELECT CASE WHEN role IN ('human', 'user') THEN 'user' ELSE 'assistant' END AS role, count(*) AS n FROM conversations GROUP BY 1",
+        "vector_normalize": f"WITH {_V}, {_UNIT} SELECT id, round(v[1], 6) AS x0, round(sqrt(list_inner_product(v, v)), 6) AS n FROM u",
+        "cosine_topk": f"WITH {_V} SELECT id, round({_COS}, 6) AS score FROM v ORDER BY score DESC, id DESC LIMIT 10",
+        "mean_pool_by_label": f"WITH {_MEAN} SELECT cluster, unnest(range(0, {DIM}))::INT AS dim, round(unnest(list_transform(m, lambda x: x / sqrt(list_inner_product(m, m)))), 6) AS x FROM mm",
+        "best_chunk_per_conv": f"WITH {_BEST} SELECT doc_id, round(score, 6) AS score, chunk_id FROM bc",
+        "hybrid_rrf_search": f"WITH {_RRF} SELECT doc_id, round(rrf, 6) AS rrf FROM h ORDER BY h.rrf DESC, doc_id DESC LIMIT 10",
+        "provider_postfilter_search": f"WITH {_RRF}, w AS (SELECT * FROM h ORDER BY rrf DESC, doc_id DESC LIMIT 15) SELECT doc_id, round(rrf, 6) AS rrf FROM w WHERE doc_id % 3 = 0 ORDER BY w.rrf DESC, doc_id DESC LIMIT 5",
+        "similarity_pairs_p95": f"WITH {_PAIRS} SELECT count(*) AS n, round(min(w), 6) AS low, round(max(w), 6) AS high FROM e",
+        "edge_topk_per_node": f"WITH {_PAIRS}, sd AS (SELECT a, b, w, a AS node FROM e UNION ALL SELECT a, b, w, b FROM e), t AS (SELECT a, b, w FROM sd QUALIFY row_number() OVER (PARTITION BY node ORDER BY w DESC, a, b) <= 3) SELECT DISTINCT a, b, round(w, 6) AS w FROM t",
+        "edge_semi_filter": f"WITH {_PAIRS} SELECT a, b, round(w, 6) AS w FROM e WHERE a IN (SELECT id FROM v WHERE cluster < 5) AND b IN (SELECT id FROM v WHERE cluster < 5)",
+        "nearest_centroid": f"WITH {_MEAN}, s AS (SELECT u.id, mm.cluster, list_inner_product(u.v, list_transform(m, lambda x: x / sqrt(list_inner_product(m, m)))) AS sim FROM u, mm) SELECT id, cluster, round(sim, 6) AS sim FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY s.sim DESC, cluster) = 1",
+        "silhouette_simplified": f"WITH {_MEAN}, n AS (SELECT cluster, count(*) AS n FROM u GROUP BY 1), s AS (SELECT u.id, u.cluster, mm.cluster AS o, n, 1 - list_inner_product(u.v, mm.m) AS d FROM u, mm JOIN n ON n.cluster = mm.cluster), ab AS (SELECT id, max(CASE WHEN o = cluster THEN CASE WHEN n = 1 THEN 0 ELSE d END END) AS a, min(CASE WHEN o <> cluster THEN d END) AS b FROM s GROUP BY 1) SELECT id, round(CASE WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END, 6) AS s FROM ab",
+        "cluster_sizes": "SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY 1",
+        "corpus_stats": f"WITH {_ITEMS} SELECT count(*) AS n_items, coalesce(sum(n_messages), 0)::BIGINT AS n_messages, coalesce(min(created_at[1:10]), '') AS first_day, coalesce(max(created_at[1:10]), '') AS last_day, count(DISTINCT provider) AS n_providers FROM i",
+        "provider_counts": "SELECT o_orderstatus AS provider, count(*) AS n FROM orders GROUP BY 1",
+        "timeline_month_breakdown": f"WITH {_ITEMS} SELECT created_at[1:7] AS month, cluster, count(*) AS n FROM i GROUP BY 1, 2 UNION ALL SELECT created_at[1:7], -1, count(*) FROM i GROUP BY 1",
+        "list_by_date": f"WITH {_ITEMS} SELECT id, created_at FROM i ORDER BY created_at DESC, id LIMIT 20",
+        "list_by_title": f"WITH {_ITEMS} SELECT id, name FROM i ORDER BY lower(name), id LIMIT 10 OFFSET 5",
+        "list_by_count": f"WITH {_ITEMS} SELECT id, n_messages FROM i WHERE provider = 'F' ORDER BY n_messages DESC, id LIMIT 30",
+        "recent_before_after": f"WITH {_ITEMS} SELECT id, created_at FROM i WHERE created_at < '1997-01-01' AND created_at > '1996-01-01' ORDER BY created_at DESC, id LIMIT 25",
+        "sessionize_30m": f"WITH {_SESS} SELECT event_id, user_id, session FROM ss",
+        "session_headers": f"WITH {_SESS} SELECT user_id, session, arg_min(event_id, (ts, event_id)) AS first_event, count(*) AS n_events FROM ss GROUP BY 1, 2",
+        "delta_new_ids": f"WITH {_SPLIT} SELECT DISTINCT id FROM f WHERE id NOT IN (SELECT id FROM k)",
+        "classify_manifest": f"WITH {_SPLIT} SELECT f.id, f.sha, CASE WHEN k.id IS NULL THEN 'new' WHEN k.sha <> f.sha THEN 'changed' ELSE 'unchanged' END AS status FROM f LEFT JOIN k USING (id)",
+        "upsert_union": f"WITH {_SPLIT} SELECT id, sha FROM k WHERE id NOT IN (SELECT id FROM f) UNION ALL SELECT id, sha FROM f",
+        "freshest_per_id": "SELECT user_id AS id, event_id AS source_rank FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('hour', ts) DESC, event_id) = 1",
+        "notes_merge": "WITH n AS (SELECT conv_id, turn % 2 AS note_id, text[1:1] AS text, turn AS seq FROM conversations), b AS (SELECT *, 0 AS src FROM n WHERE seq % 3 <> 0 UNION ALL SELECT *, 1 FROM n WHERE seq % 3 <> 1) SELECT conv_id, note_id, text, seq, src FROM b QUALIFY row_number() OVER (PARTITION BY conv_id, note_id, text ORDER BY src, seq) = 1",
+        "html_clean": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') AS t FROM pages)
+SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[\s\x{A0}]+', ' ', 'g'))) AS clean_md5 FROM a""",
+        "chunk_words": r"WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM documents), c AS (SELECT doc_id, text, ws, unnest(range(0, greatest(1, (len(ws) + 149) // 150))) AS k FROM w) SELECT doc_id, k::INT AS k, md5(CASE WHEN len(ws) <= 150 THEN text ELSE array_to_string(ws[k * 150 + 1:k * 150 + 150], ' ') END) AS chunk_md5 FROM c",
+        "excerpt_snippet": "SELECT doc_id, text[1:200] AS snippet, (CASE WHEN length(text) >= 800 THEN 803 ELSE length(text) END)::INT AS n_excerpt FROM documents",
+        "keyword_filter": "SELECT doc_id FROM documents WHERE contains(lower(text), 'trash') ORDER BY doc_id LIMIT 10",
+    }
