@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, normalise
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df, written to the folder of spark.checkpoint.dir; an own folder only where none is set, as in tests."""
+    context = df.sparkSession.sparkContext
+    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def similar_pairs(vectors: DataFrame) -> DataFrame:
     """(a, b, w) for all a < b of (id, vector): cosines, as the graph's percentile threshold is over all pairs."""
     unit = vectors.select("id", normalise(F.col("vector")).alias("v"))
-    a, b = unit.select(F.col("id").alias("a"), F.col("v").alias("va")), unit.select(F.col("id").alias("b"), F.col("v").alias("vb"))
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    unit_a = unit.repartition(parts, "id")  # the pairs are the work: dealt to all cores, however few files there are
+    a, b = unit_a.select(F.col("id").alias("a"), F.col("v").alias("va")), unit.select(F.col("id").alias("b"), F.col("v").alias("vb"))
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", dot(F.col("va"), F.col("vb")).alias("w"))
 
 
@@ -21,7 +33,7 @@ def over_percentile(pairs: DataFrame, p: float = 0.95) -> DataFrame:
     return pairs.crossJoin(F.broadcast(cut)).where("w > cut").drop("cut")
 
 
-def degree_capped(edges: DataFrame, cap: int = 15, keep=lambda df: df.checkpoint()) -> DataFrame:
+def degree_capped(edges: DataFrame, cap: int = 15, keep=checkpoint) -> DataFrame:
     """Edges (a, b, w) that a scan by w descending (then a, b) accepts while both ends have fewer than cap.
 
     Rounds accept every edge that is among the first of the room left at both of its ends; the same edges, no scan.
