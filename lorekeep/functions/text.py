@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TOKEN = r"[\p{L}\p{N}_]+"
 #: Words that never count as terms.
@@ -35,6 +36,27 @@ def coalesce_text(*columns: Column) -> Column:
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns), F.lit(""))
 
 
+def flatten(content: Column) -> Column:
+    """Text of a VARIANT: a string as it is; of an array its strings and the texts of its text parts; else ''."""
+    items = F.try_variant_get(content, "$", "array<variant>")
+    plain = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    part = lambda v: F.coalesce(plain(v), F.when(F.try_variant_get(v, "$.type", "string") == "text", F.try_variant_get(v, "$.text", "string")))
+    return F.coalesce(F.when(items.isNotNull(), F.array_join(F.transform(items, part), " ")), plain(content), F.lit(""))
+
+
+def file_name(path: Column) -> Column:
+    return F.regexp_extract(path, "([^/]*)$", 1)
+
+
+def file_stem(path: Column) -> Column:
+    return F.regexp_replace(file_name(path), r"(?<=.)\.[^.]*$", "")
+
+
+def short_id(prefix: str, text: Column) -> Column:
+    """prefix and twelve hexadecimal digits that depend on text alone."""
+    return F.concat(F.lit(prefix), F.substring(F.sha1(text), 1, 12))
+
+
 def snippet(text: Column, size: int = 200) -> Column:
     return F.substring(text, 1, size)
 
@@ -48,12 +70,24 @@ def title(text: Column, size: int = 60) -> Column:
     return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit("…"))).otherwise(text)
 
 
-def html_clean(html: Column) -> Column:
-    """Text without scripts, styles and tags; common entities decoded; white space collapsed."""
+@F.pandas_udf(StringType())
+def _unescape(text):
+    from html import unescape
+
+    return text.map(unescape, na_action="ignore")
+
+
+def html_clean(html: Column, entities: bool = False) -> Column:
+    """Text without scripts, styles and tags; white space collapsed.
+
+    Common entities are decoded by built-in functions; with `entities`, all of them, in Arrow batches.
+    """
     out = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
     out = F.regexp_replace(out, r"(?s)<[^>]+>", " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
+        out = F.replace(out, F.lit(entity), F.lit(char)) if not entities else out
+    if entities:
+        return strip(F.regexp_replace(_unescape(out), r"(?U)\s+", " "))
     return F.trim(F.regexp_replace(out, r"[\s ]+", " "))
 
 

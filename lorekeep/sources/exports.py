@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import coalesce_text, epoch_iso, html_clean, role, strip
+from ..functions.text import coalesce_text, epoch_iso, role, strip
+from .files import shards
 
 MESSAGE = "struct<role: string, text: string, timestamp: string>"
 _TURN = "struct<uuid: string, sender: string, role: string, text: string, created_at: string, timestamp: string, content: array<struct<type: string, text: string, start_timestamp: string>>>"
@@ -58,18 +59,27 @@ def read_claude(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_abacus(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.schema(f"conversations array<struct<{_CHAT}>>").json(path, multiLine=True)
-    df = df.select(F.explode("conversations").alias("c")).select("c.*")
+    """An object with a list of conversations, or the bare list."""
+    df = spark.read.schema(f"conversations array<struct<{_CHAT}>>, {_CHAT}").json(path, multiLine=True)
+    bare = F.array(F.struct(*(c for c in df.columns if c != "conversations")))
+    df = df.select(F.explode(F.coalesce("conversations", bare)).alias("c")).select("c.*")
     return _flat(df, "abacus", F.concat(F.lit("abacus_"), coalesce_text(F.col("conversation_id"), F.col("uuid"))), coalesce_text(F.col("name"), F.lit("Abacus chat")))
 
 
 _NODE = "struct<parent: string, message: struct<author: struct<role: string>, content: struct<content_type: string, parts: array<string>>, create_time: double, weight: double>>"
 
+TREES = f"id string, title string, create_time double, current_node string, mapping map<string, {_NODE}>"
+
 
 def read_chatgpt(spark: SparkSession, path: str) -> DataFrame:
     """The branch from current_node to the root, oldest first; the first shard of an id wins."""
-    schema = f"id string, title string, create_time double, current_node string, mapping map<string, {_NODE}>"
-    df = spark.read.schema(schema).json(path, multiLine=True).where(F.coalesce("id", F.lit("")) != "").withColumn("shard", F.col("_metadata.file_path"))
+    df = spark.read.schema(TREES).json(shards(spark, path), multiLine=True).withColumn("shard", F.col("_metadata.file_path"))
+    return linearise(df, "chatgpt")
+
+
+def linearise(trees: DataFrame, provider: str) -> DataFrame:
+    """Conversations of message trees (TREES and shard); rows without an id are skipped."""
+    df = trees.where(F.coalesce("id", F.lit("")) != "")
 
     @F.pandas_udf("array<string>")
     def branch(current, links):
@@ -91,18 +101,10 @@ def read_chatgpt(spark: SparkSession, path: str) -> DataFrame:
     text = lambda m: strip(F.array_join(m["content"]["parts"], " "))
     messages = F.transform(F.filter(told, fit), lambda m: F.struct(role(m["author"]["role"]).alias("role"), text(m).alias("text"), epoch_iso(m["create_time"]).alias("timestamp")))
     title = strip(F.coalesce("title", F.lit("")))
-    out = df.withColumn("nodes", branch("current_node", links)).select("id", F.when(title.isin("", "New chat"), "Untitled").otherwise(title).alias("name"), epoch_iso(F.col("create_time")).alias("created_at"), F.lit("chatgpt").alias("provider"), messages.alias("messages"), "shard")
+    out = df.withColumn("nodes", branch("current_node", links)).select("id", F.when(title.isin("", "New chat"), "Untitled").otherwise(title).alias("name"), epoch_iso(F.col("create_time")).alias("created_at"), F.lit(provider).alias("provider"), messages.alias("messages"), "shard")
     w = Window.partitionBy("id").orderBy("shard")
     return out.where(F.size("messages") > 0).withColumn("r", F.row_number().over(w)).where("r = 1").drop("r", "shard")
 
 
-def read_activity(spark: SparkSession, path: str) -> DataFrame:
-    """Activity log entries (at, prompt, response) of the JSON layout; see streaming.sessions for grouping."""
-    df = spark.read.schema("title string, time string, safeHtmlItem array<struct<html: string>>").json(path, multiLine=True)
-    prompt = strip(F.regexp_replace("title", "^(Prompted|Said) ", ""))
-    response = html_clean(F.array_join(F.transform("safeHtmlItem", lambda x: x["html"]), " "))
-    return df.select(F.try_to_timestamp(F.regexp_replace("time", "Z$", "")).alias("at"), prompt.alias("prompt"), F.coalesce(response, F.lit("")).alias("response")).where("prompt <> '' and at is not null")
-
-
 for _name, _reader in (("claude", read_claude), ("chatgpt", read_chatgpt), ("abacus", read_abacus)):
     register(_name, _reader)
