@@ -103,7 +103,7 @@ def chunk_paragraphs(text: Column, size: int = 150) -> Column:
     """Paragraphs (split at blank lines) packed greedily into chunks of at most `size` words; a longer paragraph is
     cut in word windows; a text that fits is one chunk."""
     count = lambda t: F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
-    paragraphs = F.filter(F.transform(F.split(text, "\n\n"), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(text, "\n\n"), lambda p: strip(p)), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(a, p):

@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, normalise
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, written to the folder of spark.checkpoint.dir; an own folder only where none is set, as in tests."""
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+from .common import checkpoint
 
 
 def similar_pairs(vectors: DataFrame) -> DataFrame:
@@ -74,6 +65,13 @@ def visible(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("id").alias("a")), "a", "left_semi").join(nodes.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b", "w")
 
 
+def pooled(chunks: DataFrame) -> DataFrame:
+    """(id, vector): unit mean of the vectors of (id, vector), per id; a zero mean stays zero."""
+    dims = chunks.select("id", F.posexplode("vector").alias("dim", "x")).groupBy("id", "dim").agg(F.avg("x").alias("x"))
+    mean = dims.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("d"))
+    return mean.select("id", normalise(F.transform("d", lambda d: d["x"])).alias("vector"))
+
+
 def centroids(vectors: DataFrame, dim: int) -> DataFrame:
     """(cluster, centre): unit mean of the unit vectors of (id, vector, cluster)."""
     unit = vectors.select("cluster", normalise(F.col("vector")).alias("v"))

@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from .common import numbered
 
 RRF_K = 60
 
 
 def rank_all(scores: DataFrame, score: str, name: str) -> DataFrame:
-    """scores with the 1-based rank by score descending, then doc_id descending.
-
-    Ranks are found per range partition and shifted by the sizes of the ranges before it, so no task sorts all rows.
-    """
-    ranged = scores.repartitionByRange(F.desc(score), F.desc("doc_id")).withColumn("_p", F.spark_partition_id())
-    w = Window.partitionBy("_p").orderBy(F.desc(score), F.desc("doc_id"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
-    return ranged.withColumn(name, F.row_number().over(w)).join(F.broadcast(sizes), "_p").withColumn(name, (F.col(name) + F.col("_b")).cast("long")).drop("_p", "_b")
+    """scores with the 1-based rank by score descending, then doc_id descending."""
+    return numbered(scores, [F.desc(score), F.desc("doc_id")], name)
 
 
 def fuse(semantic: DataFrame, chunk: DataFrame, lexical: DataFrame) -> DataFrame:

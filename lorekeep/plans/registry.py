@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import catalog, graph, incremental, lexical, search
+from ..operators import catalog, clustering, compact, graph, incremental, lexical, search
 from ..streaming import sessions
 
 QUERY = ["the", "and", "the", "data"]
@@ -72,6 +72,21 @@ def _notes(spark, sf):
     return incremental.merge_notes(n.where("seq % 3 <> 0"), n.where("seq % 3 <> 1")).select("conv_id", "note_id", "text", "seq", "src")
 
 
+def _links(spark, sf):
+    """Parts bought with suppliers, as edges with parallel and self edges."""
+    return _t(spark, sf, "lineitem").select((F.col("l_partkey") % 60).alias("a"), (F.col("l_suppkey") % 60).alias("b"), F.col("l_extendedprice").cast("double").alias("w"))
+
+
+def _compact(spark, sf):
+    zero = [F.lit(0.0).alias(c) for c in ("x", "y", "z", "tx", "ty", "tz")]
+    nodes = _t(spark, sf, "part").where("p_partkey <= 50").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("p").alias("provider"), F.lit("").alias("date"), F.lit(0).alias("cluster"), F.lit(1).alias("n_messages"), F.array(F.lit("t")).alias("terms"), F.col("p_name").alias("snippet"), *zero)
+    return compact.compact(nodes, _links(spark, sf))
+
+
+def _heads(spark, sf):
+    return _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("name"), F.col("text").alias("first_message"))
+
+
 def queries() -> dict:
     c = F.col
     return {
@@ -111,6 +126,16 @@ def queries() -> dict:
         "html_clean": lambda s, d: _t(s, d, "pages").select("page_id", F.md5(T.html_clean(c("html"))).alias("clean_md5")),
         "chunk_words": lambda s, d: _t(s, d, "documents").select("doc_id", F.posexplode(T.chunk_words(c("text"))).alias("k", "chunk")).select("doc_id", "k", F.md5("chunk").alias("chunk_md5")),
         "excerpt_snippet": lambda s, d: _t(s, d, "documents").select("doc_id", T.snippet(c("text")).alias("snippet"), F.length(T.excerpt(c("text"))).alias("n_excerpt")),
+        "canonical_edges": lambda s, d: graph.canonical(_links(s, d)),
+        "compact_counts": lambda s, d: _compact(s, d)["counts"],
+        "compact_edges": lambda s, d: _compact(s, d)["edges"],
+        "pooled_vectors": lambda s, d: graph.pooled(_vectors(s, d).select(F.floor(c("id") / 4).alias("id"), "vector")).select("id", F.posexplode("vector").alias("dim", "x")).withColumn("x", F.round("x", 6)),
+        "nearest_members": lambda s, d: clustering.nearest_members(_vectors(s, d), DIM),
+        "cluster_labels": lambda s, d: clustering.labels(_vectors(s, d).where("cluster is not null"), _heads(s, d), DIM),
+        "cluster_ring": lambda s, d: _round(clustering.ring(_items(s, d).groupBy("cluster").agg(F.count("*").alias("n"))), "x", "y", "z"),
+        "time_axis": lambda s, d: _round(clustering.time_axis(_items(s, d)), "tx"),
+        "kmeans_clusters": lambda s, d: clustering.kmeans(_vectors(s, d).select("id", "vector"), 8).select("id", "cluster"),
+        "principal_components": lambda s, d: _round(clustering.scaled(clustering.components(_vectors(s, d))).select("id", *(c("p")[k].alias(n) for k, n in enumerate("xyz"))), "x", "y", "z"),
         "keyword_filter": lambda s, d: _t(s, d, "documents").where(F.contains(F.lower("text"), F.lit("trash"))).orderBy("doc_id").limit(10).select("doc_id"),
     }
 
@@ -140,6 +165,9 @@ r AS (SELECT doc_id, 1 / (60 + row_number() OVER (ORDER BY s DESC, doc_id DESC))
 UNION ALL SELECT doc_id, CASE WHEN s > 0 THEN part END FROM (SELECT doc_id, s, 1 / (60 + row_number() OVER (ORDER BY s DESC, doc_id DESC)) AS part FROM (SELECT doc_id, round(score, 6) AS s FROM bc))
 UNION ALL SELECT doc_id, CASE WHEN s > 0 THEN part END FROM (SELECT doc_id, s, 1 / (60 + row_number() OVER (ORDER BY s DESC, doc_id DESC)) AS part FROM (SELECT doc_id, round(score, 6) AS s FROM bm))),
 h AS (SELECT doc_id, sum(part) AS rrf FROM r GROUP BY 1)"""
+_NEAR = f"{_MEAN}, ns AS (SELECT u.cluster, u.id, list_inner_product(u.v, list_transform(m, lambda x: x / sqrt(list_inner_product(m, m)))) AS sim FROM u JOIN mm USING (cluster)), nr AS (SELECT cluster, id, row_number() OVER (PARTITION BY cluster ORDER BY sim DESC, id DESC) AS rank FROM ns QUALIFY rank <= 5)"
+_LINKS = "l AS (SELECT l_partkey % 60 AS a, l_suppkey % 60 AS b, l_extendedprice::DOUBLE AS w FROM lineitem), ce AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(w) AS w FROM l WHERE a <> b GROUP BY 1, 2)"
+_COMPACT = f"{_LINKS}, nd AS (SELECT p_partkey AS id FROM part WHERE p_partkey <= 50), ck AS (SELECT * FROM ce WHERE a IN (FROM nd) AND b IN (FROM nd)), cs AS (SELECT a, b, w, a AS node FROM ck UNION ALL SELECT a, b, w, b FROM ck), ct AS (SELECT DISTINCT a, b, w FROM (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY node ORDER BY w DESC, a, b) <= 8))"
 _SPLIT = "d AS (SELECT doc_id AS id, sha256(text) AS sha FROM documents), f AS (SELECT * FROM d WHERE id % 3 <> 0), k AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'old' ELSE sha END AS sha FROM d WHERE id % 2 = 0)"
 _SESS = "q AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events), ss AS (SELECT event_id, user_id, ts, sum(CASE WHEN gap IS NULL OR gap > INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM q)"
 
@@ -184,5 +212,16 @@ def oracle_sql() -> dict[str, str]:
 SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[\s\x{A0}]+', ' ', 'g'))) AS clean_md5 FROM a""",
         "chunk_words": r"WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM documents), c AS (SELECT doc_id, text, ws, unnest(range(0, greatest(1, (len(ws) + 149) // 150))) AS k FROM w) SELECT doc_id, k::INT AS k, md5(CASE WHEN len(ws) <= 150 THEN text ELSE array_to_string(ws[k * 150 + 1:k * 150 + 150], ' ') END) AS chunk_md5 FROM c",
         "excerpt_snippet": "SELECT doc_id, text[1:200] AS snippet, (CASE WHEN length(text) >= 800 THEN 803 ELSE length(text) END)::INT AS n_excerpt FROM documents",
+        "canonical_edges": f"WITH {_LINKS} SELECT * FROM ce",
+        "compact_counts": f"WITH {_COMPACT} SELECT (SELECT count(*) FROM l) AS edges_in, (SELECT count(*) FROM l WHERE a = b OR a NOT IN (FROM nd) OR b NOT IN (FROM nd)) AS edges_unresolved, (SELECT count(*) FROM ct) AS edges_kept, (SELECT count(*) FROM nd) AS nodes",
+        "compact_edges": f"WITH {_COMPACT}, nx AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM nd) SELECT p.idx AS src, q.idx AS dst, round(w, 3) AS w FROM ct JOIN nx p ON p.id = a JOIN nx q ON q.id = b",
+        "pooled_vectors": f"WITH {_V}, x AS (SELECT id // 4 AS id, unnest(vector) AS x, unnest(range(0, {DIM})) AS dim FROM v), a AS (SELECT id, dim, avg(x) AS x FROM x GROUP BY ALL) SELECT id, dim::INT AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS x FROM a",
+        "nearest_members": f"WITH {_NEAR} SELECT cluster, rank::INT AS rank, id FROM nr",
+        "cluster_labels": f"""WITH {_NEAR}, t AS (SELECT cluster, string_agg(source || ' ' || text[1:200], ' ' ORDER BY rank) AS text FROM nr JOIN documents ON doc_id = id GROUP BY 1),
+w AS (SELECT cluster, unnest(ws) AS term, unnest(range(0, len(ws))) AS pos FROM (SELECT cluster, regexp_extract_all(lower(text), '[a-z]{{3,}}') AS ws FROM t)),
+g AS (SELECT cluster, term, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, min(pos)) AS r FROM w WHERE term NOT IN ({stop}) GROUP BY cluster, term), lb AS (SELECT cluster, string_agg(term, ' / ' ORDER BY r) AS label FROM g WHERE r <= 3 GROUP BY 1)
+SELECT cluster, coalesce(label, 'Cluster ' || cluster) AS label, {clustering.PALETTE}[cluster % {len(clustering.PALETTE)} + 1] AS color, n FROM (SELECT cluster, count(*) AS n FROM v WHERE cluster IS NOT NULL GROUP BY 1) LEFT JOIN lb USING (cluster)""",
+        "cluster_ring": f"WITH {_ITEMS}, k AS (SELECT cluster, count(*) AS n FROM i GROUP BY 1), o AS (SELECT cluster, 2 * pi() * cluster / count(*) OVER () AS phi, pi() / 2 + (cluster % 3 - 1) * 0.4 AS theta, greatest(120, 5 * sqrt(sum(n) OVER ())) AS r FROM k) SELECT cluster, round(r * sin(theta) * cos(phi), 6) AS x, round(r * cos(theta), 6) AS y, round(r * sin(theta) * sin(phi), 6) AS z FROM o",
+        "time_axis": f"WITH {_ITEMS}, e AS (SELECT id, epoch(created_at::TIMESTAMP) AS t FROM i) SELECT id, round((t - min(t) OVER ()) / (max(t) OVER () - min(t) OVER ()) * 200 - 100, 6) AS tx FROM e",
         "keyword_filter": "SELECT doc_id FROM documents WHERE contains(lower(text), 'trash') ORDER BY doc_id LIMIT 10",
     }

@@ -109,3 +109,9 @@ def read_log(spark: SparkSession, path: str, n: int = 50, level: str | None = No
     if level:
         rows = rows.where(~F.col("good") | (F.col("level") == level))
     return rows.drop("good").orderBy(F.desc("pos")).limit(n).orderBy("pos")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

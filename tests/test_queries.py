@@ -62,3 +62,33 @@ def test_readers(spark, tmp_path):
     assert [(r.id, r.name) for r in exports.read(spark, "abacus", str(tmp_path / "b.json")).collect()] == [("abacus_z", "Abacus chat")]
     with pytest.raises(ValueError, match="available"):
         exports.read(spark, "none", "x")
+
+
+def test_chunks_of_paragraphs(spark):
+    from pyspark.sql import functions as F
+
+    from lorekeep.functions.text import chunk_paragraphs
+
+    def plain(text, size):
+        if len(text.split()) <= size:
+            return [text]
+        parts = [p.strip() for p in text.split("\n\n") if p.strip()]
+        windows = lambda t: [" ".join(t.split()[i : i + size]) for i in range(0, len(t.split()), size)]
+        if len(parts) < 2:
+            return windows(text)
+        out, held = [], []
+        for p in parts:
+            if held and (len(p.split()) > size or sum(len(h.split()) for h in held) + len(p.split()) > size):
+                out, held = [*out, "\n\n".join(held)], []
+            if len(p.split()) > size:
+                out += windows(p)
+            else:
+                held.append(p)
+        return out + (["\n\n".join(held)] if held else [])
+
+    import random
+
+    r = random.Random(2)
+    texts = ["", "a b", "a b c d e f g"] + ["\n\n".join(" ".join("w%d" % r.randint(0, 9) for _ in range(r.randint(0, 9))) for _ in range(r.randint(1, 7))) for _ in range(60)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", chunk_paragraphs(F.col("t"), 5).alias("c")).collect()
+    assert {g.i: g.c for g in got} == {i: plain(t, 5) for i, t in enumerate(texts)}
