@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_cl
         yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float64).tobytes()], pa.binary()), pa.array([a]), pa.array([b])], ["w", "a", "b"])
 
     taught = rows.mapInArrow(prepare, f"_id {docs.schema['doc_id'].dataType.simpleString()}, _y int, ids binary")
-    model = taught.coalesce(1).mapInArrow(learn, "w binary, a double, b double").first()
+    model = taught.repartition(1).mapInArrow(learn, "w binary, a double, b double").first()
     if model is None:
         return fit([], np.zeros(0, int), 0.5)
     return np.frombuffer(model["w"], np.float64), model["a"], model["b"]
