@@ -27,6 +27,8 @@ SEED, MAX_EPOCHS, BUDGET_RATIO = 17, 2, 1.0
 DOMAIN = "CASE WHEN try_cast(regexp_extract(source, '[0-9]+', 0) AS INT) % 2 = 0 THEN 'even' ELSE 'odd' END"
 DOMAINS = {"even": 0.5, "odd": 0.5}
 LANGUAGES = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
+#: Largest plan of leaves, in rows and in bytes of their names, that is broadcast; a larger one is joined in salted shuffles.
+PLAN_ROWS, PLAN_BYTES, SALTS = 100_000, 8 << 20, 16
 #: Hex digits by which the order of a leaf is summed.
 DIGITS = 3
 
@@ -67,6 +69,14 @@ def leaf_budgets(leaves: DataFrame, domains=None, languages=None, sources=None,
     return leaves.select("d", "l", "s", "tokens", F.floor(F.col("alloc") + 1e-6).cast("long").alias("budget"))
 
 
+def _by_leaf(rows: DataFrame, plan: DataFrame, leaf: list[str], small: bool) -> DataFrame:
+    """rows with the plan of their leaf; a leaf of many rows stays in many tasks, either way."""
+    if small:
+        return rows.join(F.broadcast(plan), leaf)
+    salted = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, [*leaf, "_salt"]).drop("_salt")
+
+
 def mix(docs: DataFrame, domain: Column | None = None, seed: int = SEED, epoch_col: str | None = None, **targets) -> DataFrame:
     """docs in the target mix; epoch_col, if given, tells the epoch (from 0) a row is taken in."""
     value = lambda c: F.coalesce(c.cast("string"), F.lit("\0null"))
@@ -82,7 +92,9 @@ def mix(docs: DataFrame, domain: Column | None = None, seed: int = SEED, epoch_c
         budgets.withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(1)).cast("int"))
         .withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens")).select(*leaf, "whole", "rest")
     )
-    some = slim.join(plan.where("rest > 0"), leaf).withColumn("o", order(F.col("whole"), F.col("id"))).select(*leaf, "rest", "o", "n")
+    size = plan.agg(F.count("*").alias("n"), F.coalesce(F.sum(sum(F.octet_length(c) for c in leaf)), F.lit(0)).alias("b")).first()
+    small = size["n"] <= PLAN_ROWS and size["b"] <= PLAN_BYTES
+    some = _by_leaf(slim, plan.where("rest > 0"), leaf, small).withColumn("o", order(F.col("whole"), F.col("id"))).select(*leaf, "rest", "o", "n")
     some = some.groupBy(*leaf, "rest", "o").agg(F.sum("n").alias("n"))
     digits = F.substring("o", 1, DIGITS)
     up = lambda *by: Window.partitionBy(*by).orderBy("o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -92,7 +104,7 @@ def mix(docs: DataFrame, domain: Column | None = None, seed: int = SEED, epoch_c
     cut = inside.where("until >= more and until - n < more").select(*leaf, F.col("o").alias("cut"))
     plan = plan.join(cut, leaf, "left").select(*leaf, "whole", "cut")
     taken = F.col("whole") + F.coalesce(order(F.col("whole"), F.col("id")) <= F.col("cut"), F.lit(False)).cast("int")
-    out = keyed.drop("n").join(plan, leaf).withColumn("taken", taken).where("taken > 0")
+    out = _by_leaf(keyed.drop("n"), plan, leaf, small).withColumn("taken", taken).where("taken > 0")
     out = out.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("taken") - 1)))
     return out.select(*unpacked(docs), *([F.col("epoch").alias(epoch_col)] if epoch_col else []))
 

@@ -265,7 +265,7 @@ def test_share_out(spark):
     assert {(x.p, x.name): pytest.approx(x.alloc) for x in got.collect()} == want
 
 
-def test_mixing(as_docs):
+def test_mixing(as_docs, monkeypatch):
     r = random.Random(6)
     rows = [(i, " ".join("w" * r.randint(1, 3) for _ in range(r.randint(0, 40))), r.choice(["en", "de", None]), r.choice(["src0", "src1", "src2", None, "odd"])) for i in range(400)]
     rows += [(None, "a b c", "en", "src0"), (3, rows[3][1], *rows[3][2:]), (401, None, "fr", "src4")]
@@ -281,3 +281,7 @@ def test_mixing(as_docs):
     best = Counter((x.doc_id, x.epoch) for x in got)
     assert max(x.epoch for x in got) <= 1 and all(n == 1 for (i, _), n in best.items() if i not in (3, None))
     assert source_mixing.op6(as_docs([])).count() == 0
+    rows_of = lambda: Counter((x.doc_id, x.text, x.lang, x.source, x.epoch) for x in source_mixing.mix(docs, epoch_col="epoch", **source_mixing.TARGETS).collect())
+    broadcast = rows_of()
+    monkeypatch.setattr(source_mixing, "PLAN_ROWS", 0)
+    assert rows_of() == broadcast
