@@ -139,6 +139,8 @@ def test_engine(spark, tmp_path):
     assert len(vectors) == 7 and all(math.isclose(sum(x * x for x in v), 1) for v in vectors.values())
     engine.ingest(chats(spark, changed), mode="replace")
     assert engine.stats()["n_items"] == 2
+    before = engine.version()
+    assert engine.recluster(2) == engine.version() != before and engine.stats()["clusters"] == 2 and engine.stats()["n_items"] == 2
     with pytest.raises(ValueError, match="neither"):
         engine.ingest(chats(spark, changed), mode="x")
 
