@@ -1,10 +1,12 @@
 """LM scoring: masked pseudo-likelihood from a bidirectional window network trained in numpy.
 
-A token is a word, lower-cased. The vocabulary holds the `TOP` most frequent words of the whole corpus;
+A token is a word, lower-cased. The `TOP` most frequent words of the whole corpus are outputs of the network;
 others fall into `SHAPES` classes by length and kinds of characters. The network predicts each token from
 the two tokens on either side of it (never from itself): the vectors of the four neighbours, one table
-for each offset, are summed, pass a tanh layer, and a two-level softmax (block of the vocabulary, then
-place in the block) gives the token's probability. Training runs where the documents lie: each partition
+for each offset, are summed, pass a tanh layer, and a two-level softmax (block of the outputs, then
+place in the block) gives the probability of the token or its class, which is divided among all words of
+the class by their counts in the corpus, so that the probabilities of all its words sum to 1. As a neighbour,
+a word of a class has one of the class's `ROWS` vectors, by its hash. Training runs where the documents lie: each partition
 goes once over all its documents, from the same start, and the parameters are averaged in proportion to
 tokens; this is done for `ROUNDS` disjoint parts of the corpus in turn, so each document trains once.
 A document's score is the sum of its tokens' conditional log-probabilities.
@@ -17,7 +19,9 @@ An empty table gives an empty result. Columns other than the text are carried th
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +30,22 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-BLOCKS, WIDTH, DIM, SHAPES = 32, 32, 16, 32
+BLOCKS, WIDTH, DIM, SHAPES = 32, 32, 24, 32
 PAD = BLOCKS * WIDTH
 TOP = PAD - SHAPES
+#: Vectors of a class; ids from PAD + 1 on are words of classes, TARGET gives the output of each id.
+ROWS = 256
+TARGET = np.concatenate([np.arange(PAD + 1), TOP + np.arange(SHAPES * ROWS) // ROWS])
 OFFSETS = (-2, -1, 1, 2)
-ROUNDS, RATE, BATCH, SPAN = 2, 0.15, 8192, 1 << 14
+ROUNDS, RATE, BATCH, SPAN = 2, 0.15, 4096, 1 << 14
 #: Tokens remembered by a worker.
 REMEMBER = 1 << 19
+#: Words whose shares of their classes are sent to all tasks; those of rarer words are joined.
+KNOWN = 1 << 15
 
 
-def vocabulary(docs: DataFrame) -> dict[str, int]:
-    """Ids of the TOP most frequent lower-cased words of all documents, ties by the word."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """All lower-cased words w of all documents (in UTF-8) and their numbers n."""
 
     def local(batches):
         counts: Counter = Counter()
@@ -49,8 +58,21 @@ def vocabulary(docs: DataFrame) -> dict[str, int]:
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()))], ["w", "n"])
 
-    counts = docs.select("text").mapInArrow(local, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return {bytes(r["w"]).decode(): i for i, r in enumerate(counts.orderBy(F.desc("n"), "w").limit(TOP).collect())}
+    return docs.select("text").mapInArrow(local, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counts: DataFrame, n: int) -> list:
+    """The first n rows of word_counts, ties by the word."""
+    return counts.orderBy(F.desc("n"), "w").limit(n).collect()
+
+
+def _ids(rows) -> dict[str, int]:
+    return {bytes(r["w"]).decode(): i for i, r in enumerate(rows)}
+
+
+def vocabulary(docs: DataFrame) -> dict[str, int]:
+    """Ids of the TOP most frequent lower-cased words of all documents, ties by the word."""
+    return _ids(most_frequent(word_counts(docs), TOP))
 
 
 _KINDS = (re.compile(r"[^\W\d_]"), re.compile(r"\d"), re.compile(r"[^\w\s]"))
@@ -63,7 +85,7 @@ def shape(word: str) -> int:
 
 
 class Tokens(dict):
-    """Ids by the UTF-8 bytes of a word; the shapes of others are remembered as they come."""
+    """Ids by the UTF-8 bytes of a word; those of words of classes are remembered as they come."""
 
     def __init__(self, known: dict[str, int]):
         super().__init__({w.encode(): i for w, i in known.items()})
@@ -72,19 +94,28 @@ class Tokens(dict):
         if len(self) > REMEMBER:
             for w in [w for w, i in self.items() if i >= TOP]:
                 del self[w]
-        self[word] = i = shape(word.decode())
+        self[word] = i = PAD + 1 + (shape(word.decode()) - TOP) * ROWS + zlib.crc32(word) % ROWS
         return i
 
 
+def split(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode().split()  # bytes: ASCII white space only
+
+
+def inputs(words: list[bytes], ids: Tokens) -> np.ndarray:
+    return np.fromiter(map(ids.__getitem__, words), np.int16, len(words))
+
+
 def tokens(text: str | None, ids: Tokens) -> np.ndarray:
-    w = (text or "").lower().encode().split()  # bytes: ASCII white space only
-    return np.fromiter(map(ids.__getitem__, w), np.int16, len(w))
+    """The outputs of the network that the words of the text stand for."""
+    return TARGET[inputs(split(text), ids)].astype(np.int16)
 
 
 def start(seed: int = 5) -> list[np.ndarray]:
     """Tables of the offsets, block weights, place weights (each with its bias as last column)."""
     r = np.random.default_rng(seed)
     e = r.normal(0, 0.3, (len(OFFSETS), PAD + 1, DIM))
+    e = np.concatenate([e, np.repeat(e[:, TOP:PAD], ROWS, axis=1)], axis=1)
     return [x.astype(np.float32) for x in (e, np.zeros((BLOCKS, DIM + 1)), np.zeros((BLOCKS, WIDTH, DIM + 1)))]
 
 
@@ -117,7 +148,7 @@ def log_probabilities(params, flat, at) -> np.ndarray:
     out = np.empty(len(at))
     for s in range(0, len(at), SPAN):
         p = at[s : s + SPAN]
-        y = flat[p].astype(np.int64)
+        y = TARGET[flat[p]]
         order = np.argsort((y // WIDTH).astype(np.uint8), kind="stable")
         h, yo = hidden(params, flat, p[order]), y[order]
         lp = np.log(_softmax(h @ params[1].T)[np.arange(len(p)), yo // WIDTH])
@@ -134,7 +165,7 @@ def train_on(params, squares, flat, at) -> None:
     """One pass of Adagrad over the places, in batches, in place."""
     for s in range(0, len(at), BATCH):
         p = at[s : s + BATCH]
-        y = flat[p].astype(np.int64)
+        y = TARGET[flat[p]]
         order = np.argsort((y // WIDTH).astype(np.uint8), kind="stable")
         p, y = p[order], y[order]
         n, block = len(p), y // WIDTH
@@ -188,11 +219,58 @@ def tokenise(docs: DataFrame, known: dict[str, int], ids_col: str = "token_ids")
     @F.pandas_udf("binary")
     def ids(texts):
         words_ = remembered(given.value)
-        return texts.map(lambda t: tokens(t, words_).tobytes(), na_action=None)
+        return texts.map(lambda t: inputs(split(t), words_).tobytes(), na_action=None)
 
     return docs.withColumn(ids_col, ids("text"))
 
 
+def class_totals(counts: DataFrame, rows) -> np.ndarray:
+    """Numbers of tokens of each class: of all words but those of rows, which the network predicts itself."""
+    totals = np.zeros(SHAPES, np.int64)
+    for r in counts.groupBy("c").agg(F.sum("n").alias("n")).collect():
+        totals[r["c"] - TOP] += r["n"]
+    for r in rows:
+        totals[r["c"] - TOP] -= r["n"]
+    return totals
+
+
+def with_classes(counts: DataFrame) -> DataFrame:
+    """Word counts with the class c of each word."""
+
+    @F.pandas_udf("int")
+    def shapes(words):
+        return words.map(lambda w: shape(bytes(w).decode()))
+
+    return counts.withColumn("c", shapes("w"))
+
+
+def tokenise_all(docs: DataFrame, known: dict[str, int], shares: dict[bytes, float]) -> DataFrame:
+    """docs with token_ids as tokenise gives them, the sum of the words' logarithmic shares and the words without one."""
+    spark = docs.sparkSession.sparkContext
+    given, parts = spark.broadcast(known), spark.broadcast(shares)
+
+    @F.pandas_udf("struct<ids binary, share double, rest array<binary>>")
+    def ids(texts):
+        import pandas as pd
+
+        words_, share, out = remembered(given.value), parts.value, []
+        for t in texts:
+            w = split(t)
+            x = np.fromiter(map(share.get, w, repeat(np.nan)), np.float64, len(w))
+            out.append((inputs(w, words_).tobytes(), np.nansum(x), [w[i] for i in np.flatnonzero(np.isnan(x))]))
+        return pd.DataFrame(out, columns=["ids", "share", "rest"])
+
+    x = docs.withColumn("_x", ids("text"))
+    return x.withColumns({"token_ids": F.col("_x.ids"), "_share": F.col("_x.share"), "_rest": F.col("_x.rest")}).drop("_x")
+
+
+def rest_shares(ids: DataFrame, counts: DataFrame, totals: np.ndarray) -> DataFrame:
+    """The sums of the logarithmic shares of the words in `_rest`, by `_row`."""
+    total = F.get(F.array(*(F.lit(float(t)) for t in totals)), F.col("c") - TOP)
+    share = counts.select("w", F.log(F.col("n") / total).alias("share"))
+    return ids.select("_row", F.explode("_rest").alias("w")).join(share, "w").groupBy("_row").agg(F.sum("share").alias("_rest_share"))
+
+
 _WORDS: list = [None, None]
 
 
@@ -261,5 +339,11 @@ def score(docs: DataFrame, params, ids_col: str = "token_ids", prefix: str = "")
 
 
 def op10(docs: DataFrame) -> DataFrame:
-    ids = materialise(tokenise(docs.select("doc_id", "text"), vocabulary(docs)).drop("text"))
-    return score(ids, train(ids)).drop("token_ids")
+    counts = materialise(with_classes(word_counts(docs)))
+    rows = most_frequent(counts, KNOWN)
+    totals = class_totals(counts, rows[:TOP])
+    shares = {bytes(r["w"]): 0.0 if i < TOP else float(np.log(r["n"] / totals[r["c"] - TOP])) for i, r in enumerate(rows)}
+    ids = materialise(tokenise_all(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row")), _ids(rows[:TOP]), shares).drop("text"))
+    out = score(ids.drop("_rest"), train(ids)).join(rest_shares(ids, counts, totals), "_row", "left")
+    s = F.col("log_likelihood") + F.col("_share") + F.coalesce("_rest_share", F.lit(0.0))
+    return out.select("doc_id", "n_tokens", s.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, s / F.col("n_tokens")).alias("mean_log_likelihood"))

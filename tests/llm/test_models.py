@@ -180,3 +180,31 @@ def test_pseudo_likelihood_edges(as_docs, odd_texts):
     assert all((r.mean_log_likelihood is None) == (r.n_tokens == 0) and r.log_likelihood <= 0 for r in got)
     assert {r.n_tokens for r in got if r.doc_id in (1, 2, 3)} == {0}
     assert pseudo_likelihood.op10(as_docs([])).count() == 0
+
+
+def test_pseudo_likelihood_of_every_word(as_docs, monkeypatch):
+    """The probability of a class is divided among all its words, sent to the tasks or joined."""
+    p, r = pseudo_likelihood, random.Random(8)
+    monkeypatch.setattr(p, "KNOWN", p.TOP + 20)
+    letters = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
+    common, rare = [letters() for _ in range(p.TOP)], [letters() for _ in range(60)]
+    pool = common * 9 + [w for i, w in enumerate(rare) for _ in range(1 + i % 5)]
+    r.shuffle(pool)
+    docs = as_docs([(i, " ".join(pool[i * 40 : i * 40 + 40])) for i in range(len(pool) // 40 + 1)])
+    n = Counter(pool)
+    top = {w for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[: p.TOP]}
+    total = sum(k for w, k in n.items() if w not in top)
+    monkeypatch.setattr(p, "train", lambda ids: p.start())
+    plain = {x.doc_id: x.log_likelihood for x in p.score(p.tokenise(docs, p.vocabulary(docs)), p.start()).collect()}
+    texts = {x.doc_id: x.text for x in docs.select("doc_id", "text").collect()}
+    for x in p.op10(docs).collect():
+        share = sum(np.log(n[w] / total) for w in texts[x.doc_id].split() if w not in top)
+        assert x.n_tokens == len(texts[x.doc_id].split())
+        assert x.log_likelihood == pytest.approx(plain[x.doc_id] + share) and x.mean_log_likelihood == pytest.approx(x.log_likelihood / x.n_tokens)
+
+
+def test_pseudo_likelihood_tells_neighbours_of_one_class_apart():
+    p = pseudo_likelihood
+    ids = p.Tokens({})
+    a, b = (p.inputs(p.split(t), ids) for t in ("x stone x", "x stoat x"))
+    assert a[1] != b[1] and p.TARGET[a[1]] == p.TARGET[b[1]] == p.shape("stone")
