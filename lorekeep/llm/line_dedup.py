@@ -4,7 +4,8 @@ A text is its lines, split at \\n. Each window of `min_lines` successive lines s
 line hash in it (the rightmost of equal ones) as a fingerprint, so that any two equal runs of
 `min_lines` lines or more share one. Fingerprints found at two positions or more are joined with the
 windows around them, which extend the match to the lines before and after; a run that equals an
-earlier one, in the order of doc_id, text hash and line, is deleted, whatever its length.
+earlier one, in the order of doc_id, text hash and line, is deleted, whatever its length. With `min_words`,
+a line of that many words or more is a window of its own too, so it is found in any surroundings.
 
 Edge cases. A text of fewer lines than `min_lines` is one window and is deleted if an earlier text is
 the same. Null and empty texts have no lines and stay. Rows equal in doc_id and text are one document
@@ -18,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound, materialise, packed, unpacked
+from .common import bound, materialise, packed, unpacked, words
 
 MIN_LINES = 3
+#: Words of a line that the pipeline deletes alone.
+MIN_WORDS = 20
 
 
 def _lines(text):
@@ -55,12 +58,25 @@ def repeated_windows(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return around.join(first, "wh").where(~place.eqNullSafe(F.col("first"))).select("_id", "_t", "pos", "len").distinct()
 
 
-def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, n_removed_col: str | None = None) -> DataFrame:
-    """docs without the repeated runs; n_removed_col, if given, counts the lines removed."""
+def repeated_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """Lines of min_words words or more that equal an earlier line, as windows (_id, _t, pos, len)."""
+    lines = docs.where(F.length("text") > 0).select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_t"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    long = lines.where(F.length("line") >= 2 * min_words - 1).where(F.size(words(F.col("line"))) >= min_words)
+    long = materialise(long.select("_id", "_t", "pos", F.xxhash64("line").alias("wh")))
+    place = F.struct("_id", "_t", "pos")
+    first = long.groupBy("wh").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("wh", "first")
+    return long.join(first, "wh").where(~place.eqNullSafe(F.col("first"))).select("_id", "_t", "pos", F.lit(1).alias("len")).distinct()
+
+
+def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, n_removed_col: str | None = None, min_words: int | None = None) -> DataFrame:
+    """docs without the repeated runs and, if min_words is given, the repeated lines of so many words; n_removed_col, if given, counts the lines removed."""
     by = Window.partitionBy("_id", "_t").orderBy("pos")
     start = F.coalesce(F.max(F.col("pos") + F.col("len")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    repeated = repeated_windows(docs, min_lines)
+    if min_words:
+        repeated = repeated.union(repeated_lines(docs, min_words))
     kept = (
-        repeated_windows(docs, min_lines)
+        repeated
         .withColumn("start", start)
         .groupBy("_id", "_t")
         .agg(
@@ -108,6 +124,6 @@ FROM documents o LEFT JOIN k ON o.doc_id IS NOT DISTINCT FROM k.doc_id AND o.tex
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without the repeated runs; those of which no line is left go."""
+    """Pipeline stage: documents without the repeated runs and long lines; those of which no line is left go."""
     name = "_lines_removed"
-    return line_dedup(docs, n_removed_col=name).where(f"{name} = 0 or {name} < n_lines").select(*docs.columns)
+    return line_dedup(docs, n_removed_col=name, min_words=MIN_WORDS).where(f"{name} = 0 or {name} < n_lines").select(*docs.columns)

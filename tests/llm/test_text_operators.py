@@ -42,6 +42,14 @@ def test_line_dedup(as_docs, odd_texts):
     assert Counter(tuple(r) for r in got) == expected
 
 
+def test_line_dedup_stage_deletes_long_lines(as_docs):
+    """A repeated line of 20 words goes in any surroundings, a pair too; a shorter one stays without a run."""
+    long, other, short = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("w", 20), ("v", 25), ("s", 19)))
+    docs = as_docs([(1, f"a\n{long}\nb"), (2, f"c\n{long}\n{other}\nd"), (3, long), (4, f"{short}\ne"), (5, f"f\n{other}\n{short}\n{long}"), (6, f"g\n{long}\n{long}"), (7, f"c\n{long}\n{other}\nd")])
+    got = {r.doc_id: r.text for r in line_dedup.stage(None, docs, "").collect()}
+    assert got == {1: f"a\n{long}\nb", 2: f"c\n{other}\nd", 4: f"{short}\ne", 5: f"f\n{short}", 6: "g"}
+
+
 def test_line_dedup_carries_columns(as_docs, odd_texts):
     docs = as_docs(odd_texts)
     out = line_dedup.stage(None, docs, "")
