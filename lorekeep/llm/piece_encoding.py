@@ -345,8 +345,8 @@ def decode_ids(docs: DataFrame, path: str | None = None, ids_col: str = "ids", t
     return _with(docs, text_col, "string", text, BACK)
 
 
-def op4(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids, their number, and whether they decode to the text; the text itself does not come back."""
+def op4(docs: DataFrame, path: str | None = None, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns, ids, their number, and whether they decode to the text; the text itself does not come back."""
     path = path or default_model()
 
     def run(batches):
@@ -358,13 +358,12 @@ def op4(docs: DataFrame, path: str | None = None) -> DataFrame:
                 found = encode_batch(p, texts)
                 same = [x is None or decode(p, x) == t.replace(SPACE, " ") for x, t in zip(found, texts, strict=True)]
                 n = pa.array([0 if x is None else len(x) for x in found], pa.int32())
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), _as_lists(found), n, pa.array(same, pa.bool_())], ["doc_id", "ids", "n_ids", "round_trip"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in carried), _as_lists(found), n, pa.array(same, pa.bool_())], [*carried, "ids", "n_ids", "round_trip"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, n_ids int, round_trip boolean")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return docs.select(*carried, "text").mapInArrow(run, f"{kinds}, ids array<int>, n_ids int, round_trip boolean")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: doc_id, source, ids and their number."""
-    out = encode(docs.select("doc_id", "source", "text"))
-    return out.select("doc_id", "source", "ids", F.coalesce(F.size("ids"), F.lit(0)).alias("n_ids"))
+    """Pipeline stage, the last: doc_id, source, ids, their number, and whether they decode to the text."""
+    return op4(docs, carried=("doc_id", "source"))

@@ -59,6 +59,13 @@ def test_pieces_equal_the_library(spark, as_docs, odd_texts):
     assert piece_encoding.op4(as_docs([])).count() == 0
 
 
+def test_pieces_stage_decodes(spark, as_docs, odd_texts):
+    got = piece_encoding.stage(spark, as_docs(odd_texts), "").toPandas()
+    assert list(got.columns) == ["doc_id", "source", "ids", "n_ids", "round_trip"]
+    assert len(got) == len(odd_texts) and got.round_trip.all() and set(got.source) == {"src1"}
+    assert [n for n in got.n_ids] == [0 if x is None else len(x) for x in got.ids]
+
+
 def test_unigram_viterbi():
     p = piece_encoding.Pieces.__new__(piece_encoding.Pieces)
     r = random.Random(1)
