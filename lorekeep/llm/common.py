@@ -18,8 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; an own one only where none is set, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """This application's part of the folder that driver and executors share; it goes when the application ends.
+
+    The folder is that of spark.checkpoint.dir, or of setCheckpointDir. Where neither is set, a local master gets an
+    own one, as in tests; a cluster, whose machines would each write to their own disks, gets an error.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _own_part(root or _own_folder(), context.applicationId)
 
 
 @cache
@@ -27,14 +35,56 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
+@cache
+def _own_part(root: str, application: str) -> str:
+    part = f"{root.rstrip('/')}/lorekeep-{application}"
+    fs, path = _store(SparkSession.active(), part)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return part
+
+
+def _store(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _store(spark, path)
+    fs.delete(at, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_spread(rows: DataFrame, given: DataFrame, keys: list[str], n: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined with given, which has one row a key and in column n (dropped) how many of rows have that key.
+
+    A key of more than its share of rows is dealt to as many salts as it has shares, a share being 1/P of all rows;
+    so no task gets more than a share of one key. The list of such keys is broadcast: there are fewer than P. Rows without a key are spread too.
+    given is read several times: pass a written table.
+    """
+    p = max(256, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    total = given.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(given.where(F.col(n) * p > total).select(*keys, F.ceil(F.col(n) * p / F.lit(float(max(total, 1)))).cast("int").alias("_salts")))
+    nowhere = F.lit(False)
+    for k in keys:
+        nowhere = nowhere | F.col(k).isNull()
+    salts = F.when(nowhere, F.lit(p)).otherwise(F.coalesce("_salts", F.lit(1)))
+    salted = rows.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), salts).cast("int")).drop("_salts")
+    copies = given.drop(n).join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def packed(docs: DataFrame, **more) -> DataFrame:
     """The columns of docs in one struct `_row`, so that no name of theirs can clash, beside the given ones."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(c.alias(n) for n, c in more.items()))
@@ -58,17 +108,17 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (a, b): one row (node, component) for each node
     of an edge, component being the smallest node reachable.
 
-    Alternates large-star and small-star steps; each runs as grouped minima and joins, so that no
-    task holds the neighbours of a node, and its result is written to the shared folder.
+    Alternates large-star and small-star steps, as grouped minima and joins. A node of many edges is joined in many
+    tasks (join_spread); each step's result is written to the shared folder.
     """
     edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     mark = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        low = materialise(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
+        large = materialise(join_spread(both, low, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        low = materialise(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        small = join_spread(large, low, ["a"]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         edges = materialise(small.select("e.a", "e.b").where("a <> b").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:

@@ -1,17 +1,21 @@
 """Line dedup: winnowing over line hashes, native DataFrame functions only.
 
-A text is its lines, split at \\n. Each window of `min_lines` successive lines selects the smallest
-line hash in it (the rightmost of equal ones) as a fingerprint, so that any two equal runs of
-`min_lines` lines or more share one. Fingerprints found at two positions or more are joined with the
-windows around them, which extend the match to the lines before and after; a run that equals an
-earlier one, in the order of doc_id, text hash and line, is deleted, whatever its length. With `min_words`,
-a line of that many words or more is a window of its own too, so it is found in any surroundings.
+A text is its lines, split at \\n; a line has two independent 64-bit hashes. Each window of `min_lines` successive
+lines selects the smallest first hash in it (the rightmost of equal ones) as a fingerprint, so that any two equal runs of
+`min_lines` lines or more share one at the same place in the run. With `min_words`, a line of that many words or more
+is a fingerprint of its own too, so it is found in any surroundings.
+
+Positions of fingerprints found twice or more are joined: each goes to the earliest position, in the order of doc_id, text
+hash and line, with the same window about it (both hashes of all its lines are equal). From there the match is
+extended line by line, both ways, up to the lines where the next fingerprint must lie, which goes on by its
+own match; a long line that is no part of such a run is deleted without its neighbours. The later run is deleted, whatever
+its length.
 
 Edge cases. A text of fewer lines than `min_lines` is one window and is deleted if an earlier text is
 the same. Null and empty texts have no lines and stay. Rows equal in doc_id and text are one document
-repeated: they keep the same lines. A null doc_id comes before all others. Blank lines count as lines.
-Columns other than doc_id and text are carried through by `line_dedup`; `n_chars`, if there, is
-counted anew.
+repeated: they keep the same lines. A null doc_id comes before all others. Blank lines count as lines. A fingerprint or
+window of very many positions is joined in many tasks. Columns other than doc_id and text are carried through by
+`line_dedup`; `n_chars`, if there, is counted anew.
 """
 
 from __future__ import annotations
@@ -19,10 +23,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound, materialise, packed, unpacked, words
+from .common import WORD, bound, join_spread, materialise, packed, unpacked
 
 MIN_LINES = 3
-#: Words of a line that the pipeline deletes alone.
+#: Words of a line that is deleted alone.
 MIN_WORDS = 20
 
 
@@ -30,53 +34,61 @@ def _lines(text):
     return F.split(text, "\n", -1)
 
 
-def repeated_windows(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """Windows (_id, _t, pos, len) of lines that equal an earlier window."""
-    t = min_lines
-    hashed = materialise(
-        docs.where(F.length("text") > 0).select(
-            F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_t"),
-            F.transform(_lines(F.col("text")), lambda x: F.xxhash64(x)).alias("hs"),
-        )
-    )
+def _fingerprints(hs, ks, long, t: int):
+    """Structs (at, fp, windows) of the positions that windows of t lines select or that hold a long line: windows are
+    (pos, len, k1, k2), the windows that selected it and the long line itself."""
+    n = F.size(hs)
+
+    def window(i, size):
+        keys = [F.xxhash64(F.slice(x, i + 1, size), F.lit(salt)) for x, salt in ((hs, 1), (ks, 2))]
+        return F.struct(i.alias("pos"), size.alias("len"), keys[0].alias("k1"), keys[1].alias("k2"))
 
-    def window(hs, i):
+    def chosen(i):
         lines = F.slice(hs, i + 1, F.lit(t))
-        return bound(lines, lambda x: F.struct(
-            i.alias("pos"), F.size(x).alias("len"), F.xxhash64(x).alias("wh"), F.array_min(x).alias("fp"),
-            (i + F.size(x) - F.array_position(F.reverse(x), F.array_min(x))).alias("at"),
-        ))
-
-    windows = hashed.select("_id", "_t", bound(F.col("hs"), lambda hs: F.transform(F.sequence(F.lit(0), F.greatest(F.size(hs) - t, F.lit(0))), lambda i: window(hs, i))).alias("ws"))
-    selected = windows.select(
-        F.explode(bound(F.col("ws"), lambda ws: F.transform(F.filter(ws, lambda x, i: (i == 0) | (F.get(ws, i - 1)["at"] != x["at"])), lambda x: x["fp"]))).alias("fp")
-    )
-    shared = selected.groupBy("fp").count().where("count > 1").select("fp")
-    around = windows.select("_id", "_t", F.explode("ws").alias("w")).select("_id", "_t", "w.pos", "w.len", "w.wh", "w.fp").join(shared, "fp")
+        return bound(lines, lambda x: F.struct((i + F.size(x) - F.array_position(F.reverse(x), F.array_min(x))).cast("int").alias("at"), F.least(F.lit(t), n).alias("size"), i.alias("i")))
+
+    windows = F.transform(F.sequence(F.lit(0), F.greatest(n - t, F.lit(0))), chosen)
+    alone = F.transform(long, lambda i: F.struct(i.alias("at"), F.lit(1).alias("size"), i.alias("i")))
+    return F.transform(F.concat(windows, alone), lambda w: F.struct(w["at"].alias("at"), F.get(hs, w["at"]).alias("fp"), window(w["i"], w["size"]).alias("w")))
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
+    """Runs (_id, _t, pos, len) of lines that equal an earlier run."""
+    lines = F.transform(_lines(F.col("text")), lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit("line"), x).alias("k"), _long(x, i, min_words).alias("long")))
+    hashed = docs.where(F.length("text") > 0).select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_t"), lines.alias("ls"))
+    hashed = materialise(hashed.select("_id", "_t", F.col("ls.h").alias("hs"), F.col("ls.k").alias("ks"), F.array_compact(F.col("ls.long")).alias("long")))
+    prints = _fingerprints(F.col("hs"), F.col("ks"), F.col("long"), min_lines)
+    distinct = F.array_distinct(F.transform(prints, lambda x: F.struct(x["at"].alias("at"), x["fp"].alias("fp"))))
+    shared = materialise(hashed.select(F.explode(distinct).alias("x")).groupBy("x.fp").agg(F.count("*").alias("n")).where("n > 1"))
+    reach = min_lines - 1
+    around = lambda w: F.transform(F.sequence(w["pos"] - reach, w["pos"] + w["len"] + reach - 1), lambda i: F.when(i >= 0, F.get(F.col("hs"), i)))
+    found = hashed.select("_id", "_t", F.explode(F.transform(prints, lambda x: F.struct(x["fp"].alias("fp"), x["w"].alias("w"), around(x["w"]).alias("lines")))).alias("x"))
+    found = join_spread(found.select("_id", "_t", "x.fp", "x.w", "x.lines"), shared, ["fp"])
+    found = materialise(found.select("_id", "_t", "w.pos", "w.len", "w.k1", "w.k2", "lines"))
     place = F.struct("_id", "_t", "pos")
-    first = around.groupBy("wh").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("wh", "first")
-    return around.join(first, "wh").where(~place.eqNullSafe(F.col("first"))).select("_id", "_t", "pos", "len").distinct()
+    first = materialise(found.groupBy("k1", "k2", "len").agg(F.min(F.struct("_id", "_t", "pos", "lines")).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    pairs = join_spread(found, first, ["k1", "k2", "len"]).where(~place.eqNullSafe(F.struct(*(F.col("first")[c].alias(c) for c in ("_id", "_t", "pos")))))
+    same = F.zip_with("lines", "first.lines", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    runs = pairs.select("_id", "_t", "pos", "len", same.alias("same"))
+    left = F.array_position(F.reverse(F.slice("same", 1, reach)), False) if reach else F.lit(0)
+    right = F.array_position(F.slice("same", F.lit(reach + 1) + F.col("len"), F.lit(reach)), False) if reach else F.lit(0)
+    ahead = lambda found_at: F.when(F.col("len") < min_lines, 0).when(found_at == 0, F.lit(reach)).otherwise(found_at - 1).cast("int")
+    return runs.select("_id", "_t", (F.col("pos") - ahead(left)).alias("pos"), (F.col("len") + ahead(left) + ahead(right)).alias("len")).distinct()
 
 
-def repeated_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """Lines of min_words words or more that equal an earlier line, as windows (_id, _t, pos, len)."""
-    lines = docs.where(F.length("text") > 0).select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_t"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    long = lines.where(F.length("line") >= 2 * min_words - 1).where(F.size(words(F.col("line"))) >= min_words)
-    long = materialise(long.select("_id", "_t", "pos", F.xxhash64("line").alias("wh")))
-    place = F.struct("_id", "_t", "pos")
-    first = long.groupBy("wh").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("wh", "first")
-    return long.join(first, "wh").where(~place.eqNullSafe(F.col("first"))).select("_id", "_t", "pos", F.lit(1).alias("len")).distinct()
+def _long(line, i, min_words: int | None):
+    """i if the line has min_words words or more; shorter lines than that many words can be are not searched."""
+    if not min_words:
+        return F.lit(None).cast("int")
+    return F.when((F.length(line) >= 2 * min_words - 1) & (F.regexp_count(line, F.lit(WORD)) >= min_words), i)
 
 
 def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, n_removed_col: str | None = None, min_words: int | None = None) -> DataFrame:
     """docs without the repeated runs and, if min_words is given, the repeated lines of so many words; n_removed_col, if given, counts the lines removed."""
     by = Window.partitionBy("_id", "_t").orderBy("pos")
     start = F.coalesce(F.max(F.col("pos") + F.col("len")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    repeated = repeated_windows(docs, min_lines)
-    if min_words:
-        repeated = repeated.union(repeated_lines(docs, min_words))
     kept = (
-        repeated
+        repeated_runs(docs, min_lines, min_words)
         .withColumn("start", start)
         .groupBy("_id", "_t")
         .agg(
@@ -104,7 +116,7 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, n_removed_col: str |
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    d = line_dedup(docs.select("doc_id", "text"), n_removed_col="n_removed")
+    d = line_dedup(docs.select("doc_id", "text"), n_removed_col="n_removed", min_words=MIN_WORDS)
     return d.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
 
 
@@ -113,8 +125,9 @@ WITH d AS (SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS ls FROM
 w AS (SELECT doc_id, text, ls, p AS pos, least(len(ls), {MIN_LINES}) AS n, array_to_string(list_slice(ls, p + 1, p + {MIN_LINES}), chr(10)) AS win
       FROM (SELECT *, unnest(range(0, greatest(len(ls) - {MIN_LINES}, 0) + 1)) AS p FROM d)),
 r AS (SELECT *, row_number() OVER (PARTITION BY n, win ORDER BY doc_id NULLS FIRST, text, pos) AS k FROM w),
-gone AS (SELECT DISTINCT doc_id, text, unnest(range(pos, pos + n)) AS line FROM r WHERE k > 1),
 l AS (SELECT doc_id, text, unnest(ls) AS s, unnest(range(0, len(ls))) AS line FROM d),
+long AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, text, line) AS k FROM l WHERE len(regexp_extract_all(s, '[^\\x20\\x09-\\x0D]+')) >= {MIN_WORDS}),
+gone AS (SELECT doc_id, text, unnest(range(pos, pos + n)) AS line FROM r WHERE k > 1 UNION SELECT doc_id, text, line FROM long WHERE k > 1),
 k AS (SELECT l.doc_id, l.text, count(*) AS n_lines, count(g.line) AS n_removed,
              coalesce(string_agg(l.s, chr(10) ORDER BY l.line) FILTER (WHERE g.line IS NULL), '') AS kept
       FROM l LEFT JOIN gone g ON l.doc_id IS NOT DISTINCT FROM g.doc_id AND l.text = g.text AND l.line = g.line GROUP BY 1, 2)

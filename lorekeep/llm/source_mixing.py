@@ -6,8 +6,10 @@ its siblings first, and to its parent's siblings only when all siblings are full
 epochs while its budget lasts and then, in the seeded order of the last epoch, the shortest prefix of
 documents that reaches the rest. An epoch orders documents by md5 of seed, epoch and doc_id.
 
-The prefix needs no sorted leaf: tokens are summed by the first hex digits of the order, the digits
-in which the budget ends are found among those sums, and only the documents behind them are put in order.
+A node's room is that of its children of positive weight, at every level, so what children may not take goes on to
+the ancestors' other children. The prefix needs no sorted leaf: tokens are summed by the next two hex digits of the
+order, the digits in which the budget ends are found among those at most 256 sums, and so on with two digits more,
+until only few documents (`FEW`) are behind them; these are put in order.
 
 Edge cases. A null domain, language or source is a value of its own. Documents without words cost
 nothing and follow the order alone. Rows of one doc_id share a place in the order and are taken together;
@@ -29,8 +31,8 @@ DOMAINS = {"even": 0.5, "odd": 0.5}
 LANGUAGES = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
 #: Largest plan of leaves, in rows and in bytes of their names, that is broadcast; a larger one is joined in salted shuffles.
 PLAN_ROWS, PLAN_BYTES, SALTS = 100_000, 8 << 20, 16
-#: Hex digits by which the order of a leaf is summed.
-DIGITS = 3
+#: Hex digits by which the order of a leaf is summed at a time, and documents of a leaf that are put in order.
+DIGITS, FEW = 2, 256
 
 
 def _weight(name: Column, given: dict[str, float]) -> Column:
@@ -58,14 +60,14 @@ def share_out(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 def leaf_budgets(leaves: DataFrame, domains=None, languages=None, sources=None, budget_ratio=BUDGET_RATIO, max_epochs=MAX_EPOCHS) -> DataFrame:
     """leaves (d, l, s, tokens) with budget (long), the tokens that each is to give."""
-    leaves = leaves.withColumn("cap", F.col("tokens").cast("double") * max_epochs)
-    langs = leaves.groupBy("d", "l").agg(F.sum("cap").alias("cap"))
-    doms = langs.groupBy("d").agg(F.sum("cap").alias("cap"))
-    root = F.least(F.floor(F.sum("cap").over(Window.partitionBy("r")) / max_epochs * budget_ratio).cast("double"), F.sum("cap").over(Window.partitionBy("r")))
-    doms = doms.withColumn("r", F.lit(0)).withColumn("budget", root).withColumn("weight", _weight(F.col("d"), domains or {}))
+    leaves = leaves.withColumn("cap", F.col("tokens").cast("double") * max_epochs).withColumn("weight", _weight(F.col("s"), sources or {}))
+    room = F.coalesce(F.sum(F.when(F.col("weight") > 0, F.col("cap"))), F.lit(0.0)).alias("cap")
+    langs = leaves.groupBy("d", "l").agg(room, F.sum("tokens").alias("all")).withColumn("weight", _weight(F.col("l"), languages or {}))
+    doms = langs.groupBy("d").agg(room, F.sum("all").alias("all")).withColumn("weight", _weight(F.col("d"), domains or {})).withColumn("r", F.lit(0))
+    doms = doms.withColumn("budget", F.floor(F.sum("all").over(Window.partitionBy("r")) * float(budget_ratio)).cast("double"))
     doms = share_out(doms, ["r"], "d").select("d", F.col("alloc").alias("budget"))
-    langs = share_out(langs.join(doms, "d").withColumn("weight", _weight(F.col("l"), languages or {})), ["d"], "l").select("d", "l", F.col("alloc").alias("budget"))
-    leaves = share_out(leaves.join(langs, ["d", "l"]).withColumn("weight", _weight(F.col("s"), sources or {})), ["d", "l"], "s")
+    langs = share_out(langs.join(doms, "d"), ["d"], "l").select("d", "l", F.col("alloc").alias("budget"))
+    leaves = share_out(leaves.join(langs, ["d", "l"]), ["d", "l"], "s")
     return leaves.select("d", "l", "s", "tokens", F.floor(F.col("alloc") + 1e-6).cast("long").alias("budget"))
 
 
@@ -77,7 +79,7 @@ def _by_leaf(rows: DataFrame, plan: DataFrame, leaf: list[str], small: bool) ->
     return rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, [*leaf, "_salt"]).drop("_salt")
 
 
-def mix(docs: DataFrame, domain: Column | None = None, seed: int = SEED, epoch_col: str | None = None, **targets) -> DataFrame:
+def mix(docs: DataFrame, domain: Column | None = None, seed: int = SEED, epoch_col: str | None = None, few: int = FEW, **targets) -> DataFrame:
     """docs in the target mix; epoch_col, if given, tells the epoch (from 0) a row is taken in."""
     value = lambda c: F.coalesce(c.cast("string"), F.lit("\0null"))
     keyed = packed(
@@ -96,12 +98,16 @@ def mix(docs: DataFrame, domain: Column | None = None, seed: int = SEED, epoch_c
     small = size["n"] <= PLAN_ROWS and size["b"] <= PLAN_BYTES
     some = _by_leaf(slim, plan.where("rest > 0"), leaf, small).withColumn("o", order(F.col("whole"), F.col("id"))).select(*leaf, "rest", "o", "n")
     some = some.groupBy(*leaf, "rest", "o").agg(F.sum("n").alias("n"))
-    digits = F.substring("o", 1, DIGITS)
+    some = materialise(some.withColumn("p", F.lit("")))
     up = lambda *by: Window.partitionBy(*by).orderBy("o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = some.groupBy(*leaf, "rest", digits.alias("o")).agg(F.sum("n").alias("n")).withColumn("until", F.sum("n").over(up(*leaf)))
-    last = sums.where("until >= rest and until - n < rest").select(*leaf, F.col("o").alias("p"), (F.col("rest") - F.col("until") + F.col("n")).alias("more"))
-    inside = some.withColumn("p", digits).join(last, [*leaf, "p"]).withColumn("until", F.sum("n").over(up(*leaf, "p")))
-    cut = inside.where("until >= more and until - n < more").select(*leaf, F.col("o").alias("cut"))
+    for digits in range(DIGITS, 33, DIGITS):
+        if (some.groupBy(*leaf).count().agg(F.max("count")).first()[0] or 0) <= few:
+            break
+        sums = some.groupBy(*leaf, "rest", F.substring("o", 1, digits).alias("o")).agg(F.sum("n").alias("n")).withColumn("until", F.sum("n").over(up(*leaf)))
+        last = sums.where("until >= rest and until - n < rest").select(*leaf, F.col("o").alias("p"), (F.col("rest") - F.col("until") + F.col("n")).alias("rest"))
+        deeper = some.drop("p", "rest").withColumn("p", F.substring("o", 1, digits)).join(F.broadcast(last) if small else last, [*leaf, "p"])
+        some = materialise(deeper.select(*leaf, "rest", "o", "n", "p"))
+    cut = some.withColumn("until", F.sum("n").over(up(*leaf))).where("until >= rest and until - n < rest").select(*leaf, F.col("o").alias("cut"))
     plan = plan.join(cut, leaf, "left").select(*leaf, "whole", "cut")
     taken = F.col("whole") + F.coalesce(order(F.col("whole"), F.col("id")) <= F.col("cut"), F.lit(False)).cast("int")
     out = _by_leaf(keyed.drop("n"), plan, leaf, small).withColumn("taken", taken).where("taken > 0")
@@ -120,25 +126,24 @@ def _case(name: str, given: dict[str, float]) -> str:
     return "CASE " + " ".join(f"WHEN {name} = '{k}' THEN {float(v)}::DOUBLE" for k, v in given.items()) + " ELSE 1.0::DOUBLE END"
 
 
-def _share_sql(out: str, rows: str, parent: str, name: str) -> str:
-    up = f"OVER (PARTITION BY {parent} ORDER BY ratio, {name} ROWS UNBOUNDED PRECEDING)"
+def _fill_sql(out: str, rows: str, parent: str) -> str:
+    """A node is full if its siblings, each filled in proportion to weight until this one is full, need no more than the budget."""
+    same = " AND ".join(f"b.{c} = a.{c}" for c in parent.split(", "))
     return f"""
-{out}1 AS (SELECT *, CASE WHEN weight > 0 THEN cap / weight ELSE 1e300 END AS ratio FROM ({rows})),
-{out}2 AS (SELECT *, weight > 0 AND sum(cap) {up} + ratio * (sum(weight) OVER (PARTITION BY {parent}) - sum(weight) {up}) <= budget AS f FROM {out}1),
-{out}3 AS (SELECT *, budget - coalesce(sum(CASE WHEN f THEN cap END) OVER (PARTITION BY {parent}), 0) AS room,
-           sum(CASE WHEN NOT f THEN weight END) OVER (PARTITION BY {parent}) AS open FROM {out}2),
-{out} AS (SELECT *, CASE WHEN f THEN cap WHEN open > 0 THEN room * weight / open ELSE 0.0 END AS alloc FROM {out}3)"""
+{out}0 AS (SELECT *, weight > 0 AND (SELECT sum(least(b.cap, a.cap / nullif(a.weight, 0) * b.weight)) FROM ({rows}) b WHERE {same} AND b.weight > 0) <= budget + 1e-6 AS f FROM ({rows}) a),
+{out} AS (SELECT a.*, CASE WHEN weight <= 0 THEN 0.0 WHEN f THEN cap ELSE weight
+  * (budget - coalesce((SELECT sum(cap) FROM {out}0 b WHERE {same} AND b.f), 0)) / (SELECT sum(weight) FROM {out}0 b WHERE {same} AND NOT b.f AND b.weight > 0) END AS alloc FROM {out}0 a)"""
 
 
 OP6_SQL = f"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(CASE WHEN TRY_CAST(regexp_extract(source, '[0-9]+') AS INT) % 2 = 0 THEN 'even' ELSE 'odd' END, '?') AS d,
   coalesce(lang, '?') AS l, coalesce(source, '?') AS s, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n FROM documents),
-leaf AS (SELECT d, l, s, sum(n)::BIGINT AS tokens, sum(n)::DOUBLE * {MAX_EPOCHS} AS cap FROM t GROUP BY ALL),
-langs AS (SELECT d, l, sum(cap) AS cap FROM leaf GROUP BY ALL),
-doms AS (SELECT 0 AS r, d, sum(cap) AS cap, {_case("d", DOMAINS)} AS weight FROM langs GROUP BY d),
-{_share_sql("da", f"SELECT *, least(floor(sum(cap) OVER () / {MAX_EPOCHS} * {BUDGET_RATIO}::DOUBLE), sum(cap) OVER ()) AS budget FROM doms", "r", "d")},
-{_share_sql("la", f"SELECT g.*, {_case('g.l', LANGUAGES)} AS weight, da.alloc AS budget FROM langs g JOIN da USING (d)", "d", "l")},
-{_share_sql("sa", "SELECT g.*, 1.0::DOUBLE AS weight, la.alloc AS budget FROM leaf g JOIN la USING (d, l)", "d, l", "s")},
+leaf AS (SELECT d, l, s, sum(n)::BIGINT AS tokens, sum(n)::DOUBLE * {MAX_EPOCHS} AS cap, 1.0::DOUBLE AS weight FROM t GROUP BY d, l, s),
+langs AS (SELECT d, l, sum(cap) AS cap, {_case("l", LANGUAGES)} AS weight FROM leaf GROUP BY d, l),
+doms AS (SELECT 0 AS r, d, sum(cap) FILTER (WHERE weight > 0) AS cap, {_case("d", DOMAINS)} AS weight FROM langs GROUP BY d),
+{_fill_sql("da", f"SELECT r, d, weight, coalesce(cap, 0.0) AS cap, floor((SELECT sum(tokens) FROM leaf) * {BUDGET_RATIO}::DOUBLE) AS budget FROM doms", "r")},
+{_fill_sql("la", "SELECT g.*, da.alloc AS budget FROM langs g JOIN da USING (d)", "d")},
+{_fill_sql("sa", "SELECT g.*, la.alloc AS budget FROM leaf g JOIN la USING (d, l)", "d, l")},
 plan AS (SELECT d, l, s, whole, budget - whole * tokens AS rest FROM (
   SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS whole FROM (SELECT d, l, s, tokens, floor(alloc + 1e-6)::BIGINT AS budget FROM sa))),
 o AS (SELECT t.*, whole, rest, md5('{SEED}:' || whole || ':' || coalesce(doc_id::VARCHAR, '')) AS k FROM t JOIN plan USING (d, l, s)),

@@ -20,22 +20,28 @@ def null_first(x):
     return (x is not None, x or 0)
 
 
-def plain_line_dedup(rows, t=line_dedup.MIN_LINES):
+def plain_line_dedup(rows, t=line_dedup.MIN_LINES, long=line_dedup.MIN_WORDS):
     docs = sorted({(i, x) for i, x in rows if x}, key=lambda r: null_first(r[0]))
     at = defaultdict(list)
     for i, x in docs:
         ls = x.split("\n")
         for p in range(max(len(ls) - t, 0) + 1):
             at[tuple(ls[p : p + t])].append(((i, x), p))
+        for p, line in enumerate(ls):
+            if len(WORD.findall(line)) >= long:
+                at[line].append(((i, x), p))
     gone = defaultdict(set)
     for w, found in at.items():
         for d, p in found[1:]:
-            gone[d] |= set(range(p, p + len(w)))
+            gone[d] |= set(range(p, p + (1 if isinstance(w, str) else len(w))))
     return {d: (len(d[1].split("\n")), len(gone[d]), "\n".join(s for k, s in enumerate(d[1].split("\n")) if k not in gone[d])) for d in docs}
 
 
 def test_line_dedup(as_docs, odd_texts):
     rows = [r for r in odd_texts if r != (None, "Les.")]  # hash order decides between ties of null ids only
+    long = [" ".join(f"{c}{i}" for i in range(n)) for c, n in (("w", 20), ("v", 25), ("s", 19))]
+    r = random.Random(12)
+    rows += [(200 + i, "\n".join(r.choice([*long, "a", "b", "c", ""]) for _ in range(r.randint(1, 12)))) for i in range(60)]
     want = plain_line_dedup(rows)
     got = line_dedup.op1(as_docs(rows)).collect()
     expected = Counter((i, *want.get((i, x), (0, 0, ""))[:2], hashlib.md5(want.get((i, x), (0, 0, ""))[2].encode()).hexdigest()) for i, x in rows)
@@ -273,6 +279,45 @@ def test_share_out(spark):
     assert {(x.p, x.name): pytest.approx(x.alloc) for x in got.collect()} == want
 
 
+def plain_budgets(leaves, weights, ratio, epochs=2):
+    """Fills leaves (d, l, s) -> tokens level by level; a node's room is that of its children of positive weight."""
+    w = lambda level, name: weights[level].get(name, 1.0)
+
+    def room(prefix):
+        if len(prefix) == 3:
+            return float(leaves[prefix] * epochs)
+        return sum(room(c) for c in children(prefix) if w(len(prefix), c[-1]) > 0)
+
+    def children(prefix):
+        return sorted({k[: len(prefix) + 1] for k in leaves if k[: len(prefix)] == prefix})
+
+    out = {}
+
+    def give(prefix, budget):
+        if len(prefix) == 3:
+            out[prefix] = budget
+            return
+        cs = children(prefix)
+        for c, b in plain_fill(budget, {c: room(c) for c in cs}, {c: w(len(prefix), c[-1]) for c in cs}).items():
+            give(c, b)
+
+    give((), float(int(sum(leaves.values()) * ratio)))
+    return out
+
+
+def test_budgets_of_three_levels(spark):
+    r = random.Random(5)
+    probes = [({("A", "en", "s"): 100, ("A", "de", "s"): 10, ("B", "fr", "s"): 1000}, ({}, {"en": 0.0}, {}), 0.2)]
+    for _ in range(6):
+        leaves = {(d, la, s): r.choice([0, 5, 40, 40, 300]) for d in "AB" for la in ("en", "de", "fr") for s in "xyz" if r.random() < 0.8}
+        probes.append((leaves, tuple({n: float(r.choice([0, 1, 1, 3])) for n in names} for names in ("AB", ("en", "de", "fr"), "xyz")), r.choice([0.3, 1.0, 1.9, 5.0])))
+    for leaves, weights, ratio in probes:
+        df = spark.createDataFrame([(*k, v) for k, v in leaves.items()], "d string, l string, s string, tokens long")
+        got = {(x.d, x.l, x.s): x.budget for x in source_mixing.leaf_budgets(df, *weights, budget_ratio=ratio).collect()}
+        assert got == {k: int(v + 1e-6) for k, v in plain_budgets(leaves, weights, ratio).items()}
+    assert sum(source_mixing.leaf_budgets(spark.createDataFrame([(*k, v) for k, v in probes[0][0].items()], "d string, l string, s string, tokens long"), *probes[0][1], budget_ratio=0.2).toPandas().budget) == 222
+
+
 def test_mixing(as_docs, monkeypatch):
     r = random.Random(6)
     rows = [(i, " ".join("w" * r.randint(1, 3) for _ in range(r.randint(0, 40))), r.choice(["en", "de", None]), r.choice(["src0", "src1", "src2", None, "odd"])) for i in range(400)]
@@ -293,3 +338,5 @@ def test_mixing(as_docs, monkeypatch):
     broadcast = rows_of()
     monkeypatch.setattr(source_mixing, "PLAN_ROWS", 0)
     assert rows_of() == broadcast
+    narrow = source_mixing.mix(docs, epoch_col="epoch", few=1, **source_mixing.TARGETS).collect()
+    assert Counter((x.doc_id, x.text, x.lang, x.source, x.epoch) for x in narrow) == broadcast
