@@ -8,21 +8,24 @@ rounds are bounded and Spark can deal the pieces out:
    are written once, bucketed by their digest.
 2. Each window of `LENGTH` bytes selects the smallest hash of the `GRAM`-byte strings in it. Windows with
    equal bytes select alike, so a repeat shares a selected string, and only pieces about selected strings
-   found twice (`_shared`) can hold one. Such a piece is all windows that selected the string.
-3. Equal pieces of a text, and of texts that are read together, are merged on the spot; the rest are
-   dealt by the hash of the selected string, and aligned at it. The windows of two pieces that are
-   equal start in the same column, so suffixes need comparing within a column only.
+   found twice can hold one. Such a piece is all windows that selected the string.
+3. Equal pieces are counted by 128-bit digests, and found twice they are repeats as they stand. Of each different
+   piece one is kept; if a string has two different pieces or more, their bytes are gathered, aligned at the string. The
+   windows of two pieces that are equal start in the same column, so suffixes need comparing within a column only.
 4. From the last column to the first each round puts one symbol before the suffixes of each piece and
    updates their order (the column of the Burrows-Wheeler transform) and the common prefixes of
    neighbours, whole batches of groups at a time. Neighbours with `LENGTH` bytes in common are repeats.
-5. A selected string of more than `HOT` texts is not gathered: its windows go on alone, each by its own
-   128-bit digest, equal ones merged on the spot like pieces.
+5. A string of more than `CAP` different pieces is not gathered. Its pieces are cut in halves, by how far before the
+   string a window starts, and a half is keyed by the bytes that all its windows have in common; steps 3 and 4 are taken with
+   these smaller groups, and so on with quarters, down to single windows, whose groups are all equal. So a group never
+   has more than `CAP` pieces, however common a string is, and each of them goes through the same construction.
 
 The transform is held in arrays of a batch of bounded size, not in external files: executors share none.
 
 Edge cases. A null text is empty. Texts under `LENGTH` bytes lose nothing. Repeated rows are copies of each
 other and lose all, if long enough. Overlapping repeats within a text count. An empty table gives an empty result. Very
-long texts are hashed in blocks. Columns other than doc_id and text are carried through by `remove_repeats`.
+long texts are hashed in blocks. Strings, pieces and texts of very many places are joined in many tasks.
+Columns other than doc_id and text are carried through by `remove_repeats`.
 """
 
 from __future__ import annotations
@@ -30,18 +33,20 @@ from __future__ import annotations
 import hashlib
 import math
 import uuid
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, shared_dir, unpacked
+from .common import join_spread, materialise, packed, shared_dir, unpacked
 
 LENGTH, GRAM = 200, 32
-#: Most texts with a selected string whose pieces are compared together; windows of a block; pieces of a batch.
-HOT, BLOCK, BATCH = 50000, 1 << 20, 20000
+#: Most different pieces of a group; windows of a block; pieces of a batch.
+CAP, BLOCK, BATCH = 20000, 1 << 20, 20000
+#: Windows of a piece, of its halves, quarters and so on.
+WIDTHS = (LENGTH - GRAM + 1, 85, 43, 22, 11, 6, 3, 2, 1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LOW = 22  # bits of a place within a block, under the leading bits of its hash
 
@@ -97,8 +102,7 @@ def selected(text: bytes, length: int = LENGTH, gram: int = GRAM):
 
 
 def _places(batches):
-    """(tk, h, loc) of the selected strings of texts; loc: first window, its distance to the string, windows,
-    all bits turned if the text has selected an equal string before."""
+    """(tk, h, loc) of the selected strings of texts; loc: first window, its distance to the string, windows."""
     for b in batches:
         tks, hs, locs = [], [], []
         for tk, t in zip(b.column("tk"), b.column("text"), strict=True):
@@ -107,58 +111,71 @@ def _places(batches):
                 s = selected(raw)
                 tks += [tk.as_py()] * len(s)
                 hs.append(s[:, 0])
-                loc = (s[:, 2] << 16) | ((s[:, 1] - s[:, 2]) << 8) | s[:, 3]
-                first = np.zeros(len(s), bool)
-                first[np.unique(s[:, 0], return_index=True)[1]] = True
-                locs.append(np.where(first, loc, ~loc))
+                locs.append((s[:, 2] << 16) | ((s[:, 1] - s[:, 2]) << 8) | s[:, 3])
         if hs:
             yield pa.RecordBatch.from_arrays([pa.array(tks, pa.binary()), pa.array(np.concatenate(hs)), pa.array(np.concatenate(locs))], ["tk", "h", "loc"])
 
 
-PIECE = "tk binary, h long, off int, first long, n int, piece binary, span_end long, digest long"
+CUT = "tk binary, h long, loc long, d binary, span_end long"
 
 
-def _piece_rows(rows):
-    names = ["tk", "h", "off", "first", "n", "piece", "span_end", "digest"]
-    types = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+def _rows(rows, names, types):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
-def _pieces(batches):
-    """Pieces about the shared strings of texts; equal ones are merged and give spans (span_end not null)."""
+def _cut(batches, width: int):
+    """Pieces (tk, h, loc, d: digest) of at most width windows about the found strings of texts, each with its group h; equal
+    ones that are read together are merged on the spot and give spans (tk, loc: start, span_end)."""
     seen: dict = {}
     rows: list = []
-
-    def put(key, tk, first, size, row):
-        if key not in seen:
-            seen[key] = (tk, first)
-            rows.append(row)
-            return
-        rows.append((tk, None, None, first, None, None, first + size, None))
-        if seen[key] is not None:
-            rows.append((seen[key][0], None, None, seen[key][1], None, None, seen[key][1] + size, None))
-            seen[key] = None
-
+    names, types = ["tk", "h", "loc", "d", "span_end"], [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+    whole = width == WIDTHS[0]
     for b in batches:
         for tk, t, found in zip(b.column("tk").to_pylist(), b.column("text"), b.column("found"), strict=True):
             raw = t.as_py().encode()
             for x in found.as_py():
-                loc, h = x["loc"] if x["loc"] >= 0 else ~x["loc"], x["h"]
-                first, off, n = loc >> 16, (loc >> 8) & 255, loc & 255
-                if x["hot"]:
-                    for k in range(first, first + n):
-                        d = hashlib.md5(raw[k : k + LENGTH]).digest()
-                        put(d, tk, k, LENGTH, (tk, int.from_bytes(d[:8], "little", signed=True), None, k, None, None, None, int.from_bytes(d[8:], "little", signed=True)))
-                else:
-                    piece = raw[first : first + n - 1 + LENGTH]
-                    put((h, off, piece), tk, first, len(piece), (tk, h, off, first, n, piece, None, None))
+                h, first, off, n = x["h"], x["loc"] >> 16, (x["loc"] >> 8) & 255, x["loc"] & 255
+                place, last = first + off, off - n + 1
+                for part in range(last // width, off // width + 1):  # windows that start part * width ... bytes before the string
+                    far, near = min(off, part * width + width - 1), max(last, part * width)
+                    start, size = place - far, far - near + LENGTH
+                    key = h
+                    if not whole:
+                        common = raw[place - part * width : place + LENGTH - min(part * width + width - 1, WIDTHS[0] - 1)]
+                        key = int.from_bytes(hashlib.blake2b(common, digest_size=8, salt=b"%d.%d" % (width, part)).digest(), "little", signed=True)
+                    d = hashlib.md5(b"%d." % far + raw[start : start + size]).digest()
+                    before = seen.get((key, d), 0)
+                    if before == 0:
+                        seen[key, d] = (tk, start)
+                        rows.append((tk, key, (start << 16) | (far << 8) | (far - near + 1), d, None))
+                        continue
+                    rows.append((tk, None, start, None, start + size))
+                    if before:
+                        rows.append((before[0], None, before[1], None, before[1] + size))
+                        seen[key, d] = None
             if len(rows) > 8192:
-                yield _piece_rows(rows)
+                yield _rows(rows, names, types)
                 rows.clear()
             if len(seen) > 100_000:
                 seen.clear()
     if rows:
-        yield _piece_rows(rows)
+        yield _rows(rows, names, types)
+
+
+def _bytes(batches):
+    """The bytes of the found pieces of texts."""
+    for b in batches:
+        rows = []
+        for tk, t, found in zip(b.column("tk").to_pylist(), b.column("text"), b.column("found"), strict=True):
+            raw = t.as_py().encode()
+            for x in found.as_py():
+                first, n = x["loc"] >> 16, x["loc"] & 255
+                rows.append((tk, x["h"], x["loc"], raw[first : first + n - 1 + LENGTH]))
+            if len(rows) > 8192:
+                yield _rows(rows, ["tk", "h", "loc", "piece"], [pa.binary(), pa.int64(), pa.int64(), pa.binary()])
+                rows = []
+        if rows:
+            yield _rows(rows, ["tk", "h", "loc", "piece"], [pa.binary(), pa.int64(), pa.int64(), pa.binary()])
 
 
 def repeated_starts(group: np.ndarray, off: np.ndarray, n: np.ndarray, pieces: list[bytes], length: int = LENGTH) -> np.ndarray:
@@ -207,14 +224,14 @@ def repeated_starts(group: np.ndarray, off: np.ndarray, n: np.ndarray, pieces: l
 
 
 def _spans(batches):
-    """Spans (tk, lo, hi) of repeats among pieces sorted by h and digest; complete groups are compared in batches,
-    lone windows (they have a digest) with the one before."""
+    """Spans (tk, lo, hi) of repeats among different pieces sorted by h; complete groups are compared in batches."""
 
     def compare(rows):
         h = np.array([r[1] for r in rows])
         group = np.cumsum(np.diff(h, prepend=h[0]) != 0)
-        off, n = (np.array([r[k] for r in rows]) for k in (2, 4))
-        hit = repeated_starts(group, off, n, [r[5] for r in rows])
+        loc = np.array([r[2] for r in rows])
+        first, off, n = loc >> 16, (loc >> 8) & 255, loc & 255
+        hit = repeated_starts(group, off, n, [r[3] for r in rows])
         i, k = np.nonzero(hit)
         if not len(i):
             return
@@ -222,44 +239,44 @@ def _spans(batches):
         new[1:] = (i[1:] != i[:-1]) | (k[1:] != k[:-1] + 1)
         a = np.flatnonzero(new)
         b = np.append(a[1:], len(i)) - 1
-        first = np.array([r[3] for r in rows])
         yield pa.RecordBatch.from_arrays([pa.array([rows[x][0] for x in i[a]], pa.binary()), pa.array(first[i[a]] + k[a]), pa.array(first[i[a]] + k[b] + LENGTH)], ["tk", "lo", "hi"])
 
-    held, before = [], None
+    held = []
     for b in batches:
-        spans = []
         for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if r[6] is not None:
-                spans.append((r[0], r[3], r[6]))
-            elif r[7] is not None:
-                if before and before[:2] == (r[1], r[7]):
-                    spans.append((r[0], r[3], r[3] + LENGTH))
-                    if before[2]:
-                        spans.append(before[2])
-                    before = (r[1], r[7], None)
-                else:
-                    before = (r[1], r[7], (r[0], r[3], r[3] + LENGTH))
-            else:
-                if len(held) >= BATCH and held[-1][1] != r[1]:
-                    yield from compare(held)
-                    held = []
-                held.append(r)
-        if spans:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*spans, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)], ["tk", "lo", "hi"])
+            if len(held) >= BATCH and held[-1][1] != r[1]:
+                yield from compare(held)
+                held = []
+            held.append(r)
     if held:
         yield from compare(held)
 
 
-def repeats(texts: DataFrame, hot: int = HOT) -> DataFrame:
+def repeats(texts: DataFrame, cap: int = CAP) -> DataFrame:
     """Spans (tk, lo, hi) of the repeats in distinct texts (tk, text, n)."""
+    by_text = lambda df: df.groupBy("tk").agg(F.collect_list(F.struct("h", "loc")).alias("found"))
+    with_texts = lambda found, f, schema: texts.select("tk", "text").join(found, "tk").select("tk", "text", "found").mapInArrow(f, schema)
     places = texts.select("tk", "text").mapInArrow(_places, "tk binary, h long, loc long")
-    shared = places.groupBy("h").agg(F.count("*").alias("n"), F.count_if(F.col("loc") >= 0).alias("texts")).where("n > 1")
-    found = places.join(shared.select("h", (F.col("texts") > hot).alias("hot")), "h")
-    found = found.groupBy("tk").agg(F.collect_list(F.struct("h", "loc", "hot")).alias("found"))
-    pieces = texts.select("tk", "text").join(found, "tk").select("tk", "text", "found").mapInArrow(_pieces, PIECE)
+    shared = materialise(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    todo, spans, groups = by_text(join_spread(places, shared, ["h"])), [], []
+    end = F.shiftright("loc", 16) + F.col("loc").bitwiseAND(255) - 1 + LENGTH
+    for width in WIDTHS:
+        cut = materialise(with_texts(todo, partial(_cut, width=width), CUT))
+        spans.append(cut.where("span_end is not null").select("tk", F.col("loc").alias("lo"), F.col("span_end").alias("hi")))
+        pieces = cut.where("span_end is null").select("tk", "h", "loc", "d")
+        kinds = materialise(pieces.groupBy("h", "d").agg(F.count("*").alias("n"), F.min(F.struct("tk", "loc")).alias("one")))
+        twice = join_spread(pieces, kinds.where("n > 1").select("h", "d", "n"), ["h", "d"])
+        spans.append(twice.select("tk", F.shiftright("loc", 16).alias("lo"), end.alias("hi")))
+        sizes = materialise(kinds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+        ones = kinds.select("h", "one.tk", "one.loc")
+        groups.append(join_spread(ones, sizes.where(F.col("n") <= cap), ["h"]))
+        if sizes.where(F.col("n") > cap).isEmpty():
+            break
+        todo = by_text(join_spread(ones, sizes.where(F.col("n") > cap), ["h"]))
+    pieces = with_texts(by_text(reduce(DataFrame.union, groups)), _bytes, "tk binary, h long, loc long, piece binary")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.repartition(parts, F.coalesce("h", F.xxhash64("tk", "first"))).sortWithinPartitions("h", "digest")
-    return dealt.mapInArrow(_spans, "tk binary, lo long, hi long")
+    dealt = pieces.repartition(parts, "h").sortWithinPartitions("h")
+    return reduce(DataFrame.union, [*spans, dealt.mapInArrow(_spans, "tk binary, lo long, hi long")])
 
 
 def _result(batches, with_rest=False):
@@ -278,34 +295,35 @@ def _result(batches, with_rest=False):
                         merged.append(list(s))
             ends = [0, *(x for s in merged for x in s), len(raw)]
             rest = b"".join(raw[ends[i] : ends[i + 1]] for i in range(0, len(ends), 2))
-            rows.append((tk, len(raw), len(raw) - len(rest), len(merged), hashlib.sha256(rest).hexdigest(), rest if with_rest else None))
+            rows.append((tk, n, len(raw), len(raw) - len(rest), len(merged), hashlib.sha256(rest).hexdigest(), rest if with_rest else None))
         if rows:
-            types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], ["tk", "n_bytes", "n_removed", "n_spans", "kept_sha256", "rest"])
+            types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], ["tk", "n", "n_bytes", "n_removed", "n_spans", "kept_sha256", "rest"])
 
 
-RESULT = "tk binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, rest binary"
+RESULT = "tk binary, n long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, rest binary"
 
 
-def deduped(docs: DataFrame, hot: int = HOT, with_rest: bool = False) -> DataFrame:
-    """tk (digest of the text), n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, rest (the bytes left) of each distinct text."""
+def deduped(docs: DataFrame, cap: int = CAP, with_rest: bool = False) -> DataFrame:
+    """tk (digest of the text), n (its rows), n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, rest (the bytes left) of each
+    distinct text."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     distinct = docs.select(F.unhex(F.md5(text)).alias("tk"), text.alias("text")).groupBy("tk").agg(F.first("text").alias("text"), F.count("*").alias("n"))
     name, parts = f"texts_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct.write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").bucketBy(parts, "tk").saveAsTable(name)
     texts = spark.table(name)
-    spans = repeats(texts, hot).groupBy("tk").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return texts.join(spans, "tk", "left").select("tk", "text", "n", "spans").mapInArrow(partial(_result, with_rest=with_rest), RESULT)
+    spark.sql(f"DROP TABLE {name}")  # its files stay: buckets can only be written by way of the catalogue
+    spans = repeats(texts, cap).groupBy("tk").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return materialise(texts.join(spans, "tk", "left").select("tk", "text", "n", "spans").mapInArrow(partial(_result, with_rest=with_rest), RESULT))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """docs with the bytes left in binary column `rest` (cuts may fall inside a character) and their counts."""
-    key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    out = packed(docs, tk=key).join(deduped(docs, with_rest=True), "tk")
+    out = join_spread(packed(docs, tk=F.unhex(F.md5(F.coalesce("text", F.lit("")))), _id=F.xxhash64("doc_id")), deduped(docs, cap, with_rest=True), ["tk"])
     return out.select(*unpacked(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256", "rest")
 
 
-def op9(docs: DataFrame) -> DataFrame:
+def op9(docs: DataFrame, cap: int = CAP) -> DataFrame:
     key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    return docs.select("doc_id", key.alias("tk")).join(deduped(docs).drop("rest"), "tk").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return join_spread(docs.select("doc_id", key.alias("tk")), deduped(docs, cap), ["tk"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

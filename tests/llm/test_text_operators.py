@@ -225,11 +225,15 @@ def plain_suffix(rows, n=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [50000, 1])
-def test_suffix_dedup(as_docs, odd_texts, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "deduped", lambda d, f=suffix_dedup.deduped, **k: f(d, hot=hot, **k))
-    got = suffix_dedup.op9(as_docs(odd_texts)).collect()
-    assert Counter(tuple(r) for r in got) == plain_suffix(odd_texts)
+@pytest.mark.parametrize("cap", [suffix_dedup.CAP, 1])
+def test_suffix_dedup(as_docs, odd_texts, cap):
+    """Also with groups cut down to single windows; a common string in many surroundings within one text."""
+    r = random.Random(21)
+    noise = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    common, half = noise(150), noise(120)
+    rows = [*odd_texts, (80, "".join(noise(60) + common for _ in range(40))), (81, noise(300) + half + common + half + noise(90)), (82, half + common + half), (83, common + half + noise(20) + half + common)]
+    got = suffix_dedup.op9(as_docs(rows), cap=cap).collect()
+    assert Counter(tuple(r) for r in got) == plain_suffix(rows)
 
 
 def test_suffix_dedup_blocks_and_batches(as_docs, odd_texts, monkeypatch):
@@ -245,6 +249,7 @@ def test_suffix_dedup_blocks_and_batches(as_docs, odd_texts, monkeypatch):
         assert all(f + n - 1 <= p <= f + 168 for _, p, f, n in s.tolist())
     assert Counter(tuple(x) for x in suffix_dedup.op9(as_docs(rows)).collect()) == plain_suffix(rows)
     assert suffix_dedup.op9(as_docs([])).count() == 0
+    assert not [t for t in as_docs(rows).sparkSession.catalog.listTables() if t.name.startswith("texts_")]
     out = suffix_dedup.remove_repeats(as_docs(rows))
     assert all(hashlib.sha256(bytes(x.rest)).hexdigest() == x.kept_sha256 for x in out.collect())
 
