@@ -7,7 +7,8 @@ only equal or adjacent cells. Cells are cut into tiles of `TILE` vectors. In a p
 vectors ordered by the first component accumulate products over leading components; the norms of the
 suffixes bound what is left, and a block stops when no pair can reach the threshold. Pairs that may are
 computed in double precision from the vectors as given. Of the links of a tile pair the counts for each vector and a
-spanning forest are emitted, never all pairs.
+few pairs that keep their components are emitted, never all links. Each cell is cut into as many tiles as its own number asks
+for; pairs of tiles are listed by their keys alone, and vectors join existing pairs only.
 
 Edge cases. Rows with a null label, and vectors that are null, empty, zero or hold null or non-finite
 components, link with nothing and are components of their own. Vectors of different length never link.
@@ -24,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise
-from .simhash_dedup import _forest
+from .common import components, join_spread, materialise
+from .simhash_dedup import stars, tile_pairs
 
 THRESHOLD = 0.98
 TILE = 1024
@@ -119,14 +120,15 @@ def near(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) ->
     counts = links.groupBy("a").agg(F.sum("n").alias("more"))
     classes = components(links.where("b is not null").select("a", "b"))
     g = groups.select("g", "low", "n").join(classes, groups["g"] == classes["node"], "left").join(counts, F.col("g") == F.col("a"), "left")
-    g = g.select("g", F.coalesce("component", "g").alias("class"), "low", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
-    g = g.join(g.groupBy("class").agg(F.min("low").alias("component_id")), "class").select("g", "n_links", "component_id")
-    out = out.join(g, "g", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("g").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    g = materialise(g.select("g", F.coalesce("component", "g").alias("class"), "low", F.col("n").alias("rows"), (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links")))
+    ids = materialise(g.groupBy("class").agg(F.min("low").alias("component_id"), F.count("*").alias("n")))
+    g = materialise(join_spread(g, ids, ["class"]).select("g", "n_links", "component_id", F.col("rows").alias("n")))
+    out = join_spread(out, g, ["g"], how="left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("g").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def _compare(groups: DataFrame, dim: int, threshold: float, tile: int) -> DataFrame:
-    """(a, b, n): vector a has n rows linked in some tile pair; b, where not null, is a link of the forest."""
+    """(a, b, n): vector a has n rows linked in some tile pair; where b is not null, a and b are connected."""
     own = groups.where(F.size("v") == dim)
     turn = axes(own, dim)
     width = math.sqrt(max(1e-12, 2 - 2 * threshold)) + 1e-9
@@ -143,22 +145,23 @@ def _compare(groups: DataFrame, dim: int, threshold: float, tile: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("g", "n", "label", "v")), pa.array(code)], ["g", "n", "label", "v", "cell"])
 
     types = dict(groups.dtypes)
-    laid = own.select("g", "n", "label", "v").mapInArrow(cells, f"g string, n long, label {types['label']}, v {types['v']}, cell long")
-    laid = materialise(laid)
-    largest = laid.groupBy("label", "cell").count().agg(F.max("count")).first()[0]
-    chunks = max(1, math.ceil(largest / tile))
-    tiles = laid.groupBy("label", "cell", F.pmod(F.xxhash64("g"), F.lit(chunks)).cast("int").alias("c")).agg(F.collect_list(F.struct("g", "n", "v")).alias("x"))
-    tiles = materialise(tiles.select("label", "cell", "c", F.transform("x", lambda x: x["g"]).alias("g"), F.transform("x", lambda x: x["n"]).alias("n"), F.flatten(F.transform("x", lambda x: x["v"])).alias("v")))
-    steps = [0]
+    laid = materialise(own.select("g", "n", "label", "v").mapInArrow(cells, f"g string, n long, label {types['label']}, v {types['v']}, cell long"))
+    keys, steps = ["label", "cell"], [0]
     for _ in range(m):
         steps = [(s << 20) + d for s in steps for d in (-1, 0, 1)]
-    left = (
-        tiles.withColumn("step", F.explode(F.array(*(F.lit(s).cast("long") for s in steps if s >= 0))))
-        .withColumn("c2", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-        .where("step > 0 or c2 >= c")
-        .select("label", (F.col("cell") + F.col("step")).alias("cell"), F.col("c2").alias("c"), F.col("g").alias("g1"), F.col("n").alias("n1"), F.col("v").alias("v1"), ((F.col("step") == 0) & (F.col("c2") == F.col("c"))).alias("same"))
-    )
-    pairs = left.join(tiles, ["label", "cell", "c"]).select("g1", "n1", "v1", "g", "n", "v", "same")
+
+    def near(cells_):
+        """The cell itself and half of its neighbours, so that each pair comes once."""
+        met = cells_.withColumn("step", F.explode(F.array(*(F.lit(s).cast("long") for s in steps if s >= 0))))
+        return met.select(*cells_.columns, F.col("o_label").alias("label"), (F.col("o_cell") + F.col("step")).alias("cell"), (F.col("step") == 0).alias("same"))
+
+    chunked, pairs = tile_pairs(laid.groupBy(*keys).agg(F.count("*").alias("n")), keys, tile, near)
+    dealt = join_spread(laid.withColumnRenamed("n", "rows"), chunked, keys).withColumn("c", F.pmod(F.xxhash64("g"), "chunks").cast("int"))
+    tiles = dealt.groupBy(*keys, "c").agg(F.collect_list(F.struct("g", "rows", "v")).alias("x"))
+    tiles = materialise(tiles.select(*keys, "c", F.col("x.g").alias("g"), F.col("x.rows").alias("n"), F.flatten("x.v").alias("v")))
+    others = tiles.select(F.col("label").alias("o_label"), F.col("cell").alias("o_cell"), F.col("c").alias("o_c"), F.col("g").alias("g1"), F.col("n").alias("n1"), F.col("v").alias("v1"))
+    same = ((F.col("cell") == F.col("o_cell")) & (F.col("c") == F.col("o_c"))).alias("same")
+    pairs = pairs.join(tiles, [*keys, "c"]).join(others, ["o_label", "o_cell", "o_c"]).select("g1", "n1", "v1", "g", "n", "v", same)
 
     def compare(batches):
         for batch in batches:
@@ -176,15 +179,16 @@ def _compare(groups: DataFrame, dim: int, threshold: float, tile: int) -> DataFr
                 n1, n2 = n1.to_numpy(), n2.to_numpy()
                 left_n = np.bincount(i, n2[j], len(x)).astype(np.int64)
                 right_n = np.bincount(j, n1[i], len(y)).astype(np.int64)
-                keep = _forest(i, j if same else j + len(x))
+                node, low = stars(i, j if same else j + len(x), len(x) if same else len(x) + len(y))
+                both = g1 if same else pa.concat_arrays([g1, g])
                 for names, total in ((g1, left_n), (g, right_n)):
                     at = np.flatnonzero(total)
                     a += names.take(pa.array(at)).to_pylist()
                     b += [None] * len(at)
                     n += total[at].tolist()
-                a += g1.take(pa.array(i[keep])).to_pylist()
-                b += g.take(pa.array(j[keep])).to_pylist()
-                n += [0] * len(keep)
+                a += both.take(pa.array(node)).to_pylist()
+                b += both.take(pa.array(low)).to_pylist()
+                n += [0] * len(node)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, pa.string()), pa.array(n, pa.int64())], ["a", "b", "n"])
 
