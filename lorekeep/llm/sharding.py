@@ -4,26 +4,33 @@ Groups are packed by decreasing size, each into the shard with the tightest rema
 still holds it, found in a balanced tree of capacities. What fits nowhere opens a new shard, or, if the
 number of shards is fixed, goes to the emptiest one.
 
-The driver packs a bounded number of items: groups of at least 1/`GRAIN` of a shard's capacity one by one
-(there are at most `GRAIN` a shard), smaller ones by hash in at most `GRAIN` packets a shard.
+It takes two levels, each by the same packing, so that no task and no driver holds all groups:
+
+1. Groups of under 1/`grain` of a shard are dealt by hash to lanes of about `LANE` groups, and each lane packs its own by
+   size into packets of 1/`grain` of a shard, in parallel.
+2. Packets and larger groups are packed into shards. With a fixed number of shards the driver does it: there are at most
+   about 2 * `grain` of them a shard, and `grain` falls as shards rise, so that they stay under about `MOST`. With a given capacity
+   they are dealt by hash to stretches of about `STRETCH` shards, which are packed in parallel and numbered on.
 
 Edge cases. A null text counts as no bytes, like an empty one: size 1, crc 0, one group with empty texts.
 Repeated rows each get a slot. One group larger than the capacity fills a shard alone, as far as the
-others allow. An empty table gives an empty result. Columns other than doc_id and text are carried
-through by `shard`, but for those it adds.
+others allow. An empty table gives an empty result. The rows of a very common text are joined in many tasks. Columns
+other than doc_id and text are carried through by `shard`, but for those it adds.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import join_spread, materialise
 
 SHARDS = 16
-GRAIN = 1024
+#: Packets of a shard; groups of a lane; items that the driver packs; shards of a stretch.
+GRAIN, LANE, MOST, STRETCH = 1024, 50_000, 1 << 17, 64
 
 
 class _Tree:
@@ -100,35 +107,77 @@ def best_fit_decreasing(sizes: list[int], capacity: int, n_shards: int | None =
     return out
 
 
-def shard(docs: DataFrame, n_shards: int | None = None, capacity: int | None = None, grain: int = GRAIN) -> DataFrame:
-    """docs with size, text_crc32, shard and slot; give the number of shards or their capacity in bytes."""
-    spark = docs.sparkSession
+def _pack(batches, capacity: int):
+    """(key, lane, bin) of rows (lane, key, bytes) sorted by lane, then decreasing bytes; each lane opens bins as it needs them."""
+
+    def packed(lane, keys, sizes):
+        bins = best_fit_decreasing(sizes, capacity)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([lane] * len(keys), pa.int64()), pa.array(bins, pa.int64())], ["key", "lane", "bin"])
+
+    lane, keys, sizes = None, [], []
+    for b in batches:
+        for at, key, size in zip(*(b.column(c).to_pylist() for c in ("lane", "key", "bytes")), strict=True):
+            if keys and at != lane:
+                yield packed(lane, keys, sizes)
+                keys, sizes = [], []
+            lane = at
+            keys.append(key)
+            sizes.append(size)
+    if keys:
+        yield packed(lane, keys, sizes)
+
+
+def _in_lanes(items: DataFrame, lanes: int, capacity: int) -> DataFrame:
+    """(key, lane, bin) of (key, bytes), dealt by hash to so many lanes."""
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = items.withColumn("lane", F.pmod(F.xxhash64("key"), F.lit(lanes)))
+    dealt = dealt.repartition(min(lanes, parts), "lane").sortWithinPartitions("lane", F.desc("bytes"), "key").select("lane", "key", "bytes")
+    return dealt.mapInArrow(lambda batches: _pack(batches, capacity), "key string, lane long, bin long")
+
+
+def placed_groups(groups: DataFrame, n_shards: int | None, capacity: int | None, grain: int = GRAIN, lane: int = LANE, stretch: int = STRETCH) -> DataFrame:
+    """groups (key, bytes, n) with their shard."""
+    spark = groups.sparkSession
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    capacity = capacity or max(1, math.ceil(total / n_shards))
+    if n_shards:
+        grain = max(1, min(grain, MOST // n_shards))
+    small = F.col("bytes") * grain < capacity
+    n_small = groups.where(small).count()
+    lanes = max(1, math.ceil(n_small / lane))
+    if n_shards:
+        lanes = min(lanes, grain * n_shards)
+    packets = _in_lanes(groups.where(small).select("key", "bytes"), lanes, max(1, capacity // grain))
+    packets = packets.select("key", F.concat(F.col("lane").cast("string"), F.lit("."), F.col("bin").cast("string")).alias("item"))
+    member = materialise(groups.where(small).join(packets, "key").unionByName(groups.where(~small).withColumn("item", F.col("key"))))
+    items = member.groupBy(F.col("item").alias("key")).agg(F.sum("bytes").alias("bytes"))
+    if n_shards:
+        rows = items.orderBy("key").collect()  # at most about MOST
+        shards = best_fit_decreasing([r["bytes"] for r in rows], capacity, n_shards)
+        plan = spark.createDataFrame([(r["key"], s) for r, s in zip(rows, shards, strict=True)], "item string, shard int")
+        return member.join(F.broadcast(plan), "item").drop("item")
+    found = materialise(_in_lanes(items, max(1, total // (stretch * capacity)), capacity))
+    before = Window.orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)  # a row a stretch
+    starts = found.groupBy("lane").agg((F.max("bin") + 1).alias("k")).select("lane", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"))
+    plan = found.join(starts, "lane").select(F.col("key").alias("item"), (F.col("first") + F.col("bin")).cast("int").alias("shard"))
+    return member.join(plan, "item").drop("item")
+
+
+def shard(docs: DataFrame, n_shards: int | None = None, capacity: int | None = None, **sizes) -> DataFrame:
+    """docs with size, text_crc32, shard and slot, without text; give the number of shards or their capacity in bytes."""
     text = F.coalesce("text", F.lit(""))
     added = ("text", "size", "text_crc32", "shard", "slot")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in added))
-    slim = materialise(docs.select(row.alias("_row"), "doc_id", F.unhex(F.sha2(text, 256)).alias("_g"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")))
-    groups = slim.groupBy("_g").agg(F.sum("size").alias("bytes"))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    capacity = capacity or max(1, math.ceil(total / n_shards))
-    packets = max(1, min(grain * math.ceil(total / capacity), total))
-    packet = F.pmod(F.xxhash64("_g"), F.lit(packets))
-    items = groups.select(F.when(F.col("bytes") * grain >= capacity, F.col("_g")).alias("g"), F.when(F.col("bytes") * grain < capacity, packet).alias("p"), "bytes")
-    items = items.groupBy("g", "p").agg(F.sum("bytes").alias("bytes")).orderBy("g", "p").collect()  # at most 2 * grain a shard
-    shards = best_fit_decreasing([r["bytes"] for r in items], capacity, n_shards)
-    plan = [(r["g"], r["p"], s) for r, s in zip(items, shards, strict=True)]
-    large = spark.createDataFrame([(bytes(g), s) for g, _, s in plan if g is not None], "_g binary, _a int")
-    small = spark.createDataFrame([(p, s) for g, p, s in plan if g is None], "_p long, _b int")
-    placed = slim.withColumn("_p", packet).join(F.broadcast(large), "_g", "left").join(F.broadcast(small), "_p", "left").withColumn("shard", F.coalesce("_a", "_b"))
-    order = [F.col("shard"), F.col("_g"), F.col("doc_id")]
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sorted_ = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
-    sorted_ = materialise(sorted_.drop("_p", "_a", "_b"))
-    runs = sorted_.groupBy("shard", "_part").agg(F.count("*").alias("n"), F.min("_at").alias("low")).orderBy("shard", "_part").collect()  # shards + partitions
-    before, starts = {}, []
-    for r in runs:
-        starts.append((r["shard"], r["_part"], before.get(r["shard"], 0) - r["low"]))
-        before[r["shard"]] = before.get(r["shard"], 0) + r["n"]
-    starts = spark.createDataFrame(starts, "shard int, _part int, _shift long")
+    slim = materialise(docs.select(row.alias("_row"), F.col("doc_id").alias("_id"), F.sha2(text, 256).alias("key"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")))
+    groups = materialise(slim.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
+    where = materialise(placed_groups(groups, n_shards, capacity, **sizes).select("key", "n", "shard"))
+    order = [F.col("shard"), F.col("key"), F.col("_id")]
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sorted_ = join_spread(slim, where, ["key"]).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    sorted_ = materialise(sorted_.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).drop("key", "_id"))
+    runs = sorted_.groupBy("shard", "_part").agg(F.count("*").alias("k"), F.min("_at").alias("low"))  # as many as shards and partitions
+    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.select("shard", "_part", (F.coalesce(F.sum("k").over(before), F.lit(0)) - F.col("low")).alias("_shift"))
     out = sorted_.join(F.broadcast(starts), ["shard", "_part"]).withColumn("slot", F.col("_at") + F.col("_shift"))
     return out.select("_row.*", *added[1:])
 
@@ -139,8 +188,6 @@ def op2(docs: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, capacity: int) -> None:
-    """Writes docs as one folder a shard of at most capacity bytes (a larger group has its own)."""
-    plan = shard(docs.select("doc_id", "text"), capacity=capacity).select(F.col("doc_id").alias("_id"), "text_crc32", "size", "shard").distinct()
-    text = F.coalesce("text", F.lit(""))
-    both = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]) & (F.crc32(text) == plan["text_crc32"]) & (F.octet_length(text) + 1 == plan["size"]))
-    both.select(*docs.columns, "shard").write.partitionBy("shard").parquet(path)
+    """Writes docs as one folder a shard of at most capacity bytes (a larger group has its own); docs with a column `shard` go into struct `_doc`."""
+    out = shard(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), "doc_id", "text"), capacity=capacity)
+    out.select("shard", "_doc.*" if "shard" not in docs.columns else F.col("_doc")).write.partitionBy("shard").parquet(path)

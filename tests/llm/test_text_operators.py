@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lorekeep.llm import line_dedup, quality_rules, sharding, simhash_dedup, source_mixing, suffix_dedup
 
@@ -121,20 +122,82 @@ def test_best_fit_decreasing():
             assert max(got) + 1 <= 1.3 * sum(sizes) / capacity + 1
 
 
-@pytest.mark.parametrize("grain", [1024, 2])
-def test_sharding(as_docs, odd_texts, grain):
+def plain_packing(rows, n_shards, capacity, grain, lane, stretch):
+    """The shard of each text, by lists and plain searches; lanes by the hash that Spark has."""
+    import xxhash
+
+    def pack(items, capacity, fixed=None):
+        room, out = [capacity] * (fixed or 0), {}
+        for key, size in sorted(items.items(), key=lambda x: (-x[1], x[0])):
+            fits = [(c, k) for k, c in enumerate(room) if c >= size]
+            if fits:
+                k = min(fits)[1]
+            elif fixed:
+                k = max((c, k) for k, c in enumerate(room))[1]
+            else:
+                room.append(max(capacity, size))
+                k = len(room) - 1
+            room[k] -= size
+            out[key] = k
+        return out
+
+    def lanes_of(items, n, capacity):
+        split = defaultdict(dict)
+        for k, v in items.items():
+            h = xxhash.xxh64_intdigest(k.encode(), 42)
+            split[(h - 2**64 if h >= 2**63 else h) % n][k] = v
+        return {i: pack(x, capacity) for i, x in sorted(split.items())}
+
+    size, key = Counter(), {}
+    for _, x in rows:
+        raw = (x or "").encode()
+        key[x or ""] = hashlib.sha256(raw).hexdigest()
+        size[key[x or ""]] += len(raw) + 1
+    total = sum(size.values())
+    capacity = capacity or -(-total // n_shards)
+    small = {k: v for k, v in size.items() if v * grain < capacity}
+    n = max(1, -(-len(small) // lane))
+    item = {k: k for k in size} | {k: f"{i}.{b}" for i, x in lanes_of(small, min(n, grain * n_shards) if n_shards else n, max(1, capacity // grain)).items() for k, b in x.items()}
+    items = Counter()
+    for k, v in size.items():
+        items[item[k]] += v
+    if n_shards:
+        shards = pack(items, capacity, n_shards)
+    else:
+        shards, first = {}, 0
+        for x in lanes_of(items, max(1, total // (stretch * capacity)), capacity).values():
+            shards |= {k: first + b for k, b in x.items()}
+            first += max(x.values()) + 1
+    return {x: shards[item[k]] for x, k in key.items()}
+
+
+@pytest.mark.parametrize(("n_shards", "capacity", "grain", "lane", "stretch"), [(4, None, 1024, 50000, 64), (4, None, 4, 3, 64), (None, 9000, 4, 3, 2), (None, 200000, 64, 5, 64)])
+def test_sharding(as_docs, odd_texts, n_shards, capacity, grain, lane, stretch):
     docs = as_docs(odd_texts)
-    got = sharding.shard(docs, n_shards=4, grain=grain).collect()
+    got = sharding.shard(docs, n_shards, capacity, grain=grain, lane=lane, stretch=stretch).collect()
     assert {(r._t, r.fp, r.a, r.score, r.n) for r in got} == {tuple("tfash")}
-    assert len(got) == len(odd_texts)
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((x or "").encode()) + 1, zlib.crc32((x or "").encode())) for i, x in odd_texts)
-    slots, where = defaultdict(list), defaultdict(set)
+    slots, where = defaultdict(list), plain_packing(odd_texts, n_shards, capacity, grain, lane, stretch)
     for r in got:
         slots[r.shard].append(r.slot)
-        where[(r.size, r.text_crc32)].add(r.shard)
-    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and all(len(v) == 1 for v in where.values())
-    assert set(slots) <= set(range(4))
-    assert sharding.op2(as_docs([])).count() == 0
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert Counter((r.doc_id, r.shard) for r in got) == Counter((i, where[x or ""]) for i, x in odd_texts)
+
+
+def test_sharding_of_nothing(as_docs):
+    assert sharding.op2(as_docs([])).count() == 0 and sharding.shard(as_docs([]), capacity=10).count() == 0
+
+
+def test_write_shards(spark, as_docs, odd_texts, tmp_path):
+    """Each row once, null ids too; shards keep to the capacity but for one larger group."""
+    sharding.write_shards(as_docs(odd_texts), str(tmp_path / "out"), 9000)
+    back = spark.read.parquet(str(tmp_path / "out")).select("_doc.*", F.col("shard").alias("at")).collect()
+    assert Counter((r.doc_id, r.text, r.shard) for r in back) == Counter((i, x, "t") for i, x in odd_texts)
+    held = defaultdict(set)
+    for r in back:
+        held[r.at].add(r.text or "")
+    sizes = Counter(x or "" for _, x in odd_texts)
+    assert all(len(v) == 1 or sum((len(x.encode()) + 1) * sizes[x] for x in v) <= 9000 for v in held.values())
 
 
 def test_sharding_near_equal(spark, as_docs):
