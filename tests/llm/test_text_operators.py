@@ -89,15 +89,46 @@ def test_quality_rules(as_docs, odd_texts):
     assert quality_rules.op3(as_docs([])).count() == 0
 
 
-def test_cascade_orders_by_rejections_per_cost(as_docs, odd_texts):
+def test_order_of_rules():
+    """Rejections per cost, each given the rules before."""
+    found = [((True, True, False), 50), ((False, True, False), 1), ((False, False, True), 10), ((False, False, False), 39)]
+    got = quality_rules.order_rules(found, {"a": 1.0, "b": 1.1, "c": 1.0})
+    assert [x[0] for x in got] == ["a", "c", "b"] and [x[2] for x in got] == [0.5, 0.2, 1 / 40]
+    r = random.Random(3)
+    for _ in range(50):
+        names = "abcd"
+        found = [(tuple(r.random() < 0.3 for _ in names), r.randint(1, 9)) for _ in range(8)]
+        seconds = {k: r.choice([0.1, 1.0, 2.0]) for k in names}
+        left, asked = found, []
+        for name, cost, hit in quality_rules.order_rules(found, seconds):
+            rate = {k: sum(n for v, n in left if v[names.index(k)]) / max(1, sum(n for _, n in left)) for k in names if k not in asked}
+            assert hit == rate[name] and hit / cost == max(rate[k] / seconds[k] for k in rate)
+            asked.append(name)
+            left = [(v, n) for v, n in left if not v[names.index(name)]]
+        assert sorted(asked) == list(names)
+
+
+def test_cascade_keeps_the_verdict(as_docs, odd_texts):
     docs = as_docs(odd_texts)
     order = quality_rules.cascade(docs)
-    gain = [-hit / max(s, 1e-6) for _, s, hit in order]
-    assert gain == sorted(gain) and {k for k, *_ in order} == set(quality_rules.RULES)
+    assert {k for k, *_ in order} == set(quality_rules.RULES) and all(s > 0 for _, s, _ in order)
     kept = quality_rules.apply_rules(docs)
     assert kept.count() == quality_rules.op3(docs).where("kept").count() and kept.columns == docs.columns
 
 
+def test_later_rules_are_not_evaluated(spark, as_docs):
+    """A rule that fails where it is asked does no harm behind one that rejects all."""
+    rules = {"all": lambda t: F.length(F.coalesce(t, F.lit(""))) >= 0, "error": lambda t: F.raise_error(F.concat(F.lit("asked "), t)).cast("boolean")}
+    verdict = quality_rules.first_rejection(F.col("text"), [("all", 1.0, 1.0), ("error", 1.0, 0.0)], rules)
+    assert {r.v for r in as_docs([(1, "a"), (2, None)]).select(verdict.alias("v")).collect()} == {"all"}
+
+
+def test_rules_of_a_very_long_text(as_docs):
+    text = "\n".join(" ".join(f"w{i * j % 5000}" for j in range(50)) for i in range(4000))
+    got = quality_rules.op3(as_docs([(1, text)])).first()
+    assert (got.n_words, got.word_chars, got.n_symbols, got.n_dup_lines, got.n_repeat_words) == plain_counts(text)
+
+
 def test_best_fit_decreasing():
     r = random.Random(1)
     for fixed in (None, 7):
