@@ -13,7 +13,9 @@ Characters outside the vocabulary become their UTF-8 byte pieces (or the unknown
 pieces, gathers bytes and drops the space in front.
 
 Edge cases. A null text gives null ids; an empty one gives none. U+2581 in a text decodes as a space, as
-with the model's own library; all else round-trips. Very long words advance alone, very long texts word by
+with the model's own library; all else round-trips. A word of over `LONG` characters is cut in blocks that advance together,
+each from some characters before it; a block counts if it comes to the same state there as the block before it, as later
+columns depend on no more, and is else started at the places nearby or, at last, from that state. Very long texts are taken word by
 word. Repeated rows are encoded alike. Other columns are carried through.
 """
 
@@ -35,6 +37,8 @@ REMEMBER, TOGETHER = 1 << 19, 1 << 14
 #: Texts encoded and decoded at a time: enough that many new words have equal length.
 TEXTS, BACK = 1024, 256
 LEAD, PAIR_BITS = 20, 20
+#: Characters above which a word is cut in blocks, and of a block.
+LONG, PART = 2048, 1024
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -197,19 +201,32 @@ class Pieces:
         return out
 
 
-def viterbi(p: Pieces, words: list[str]) -> list[bytes]:
-    """The piece ids (int32) of words of equal length, all advancing together."""
-    n, size = len(words), len(words[0])
-    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(np.uint64) + np.uint64(1)
+def _codes(words: list[str]) -> np.ndarray:
+    """Code points plus one of words of equal length, a row a word."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1).astype(np.uint64) + np.uint64(1)
+
+
+def advance(p: Pieces, codes: np.ndarray, given=None):
+    """Sums, lengths of last pieces and last pieces (best, back, piece) of all prefixes of the rows, a column at a time.
+
+    given: the same of the first columns, from which to go on; else a row begins a word.
+    """
+    n, size = codes.shape
     unknown = p.n  # stands for a character outside the vocabulary, which nothing merges with
     best = np.full((size + 1, n), -np.inf)
     back, piece = np.zeros((size + 1, n), np.int16 if size < 2**15 else np.int64), np.full((size + 1, n), -1, np.int64)
-    best[0] = 0
+    best[0], done = 0, 0
+    if given is not None:
+        done = len(given[0]) - 1
+        for table, known in zip((best, back, piece), given, strict=True):
+            table[: done + 1] = known
     floor = p.score_of.min() - 10.0
     recent = np.zeros((0, n), np.uint64)  # row k: hash of the substring that ends here and has k + 1 characters
     for end in range(1, size + 1):
         c = codes[:, end - 1]
         recent = np.concatenate([c[None], recent[: p.width - 1] * MULT + c])
+        if end <= done:
+            continue
         todo, lone = np.arange(n), np.zeros(n, bool)
         for k in reversed(range(len(recent))):  # a BPE prefix has one last piece: words that have found theirs drop out
             start = end - k - 1
@@ -245,6 +262,64 @@ def viterbi(p: Pieces, words: list[str]) -> list[bytes]:
         better = value > best[end, at]
         at = at[better]
         best[end, at], back[end, at], piece[end, at] = value[better], 1, unknown
+    return best, back, piece
+
+
+def _agree(p: Pieces, a, b) -> bool:
+    """Whether two runs of columns (best, back, piece) lead to the same later columns, but for a constant in best."""
+    with np.errstate(invalid="ignore"):
+        shift = a[0] - b[0]
+    shift = shift[np.isfinite(shift)]
+    same = (np.isfinite(a[0]) == np.isfinite(b[0])).all() and (a[1] == b[1]).all() and (a[2] == b[2]).all()
+    return bool(same and (not len(shift) or np.ptp(shift) <= 1e-6))
+
+
+def _advance_long(p: Pieces, codes: np.ndarray):
+    """back and piece of all prefixes of one long word, block by block."""
+    size, w = len(codes), p.width
+    lead = 8 * w
+    part = max(PART, lead)
+    starts = list(range(part, size, part))
+    last = lambda t, i=0: tuple(x[-w:, i] for x in t)
+    first = advance(p, codes[None, :part])
+    held = [tuple(x[1:, 0] for x in first[1:])]
+    state = last(first)
+
+    def tried(at: list[int], shift: int) -> dict:
+        """By block: its columns from w before its start on, begun lead - shift characters before it."""
+        out = {}
+        for length in {min(part, size - s) for s in at}:
+            some = [s for s in at if min(part, size - s) == length]
+            for k in range(0, len(some), 4096):
+                few = some[k : k + 4096]
+                got = advance(p, np.stack([codes[s - lead + shift : s + length] for s in few]))
+                out |= {s: tuple(x[lead - shift - w + 1 :, i] for x in got) for i, s in enumerate(few)}
+        return out
+
+    plain, others = tried(starts, 0), None
+    for k, s in enumerate(starts):
+        found = [plain[s]] if _agree(p, state, tuple(x[:w] for x in plain[s])) else []
+        if not found:
+            if others is None:  # the blocks from here on, begun at each place of the length of a piece
+                others = [tried(starts[k:], shift) for shift in range(1, w)]
+            found = [o[s] for o in others if _agree(p, state, tuple(x[:w] for x in o[s]))]
+        if found:
+            new = tuple(x[w:] for x in found[0])
+        else:
+            begun = advance(p, codes[None, s - w + 1 : s + part], tuple(x[:, None] for x in state))
+            new = tuple(x[w:, 0] for x in begun)
+        held.append(new[1:])
+        state = tuple(np.concatenate([a, b])[-w:] for a, b in zip(state, new, strict=True))
+    return tuple(np.concatenate([np.zeros(1, np.int64), *(h[j] for h in held)])[:, None] for j in (0, 1))
+
+
+def viterbi(p: Pieces, words: list[str]) -> list[bytes]:
+    """The piece ids (int32) of words of equal length, all advancing together."""
+    n, size, unknown = len(words), len(words[0]), p.n
+    codes = _codes(words)
+    if size > max(LONG, PART, 16 * p.width) and n > 1:
+        return [x for w in words for x in viterbi(p, [w])]
+    back, piece = _advance_long(p, codes[0]) if size > max(LONG, PART, 16 * p.width) else advance(p, codes)[1:]
     pos, alive, who, what, lone = np.full(n, size), np.arange(n), [], [], set()
     while len(alive):
         at = pos[alive]
