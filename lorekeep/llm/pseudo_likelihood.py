@@ -209,7 +209,8 @@ def _unpack(flat: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-PIECE = 4096
+#: Parameters of a row, and steps in which partitions are summed first: a group is a part of them.
+PIECE, STEP = 4096, 256
 
 
 def tokenise(docs: DataFrame, known: dict[str, int], ids_col: str = "token_ids") -> DataFrame:
@@ -288,6 +289,9 @@ def train(docs: DataFrame, rounds: int = ROUNDS, ids_col: str = "token_ids") ->
         given = docs.sparkSession.sparkContext.broadcast(params)
 
         def local(batches, given=given):
+            from pyspark import TaskContext
+
+            step = TaskContext.get().partitionId() % STEP
             mine = [x.copy() for x in given.value]
             squares, n = [np.zeros_like(x) for x in mine], 0
             for b in batches:
@@ -299,15 +303,17 @@ def train(docs: DataFrame, rounds: int = ROUNDS, ids_col: str = "token_ids") ->
             if n:
                 flat = _pack(mine).astype(np.float64) * n
                 piece = [flat[i : i + PIECE] for i in range(0, len(flat), PIECE)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(piece)), pa.int32()), pa.array([x.tobytes() for x in piece], pa.binary()), pa.array([float(n)] * len(piece))], ["i", "x", "n"])
+                columns = [pa.array([step] * len(piece), pa.int32()), pa.array(range(len(piece)), pa.int32()), pa.array([x.tobytes() for x in piece], pa.binary()), pa.array([float(n)] * len(piece))]
+                yield pa.RecordBatch.from_arrays(columns, ["step", "i", "x", "n"])
 
         def add(key, pdf):
             import pandas as pd
 
-            return pd.DataFrame({"i": [key[0]], "x": [np.sum([np.frombuffer(x) for x in pdf["x"]], axis=0).tobytes()], "n": [pdf["n"].sum()]})
+            return pd.DataFrame({"i": [key[-1]], "x": [np.sum([np.frombuffer(x) for x in pdf["x"]], axis=0).tobytes()], "n": [pdf["n"].sum()]})
 
         part = docs.where(F.pmod(F.xxhash64(ids_col), F.lit(rounds)) == k).select(ids_col)
-        sums = part.mapInArrow(local, "i int, x binary, n double").groupBy("i").applyInPandas(add, "i int, x binary, n double")
+        sums = part.mapInArrow(local, "step int, i int, x binary, n double").groupBy("step", "i").applyInPandas(add, "i int, x binary, n double")
+        sums = sums.groupBy("i").applyInPandas(add, "i int, x binary, n double")
         rows = sums.orderBy("i").collect()  # as many as the network has pieces
         if rows:
             params = _unpack(np.concatenate([np.frombuffer(r["x"]) for r in rows]) / rows[0]["n"])
