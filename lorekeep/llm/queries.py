@@ -26,4 +26,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.OP1_SQL, "op3_quality_rules": quality_rules.OP3_SQL, "op6_source_mixing": source_mixing.OP6_SQL}
+    return {"op1_line_dedup": line_dedup.OP1_SQL, "op3_quality_rules": quality_rules.OP3_SQL, "op5_embedding_dedup": embedding_dedup.OP5_SQL, "op6_source_mixing": source_mixing.OP6_SQL, "op9_suffix_dedup": suffix_dedup.OP9_SQL}

@@ -327,3 +327,18 @@ def remove_repeats(docs: DataFrame, cap: int = CAP) -> DataFrame:
 def op9(docs: DataFrame, cap: int = CAP) -> DataFrame:
     key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
     return join_spread(docs.select("doc_id", key.alias("tk")), deduped(docs, cap), ["tk"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP9_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT r, p, md5_number(b[p + 1:p + {LENGTH}]) AS k FROM (SELECT r, b, unnest(range(0, n - {LENGTH} + 1)) AS p FROM d WHERE n >= {LENGTH})),
+m AS (SELECT r, p FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1),
+s AS (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= {LENGTH} THEN 0 ELSE 1 END AS new FROM m),
+g AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS g FROM s),
+x AS (SELECT r, min(p) AS lo, max(p) + {LENGTH} AS hi FROM g GROUP BY r, g),
+y AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS before FROM x),
+k AS (SELECT r, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(hex(b[before + 1:lo]), '' ORDER BY lo) || hex(any_value(b)[max(hi) + 1:]) AS kept
+  FROM y JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(coalesce(unhex(kept), b)) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
