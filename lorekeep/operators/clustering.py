@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import snippet
 from ..functions.vectors import dot, norm, normalise
-from .common import checkpoint
+from .common import written
 from .graph import centroids, nearest, silhouette
 from .lexical import top_terms
 
@@ -33,7 +33,7 @@ def kmeans(vectors: DataFrame, k: int, seeds=range(42, 52), rounds: int = 300) -
     fewer than k come out if there are fewer directions.
     """
     unit = vectors.select("id", "vector", norm(F.col("vector")).alias("_n"), array_to_vector(normalise(F.col("vector"))).alias("features"))
-    some, none = checkpoint(unit.where("_n > 0")), unit.where("not coalesce(_n > 0, false)")
+    some, none = written(unit.where("_n > 0")), unit.where("not coalesce(_n > 0, false)")
     if k < 2 or some.isEmpty():
         return vectors.select("id", "vector", F.lit(0).cast("int").alias("cluster"))
     fits = (KMeans(k=k, distanceMeasure="cosine", seed=s, maxIter=rounds, tol=1e-6, predictionCol="cluster").fit(some) for s in seeds)
@@ -46,14 +46,14 @@ def sweep(vectors: DataFrame, low: int = 5, high: int = 20, seeds=range(42, 52))
 
     k runs from low to high, but no higher than a third of the rows; fewer than four rows are one cluster.
     """
-    vectors = checkpoint(vectors.select("id", "vector"))
+    vectors = written(vectors.select("id", "vector"))
     n = vectors.count()
     if n < 4:
         return 1, vectors.withColumn("cluster", F.lit(0).cast("int"))
     high = min(high, max(2, n // 3))
     best, dim = (-2.0, 0, None), dimension(vectors)
     for k in range(max(2, min(low, high)), high + 1):
-        found = checkpoint(kmeans(vectors, k, seeds))
+        found = written(kmeans(vectors, k, seeds))
         score = silhouette(found, dim).agg(F.avg("s")).first()[0]
         if (-1.0 if score is None else score) > best[0]:
             best = (-1.0 if score is None else score, k, found)

@@ -1,29 +1,60 @@
-"""Cut lineage and dense numbers, for several operators."""
+"""Tables in the shared folder and dense numbers, for several operators."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import cache
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, written to the folder of spark.checkpoint.dir; an own folder only where none is set, as in tests."""
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+def shared_dir(spark: SparkSession) -> str:
+    """This application's part of the folder that driver and executors share, which goes with the application.
+
+    Only a local master gets a folder of its own where none is set, as in tests; machines of a cluster would not
+    see each other's.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _part(root or _own(), context.applicationId)
+
+
+@cache
+def _own() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+@cache
+def _part(root: str, application: str) -> str:
+    spark = SparkSession.active()
+    part = f"{root.rstrip('/')}/tables-{application}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(part)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return part
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: computed once, its lineage cut, safe from lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df with 1-based places in `order`.
+def numbered(df: DataFrame, order: list[Column], name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with 1-based places in `order`, within equal values of the columns `by` if there are any.
 
     Places are found per range partition and shifted by the sizes of the ranges before it, so no task sorts all
-    rows. The ranges are written first: were they computed twice, their bounds or numbers could differ.
+    rows. The rows are written before, so that sampling them for the ranges computes nothing twice, and after, as
+    ranges that are found twice may differ.
     """
-    ranged = checkpoint(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
-    w = Window.partitionBy("_p").orderBy(*order)
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
-    return ranged.withColumn(name, F.row_number().over(w)).join(F.broadcast(sizes), "_p").withColumn(name, (F.col(name) + F.col("_b")).cast("long")).drop("_p", "_b")
+    ranged = written(written(df).repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()))
+    w = Window.partitionBy("_p", *by).orderBy(*order)
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_p", *by).agg(F.count("*").alias("_n")).select("_p", *by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
+    return ranged.withColumn(name, F.row_number().over(w)).join(F.broadcast(sizes), ["_p", *by]).withColumn(name, (F.col(name) + F.col("_b")).cast("long")).drop("_p", "_b")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import checkpoint, numbered
+from .common import numbered, written
 
 #: Short keys of the export and the fields they stand for.
 KEYS = {"id": "id", "n": "name", "p": "provider", "d": "date", "c": "cluster", "m": "n_messages", "t": "terms", "s": "snippet", "x": "x", "y": "y", "z": "z", "tx": "tx", "ty": "ty", "tz": "tz"}
@@ -23,14 +23,14 @@ def compact(nodes: DataFrame, edges: DataFrame, per_node: int = 8, decimals: int
     counted as unresolved; parallel edges count once, with their greatest weight. Missing numbers become 0, or -1 for
     a cluster.
     """
-    placed = checkpoint(numbered(nodes, [F.col("id")], "_at").withColumn("idx", F.col("_at") - 1))
+    placed = written(numbered(nodes, [F.col("id")], "_at").withColumn("idx", F.col("_at") - 1))
     number = lambda c: F.round(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), decimals)
     made = {"n": clean(F.col("name"), name_cap), "s": clean(F.col("snippet"), snippet_cap), "t": F.transform(F.slice(F.coalesce("terms", F.array().cast("array<string>")), 1, 4), lambda t: clean(t, 24))}
     made |= {"c": F.coalesce("cluster", F.lit(-1)), "m": F.coalesce("n_messages", F.lit(0))} | {c: number(c) for c in ("x", "y", "z", "tx", "ty", "tz")}
     short = placed.select("idx", *(made.get(k, F.coalesce(F.col(v), F.lit(""))).alias(k) for k, v in KEYS.items()))
     ids = placed.select("id", "idx")
     ends = edges.join(ids.select(F.col("id").alias("a"), F.col("idx").alias("ia")), "a", "left").join(ids.select(F.col("id").alias("b"), F.col("idx").alias("ib")), "b", "left")
-    ends = checkpoint(ends.select(F.col("ia").alias("a"), F.col("ib").alias("b"), F.coalesce(F.col("w").cast("double"), F.lit(0.0)).alias("w")))
+    ends = written(ends.select(F.col("ia").alias("a"), F.col("ib").alias("b"), F.coalesce(F.col("w").cast("double"), F.lit(0.0)).alias("w")))
     lost = F.col("a").isNull() | F.col("b").isNull() | (F.col("a") == F.col("b"))
     kept = graph.top_edges(graph.canonical(ends.where(~lost)), per_node).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.round("w", 3).alias("w"))
     counts = ends.agg(F.count("*").alias("edges_in"), F.count_if(lost).alias("edges_unresolved"))

@@ -2,29 +2,145 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, normalise
-from .common import checkpoint
-
-
-def similar_pairs(vectors: DataFrame) -> DataFrame:
-    """(a, b, w) for all a < b of (id, vector): cosines, as the graph's percentile threshold is over all pairs."""
-    unit = vectors.select("id", normalise(F.col("vector")).alias("v"))
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    unit_a = unit.repartition(parts, "id")  # the pairs are the work: dealt to all cores, however few files there are
-    a, b = unit_a.select(F.col("id").alias("a"), F.col("v").alias("va")), unit.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", dot(F.col("va"), F.col("vb")).alias("w"))
+from .common import numbered, written
+
+#: Vectors of a block, rows of a block that are multiplied at a time, bins of a histogram, values that are sorted at last.
+BLOCK, STRIP, BINS, FEW = 2048, 256, 1 << 14, 20000
+
+
+def _blocks(vectors: DataFrame, block: int) -> DataFrame:
+    """All pairs of blocks of (id, vector), each pair once: ids and flat unit vectors of both (x, vx, y, vy, same). Rows without a
+    vector are left out; the others have equal lengths."""
+    unit = written(vectors.where("vector is not null").select("id", normalise(F.col("vector")).alias("v")))
+    k = max(6, math.ceil(unit.count() / block))  # six blocks at least, so that all cores have some of their 21 pairs
+    dealt = written(unit.groupBy(F.pmod(F.xxhash64("id"), F.lit(k)).cast("int").alias("i")).agg(F.collect_list("id").alias("x"), F.flatten(F.collect_list("v")).alias("vx")))
+    other = dealt.select(F.col("i").alias("j"), F.col("x").alias("y"), F.col("vx").alias("vy"))
+    pairs = dealt.select("i").withColumn("j", F.explode(F.sequence("i", F.lit(k - 1)))).join(other, "j").join(dealt, "i")
+    parts = min(k * (k + 1) // 2, 8 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return written(pairs.select("x", "vx", "y", "vy", (F.col("i") == F.col("j")).alias("same")).repartition(parts))
+
+
+def _products(batch, r: int):
+    """Strips of cosines of a row of _blocks: (places in x, places in y, cosines), a pair of different vectors once."""
+    x, y = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("vx", "vy"))
+    n, m = len(batch.column("x")[r].values), len(batch.column("y")[r].values)
+    x, y = x.reshape(n, -1), y.reshape(m, -1)
+    same = batch.column("same")[r].as_py()
+    for at in range(0, n, STRIP):
+        w = x[at : at + STRIP] @ y.T
+        i, j = np.indices(w.shape)
+        keep = (j > i + at) if same else np.ones(w.shape, bool)
+        yield i[keep] + at, j[keep], w[keep]
+
+
+def _pairs(blocks: DataFrame, over: float | None = None) -> DataFrame:
+    kind = blocks.schema["x"].dataType.elementType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x, y = batch.column("x")[r].values, batch.column("y")[r].values
+                both = pa.concat_arrays([x, y])
+                place = np.empty(len(both), np.int64)
+                place[pc.sort_indices(both).to_numpy()] = np.arange(len(both))
+                for i, j, w in _products(batch, r):
+                    if over is not None:
+                        i, j, w = (v[w > over] for v in (i, j, w))
+                    j = j + len(x)
+                    first = place[i] < place[j]
+                    yield pa.RecordBatch.from_arrays([both.take(pa.array(np.where(first, i, j))), both.take(pa.array(np.where(first, j, i))), pa.array(w)], ["a", "b", "w"])
+
+    return blocks.mapInArrow(run, f"a {kind}, b {kind}, w double")
+
+
+def similar_pairs(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b, w) for all a < b of (id, vector), ids being distinct: cosines, as products of blocks."""
+    return _pairs(_blocks(vectors, block))
+
+
+def _cut(blocks: DataFrame, p: float) -> float | None:
+    """The interpolated percentile of all cosines: histograms narrow the range of each of the two order statistics about
+    it until few values, or equal ones, are left. No pair is written or shuffled; None if there are none."""
+
+    def histogram(low: float, high: float):
+        def run(batches):
+            counts, ends = np.zeros(BINS, np.int64), np.stack([np.full(BINS, np.inf), np.full(BINS, -np.inf)])
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    for _, _, w in _products(batch, r):
+                        w = w[(w >= low) & (w <= high)]
+                        k = np.minimum(((w - low) / (high - low) * BINS).astype(np.int64), BINS - 1)
+                        counts += np.bincount(k, minlength=BINS)
+                        np.minimum.at(ends[0], k, w)
+                        np.maximum.at(ends[1], k, w)
+            k = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (k, counts[k], ends[0][k], ends[1][k])], ["k", "n", "low", "high"])
+
+        found = blocks.mapInArrow(run, "k long, n long, low double, high double")
+        return found.groupBy("k").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("k").collect()  # at most BINS
+
+    def values(low: float, high: float) -> np.ndarray:
+        def run(batches):
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    for _, _, w in _products(batch, r):
+                        yield pa.RecordBatch.from_arrays([pa.array(w[(w >= low) & (w <= high)])], ["w"])
+
+        return np.sort([r.w for r in blocks.mapInArrow(run, "w double").collect()])  # at most FEW
+
+    def statistic(rank: int, bins) -> float:
+        while True:
+            below = 0
+            for b in bins:
+                if below + b.n > rank:
+                    break
+                below += b.n
+            rank -= below
+            if b.low == b.high:
+                return b.low
+            if b.n <= FEW:
+                return float(values(b.low, b.high)[rank])
+            bins = histogram(b.low, b.high)
+
+    first = histogram(-1.0 - 1e-9, 1.0 + 1e-9)
+    n = sum(b.n for b in first)
+    if not n:
+        return None
+    at = p * (n - 1)
+    low = statistic(math.floor(at), first)
+    high = low if at == math.floor(at) else statistic(math.floor(at) + 1, first)
+    return low + (high - low) * (at - math.floor(at))
+
+
+def over_percentile(vectors: DataFrame, p: float = 0.95, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b, w) of (id, vector) strictly over the interpolated percentile of the cosines of all pairs.
+
+    All pairs are multiplied, a block with a block, once for each histogram and once for the result; only the result leaves its task.
+    """
+    blocks = _blocks(vectors, block)
+    cut = _cut(blocks, p)
+    return _pairs(blocks, math.inf if cut is None else cut)
 
 
-def over_percentile(pairs: DataFrame, p: float = 0.95) -> DataFrame:
-    """Pairs strictly over the interpolated percentile of w."""
-    cut = pairs.agg(F.percentile("w", F.lit(p)).alias("cut"))
-    return pairs.crossJoin(F.broadcast(cut)).where("w > cut").drop("cut")
+def at_percentile(edges: DataFrame, p: float) -> DataFrame:
+    """Edges (a, b, w) of at least the weight at place floor(n * p / 100) in ascending order, not interpolated; past the last
+    place the bound is 0."""
+    placed = numbered(edges, [F.col("w"), F.col("a"), F.col("b")], "_at")
+    n = placed.agg(F.count("*").alias("n"))
+    bound = placed.crossJoin(F.broadcast(n)).where(F.col("_at") == F.floor(F.col("n") * p / 100) + 1).agg(F.coalesce(F.max("w"), F.lit(0.0)).alias("_cut"))
+    return placed.crossJoin(F.broadcast(bound)).where("w >= _cut").select("a", "b", "w")
 
 
-def degree_capped(edges: DataFrame, cap: int = 15, keep=checkpoint) -> DataFrame:
+def degree_capped(edges: DataFrame, cap: int = 15, keep=written) -> DataFrame:
     """Edges (a, b, w) that a scan by w descending (then a, b) accepts while both ends have fewer than cap.
 
     Rounds accept every edge that is among the first of the room left at both of its ends; the same edges, no scan.
@@ -79,19 +195,34 @@ def centroids(vectors: DataFrame, dim: int) -> DataFrame:
     return mean.select("cluster", normalise(F.col("m")).alias("centre"))
 
 
+def _against(vectors: DataFrame, centres: DataFrame, columns: list[str], sim):
+    """vectors with `_s`: sim(unit vector, centre) of each row of centres, which are few and come as one array in one row."""
+    all_ = centres.agg(F.array_sort(F.collect_list(F.struct(*centres.columns))).alias("_c"))
+    unit = vectors.select(*columns, normalise(F.col("vector")).alias("_v"))
+    return unit.crossJoin(F.broadcast(all_)).select(*columns, F.transform("_c", lambda c: sim(F.col("_v"), c)).alias("_s"))
+
+
 def nearest(vectors: DataFrame, centres: DataFrame) -> DataFrame:
-    """(id, cluster, sim): the most similar centre, ties to the lowest cluster; centres are few."""
-    scored = vectors.select("id", normalise(F.col("vector")).alias("v")).crossJoin(F.broadcast(centres)).select("id", "cluster", dot(F.col("v"), F.col("centre")).alias("sim"))
-    best = scored.groupBy("id").agg(F.max(F.struct("sim", (-F.col("cluster")).alias("c"))).alias("b"))
-    return best.select("id", (-F.col("b.c")).alias("cluster"), F.col("b.sim").alias("sim"))
+    """(id, cluster, sim): the most similar centre, ties to the lowest cluster; centres (cluster, centre) are few."""
+    scored = _against(vectors, centres, ["id"], lambda v, c: F.struct(dot(v, c["centre"]).alias("sim"), (-c["cluster"]).alias("c")))
+    best = F.array_max("_s")
+    return scored.select("id", best.alias("b")).select("id", (-F.col("b.c")).alias("cluster"), F.col("b.sim").alias("sim"))
 
 
 def silhouette(vectors: DataFrame, dim: int) -> DataFrame:
     """(id, s): simplified silhouette; mean cosine distances are distances to the clusters' mean vectors."""
-    unit = vectors.select("id", "cluster", normalise(F.col("vector")).alias("v"))
+    unit = vectors.select("cluster", normalise(F.col("vector")).alias("v"))
     means = unit.groupBy("cluster").agg(F.count("*").alias("n"), F.array(*(F.avg(F.col("v")[i]) for i in range(dim))).alias("m"))
-    d = unit.crossJoin(F.broadcast(means.withColumnRenamed("cluster", "other"))).withColumn("d", 1 - dot(F.col("v"), F.col("m")))
-    own = F.max(F.when(F.col("other") == F.col("cluster"), F.when(F.col("n") == 1, 0.0).otherwise(F.col("d"))))
-    ab = d.groupBy("id").agg(own.alias("a"), F.min(F.when(F.col("other") != F.col("cluster"), F.col("d"))).alias("b"))
+    scored = _against(vectors, means, ["id", "cluster"], lambda v, c: F.struct(c["cluster"].alias("other"), c["n"].alias("n"), (1 - dot(v, c["m"])).alias("d")))
+    own = F.filter("_s", lambda s: s["other"] == F.col("cluster"))[0]
+    others = F.array_min(F.transform(F.filter("_s", lambda s: s["other"] != F.col("cluster")), lambda s: s["d"]))
+    ab = scored.select("id", F.when(own["n"] == 1, 0.0).otherwise(own["d"]).alias("a"), others.alias("b"))
     top = F.greatest("a", "b")
     return ab.select("id", F.when(top > 0, (F.col("b") - F.col("a")) / top).otherwise(0.0).alias("s"))
+
+
+def inertia(vectors: DataFrame, centres: DataFrame) -> DataFrame:
+    """One row: the sum of squared distances of unit vectors (id, vector, cluster) to their centres (cluster, centre)."""
+    near = vectors.select("cluster", normalise(F.col("vector")).alias("v")).join(F.broadcast(centres), "cluster")
+    apart = F.zip_with("v", "centre", lambda x, y: (x - y) * (x - y))
+    return near.agg(F.coalesce(F.sum(F.aggregate(apart, F.lit(0.0), lambda s, x: s + x)), F.lit(0.0)).alias("inertia"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP, tokens
+from .common import written
 
 K1, B = 1.5, 0.75
 
@@ -27,26 +29,65 @@ def idf(docs: DataFrame) -> DataFrame:
     return postings(docs).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", "df", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
+def _score(weight, tf, df, n, length, mean, k1: float, b: float):
+    idf_ = F.log1p((n - df + 0.5) / (df + 0.5))
+    return weight * idf_ * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+
+
 def bm25(docs: DataFrame, query: list[str], k1: float = K1, b: float = B) -> DataFrame:
-    """(doc_id, score) of documents that hold a query token; repeated query tokens count again.
+    """(doc_id, score) of documents that hold a query token; repeated query tokens count again; doc_ids are distinct.
 
-    Only postings of query terms leave the scan; the query's terms are a literal, not a join side.
+    A document's counts of the query's terms come out of one pass over its tokens, nothing is shuffled but the sums of
+    the corpus, one row.
     """
     weight = Counter(query)
-    held = postings(docs.select("doc_id", "text")).where(F.col("term").isin(list(weight)))
-    corpus = lengths(docs).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    terms = list(weight)
+    if not terms:
+        return docs.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+    toks = tokens(F.coalesce("text", F.lit("")))
+    slim = docs.select("doc_id", F.transform(F.array(toks), lambda ts: F.struct(F.size(ts).cast("long").alias("len"), F.filter(ts, lambda t: t.isin(terms)).alias("hits")))[0].alias("d"))
+    times = lambda t: F.size(F.filter("hits", lambda x: x == F.lit(t))).cast("long")
+    tf = [times(t).alias(f"tf{i}") for i, t in enumerate(terms)]
+    counts = written(slim.select("doc_id", "d.len", "d.hits").select("doc_id", "len", *tf))
+    corpus = counts.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
+    parts = [_score(float(weight[t]), F.col(f"tf{i}"), F.col(f"df{i}"), F.col("n"), F.col("len"), F.col("avgdl"), k1, b) for i, t in enumerate(terms)]
+    held = reduce(lambda x, y: x | y, (F.col(f"tf{i}") > 0 for i in range(len(terms))))
+    return counts.where(held).crossJoin(F.broadcast(corpus)).select("doc_id", sum(parts[1:], parts[0]).alias("score"))
+
+
+#: Folders of a stored index; a query reads those of its terms.
+BUCKETS = 64
+
+
+def bucket(term):
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(docs: DataFrame, folder: str) -> None:
+    """Postings (doc_id, term, tf, len), a folder a bucket of terms, and the row of the corpus (n, avgdl)."""
+    sized = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("ts")).select("doc_id", F.size("ts").cast("long").alias("len"), "ts")
+    held = sized.select("doc_id", "len", F.explode("ts").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held.withColumn("bucket", bucket("term")).repartition(spread, "bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    sized.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl")).write.parquet(f"{folder}/corpus")
+
+
+def search_index(spark, folder: str, query: list[str], k1: float = K1, b: float = B) -> DataFrame:
+    """bm25 from a stored index: only the folders of the query's terms are read, and of them only those terms' rows."""
+    weight = Counter(query)
+    corpus = spark.read.schema("n long, avgdl double").parquet(f"{folder}/corpus").first()
+    if not weight or not corpus.n:
+        return spark.createDataFrame([], "doc_id string, score double")
+    places = [r.k for r in spark.createDataFrame([(t,) for t in weight], "t string").select(bucket("t").alias("k")).distinct().collect()]
+    held = spark.read.parquet(f"{folder}/postings").where(F.col("bucket").isin(places) & F.col("term").isin(list(weight)))
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     times = F.create_map(*(x for t, c in weight.items() for x in (F.lit(t), F.lit(float(c)))))
-    scored = held.join(F.broadcast(df), "term").join(lengths(docs), "doc_id").crossJoin(F.broadcast(corpus))
-    i = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = times[F.col("term")] * i * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    return scored.groupBy("doc_id").agg(F.sum(part).alias("score"))
+    part = _score(times[F.col("term")], F.col("tf"), F.col("df"), F.lit(corpus.n), F.col("len"), F.lit(corpus.avgdl), k1, b)
+    return held.join(F.broadcast(df), "term").groupBy("doc_id").agg(F.sum(part).alias("score"))
 
 
 def top_terms(docs: DataFrame, n: int = 5) -> DataFrame:
     """(doc_id, rank, term, n): most frequent words of three letters or more, ties by first appearance."""
-    from pyspark.sql import Window
-
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
     found = docs.select("doc_id", F.posexplode(words).alias("pos", "term")).where(~F.col("term").isin(STOP))
     counted = found.groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))

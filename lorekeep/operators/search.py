@@ -11,15 +11,15 @@ from .common import numbered
 RRF_K = 60
 
 
-def rank_all(scores: DataFrame, score: str, name: str) -> DataFrame:
-    """scores with the 1-based rank by score descending, then doc_id descending."""
-    return numbered(scores, [F.desc(score), F.desc("doc_id")], name)
-
-
 def fuse(semantic: DataFrame, chunk: DataFrame, lexical: DataFrame) -> DataFrame:
-    """(doc_id, rrf): every document has a semantic rank; the other rankings count where their score is over 0."""
-    ranked = [rank_all(d, "score", "rank").select("doc_id", F.when((F.col("score") > 0) | F.lit(i == 0), 1 / (RRF_K + F.col("rank"))).alias("part")) for i, d in enumerate((semantic, chunk, lexical))]
-    return ranked[0].union(ranked[1]).union(ranked[2]).groupBy("doc_id").agg(F.sum("part").alias("rrf"))
+    """(doc_id, rrf) of (doc_id, score): semantic ranks count always, those of the other rankings where the score is over 0.
+
+    Ranks are by score descending, then doc_id descending. The three rankings are numbered as one table.
+    """
+    one = lambda i, d: d.select(F.lit(i).alias("kind"), "doc_id", F.col("score").cast("double").alias("score"))
+    ranked = numbered(one(0, semantic).union(one(1, chunk)).union(one(2, lexical)), [F.desc("score"), F.desc("doc_id")], "rank", ("kind",))
+    part = F.when((F.col("score") > 0) | (F.col("kind") == 0), 1 / (RRF_K + F.col("rank")))
+    return ranked.groupBy("doc_id").agg(F.sum(part).alias("rrf"))
 
 
 def best_chunk(chunks: DataFrame, query: Column) -> DataFrame:

@@ -37,7 +37,7 @@ def _query_vector():
 
 
 def _edges(spark, sf):
-    return graph.over_percentile(graph.similar_pairs(_vectors(spark, sf)), 0.95)
+    return graph.over_percentile(_vectors(spark, sf), 0.95)
 
 
 def _round(df, *columns):
@@ -53,8 +53,7 @@ def _hybrid(spark, sf):
     v = _vectors(spark, sf)
     semantic = v.select(F.col("id").alias("doc_id"), F.round(V.cosine(F.col("vector"), _query_vector()), 6).alias("score"))
     chunk = _best(spark, sf).select("doc_id", F.round("score", 6).alias("score"))
-    docs = _t(spark, sf, "documents").select("doc_id", "text").join(v.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return search.fuse(semantic, chunk, _round(lexical.bm25(docs, QUERY), "score"))
+    return search.fuse(semantic, chunk, _round(lexical.bm25(_t(spark, sf, "documents").select("doc_id", "text"), QUERY), "score"))
 
 
 def _best(spark, sf):
@@ -160,7 +159,7 @@ _PAIRS = f"{_V}, {_UNIT}, pr AS (SELECT a.id AS a, b.id AS b, list_inner_product
 _MEAN = f"{_V}, {_UNIT}, x AS (SELECT cluster, unnest(v) AS x, unnest(range(0, {DIM})) AS dim FROM u), m0 AS (SELECT cluster, dim, avg(x) AS x FROM x GROUP BY ALL), mm AS (SELECT cluster, list(x ORDER BY dim) AS m FROM m0 GROUP BY 1)"
 _ITEMS = "i AS (SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS created_at, o_orderpriority AS name, o_orderstatus AS provider, o_custkey % 7 AS n_messages, o_custkey % 5 AS cluster FROM orders)"
 _BEST = f"{_V}, bc AS (SELECT id // 4 AS doc_id, {_COS} AS score, id AS chunk_id FROM v QUALIFY row_number() OVER (PARTITION BY id // 4 ORDER BY score DESC, id) = 1)"
-_RRF = f"""{_BEST}, {_sql_bm25("(SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))")},
+_RRF = f"""{_BEST}, {_sql_bm25("documents")},
 r AS (SELECT doc_id, 1 / (60 + row_number() OVER (ORDER BY s DESC, doc_id DESC)) AS part FROM (SELECT id AS doc_id, round({_COS}, 6) AS s FROM v)
 UNION ALL SELECT doc_id, CASE WHEN s > 0 THEN part END FROM (SELECT doc_id, s, 1 / (60 + row_number() OVER (ORDER BY s DESC, doc_id DESC)) AS part FROM (SELECT doc_id, round(score, 6) AS s FROM bc))
 UNION ALL SELECT doc_id, CASE WHEN s > 0 THEN part END FROM (SELECT doc_id, s, 1 / (60 + row_number() OVER (ORDER BY s DESC, doc_id DESC)) AS part FROM (SELECT doc_id, round(score, 6) AS s FROM bm))),
