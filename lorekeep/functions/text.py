@@ -8,14 +8,17 @@ from pyspark.sql.types import StringType
 
 TOKEN = r"[\p{L}\p{N}_]+"
 #: Words that never count as terms.
-STOP = """
-the a an and or but in on at to for of with by from is it this that was are be has had have do does did will would
-could should may might can not no so if then than too very just about up out how what when where who which why all each every
-both few more most other some such only own same also into over after before between under again once here there any your my his her
-its our their me him them we you he she they i been being were am as well like even still now get got let make made want
-need use used using know think see way go going one two new first last long great much sure yes okay ok thanks thank please help
-right good really don doesn didn won something things thing work working code file example look take
-""".split()
+STOP = (
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "it", "this", "that", "was", "are", "be",
+    "has", "had", "have", "do", "does", "did", "will", "would", "could", "should", "may", "might", "can", "not", "no", "so", "if", "then", "than",
+    "too", "very", "just", "about", "up", "out", "how", "what", "when", "where", "who", "which", "why", "all", "each", "every", "both", "few", "more",
+    "most", "other", "some", "such", "only", "own", "same", "also", "into", "over", "after", "before", "between", "under", "again", "once", "here",
+    "there", "any", "your", "my", "his", "her", "its", "our", "their", "me", "him", "them", "we", "you", "he", "she", "they", "i", "been", "being",
+    "were", "am", "as", "well", "like", "even", "still", "now", "get", "got", "let", "make", "made", "want", "need", "use", "used", "using", "know",
+    "think", "see", "way", "go", "going", "one", "two", "new", "first", "last", "long", "great", "much", "sure", "yes", "okay", "ok", "thanks",
+    "thank", "please", "help", "right", "good", "really", "don", "doesn", "didn", "won", "something", "things", "thing", "work", "working", "code",
+    "file", "example", "look", "take",
+)
 
 
 def tokens(text: Column) -> Column:

@@ -15,10 +15,10 @@ from .graph import centroids, nearest, silhouette
 from .lexical import top_terms
 
 #: Colours of clusters, by cluster modulo their number.
-PALETTE = """
-#7957d9 #57b4d9 #d9a857 #57d98b #d957a8 #d97957 #57d9d9 #a857d9 #d9d957 #5779d9
-#d95757 #57d957 #d957d9 #8b8bd9 #d98b57 #57d9a8 #d95779 #79d957 #5757d9 #d9a8a8
-""".split()
+PALETTE = (
+    "#7957d9", "#57b4d9", "#d9a857", "#57d98b", "#d957a8", "#d97957", "#57d9d9", "#a857d9", "#d9d957", "#5779d9", "#d95757", "#57d957", "#d957d9",
+    "#8b8bd9", "#d98b57", "#57d9a8", "#d95779", "#79d957", "#5757d9", "#d9a8a8",
+)
 
 
 def dimension(vectors: DataFrame) -> int:

@@ -89,7 +89,7 @@ def search_index(spark, folder: str, query: list[str], k1: float = K1, b: float
 def top_terms(docs: DataFrame, n: int = 5) -> DataFrame:
     """(doc_id, rank, term, n): most frequent words of three letters or more, ties by first appearance."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
-    found = docs.select("doc_id", F.posexplode(words).alias("pos", "term")).where(~F.col("term").isin(STOP))
+    found = docs.select("doc_id", F.posexplode(words).alias("pos", "term")).where(~F.col("term").isin(*STOP))
     counted = found.groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "pos")
     return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("doc_id", "rank", "term", "n")

@@ -219,7 +219,7 @@ SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(
         "cluster_labels": f"""WITH {_NEAR}, t AS (SELECT cluster, string_agg(source || ' ' || text[1:200], ' ' ORDER BY rank) AS text FROM nr JOIN documents ON doc_id = id GROUP BY 1),
 w AS (SELECT cluster, unnest(ws) AS term, unnest(range(0, len(ws))) AS pos FROM (SELECT cluster, regexp_extract_all(lower(text), '[a-z]{{3,}}') AS ws FROM t)),
 g AS (SELECT cluster, term, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, min(pos)) AS r FROM w WHERE term NOT IN ({stop}) GROUP BY cluster, term), lb AS (SELECT cluster, string_agg(term, ' / ' ORDER BY r) AS label FROM g WHERE r <= 3 GROUP BY 1)
-SELECT cluster, coalesce(label, 'Cluster ' || cluster) AS label, {clustering.PALETTE}[cluster % {len(clustering.PALETTE)} + 1] AS color, n FROM (SELECT cluster, count(*) AS n FROM v WHERE cluster IS NOT NULL GROUP BY 1) LEFT JOIN lb USING (cluster)""",
+SELECT cluster, coalesce(label, 'Cluster ' || cluster) AS label, {list(clustering.PALETTE)}[cluster % {len(clustering.PALETTE)} + 1] AS color, n FROM (SELECT cluster, count(*) AS n FROM v WHERE cluster IS NOT NULL GROUP BY 1) LEFT JOIN lb USING (cluster)""",
         "cluster_ring": f"WITH {_ITEMS}, k AS (SELECT cluster, count(*) AS n FROM i GROUP BY 1), o AS (SELECT cluster, 2 * pi() * cluster / count(*) OVER () AS phi, pi() / 2 + (cluster % 3 - 1) * 0.4 AS theta, greatest(120, 5 * sqrt(sum(n) OVER ())) AS r FROM k) SELECT cluster, round(r * sin(theta) * cos(phi), 6) AS x, round(r * cos(theta), 6) AS y, round(r * sin(theta) * sin(phi), 6) AS z FROM o",
         "time_axis": f"WITH {_ITEMS}, e AS (SELECT id, epoch(created_at::TIMESTAMP) AS t FROM i) SELECT id, round((t - min(t) OVER ()) / (max(t) OVER () - min(t) OVER ()) * 200 - 100, 6) AS tx FROM e",
         "keyword_filter": "SELECT doc_id FROM documents WHERE contains(lower(text), 'trash') ORDER BY doc_id LIMIT 10",

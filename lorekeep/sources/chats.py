@@ -93,10 +93,12 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: Extensions of files that are attachments, not chats.
-ATTACHMENTS = """
-pdf png jpg jpeg gif webp svg ico mp4 mov avi wav mp3 ogg flac dmg zip tar gz rar 7z py js ts tsx jsx css html htm json md txt rtf
-docx doc xlsx csv c cpp h java go rs rb php yaml yml toml xml ini cfg sh bash zsh bat ps1 exe dll so dylib pem key crt cer sqlite db
-""".split()
+ATTACHMENTS = (
+    "pdf", "png", "jpg", "jpeg", "gif", "webp", "svg", "ico", "mp4", "mov", "avi", "wav", "mp3", "ogg", "flac", "dmg", "zip", "tar", "gz", "rar",
+    "7z", "py", "js", "ts", "tsx", "jsx", "css", "html", "htm", "json", "md", "txt", "rtf", "docx", "doc", "xlsx", "csv", "c", "cpp", "h", "java",
+    "go", "rs", "rb", "php", "yaml", "yml", "toml", "xml", "ini", "cfg", "sh", "bash", "zsh", "bat", "ps1", "exe", "dll", "so", "dylib", "pem", "key",
+    "crt", "cer", "sqlite", "db",
+)
 
 
 def read_prompt_folder(spark: SparkSession, path: str) -> DataFrame:
@@ -104,7 +106,7 @@ def read_prompt_folder(spark: SparkSession, path: str) -> DataFrame:
     name = T.file_name(F.col("path"))
     ending = F.lower(F.regexp_extract(name, r"(?<=.)\.([^.]*)$", 1))
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    df = files(spark, path, deep=False).where(~ending.isin(ATTACHMENTS)).select("path", "modificationTime", text.alias("text"))
+    df = files(spark, path, deep=False).where(~ending.isin(*ATTACHMENTS)).select("path", "modificationTime", text.alias("text"))
     head = F.substring("text", 1, 2000)
     df = df.where(F.contains(head, F.lit('"chunkedPrompt"')) | F.contains(head, F.lit('"runSettings"'))).withColumn("v", F.try_parse_json("text"))
     sha, cut = F.sha2(name, 256), [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
@@ -169,7 +171,7 @@ def read_grok(spark: SparkSession, path: str) -> DataFrame:
     df = raw.select("path", text_of(F.col("c")).alias("text")).withColumn("list", _get(F.try_parse_json("text"), "$", "array<variant>"))
     has = lambda k: _get(F.get("list", 0), f"$.{k}", "variant").isNotNull()
     df = df.withColumn("shape", F.when(has("mapping"), "trees").when(has("messages") | has("chat_messages"), "flat"))
-    trees = df.where("shape = 'trees'").select(F.explode(F.from_json("text", f"array<struct<{TREES}>>")).alias("t"), F.col("path").alias("shard")).select("t.*", "shard")
+    trees = df.where("shape = 'trees'").select(F.posexplode(F.from_json("text", f"array<struct<{TREES}>>")).alias("pos", "t"), F.col("path").alias("shard")).select("t.*", "shard", "pos")
     v, get = F.col("v"), lambda v, *keys: F.coalesce(*(_get(v, f"$.{k}") for k in keys), F.lit(""))
     content = lambda m: T.flatten(F.coalesce(_get(m, "$.text", "variant"), _get(m, "$.content", "variant")))
     turns = F.coalesce(_get(v, "$.messages", "array<variant>"), _get(v, "$.chat_messages", "array<variant>"))

@@ -7,15 +7,16 @@ Arrow batches.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import coalesce_text, epoch_iso, role, strip
+from ..functions.text import coalesce_text, epoch_iso, flatten, role, strip
 from .files import shards
 
 MESSAGE = "struct<role: string, text: string, timestamp: string>"
-_TURN = "struct<uuid: string, sender: string, role: string, text: string, created_at: string, timestamp: string, content: array<struct<type: string, text: string, start_timestamp: string>>>"
+_TURN = "struct<uuid: string, sender: string, role: string, text: variant, created_at: string, timestamp: string, content: variant>"
 _CHAT = f"uuid string, id string, conversation_id string, name string, title string, created_at string, create_time string, chat_messages array<{_TURN}>, messages array<{_TURN}>"
 
 _READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,13 +37,13 @@ def read(spark: SparkSession, provider: str, path: str) -> DataFrame:
 
 
 def _messages(turns, sender):
-    """Trimmed non-blank messages of flat turns."""
+    """Trimmed non-blank messages of flat turns; `content` stands in where there is no `text`, and either may be a string or a
+    list of strings and parts."""
 
     def one(t):
-        parts = F.transform(F.filter(t["content"], lambda c: c["type"] == "text"), lambda c: c["text"])
-        text = coalesce_text(t["text"], F.array_join(parts, " "))
-        began = F.get(F.filter(F.transform(t["content"], lambda c: c["start_timestamp"]), lambda x: x != ""), 0)
-        return F.struct(role(sender(t)).alias("role"), strip(text).alias("text"), coalesce_text(t["created_at"], began, t["timestamp"]).alias("timestamp"))
+        began = F.transform(F.try_variant_get(t["content"], "$", "array<variant>"), lambda c: F.try_variant_get(c, "$.start_timestamp", "string"))
+        at = coalesce_text(t["created_at"], F.get(F.filter(began, lambda x: x != ""), 0), t["timestamp"])
+        return F.struct(role(sender(t)).alias("role"), strip(flatten(F.coalesce(t["text"], t["content"]))).alias("text"), at.alias("timestamp"))
 
     return F.filter(F.transform(turns, one), lambda m: m["text"] != "")
 
@@ -66,19 +67,21 @@ def read_abacus(spark: SparkSession, path: str) -> DataFrame:
     return _flat(df, "abacus", F.concat(F.lit("abacus_"), coalesce_text(F.col("conversation_id"), F.col("uuid"))), coalesce_text(F.col("name"), F.lit("Abacus chat")))
 
 
-_NODE = "struct<parent: string, message: struct<author: struct<role: string>, content: struct<content_type: string, parts: array<string>>, create_time: double, weight: double>>"
+_NODE = "struct<parent: string, message: struct<author: struct<role: string>, content: struct<content_type: string, parts: array<variant>>, create_time: double, weight: double>>"
 
 TREES = f"id string, title string, create_time double, current_node string, mapping map<string, {_NODE}>"
 
 
-def read_chatgpt(spark: SparkSession, path: str) -> DataFrame:
-    """The branch from current_node to the root, oldest first; the first shard of an id wins."""
-    df = spark.read.schema(TREES).json(shards(spark, path), multiLine=True).withColumn("shard", F.col("_metadata.file_path"))
-    return linearise(df, "chatgpt")
+def read_chatgpt(spark: SparkSession, path: str, max_conversations: int | None = None) -> DataFrame:
+    """The branch from current_node to the root, oldest first; the first shard of an id wins. With max_conversations, the first
+    so many of all shards, in their order."""
+    df = spark.read.schema(TREES).json(shards(spark, path), multiLine=True)
+    return linearise(df.withColumns({"shard": F.col("_metadata.file_path"), "pos": F.monotonically_increasing_id()}), "chatgpt", max_conversations)
 
 
-def linearise(trees: DataFrame, provider: str) -> DataFrame:
-    """Conversations of message trees (TREES and shard); rows without an id are skipped."""
+def linearise(trees: DataFrame, provider: str, most: int | None = None) -> DataFrame:
+    """Conversations of message trees (TREES, shard and pos); rows without an id are skipped. Of the parts of a message the strings count,
+    and a message counts whose first part is one."""
     df = trees.where(F.coalesce("id", F.lit("")) != "")
 
     @F.pandas_udf("array<string>")
@@ -87,23 +90,30 @@ def linearise(trees: DataFrame, provider: str) -> DataFrame:
 
         out = []
         for at, pairs in zip(current, links, strict=True):
-            up, seen = {p["node"]: p["parent"] for p in pairs} if pairs is not None else {}, []
+            up, seen = {p["node"]: p["parent"] for p in pairs} if pairs is not None else {}, {}
             while at in up and at not in seen:
-                seen.append(at)
+                seen[at] = True
                 at = up[at]
-            out.append(seen[::-1])
+            out.append(list(seen)[::-1])
         return pd.Series(out)
 
     links = F.transform(F.map_entries("mapping"), lambda e: F.struct(e["key"].alias("node"), e["value"]["parent"].alias("parent")))
     told = F.transform(F.col("nodes"), lambda n: F.col("mapping")[n]["message"])
-    first = lambda m: F.get(m["content"]["parts"], 0)
+    plain = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    first = lambda m: plain(F.get(m["content"]["parts"], 0))
     fit = lambda m: m["author"]["role"].isin("user", "assistant") & (m["content"]["content_type"] == "text") & (strip(first(m)) != "") & (F.coalesce(m["weight"], F.lit(1.0)) != 0)
-    text = lambda m: strip(F.array_join(m["content"]["parts"], " "))
+    text = lambda m: strip(F.array_join(F.transform(m["content"]["parts"], plain), " "))
     messages = F.transform(F.filter(told, fit), lambda m: F.struct(role(m["author"]["role"]).alias("role"), text(m).alias("text"), epoch_iso(m["create_time"]).alias("timestamp")))
     title = strip(F.coalesce("title", F.lit("")))
-    out = df.withColumn("nodes", branch("current_node", links)).select("id", F.when(title.isin("", "New chat"), "Untitled").otherwise(title).alias("name"), epoch_iso(F.col("create_time")).alias("created_at"), F.lit(provider).alias("provider"), messages.alias("messages"), "shard")
-    w = Window.partitionBy("id").orderBy("shard")
-    return out.where(F.size("messages") > 0).withColumn("r", F.row_number().over(w)).where("r = 1").drop("r", "shard")
+    out = df.withColumn("nodes", branch("current_node", links)).select("id", F.when(title.isin("", "New chat"), "Untitled").otherwise(title).alias("name"), epoch_iso(F.col("create_time")).alias("created_at"), F.lit(provider).alias("provider"), messages.alias("messages"), "shard", "pos")
+    w = Window.partitionBy("id").orderBy("shard", "pos")
+    out = out.where(F.size("messages") > 0).withColumn("r", F.row_number().over(w)).where("r = 1")
+    return (out if most is None else out.orderBy("shard", "pos").limit(most)).drop("r", "shard", "pos")
+
+
+def unite(*sources: DataFrame) -> DataFrame:
+    """Conversations of several sources, one after the other; an id that two of them have stays twice."""
+    return reduce(DataFrame.unionByName, (s.select("id", "name", "created_at", "provider", "messages") for s in sources))
 
 
 for _name, _reader in (("claude", read_claude), ("chatgpt", read_chatgpt), ("abacus", read_abacus)):

@@ -48,16 +48,29 @@ def test_degree_cap_equals_a_scan(spark):
 
 
 def test_readers(spark, tmp_path):
-    chat = [{"uuid": "u1", "name": "n", "created_at": "2024-01-01T00:00:00Z", "chat_messages": [{"sender": "human", "text": " hi ", "created_at": "t1"}, {"sender": "x", "text": "", "content": [{"type": "text", "text": "yo", "start_timestamp": "t2"}]}, {"sender": "human", "text": "  "}]}, {"uuid": "u2", "chat_messages": []}]
+    chat = [{"uuid": "u1", "name": "n", "created_at": "2024-01-01T00:00:00Z", "chat_messages": [{"sender": "human", "text": " hi ", "created_at": "t1"}, {"sender": "x", "content": [{"type": "text", "text": "yo", "start_timestamp": "t2"}]}, {"sender": "human", "text": "  "}]}, {"uuid": "u2", "chat_messages": []}]
     (tmp_path / "a.json").write_text(json.dumps(chat))
     got = exports.read(spark, "claude", str(tmp_path / "a.json")).collect()
     assert [(r.id, [tuple(m) for m in r.messages]) for r in got] == [("u1", [("user", "hi", "t1"), ("assistant", "yo", "t2")])]
+    odd = [{"uuid": "u3", "messages": [{"role": "user", "content": "plain string"}, {"role": "assistant", "content": ["s1", {"type": "image"}, {"type": "text", "text": "t2"}], "timestamp": "t3"}, {"sender": "human", "text": ["a", {"type": "text", "text": "b"}]}, {"sender": "human", "text": "", "content": "not this"}]}]
+    (tmp_path / "odd.json").write_text(json.dumps(odd))
+    got = exports.read(spark, "claude", str(tmp_path / "odd.json")).collect()
+    assert [[tuple(m) for m in r.messages] for r in got] == [[("user", "plain string", ""), ("assistant", "s1 t2", "t3"), ("user", "a b", "")]]
     node = lambda parent, who, text: {"parent": parent, "message": {"author": {"role": who}, "content": {"content_type": "text", "parts": [text]}, "create_time": 1.5}}
     tree = {"id": "c", "title": "New chat", "create_time": 0, "current_node": "d", "mapping": {"a": {"parent": "d"}, "b": node("a", "user", "q"), "c": node("b", "assistant", "side"), "d": node("b", "assistant", "ans")}}
     (tmp_path / "c.json").write_text(json.dumps([tree]))
     got = exports.read(spark, "chatgpt", str(tmp_path / "c.json")).collect()
     assert [(r.id, r.name, [m.text for m in r.messages]) for r in got] == [("c", "Untitled", ["q", "ans"])]
     assert got[0].messages[0].timestamp == "1970-01-01T00:00:01.500000+00:00"
+    parts = lambda parent, who, *p: {"parent": parent, "message": {"author": {"role": who}, "content": {"content_type": "text", "parts": list(p)}}}
+    trees = [{"id": f"i{k}", "current_node": "d", "mapping": {"a": parts(None, "user", {"asset": 1}, "x"), "b": parts("a", "user", "hi", {"asset": 1}, "you"), "c": parts("b", "user", 5), "d": parts("c", "tool", "no")}} for k in range(4)]
+    (tmp_path / "shards").mkdir()
+    (tmp_path / "shards/conversations-000.json").write_text(json.dumps([trees[1], trees[0]]))
+    (tmp_path / "shards/conversations-001.json").write_text(json.dumps([trees[0], trees[3], trees[2]]))
+    got = exports.read_chatgpt(spark, str(tmp_path / "shards")).collect()
+    assert {r.id: [m.text for m in r.messages] for r in got} == {f"i{k}": ["hi you"] for k in range(4)}
+    assert {r.id for r in exports.read_chatgpt(spark, str(tmp_path / "shards"), 3).collect()} == {"i1", "i0", "i3"}
+    assert exports.unite(*(exports.read_chatgpt(spark, str(tmp_path / "shards")),) * 2).count() == 8
     (tmp_path / "b.json").write_text(json.dumps({"conversations": [{"uuid": "z", "chat_messages": [{"role": "user", "text": "a"}]}]}))
     assert [(r.id, r.name) for r in exports.read(spark, "abacus", str(tmp_path / "b.json")).collect()] == [("abacus_z", "Abacus chat")]
     with pytest.raises(ValueError, match="available"):
