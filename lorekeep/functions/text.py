@@ -128,3 +128,16 @@ def epoch_iso(seconds: Column) -> Column:
     at = F.timestamp_micros(micros)
     form = F.when(micros % 1000000 == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
     return F.when(seconds.isNull() | (seconds == 0), F.lit("")).otherwise(F.concat(form, F.lit("+00:00")))
+
+
+def highlight(text: Column, query: str, before: str = "<mark>", after: str = "</mark>") -> Column:
+    """text with each place of a query word of over two characters marked, whatever its case; words are marked one after the other."""
+    for word in (w for w in query.split() if len(w) > 2):
+        plain = word.replace("\\E", "\\E\\\\E\\Q")
+        text = F.regexp_replace(text, f"(?iu)(\\Q{plain}\\E)", f"{before}$1{after}")
+    return text
+
+
+def inline_json(text: Column) -> Column:
+    """JSON that can stand inside a page: '<' escaped."""
+    return F.replace(text, F.lit("<"), F.lit("\\u003c"))

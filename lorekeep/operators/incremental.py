@@ -18,6 +18,33 @@ def classify(found: DataFrame, manifest: DataFrame) -> DataFrame:
     return found.join(old, "id", "left").select("id", "sha", F.when(F.col("old").isNull(), "new").when(F.col("old") != F.col("sha"), "changed").otherwise("unchanged").alias("status"))
 
 
+def absent(known: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Known rows whose id is not parsed any more: to be recorded, not dropped."""
+    return known.join(parsed.select("id"), "id", "left_anti")
+
+
+def last_shard(rows: DataFrame) -> DataFrame:
+    """The row of the last shard of each id, within it the last by pos."""
+    return rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns), F.struct("shard", "pos")).alias("r")).select("r.*")
+
+
+def after(rows: DataFrame, cutoff: str) -> DataFrame:
+    """Rows with created_at beyond the cutoff, compared as strings."""
+    return rows.where(F.col("created_at") > cutoff)
+
+
+def with_users(conversations: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Conversations with at least so many user messages, and the trivial others."""
+    n = F.size(F.filter("messages", lambda m: m["role"] == "user"))
+    return conversations.where(n >= least), conversations.where(n < least)
+
+
+def next_manifest(manifest: DataFrame, found: DataFrame, at: str) -> DataFrame:
+    """The manifest (id, sha, last_seen) after a run that found (id, sha), those skipped as trivial too."""
+    seen = found.select("id", "sha").withColumn("last_seen", F.lit(at))
+    return manifest.select("id", "sha", "last_seen").join(seen.select("id"), "id", "left_anti").unionByName(seen)
+
+
 def upsert(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     return existing.join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import catalog, clustering, compact, graph, incremental, lexical, search
+from ..operators import catalog, clustering, compact, graph, incremental, lexical, search, views
+from ..operators.common import shared_dir
+from ..sources import exports
 from ..streaming import sessions
 
 QUERY = ["the", "and", "the", "data"]
@@ -45,8 +50,14 @@ def _round(df, *columns):
 
 
 def _split(spark, sf):
-    d = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha"), "source", F.col("doc_id").alias("pos"))
-    return d.where("id % 3 <> 0"), d.where("id % 2 = 0").withColumn("sha", F.when(F.col("id") % 5 == 0, F.lit("old")).otherwise(F.col("sha")))
+    """Two generations: all documents, and what a manifest knew before: all but the German ones, an older French text, and pages
+    that are gone since."""
+    d = _t(spark, sf, "documents")
+    now = d.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha"), "source", F.col("doc_id").alias("pos"))
+    old = F.when(F.col("lang") == "fr", F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    known = d.where("lang <> 'de'").select(F.col("doc_id").alias("id"), F.sha2(old, 256).alias("sha"), "source", F.col("doc_id").alias("pos"))
+    gone = _t(spark, sf, "pages").select((F.col("page_id") + 10**9).alias("id"), F.sha2("html", 256).alias("sha"), F.lit("pages").alias("source"), F.col("page_id").alias("pos"))
+    return now, known.union(gone)
 
 
 def _hybrid(spark, sf):
@@ -67,19 +78,86 @@ def _events(spark, sf):
 
 
 def _notes(spark, sf):
-    n = _t(spark, sf, "conversations").select("conv_id", (F.col("turn") % 2).alias("note_id"), F.substring("text", 1, 1).alias("text"), F.col("turn").alias("seq"))
-    return incremental.merge_notes(n.where("seq % 3 <> 0"), n.where("seq % 3 <> 1")).select("conv_id", "note_id", "text", "seq", "src")
+    """All turns as notes, and a second copy of them in which every third text by length was edited."""
+    n = _t(spark, sf, "conversations").select("conv_id", F.col("turn").alias("note_id"), "text", F.col("turn").alias("seq"))
+    edited = n.withColumn("text", F.when(F.length("text") % 3 == 0, F.concat("text", F.lit(" (edited)"))).otherwise(F.col("text")))
+    return incremental.merge_notes(n, edited).select("conv_id", "note_id", F.md5("text").alias("text_md5"), "seq", "src")
 
 
 def _links(spark, sf):
-    """Parts bought with suppliers, as edges with parallel and self edges."""
-    return _t(spark, sf, "lineitem").select((F.col("l_partkey") % 60).alias("a"), (F.col("l_suppkey") % 60).alias("b"), F.col("l_extendedprice").cast("double").alias("w"))
+    """Parts bought with suppliers, parallel edges among them, and customers with their nations, which are no nodes."""
+    named = lambda c, letter: F.concat(F.lit(letter), F.col(c).cast("string"))
+    bought = _t(spark, sf, "lineitem").select(named("l_partkey", "p").alias("a"), named("l_suppkey", "s").alias("b"), F.col("l_extendedprice").cast("double").alias("w"))
+    return bought.union(_t(spark, sf, "customer").select(named("c_custkey", "c"), named("c_nationkey", "n"), F.col("c_acctbal").cast("double")))
 
 
-def _compact(spark, sf):
+def _nodes(spark, sf):
     zero = [F.lit(0.0).alias(c) for c in ("x", "y", "z", "tx", "ty", "tz")]
-    nodes = _t(spark, sf, "part").where("p_partkey <= 50").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("p").alias("provider"), F.lit("").alias("date"), F.lit(0).alias("cluster"), F.lit(1).alias("n_messages"), F.array(F.lit("t")).alias("terms"), F.col("p_name").alias("snippet"), *zero)
-    return compact.compact(nodes, _links(spark, sf))
+    rest = [F.lit("").alias("date"), F.lit(0).alias("cluster"), F.lit(1).alias("n_messages"), F.array(F.lit("t")).alias("terms")]
+    part = _t(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.lit("part").alias("provider"), *rest, F.col("p_name").alias("snippet"), *zero)
+    supplier = _t(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), F.col("s_name"), F.lit("supplier"), *rest, F.col("s_name"), *zero)
+    return part.union(supplier)
+
+
+def _compact(spark, sf):
+    return compact.compact(_nodes(spark, sf), _links(spark, sf))
+
+
+def _viewed(spark, sf):
+    """Orders as nodes, and as edges each with the next of its customer."""
+    o = _t(spark, sf, "orders")
+    nodes = o.select(F.col("o_orderkey").alias("id"), F.pmod("o_custkey", F.lit(5)).cast("int").alias("cluster"), F.col("o_orderstatus").alias("provider"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    edges = o.select(F.col("o_orderkey").alias("a"), after.alias("b"), F.col("o_totalprice").cast("double").alias("w")).where("b is not null")
+    return nodes, edges
+
+
+def _cards(spark, sf):
+    """Documents as nodes with a name, terms and a snippet."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
+    return _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("name"), F.slice(words, 1, 4).alias("terms"), T.snippet(F.col("text")).alias("snippet"), F.col("lang").alias("date"), F.col("doc_id").alias("pos"))
+
+
+def _sources(spark, sf):
+    """Items of a source, and those of them that are new, by date."""
+    i = _items(spark, sf).select("id", F.col("name").alias("source"), "created_at")
+    return i, incremental.after(i, "1997-06-01")
+
+
+def _json(c):
+    """A string column as JSON."""
+    text = F.to_json(F.array(c))
+    return F.substring(text, F.lit(2), F.length(text) - 2)
+
+
+def _exported(spark, sf, provider):
+    """(id, n, md5): the conversations, written as an export of the provider and read by its reader."""
+    c, one = F.col, lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    t = _t(spark, sf, "conversations")
+    said, more = _json(c("text")), '{"type":"text","text":"more"}'
+    if provider == "chatgpt":
+        parts = F.when(c("turn") % 3 == 0, one("[", said, "]")).when(c("turn") % 3 == 1, one("[", said, ',{"asset":1},"more"]')).otherwise(one('[{"asset":1},', said, "]"))
+        above = F.when(c("turn") > F.min("turn").over(Window.partitionBy("conv_id")), one('"n', (c("turn") - 1).cast("string"), '"')).otherwise(F.lit("null"))
+        turn = one('"n', c("turn").cast("string"), '":{"parent":', above, ',"message":{"author":{"role":', _json(c("role")), '},"content":{"content_type":"text","parts":', parts, "}}}")
+        turns = t.select("conv_id", "turn", turn.alias("j"))
+        whole = lambda ms, last: one('{"id":"', c("conv_id").cast("string"), '","title":"t","current_node":"n', last.cast("string"), '","mapping":{', ms, "}}")
+    else:
+        content = F.when(c("turn") % 4 == 0, one('"text":', said)).when(c("turn") % 4 == 1, one('"content":', said)).when(c("turn") % 4 == 2, one('"content":[', said, ",", more, "]"))
+        content = content.otherwise(one('"content":[{"type":"image"},{"type":"text","text":', said, "}]"))
+        turns = t.select("conv_id", "turn", one('{"role":', _json(c("role")), ',"created_at":"t",', content, "}").alias("j"))
+        whole = lambda ms, last: one('{"id":"', c("conv_id").cast("string"), '","uuid":"', c("conv_id").cast("string"), '","name":"n","messages":[', ms, "]}")
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "j"))), lambda x: x["j"]), ",")
+    rows = turns.groupBy("conv_id").agg(ordered.alias("ms"), F.max("turn").alias("last")).select(F.pmod("conv_id", F.lit(8)).alias("shard"), whole(c("ms"), c("last")).alias("j"))
+    files = rows.groupBy("shard").agg(one("[", F.array_join(F.array_sort(F.collect_list("j")), ","), "]").alias("value"))
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    files.write.partitionBy("shard").text(folder)
+    got = exports.read(spark, provider, f"{folder}/*/*.txt")
+    return got.select(F.regexp_replace("id", "^abacus_", "").cast("long").alias("id"), F.size("messages").alias("n"), F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("|"), m["text"])), "\n")).alias("said_md5"))
+
+
+def _docs_with_messages(spark, sf):
+    said = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"], m["text"]))
+    return _t(spark, sf, "conversations").groupBy(F.col("conv_id").alias("id")).agg(said.alias("messages"))
 
 
 def _heads(spark, sf):
@@ -135,6 +213,30 @@ def queries() -> dict:
         "time_axis": lambda s, d: _round(clustering.time_axis(_items(s, d)), "tx"),
         "kmeans_clusters": lambda s, d: clustering.kmeans(_vectors(s, d).select("id", "vector"), 8).select("id", "cluster"),
         "principal_components": lambda s, d: _round(clustering.scaled(clustering.components(_vectors(s, d))).select("id", *(c("p")[k].alias(n) for k, n in enumerate("xyz"))), "x", "y", "z"),
+        "edge_percentile_filter": lambda s, d: graph.at_percentile(_viewed(s, d)[1], 90),
+        "visible_nodes": lambda s, d: views.filtered(*_viewed(s, d), hidden_clusters=[3], hidden_providers=["P"], months=("1995-02", "1996-11"))[0],
+        "visible_edges": lambda s, d: views.filtered(*_viewed(s, d), hidden_clusters=[3], hidden_providers=["P"], months=("1995-02", "1996-11"))[1],
+        "keyword_hits": lambda s, d: views.keyword_hits(_cards(s, d), "Src1", 10).select("id"),
+        "keyword_all_hits": lambda s, d: views.keyword_hits(_cards(s, d), "ter").select("id"),
+        "hit_nodes": lambda s, d: views.hit_nodes(_vectors(s, d).select((c("id") * 3).alias("id"), F.lit("hit").alias("title"), F.lit("").alias("date"), c("cluster").cast("double").alias("score")), _cards(s, d)),
+        "highlight": lambda s, d: _t(s, d, "documents").select("doc_id", F.md5(T.highlight(c("text"), "The and. of")).alias("marked_md5")),
+        "inline_json": lambda s, d: _t(s, d, "pages").select("page_id", F.md5(T.inline_json(c("html"))).alias("inline_md5")),
+        "node_scalars": lambda s, d: _round(_t(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).select("conv_id", *(v.alias(k) for k, v in views.node_scalars(c("n")).items())), "size", "val"),
+        "link_scalars": lambda s, d: _round(_t(s, d, "lineitem").select("l_orderkey", "l_linenumber", *(v.alias(k) for k, v in views.link_scalars(c("l_discount")).items())), "width", "distance", "distance_flat"),
+        "bounding_box": lambda s, d: _round(views.extent(_t(s, d, "orders").select(c("o_totalprice").alias("x"), c("o_custkey").cast("double").alias("y"), F.lit(None).cast("double").alias("z"))), "cx", "cy", "cz", "spread", "dist"),
+        "timeline_bars": lambda s, d: _round(views.bars(catalog.timeline(_items(s, d))), "height", "bottom"),
+        "corpus_fingerprint": lambda s, d: catalog.fingerprint(_items(s, d)),
+        "graph_stats": lambda s, d: catalog.graph_stats(_items(s, d), _viewed(s, d)[1], _items(s, d).select("cluster").distinct()),
+        "plan_summary": lambda s, d: catalog.plan_summary(*_sources(s, d)),
+        "cutoff_delta": lambda s, d: _sources(s, d)[1].select("id", "created_at"),
+        "absent_from_export": lambda s, d: incremental.absent(*_split(s, d)[::-1]).select("id"),
+        "last_shard_wins": lambda s, d: incremental.last_shard(_t(s, d, "lineitem").select(c("l_partkey").alias("id"), c("l_suppkey").alias("shard"), F.struct("l_orderkey", "l_linenumber").alias("pos"))).select("id", "shard", c("pos.l_orderkey").alias("l_orderkey"), c("pos.l_linenumber").alias("l_linenumber")),
+        "first_messages": lambda s, d: views.page(_docs_with_messages(s, d), 2, 3).select("id", F.size("first").alias("n_first"), F.size("next").alias("n_next"), "left"),
+        "trivial_sessions": lambda s, d: incremental.with_users(_docs_with_messages(s, d), 2)[1].select("id"),
+        "cluster_inertia": lambda s, d: _round(graph.inertia(_vectors(s, d), graph.centroids(_vectors(s, d), DIM)), "inertia"),
+        "read_claude": lambda s, d: _exported(s, d, "claude"),
+        "read_chatgpt": lambda s, d: _exported(s, d, "chatgpt"),
+        "read_grok": lambda s, d: _exported(s, d, "grok"),
         "keyword_filter": lambda s, d: _t(s, d, "documents").where(F.contains(F.lower("text"), F.lit("trash"))).orderBy("doc_id").limit(10).select("doc_id"),
     }
 
@@ -165,9 +267,26 @@ UNION ALL SELECT doc_id, CASE WHEN s > 0 THEN part END FROM (SELECT doc_id, s, 1
 UNION ALL SELECT doc_id, CASE WHEN s > 0 THEN part END FROM (SELECT doc_id, s, 1 / (60 + row_number() OVER (ORDER BY s DESC, doc_id DESC)) AS part FROM (SELECT doc_id, round(score, 6) AS s FROM bm))),
 h AS (SELECT doc_id, sum(part) AS rrf FROM r GROUP BY 1)"""
 _NEAR = f"{_MEAN}, ns AS (SELECT u.cluster, u.id, list_inner_product(u.v, list_transform(m, lambda x: x / sqrt(list_inner_product(m, m)))) AS sim FROM u JOIN mm USING (cluster)), nr AS (SELECT cluster, id, row_number() OVER (PARTITION BY cluster ORDER BY sim DESC, id DESC) AS rank FROM ns QUALIFY rank <= 5)"
-_LINKS = "l AS (SELECT l_partkey % 60 AS a, l_suppkey % 60 AS b, l_extendedprice::DOUBLE AS w FROM lineitem), ce AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(w) AS w FROM l WHERE a <> b GROUP BY 1, 2)"
-_COMPACT = f"{_LINKS}, nd AS (SELECT p_partkey AS id FROM part WHERE p_partkey <= 50), ck AS (SELECT * FROM ce WHERE a IN (FROM nd) AND b IN (FROM nd)), cs AS (SELECT a, b, w, a AS node FROM ck UNION ALL SELECT a, b, w, b FROM ck), ct AS (SELECT DISTINCT a, b, w FROM (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY node ORDER BY w DESC, a, b) <= 8))"
-_SPLIT = "d AS (SELECT doc_id AS id, sha256(text) AS sha FROM documents), f AS (SELECT * FROM d WHERE id % 3 <> 0), k AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'old' ELSE sha END AS sha FROM d WHERE id % 2 = 0)"
+_LINKS = """l AS (SELECT 'p' || l_partkey AS a, 's' || l_suppkey AS b, l_extendedprice::DOUBLE AS w FROM lineitem UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_acctbal::DOUBLE FROM customer),
+ce AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(w) AS w FROM l WHERE a <> b GROUP BY 1, 2)"""
+_COMPACT = f"""{_LINKS}, nd AS (SELECT 'p' || p_partkey AS id FROM part UNION ALL SELECT 's' || s_suppkey FROM supplier), ck AS (SELECT * FROM ce WHERE a IN (FROM nd) AND b IN (FROM nd)),
+cs AS (SELECT a, b, w, a AS node FROM ck UNION ALL SELECT a, b, w, b FROM ck), ct AS (SELECT DISTINCT a, b, w FROM (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY node ORDER BY w DESC, a, b) <= 8))"""
+_SPLIT = """f AS (SELECT doc_id AS id, sha256(text) AS sha FROM documents),
+k AS (SELECT doc_id AS id, sha256(CASE WHEN lang = 'fr' THEN text || '.' ELSE text END) AS sha FROM documents WHERE lang <> 'de' UNION ALL SELECT page_id + 1000000000, sha256(html) FROM pages)"""
+_VIEWED = """nd AS (SELECT o_orderkey AS id, (o_custkey % 5)::INT AS cluster, o_orderstatus AS provider, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders),
+vn AS (SELECT * FROM nd WHERE cluster <> 3 AND provider <> 'P' AND date >= '1995-02-01' AND date <= '1996-11-31'),
+ed AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b, o_totalprice::DOUBLE AS w FROM orders QUALIFY b IS NOT NULL)"""
+_CARDS = "cd AS (SELECT doc_id AS id, source AS name, regexp_extract_all(lower(text), '[a-z]{3,}')[1:4] AS terms, text[1:200] AS snippet, lang AS date FROM documents)"
+_HIT = "(contains(lower(name), '{0}') OR len(list_filter(terms, lambda t: contains(t, '{0}'))) > 0 OR contains(lower(snippet), '{0}'))"
+
+
+def _sql_read(told, role):
+    """The rows of _exported: told is a turn's text after reading, null if it is none."""
+    return f"""WITH m AS (SELECT conv_id, turn, {role} AS role, trim({told}) AS said FROM conversations), k AS (SELECT * FROM m WHERE said IS NOT NULL AND said <> '' AND role IS NOT NULL)
+SELECT conv_id AS id, count(*)::INT AS n, md5(string_agg(role || '|' || said, chr(10) ORDER BY turn)) AS said_md5 FROM k GROUP BY 1"""
+
+
+_FLAT = _sql_read("CASE WHEN turn % 4 = 2 THEN text || ' more' ELSE text END", "CASE WHEN role IN ('human', 'user') THEN 'user' ELSE 'assistant' END")
 _SESS = "q AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events), ss AS (SELECT event_id, user_id, ts, sum(CASE WHEN gap IS NULL OR gap > INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM q)"
 
 
@@ -206,7 +325,7 @@ def oracle_sql() -> dict[str, str]:
         "classify_manifest": f"WITH {_SPLIT} SELECT f.id, f.sha, CASE WHEN k.id IS NULL THEN 'new' WHEN k.sha <> f.sha THEN 'changed' ELSE 'unchanged' END AS status FROM f LEFT JOIN k USING (id)",
         "upsert_union": f"WITH {_SPLIT} SELECT id, sha FROM k WHERE id NOT IN (SELECT id FROM f) UNION ALL SELECT id, sha FROM f",
         "freshest_per_id": "SELECT user_id AS id, event_id AS source_rank FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('hour', ts) DESC, event_id) = 1",
-        "notes_merge": "WITH n AS (SELECT conv_id, turn % 2 AS note_id, text[1:1] AS text, turn AS seq FROM conversations), b AS (SELECT *, 0 AS src FROM n WHERE seq % 3 <> 0 UNION ALL SELECT *, 1 FROM n WHERE seq % 3 <> 1) SELECT conv_id, note_id, text, seq, src FROM b QUALIFY row_number() OVER (PARTITION BY conv_id, note_id, text ORDER BY src, seq) = 1",
+        "notes_merge": "WITH n AS (SELECT conv_id, turn AS note_id, text, turn AS seq FROM conversations), b AS (SELECT *, 0 AS src FROM n UNION ALL SELECT conv_id, note_id, CASE WHEN length(text) % 3 = 0 THEN text || ' (edited)' ELSE text END, seq, 1 FROM n) SELECT conv_id, note_id, md5(text) AS text_md5, seq, src FROM b QUALIFY row_number() OVER (PARTITION BY conv_id, note_id, text ORDER BY src, seq) = 1",
         "html_clean": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') AS t FROM pages)
 SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[\s\x{A0}]+', ' ', 'g'))) AS clean_md5 FROM a""",
         "chunk_words": r"WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM documents), c AS (SELECT doc_id, text, ws, unnest(range(0, greatest(1, (len(ws) + 149) // 150))) AS k FROM w) SELECT doc_id, k::INT AS k, md5(CASE WHEN len(ws) <= 150 THEN text ELSE array_to_string(ws[k * 150 + 1:k * 150 + 150], ' ') END) AS chunk_md5 FROM c",
@@ -222,5 +341,29 @@ g AS (SELECT cluster, term, row_number() OVER (PARTITION BY cluster ORDER BY cou
 SELECT cluster, coalesce(label, 'Cluster ' || cluster) AS label, {list(clustering.PALETTE)}[cluster % {len(clustering.PALETTE)} + 1] AS color, n FROM (SELECT cluster, count(*) AS n FROM v WHERE cluster IS NOT NULL GROUP BY 1) LEFT JOIN lb USING (cluster)""",
         "cluster_ring": f"WITH {_ITEMS}, k AS (SELECT cluster, count(*) AS n FROM i GROUP BY 1), o AS (SELECT cluster, 2 * pi() * cluster / count(*) OVER () AS phi, pi() / 2 + (cluster % 3 - 1) * 0.4 AS theta, greatest(120, 5 * sqrt(sum(n) OVER ())) AS r FROM k) SELECT cluster, round(r * sin(theta) * cos(phi), 6) AS x, round(r * cos(theta), 6) AS y, round(r * sin(theta) * sin(phi), 6) AS z FROM o",
         "time_axis": f"WITH {_ITEMS}, e AS (SELECT id, epoch(created_at::TIMESTAMP) AS t FROM i) SELECT id, round((t - min(t) OVER ()) / (max(t) OVER () - min(t) OVER ()) * 200 - 100, 6) AS tx FROM e",
+        "edge_percentile_filter": f"WITH {_VIEWED}, p AS (SELECT *, row_number() OVER (ORDER BY w) - 1 AS pos, count(*) OVER () AS n FROM ed) SELECT a, b, w FROM ed WHERE w >= (SELECT w FROM p WHERE pos = floor(n * 90 / 100))",
+        "visible_nodes": f"WITH {_VIEWED} SELECT * FROM vn",
+        "visible_edges": f"WITH {_VIEWED} SELECT * FROM ed WHERE a IN (SELECT id FROM vn) AND b IN (SELECT id FROM vn)",
+        "keyword_hits": f"WITH {_CARDS} SELECT id FROM cd WHERE {_HIT.format('src1')} ORDER BY id LIMIT 10",
+        "keyword_all_hits": f"WITH {_CARDS} SELECT id FROM cd WHERE {_HIT.format('ter')}",
+        "hit_nodes": f"WITH {_CARDS} SELECT vec_id * 3 AS id, CASE WHEN cd.id IS NULL THEN 'hit' ELSE cd.name END AS name, CASE WHEN cd.id IS NULL THEN '' ELSE cd.date END AS date, label::DOUBLE AS score FROM embeddings LEFT JOIN cd ON cd.id = vec_id * 3",
+        "highlight": "SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(the)', '<mark>\\1</mark>', 'gi'), '(and\\.)', '<mark>\\1</mark>', 'gi')) AS marked_md5 FROM documents",
+        "inline_json": "SELECT page_id, md5(replace(html, '<', '\\u003c')) AS inline_md5 FROM pages",
+        "node_scalars": "SELECT conv_id, round(greatest(2, ln(count(*) + 1) * 1.5), 6) AS size, round(ln(count(*) + 1) * 3, 6) AS val FROM conversations GROUP BY 1",
+        "link_scalars": "SELECT l_orderkey, l_linenumber, round(w * 2, 6) AS width, ceil(w * 4)::BIGINT AS particles, round((1 - CASE WHEN w IS NULL OR w = 0 THEN 0.5 ELSE w END) * 100, 6) AS distance, round((1 - CASE WHEN w IS NULL OR w = 0 THEN 0.5 ELSE w END) * 150, 6) AS distance_flat, 40.0::DOUBLE AS distance_cluster FROM (SELECT *, l_discount::DOUBLE AS w FROM lineitem)",
+        "bounding_box": "WITH e AS (SELECT min(o_totalprice) AS a, max(o_totalprice) AS b, min(o_custkey)::DOUBLE AS c, max(o_custkey)::DOUBLE AS d FROM orders) SELECT round((a + b) / 2, 6) AS cx, round((c + d) / 2, 6) AS cy, 0.0::DOUBLE AS cz, round(greatest(b - a, d - c, 0), 6) AS spread, round(greatest(1.2 * greatest(b - a, d - c, 0), 150), 6) AS dist FROM e",
+        "timeline_bars": f"WITH {_ITEMS}, m AS (SELECT created_at[1:7] AS month, cluster, count(*) AS n FROM i GROUP BY 1, 2), h AS (SELECT *, n / (SELECT max(t) FROM (SELECT sum(n) AS t FROM m GROUP BY month)) AS height FROM m) SELECT month, cluster, row_number() OVER w::INT AS place, round(height, 6) AS height, round(sum(height) OVER w - height, 6) AS bottom FROM h WINDOW w AS (PARTITION BY month ORDER BY n DESC, cluster ROWS UNBOUNDED PRECEDING)",
+        "corpus_fingerprint": f"WITH {_ITEMS} SELECT sum(n_messages)::BIGINT AS n_messages, max(created_at[1:10]) AS last_day FROM i",
+        "graph_stats": f"WITH {_ITEMS}, {_VIEWED} SELECT count(*) AS n_items, sum(n_messages)::BIGINT AS n_messages, min(created_at[1:10]) AS first_day, max(created_at[1:10]) AS last_day, (SELECT count(*) FROM ed) AS n_edges, count(DISTINCT cluster) AS n_clusters, 95 AS edge_percentile FROM i",
+        "plan_summary": f"WITH {_ITEMS} SELECT name AS source, count(*) AS n_parsed, count(*) FILTER (WHERE created_at > '1997-06-01') AS n_new, coalesce(min(created_at) FILTER (WHERE created_at > '1997-06-01'), '-') AS first, coalesce(max(created_at) FILTER (WHERE created_at > '1997-06-01'), '-') AS last FROM i GROUP BY 1",
+        "cutoff_delta": f"WITH {_ITEMS} SELECT id, created_at FROM i WHERE created_at > '1997-06-01'",
+        "absent_from_export": f"WITH {_SPLIT} SELECT id FROM k WHERE id NOT IN (SELECT id FROM f)",
+        "last_shard_wins": "SELECT l_partkey AS id, l_suppkey AS shard, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey DESC, l_orderkey DESC, l_linenumber DESC) = 1",
+        "first_messages": "SELECT conv_id AS id, least(count(*), 2)::INT AS n_first, greatest(least(count(*) - 2, 3), 0)::INT AS n_next, greatest(count(*) - 5, 0)::INT AS \"left\" FROM conversations GROUP BY 1",
+        "trivial_sessions": "SELECT conv_id AS id FROM conversations GROUP BY 1 HAVING count(*) FILTER (WHERE role = 'user') < 2",
+        "cluster_inertia": f"WITH {_MEAN}, cc AS (SELECT cluster, list_transform(m, lambda x: x / sqrt(list_inner_product(m, m))) AS c FROM mm) SELECT round(sum(list_distance(v, c) * list_distance(v, c)), 6) AS inertia FROM u JOIN cc USING (cluster)",
+        "read_claude": _FLAT,
+        "read_grok": _FLAT,
+        "read_chatgpt": _sql_read("CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN text || ' more' END", "CASE role WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'assistant' END"),
         "keyword_filter": "SELECT doc_id FROM documents WHERE contains(lower(text), 'trash') ORDER BY doc_id LIMIT 10",
     }
