@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
@@ -18,6 +20,7 @@ from .operators.notes import Notes
 from .sources.files import exists
 
 EMPTY = "id string, name string, created_at string, provider string, messages array<struct<role: string, text: string, timestamp: string>>"
+MANIFEST = "id string, sha string, last_seen string"
 FOUND = "id string, title string, date string, provider string, score double, conversation_score double, chunk_score double, lexical_score double, message_count int, excerpt string, cluster_id int, cluster_label string, notes_count long"
 
 
@@ -27,19 +30,54 @@ def hash_embed(rows: DataFrame, dim: int = 256) -> DataFrame:
     return counted.withColumn("vector", V.normalise(vector_to_array("_tf"))).drop("_words", "_tf")
 
 
+def clamped(value, default: int, low: int, high: int | None = None) -> int:
+    """A number within bounds; what is none counts as the default."""
+    number = value if isinstance(value, int) and not isinstance(value, bool) else default
+    return max(low, number if high is None else min(high, number))
+
+
+def normal(conversations: DataFrame) -> DataFrame:
+    """Conversations as EMPTY has them; a message without `timestamp` may have `created_at` instead."""
+    kind = conversations.schema["messages"].dataType.elementType
+    given = [c for c in ("timestamp", "created_at") if c in kind.names]
+    told = lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"), T.coalesce_text(*(m[c] for c in given)).alias("timestamp"))
+    return conversations.select("id", "name", "created_at", "provider", F.transform("messages", told).alias("messages"))
+
+
+def hashed(conversations: DataFrame) -> DataFrame:
+    """Conversations with `sha`, a digest of what is told in them."""
+    return conversations.withColumn("sha", F.sha2(F.to_json(F.struct("name", "messages")), 256))
+
+
+def _texts(convs: DataFrame) -> DataFrame:
+    """(doc_id, text): name and messages."""
+    return convs.select(F.col("id").alias("doc_id"), F.concat_ws(" ", "name", F.array_join(F.transform("messages", lambda m: m["text"]), " ")).alias("text"))
+
+
+def _now() -> str:
+    return datetime.now(timezone.utc).isoformat()
+
+
 class MemoryEngine:
     """Tables of a root folder, a version a subfolder. A version counts once its pointer row is written, after its tables, so
-    readers see whole versions and a failed ingest changes nothing."""
+    readers see whole versions and a failed ingest changes nothing. progress(name, done, total) is called after each table."""
 
-    def __init__(self, spark: SparkSession, root: str, embed: Callable[[DataFrame], DataFrame] = hash_embed):
-        self.spark, self.root, self.embed, self.notes = spark, root, embed, Notes(spark, f"{root}/notes")
+    def __init__(self, spark: SparkSession, root: str, embed: Callable[[DataFrame], DataFrame] = hash_embed, progress: Callable[[str, int, int], None] | None = None):
+        self.spark, self.root, self.embed, self.notes, self.progress, self.began = spark, root, embed, Notes(spark, f"{root}/notes"), progress, time.time()
 
-    def version(self) -> str | None:
-        if not exists(self.spark, f"{self.root}/current"):
+    def _pointed(self, name: str) -> str | None:
+        """Where the latest pointer row of a name points."""
+        if not exists(self.spark, f"{self.root}/{name}"):
             return None
-        row = self.spark.read.schema("version string, at string").parquet(f"{self.root}/current").orderBy(F.desc("at")).first()
+        row = self.spark.read.schema("version string, at string").parquet(f"{self.root}/{name}").orderBy(F.desc("at")).first()
         return row.version if row else None
 
+    def _point(self, name: str, version: str) -> None:
+        self.spark.createDataFrame([(version, _now())], "version string, at string").write.mode("append").parquet(f"{self.root}/{name}")
+
+    def version(self) -> str | None:
+        return self._pointed("current")
+
     def table(self, name: str) -> DataFrame:
         """conversations, chunks, vectors, nodes, edges, clusters, or timeline of the current version."""
         version = self.version()
@@ -47,46 +85,158 @@ class MemoryEngine:
             raise FileNotFoundError(f"no version under {self.root}")
         return self.spark.read.parquet(f"{self.root}/{version}/{name}")
 
+    #: Tables of a version, in the order they are written.
+    STEPS = ("conversations", "chunks", "index", "vectors", "members", "clusters", "edges", "nodes", "timeline")
+
+    def _writer(self, version: str):
+        def to(name: str, df: DataFrame) -> DataFrame:
+            path = f"{self.root}/{version}/{name}"
+            if name == "index":
+                lexical.write_index(df, path)
+            else:
+                df.write.parquet(path)
+            if self.progress:
+                self.progress(name, self.STEPS.index(name) + 1, len(self.STEPS))
+            return lexical.read_index(self.spark, path) if name == "index" else self.spark.read.parquet(path)
+
+        return to
+
     def ingest(self, conversations: DataFrame, mode: str = "upsert", k: int | None = None) -> str:
         """Writes a new version and returns its name.
 
         mode "upsert" keeps conversations that are not in `conversations`, "replace" drops them. Only new and changed ones
-        are embedded again; clusters, edges and layout are found anew. One row of an id counts, the latest date.
+        are embedded and indexed again; clusters, edges and layout are found anew. One row of an id counts, the latest date.
         """
         if mode not in ("upsert", "replace"):
             raise ValueError(f"mode {mode!r} is neither upsert nor replace")
         old = self.version()
         version = f"v-{uuid.uuid4().hex}"
-        to = lambda name, df: (df.write.parquet(f"{self.root}/{version}/{name}"), self.spark.read.parquet(f"{self.root}/{version}/{name}"))[1]
-        fresh = conversations.select("id", "name", "created_at", "provider", "messages").withColumn("sha", F.sha2(F.to_json(F.struct("name", "messages")), 256))
+        to = self._writer(version)
+        fresh = hashed(normal(conversations))
         fresh = fresh.groupBy("id").agg(F.max_by(F.struct(*fresh.columns), F.struct("created_at", "sha")).alias("r")).select("r.*")
         if old is None:
             convs = to("conversations", fresh)
             chunks = to("chunks", self._chunks(convs))
+            to("index", lexical.entries(_texts(convs)))
         else:
             before = self.table("conversations")
             convs = to("conversations", incremental.upsert(before, fresh) if mode == "upsert" else fresh)
             stale = incremental.classify(convs, before).where("status <> 'unchanged'").select("id")
-            held = self.table("chunks").join(convs.select("id"), "id", "left_semi").join(stale, "id", "left_anti")
-            chunks = to("chunks", held.unionByName(self._chunks(convs.join(stale, "id", "left_semi"))))
+            kept = convs.select("id").join(stale, "id", "left_anti")
+            again = convs.join(stale, "id", "left_semi")
+            chunks = to("chunks", self.table("chunks").join(kept, "id", "left_semi").unionByName(self._chunks(again)))
+            held = lexical.read_index(self.spark, f"{self.root}/{old}/index").drop("bucket").join(kept.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+            to("index", held.unionByName(lexical.entries(_texts(again))))
         pooled = graph.pooled(chunks.select("id", "vector"))
         vectors = to("vectors", convs.select("id").join(pooled, "id"))
-        self._derive(version, to, convs, vectors, k)
-        self._publish(version)
+        self._derive(to, convs, vectors, k)
+        self._point("current", version)
         return version
 
+    def manifest(self) -> DataFrame:
+        """(id, sha, last_seen) of the conversations that runs have found; one that is missing or cannot be read is empty."""
+        empty, at = self.spark.createDataFrame([], MANIFEST), self._pointed("manifest")
+        if at is None:
+            return empty
+        try:
+            held = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{at}")
+            held.agg(F.count_if(F.col("sha").isNotNull())).first()
+        except Exception:  # noqa: BLE001 (whatever is wrong with it, all conversations count as new)
+            return empty
+        return held
+
+    def update(self, conversations: DataFrame, dry_run: bool = False, least: int = 1, k: int | None = None) -> dict:
+        """Ingests the conversations that are new or changed since the last run, and reports.
+
+        Those with fewer than `least` user messages are not ingested, but the manifest records them, so they come again only when
+        they change. A dry run writes nothing. The report is kept as JSON and, a row a conversation, as a table. Notes must be the same after it.
+        """
+        run, notes = uuid.uuid4().hex, self.notes.fingerprint()
+        report = {"started_at": _now(), "dry_run": dry_run, "notes_before": notes}
+        found = incremental.classify(hashed(normal(conversations)), manifest := self.manifest())
+        counts = {r.status: r["count"] for r in found.groupBy("status").count().collect()}
+        report |= {s: counts.get(s, 0) for s in ("new", "changed", "unchanged")}
+        todo = normal(conversations).join(found.where("status <> 'unchanged'").select("id"), "id", "left_semi")
+        if dry_run or report["new"] + report["changed"] == 0:
+            report["action"] = "dry run (nothing written)" if dry_run else "nothing to do"
+            return report if dry_run else self._finish(report, run, found)
+        told, trivial = incremental.with_users(todo, least)
+        report |= {"ingested": told.count(), "skipped_trivial": trivial.count(), "corpus_before": self._size()}
+        if report["ingested"]:
+            self.ingest(told, k=k)
+        report |= {"corpus_after": self._size(), "action": f"ingested {report['ingested']} conversations" if report["ingested"] else "all candidates skipped as trivial"}
+        incremental.next_manifest(manifest, found, report["started_at"]).write.parquet(f"{self.root}/manifests/{run}")
+        self._point("manifest", run)
+        return self._finish(report, run, found.join(trivial.select("id", F.lit(True).alias("trivial")), "id", "left"))
+
+    def _finish(self, report: dict, run: str, rows: DataFrame) -> dict:
+        notes = self.notes.fingerprint()
+        report |= {"notes_after": notes, "notes_untouched": notes == report["notes_before"], "finished_at": _now()}
+        rows.drop("sha").write.parquet(f"{self.root}/runs/{run}")
+        self._report(report)
+        if not report["notes_untouched"]:
+            raise RuntimeError("notes changed during an ingest")
+        return report
+
+    def _report(self, report: dict) -> None:
+        self.spark.createDataFrame([(json.dumps(report),)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/reports")
+
+    def reports(self) -> DataFrame:
+        """(started_at, report as JSON) of all runs."""
+        if not exists(self.spark, f"{self.root}/reports"):
+            return self.spark.createDataFrame([], "started_at string, report string")
+        return self.spark.read.text(f"{self.root}/reports").select(F.get_json_object("value", "$.started_at").alias("started_at"), F.col("value").alias("report"))
+
+    def _size(self) -> int:
+        return self.table("conversations").count() if self.version() else 0
+
+    def sweep(self, sources: dict[str, DataFrame], dry_run: bool = False, k: int | None = None) -> dict:
+        """Ingests what is new of several sources; of an id that two of them have, the first source's. The report has a row a source."""
+        known = self.table("conversations") if self.version() else self.spark.createDataFrame([], EMPTY)
+        parts = [normal(df).withColumns({"source": F.lit(name), "pos": F.lit(i)}) for i, (name, df) in enumerate(sources.items())]
+        parsed = parts[0]
+        for more in parts[1:]:
+            parsed = parsed.unionByName(more)
+        fresh = incremental.new_ids(parsed, known)
+        plan = {r.source: r.asDict() for r in catalog.plan_summary(parsed, fresh).collect()}
+        providers = lambda df: {r.provider: r["count"] for r in df.groupBy("provider").count().collect()}
+        report = {"started_at": _now(), "dry_run": dry_run, "corpus_before": known.count(), "plan": [plan[s] for s in sources if s in plan], "provider_before": providers(known)}
+        report["total_new"] = sum(p["n_new"] for p in report["plan"])
+        if dry_run or not report["total_new"]:
+            return report | {"action": "dry run (nothing written)" if dry_run else "nothing to ingest"}
+        notes = self.notes.fingerprint()
+        self.ingest(fresh, k=k)
+        report |= {"action": f"ingested {report['total_new']} conversations", "corpus_after": self._size(), "provider_after": providers(self.table("conversations")), "notes_untouched": self.notes.fingerprint() == notes}
+        self._report(report)
+        return report
+
+    def ingest_export(self, export: DataFrame, provider: str, dry_run: bool = False, k: int | None = None) -> dict:
+        """Ingests the conversations of a whole export that are not there yet. Those of the provider that the export does not have
+        any more are recorded, in a table a run, and stay."""
+        known = self.table("conversations") if self.version() else self.spark.createDataFrame([], EMPTY)
+        own, export = known.where(F.col("provider") == provider), normal(export)
+        gone, new = incremental.absent(own, export).select("id"), incremental.new_ids(export.withColumn("pos", F.lit(0)), known).drop("pos")
+        report = {"started_at": _now(), "provider": provider, "dry_run": dry_run, "export_conversations": export.select("id").distinct().count(), "corpus_before": known.count(), "provider_before": own.count(), "new": new.count(), "absent_from_export": gone.count()}
+        if dry_run:
+            return report | {"projected_after": report["corpus_before"] + report["new"], "projected_provider_after": report["provider_before"] + report["new"]}
+        record = f"{self.root}/absent/{uuid.uuid4().hex}"
+        gone.withColumns({"provider": F.lit(provider), "recorded_at": F.lit(report["started_at"]), "policy": F.lit("kept: the only copy")}).write.parquet(record)
+        if report["new"]:
+            self.ingest(new, k=k)
+        report |= {"record": record, "corpus_after": self._size()}
+        self._report(report)
+        return report
+
     def recluster(self, k: int) -> str:
         """A version with k clusters over the same conversations and vectors."""
         version = f"v-{uuid.uuid4().hex}"
-        to = lambda name, df: (df.write.parquet(f"{self.root}/{version}/{name}"), self.spark.read.parquet(f"{self.root}/{version}/{name}"))[1]
-        convs, _, vectors = (to(n, self.table(n)) for n in ("conversations", "chunks", "vectors"))
-        self._derive(version, to, convs, vectors, k)
-        self._publish(version)
+        to, old = self._writer(version), self.version()
+        convs, _ = to("conversations", self.table("conversations")), to("chunks", self.table("chunks"))
+        to("index", lexical.read_index(self.spark, f"{self.root}/{old}/index").drop("bucket"))
+        self._derive(to, convs, to("vectors", self.table("vectors")), k)
+        self._point("current", version)
         return version
 
-    def _publish(self, version: str) -> None:
-        self.spark.createDataFrame([(version, datetime.now(timezone.utc).isoformat())], "version string, at string").write.mode("append").parquet(f"{self.root}/current")
-
     def _asked(self, convs: DataFrame) -> DataFrame:
         asked = F.transform(F.filter("messages", lambda m: (m["role"] == "user") & (T.strip(m["text"]) != "")), lambda m: m["text"])
         return convs.select("id", "name", F.when(F.size(asked) > 0, asked).otherwise(F.array(F.coalesce("name", F.lit("")))).alias("asked"))
@@ -95,14 +245,14 @@ class MemoryEngine:
         """(id, chunk_id, text, vector): a vector a user message; the name stands in where there is none."""
         return self.embed(self._asked(convs).select("id", F.posexplode("asked").alias("chunk_id", "text"))).select("id", "chunk_id", "text", "vector")
 
-    def _derive(self, version: str, to, convs: DataFrame, vectors: DataFrame, k: int | None) -> None:
+    def _derive(self, to, convs: DataFrame, vectors: DataFrame, k: int | None) -> None:
         dim = clustering.dimension(vectors)
         members = to("members", clustering.kmeans(vectors, k) if k else clustering.sweep(vectors)[1])
         asked = self._asked(convs)
         first = F.coalesce(F.get(F.transform(F.filter("messages", lambda m: m["role"] == "user"), lambda m: m["text"]), 0), F.lit(""))
         heads = convs.select("id", "name", first.alias("first_message"))
         groups = to("clusters", clustering.labels(members, heads, dim))
-        to("edges", graph.degree_capped(graph.over_percentile(graph.similar_pairs(vectors))))
+        to("edges", graph.degree_capped(graph.over_percentile(vectors)))
         terms = lexical.top_terms(asked.select(F.col("id").alias("doc_id"), F.concat_ws(" ", "name", F.array_join(F.slice("asked", 1, 3), " ")).alias("text")), 4)
         terms = terms.groupBy(F.col("doc_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
         day = F.coalesce(F.date_format(F.try_to_timestamp("created_at"), "yyyy-MM-dd"), F.lit(""))
@@ -115,30 +265,25 @@ class MemoryEngine:
         """The best conversations by fused ranks; with a provider, those of the first 3 * top_k that have it."""
         if not query or not query.strip():
             return self.spark.createDataFrame([], FOUND)
-        top_k = top_k if isinstance(top_k, int) and top_k >= 1 else 5
-        convs = self.table("conversations")
+        top_k = clamped(top_k, 5, 0) or 5
+        convs, version = self.table("conversations"), self.version()
         asked = self.embed(self.spark.createDataFrame([(query,)], "text string")).first().vector
         q = V.literal(asked)
         semantic = self.table("vectors").select(F.col("id").alias("doc_id"), V.cosine(F.col("vector"), q).alias("score"))
         chunk = search.best_chunk(self.table("chunks").select(F.col("id").alias("doc_id"), "chunk_id", "vector"), q)
-        docs = convs.select(F.col("id").alias("doc_id"), F.concat_ws(" ", "name", F.array_join(F.transform("messages", lambda m: m["text"]), " ")).alias("text"))
         words = self.spark.createDataFrame([(query,)], "q string").select(T.tokens(F.col("q")).alias("w")).first().w
-        lexic = lexical.bm25(docs, words) if words else self.spark.createDataFrame([], semantic.schema)
-        fused = search.fuse(semantic, chunk.select("doc_id", "score"), lexic)
+        fused = search.fuse(semantic, chunk, lexical.search_index(self.spark, f"{self.root}/{version}/index", words))
         hits = fused.orderBy(F.desc("rrf"), F.desc("doc_id")).limit(top_k * 3 if provider else top_k)
         rows = hits.join(convs.withColumnRenamed("id", "doc_id"), "doc_id")
-        scores = [(semantic, "conversation_score"), (chunk.select("doc_id", "score"), "chunk_score"), (lexic, "lexical_score")]
-        for df, name in scores:
-            rows = rows.join(df.select("doc_id", F.col("score").alias(name)), "doc_id", "left")
-        best = self.table("chunks").select(F.col("id").alias("doc_id"), "chunk_id", F.col("text").alias("said"))
-        rows = rows.join(chunk.select("doc_id", "chunk_id"), "doc_id", "left").join(best, ["doc_id", "chunk_id"], "left")
+        said = self.table("chunks").select(F.col("id").alias("doc_id"), F.col("chunk_id").cast("long").alias("chunk_id"), F.col("text").alias("said"))
+        rows = rows.join(said, ["doc_id", "chunk_id"], "left")
         rows = rows.join(self.table("nodes").select(F.col("id").alias("doc_id"), "cluster", "label"), "doc_id", "left").join(self.notes.counts().withColumnRenamed("conv_id", "doc_id"), "doc_id", "left")
         if provider:
             rows = rows.where(F.col("provider") == provider)
         out = rows.orderBy(F.desc("rrf"), F.desc("doc_id")).limit(top_k)
         zero = lambda c: F.coalesce(c, F.lit(0.0))
         return out.select(
-            F.col("doc_id").alias("id"), F.col("name").alias("title"), F.coalesce("created_at", F.lit("")).alias("date"), "provider", F.col("rrf").alias("score"), *(zero(F.col(n)).alias(n) for _, n in scores), F.size("messages").alias("message_count"),
+            F.col("doc_id").alias("id"), F.col("name").alias("title"), F.coalesce("created_at", F.lit("")).alias("date"), "provider", F.col("rrf").alias("score"), *(zero(F.col(f"{n}_score")).alias(f"{n}_score") for n in search.KINDS), F.size("messages").alias("message_count"),
             T.excerpt(T.coalesce_text(F.col("said"), F.get("messages", 0)["text"])).alias("excerpt"), F.coalesce("cluster", F.lit(0)).alias("cluster_id"), F.coalesce("label", F.lit("Unknown")).alias("cluster_label"), F.coalesce("notes_count", F.lit(0)).alias("notes_count"),
         )
 
@@ -183,14 +328,27 @@ class MemoryEngine:
         return nodes.join(self.notes.counts().withColumnRenamed("conv_id", "id"), "id", "left").withColumn("has_notes", F.coalesce("notes_count", F.lit(0)) > 0).drop("notes_count")
 
     def list(self, offset: int = 0, limit: int = 20, sort_by: str = "date", provider: str | None = None) -> dict:
+        offset, limit = clamped(offset, 0, 0), clamped(limit, 20, 1, 50)
         items = self.items() if provider is None else self.items().where(F.col("provider") == provider)
         page = [r.asDict() for r in catalog.listing(items, sort_by, offset, limit).drop("pos").collect()]
-        return {"conversations": page, "total": items.count(), "offset": max(0, offset), "limit": min(50, max(1, limit))}
+        return {"conversations": page, "total": items.count(), "offset": offset, "limit": limit}
 
     def recent(self, n: int = 10, before: str | None = None, after: str | None = None, provider: str | None = None) -> list[dict]:
-        return [r.asDict() for r in catalog.recent(self.items(), n, before, after, provider).drop("pos").collect()]
+        return [r.asDict() for r in catalog.recent(self.items(), clamped(n, 10, 1, 50), before, after, provider).drop("pos").collect()]
 
     def stats(self) -> dict:
         items = self.items()
+        row, first = catalog.corpus_stats(items).first(), self.table("vectors").select(F.size("vector").alias("n")).first()
         providers = {r.provider: r["count"] for r in items.groupBy("provider").count().collect()}
-        return catalog.corpus_stats(items).first().asDict() | {"providers": providers, "clusters": self.table("clusters").count(), "edges": self.table("edges").count()}
+        return {
+            "totalConversations": row.n_items, "totalMessages": row.n_messages, "dateRange": [row.first_day, row.last_day], "embeddingModel": getattr(self.embed, "__name__", ""),
+            "embeddingDim": first.n if first else 0, "providers": providers, "clusterCount": self.table("clusters").count(), "edgeCount": self.table("edges").count(),
+        }
+
+    def server_info(self, sources: dict[str, str] | None = None) -> dict:
+        """What a server shows of itself; zeros before the first version."""
+        stats, up = (self.stats() if self.version() else {}), time.time() - self.began
+        return {
+            "uptime_seconds": up, "uptime_formatted": f"{int(up // 3600)}h {int(up % 3600 // 60):02d}m", "total_conversations": stats.get("totalConversations", 0), "total_messages": stats.get("totalMessages", 0),
+            "providers": stats.get("providers", {}), "date_range": stats.get("dateRange", ["", ""]), "embedding_model": stats.get("embeddingModel", ""), "data_sources": sources or {},
+        }

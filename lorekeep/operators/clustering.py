@@ -88,12 +88,12 @@ def assign(vectors: DataFrame, members: DataFrame, dim: int) -> DataFrame:
 def components(vectors: DataFrame, n: int = 3) -> DataFrame:
     """(id, p): the first n principal components of (id, vector), centred.
 
-    A component's sign makes its largest loading positive; missing components are zeros. The fit gathers a matrix of
+    A component's sign makes its largest loading positive; missing components are zeros, as all are of fewer than two rows. The fit gathers a matrix of
     dimension by dimension, whatever the number of rows.
     """
     rows = vectors.select("id", array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
     dim = dimension(vectors)
-    if dim == 0:
+    if dim == 0 or len(vectors.take(2)) < 2:
         return vectors.select("id", F.array(*[F.lit(0.0)] * n).alias("p"))
     model = PCA(k=min(n, dim), inputCol="features", outputCol="pc").fit(rows)
     loading = model.pc.toArray()

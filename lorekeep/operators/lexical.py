@@ -63,23 +63,34 @@ def bucket(term):
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def write_index(docs: DataFrame, folder: str) -> None:
-    """Postings (doc_id, term, tf, len), a folder a bucket of terms, and the row of the corpus (n, avgdl)."""
-    sized = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("ts")).select("doc_id", F.size("ts").cast("long").alias("len"), "ts")
-    held = sized.select("doc_id", "len", F.explode("ts").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held.withColumn("bucket", bucket("term")).repartition(spread, "bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
-    sized.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl")).write.parquet(f"{folder}/corpus")
+def entries(docs: DataFrame) -> DataFrame:
+    """(doc_id, len, term, tf): postings of docs; a document without words has one row with a null term."""
+    sized = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("ts")).select("doc_id", F.size("ts").cast("long").alias("len"), F.explode_outer("ts").alias("term"))
+    return sized.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+
+
+def write_index(postings_: DataFrame, folder: str) -> None:
+    """Entries as a stored index: postings, a folder a bucket of terms, and the row of the corpus (n, avgdl)."""
+    spread = int(postings_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = postings_.withColumn("bucket", F.coalesce(bucket("term"), F.lit(BUCKETS)))
+    held.repartition(spread, "bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    sizes = read_index(postings_.sparkSession, folder).groupBy("doc_id").agg(F.max("len").alias("len"))
+    sizes.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl")).write.parquet(f"{folder}/corpus")
+
+
+def read_index(spark, folder: str) -> DataFrame:
+    """The entries of a stored index, with their bucket."""
+    return spark.read.schema("doc_id string, len long, term string, tf long, bucket int").parquet(f"{folder}/postings")
 
 
 def search_index(spark, folder: str, query: list[str], k1: float = K1, b: float = B) -> DataFrame:
-    """bm25 from a stored index: only the folders of the query's terms are read, and of them only those terms' rows."""
+    """bm25 (doc_ids are strings) from a stored index: only the folders of the query's terms are read, and of them only those terms' rows."""
     weight = Counter(query)
     corpus = spark.read.schema("n long, avgdl double").parquet(f"{folder}/corpus").first()
     if not weight or not corpus.n:
         return spark.createDataFrame([], "doc_id string, score double")
     places = [r.k for r in spark.createDataFrame([(t,) for t in weight], "t string").select(bucket("t").alias("k")).distinct().collect()]
-    held = spark.read.parquet(f"{folder}/postings").where(F.col("bucket").isin(places) & F.col("term").isin(list(weight)))
+    held = read_index(spark, folder).where(F.col("bucket").isin(places) & F.col("term").isin(list(weight)))
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     times = F.create_map(*(x for t, c in weight.items() for x in (F.lit(t), F.lit(float(c)))))
     part = _score(times[F.col("term")], F.col("tf"), F.col("df"), F.lit(corpus.n), F.col("len"), F.lit(corpus.avgdl), k1, b)

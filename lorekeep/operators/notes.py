@@ -34,6 +34,11 @@ class Notes:
         log = self._log()
         return log.where("op = 'add'").drop("op").join(log.where("op = 'delete'").select("conv_id", "note_id"), ["conv_id", "note_id"], "left_anti").select("conv_id", "note_id", "text", "created_at")
 
+    def fingerprint(self) -> str:
+        """A digest of the log that does not depend on the order of its rows."""
+        row = self._log().agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("conv_id", "note_id", "text", "created_at", "op").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
+        return f"{row.n}-{row.h}"
+
     def of(self, conv_id: str) -> DataFrame:
         return self.table().where(F.col("conv_id") == conv_id).orderBy("created_at", "note_id")
 

@@ -11,15 +11,24 @@ from .common import numbered
 RRF_K = 60
 
 
+KINDS = ("conversation", "chunk", "lexical")
+
+
 def fuse(semantic: DataFrame, chunk: DataFrame, lexical: DataFrame) -> DataFrame:
-    """(doc_id, rrf) of (doc_id, score): semantic ranks count always, those of the other rankings where the score is over 0.
+    """(doc_id, rrf, conversation_score, chunk_score, lexical_score, chunk_id) of (doc_id, score, and chunk_id in chunk, if there).
 
-    Ranks are by score descending, then doc_id descending. The three rankings are numbered as one table.
+    Semantic ranks count always, those of the other rankings where the score is over 0. Ranks are by score descending, then
+    doc_id descending. The three rankings are numbered as one table, which is computed once.
     """
-    one = lambda i, d: d.select(F.lit(i).alias("kind"), "doc_id", F.col("score").cast("double").alias("score"))
+
+    def one(i, d):
+        held = F.col("chunk_id").cast("long") if "chunk_id" in d.columns else F.lit(None).cast("long")
+        return d.select(F.lit(i).alias("kind"), "doc_id", F.col("score").cast("double").alias("score"), held.alias("chunk_id"))
+
     ranked = numbered(one(0, semantic).union(one(1, chunk)).union(one(2, lexical)), [F.desc("score"), F.desc("doc_id")], "rank", ("kind",))
     part = F.when((F.col("score") > 0) | (F.col("kind") == 0), 1 / (RRF_K + F.col("rank")))
-    return ranked.groupBy("doc_id").agg(F.sum(part).alias("rrf"))
+    scores = [F.max(F.when(F.col("kind") == i, F.col("score"))).alias(f"{k}_score") for i, k in enumerate(KINDS)]
+    return ranked.groupBy("doc_id").agg(F.sum(part).alias("rrf"), *scores, F.max("chunk_id").alias("chunk_id"))
 
 
 def best_chunk(chunks: DataFrame, query: Column) -> DataFrame:

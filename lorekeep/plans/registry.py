@@ -64,7 +64,7 @@ def _hybrid(spark, sf):
     v = _vectors(spark, sf)
     semantic = v.select(F.col("id").alias("doc_id"), F.round(V.cosine(F.col("vector"), _query_vector()), 6).alias("score"))
     chunk = _best(spark, sf).select("doc_id", F.round("score", 6).alias("score"))
-    return search.fuse(semantic, chunk, _round(lexical.bm25(_t(spark, sf, "documents").select("doc_id", "text"), QUERY), "score"))
+    return search.fuse(semantic, chunk, _round(lexical.bm25(_t(spark, sf, "documents").select("doc_id", "text"), QUERY), "score")).select("doc_id", "rrf")
 
 
 def _best(spark, sf):

@@ -126,6 +126,8 @@ def test_engine(spark, tmp_path):
     note = engine.add_note("c1", "good")["note"]
     assert engine.add_note("x", "good")["error"] and engine.add_note("c1", " ")["error"] and engine.delete_note("c1", "x")["error"]
     assert engine.get("c1")["notes"][0]["text"] == "good" and engine.get("")["error"] and engine.get("x")["error"]
+    assert engine.list("x", None)["limit"] == 20 and len(engine.recent("x")) == 6 and len(engine.search("bread", 0)) == 5
+    assert engine.stats()["dateRange"] == ["2024-01-01", "2024-06-01"] and engine.stats()["embeddingDim"] == 256
     page = engine.list(0, 2, "date")
     assert [c["id"] for c in page["conversations"]] == ["c5", "c4"] and page["total"] == 6
     assert {c["id"]: c["has_notes"] for c in engine.list(0, 50)["conversations"]}["c1"]
@@ -133,14 +135,14 @@ def test_engine(spark, tmp_path):
     assert engine.delete_note("c1", note["note_id"])["notes"] == []
     changed = [("c0", "bread notes", "2024-09-01T00:00:00", "grok", "tell me about gliders", "ok"), ("c9", "new", "2024-09-02T00:00:00", "grok", "gliders", "ok")]
     second = engine.ingest(chats(spark, changed), k=2)
-    assert second != first and engine.stats()["n_items"] == 7 and engine.stats()["providers"] == {"grok": 4, "claude": 3}
+    assert second != first and engine.stats()["totalConversations"] == 7 and engine.stats()["providers"] == {"grok": 4, "claude": 3}
     assert {h["id"] for h in engine.search("gliders", 2)} == {"c0", "c9"}
     vectors = {r.id: r.vector for r in engine.table("vectors").collect()}
     assert len(vectors) == 7 and all(math.isclose(sum(x * x for x in v), 1) for v in vectors.values())
     engine.ingest(chats(spark, changed), mode="replace")
-    assert engine.stats()["n_items"] == 2
+    assert engine.stats()["totalConversations"] == 2
     before = engine.version()
-    assert engine.recluster(2) == engine.version() != before and engine.stats()["clusters"] == 2 and engine.stats()["n_items"] == 2
+    assert engine.recluster(2) == engine.version() != before and engine.stats()["clusterCount"] == 2 and engine.stats()["totalConversations"] == 2
     with pytest.raises(ValueError, match="neither"):
         engine.ingest(chats(spark, changed), mode="x")
 
@@ -148,4 +150,58 @@ def test_engine(spark, tmp_path):
 def test_engine_of_nothing(spark, tmp_path):
     engine = MemoryEngine(spark, str(tmp_path / "root"))
     engine.ingest(spark.createDataFrame([], EMPTY))
-    assert engine.search("a") == [] and engine.stats()["n_items"] == 0
+    assert engine.search("a") == [] and engine.stats()["totalConversations"] == 0
+
+
+def test_engine_runs(spark, tmp_path):
+    """Manifest, trivial sessions, dry runs, reports, sweeps and exports with what is gone."""
+    steps = []
+    engine = MemoryEngine(spark, str(tmp_path / "root"), progress=lambda *x: steps.append(x))
+    assert engine.server_info()["total_conversations"] == 0 and engine.reports().count() == 0
+    rows = [(f"c{i}", f"n{i}", f"2024-01-0{i + 1}", "grok", f"question {i}", "a") for i in range(4)]
+    silent = spark.createDataFrame([("t", "trivial", "", "grok", [{"role": "assistant", "text": "x", "timestamp": ""}])], EMPTY)
+    batch = chats(spark, rows).union(silent)
+    plan = engine.update(batch, dry_run=True)
+    assert (plan["new"], plan["changed"], plan["unchanged"]) == (5, 0, 0) and engine.version() is None and engine.manifest().count() == 0
+    done = engine.update(batch, k=2)
+    assert (done["ingested"], done["skipped_trivial"], done["corpus_before"], done["corpus_after"], done["notes_untouched"]) == (4, 1, 0, 4, True)
+    assert steps[0] == ("conversations", 1, 9) and steps[-1][1] == steps[-1][2] == 9
+    version = engine.version()
+    assert engine.update(batch)["action"] == "nothing to do" and engine.version() == version and engine.manifest().count() == 5
+    changed = chats(spark, [("c1", "n1", "2024-02-02", "grok", "another question", "a"), ("c0", "n0", "2024-01-01", "grok", "question 0", "a")])
+    again = engine.update(changed, k=2)
+    assert (again["new"], again["changed"], again["unchanged"], again["corpus_after"]) == (0, 1, 1, 4)
+    assert engine.search("another question", 1)[0]["id"] == "c1" and engine.reports().count() == 3
+    more = chats(spark, [("c1", "other", "2024-03-01", "claude", "q", "a"), ("d1", "d", "2024-03-02", "claude", "q", "a")])
+    both = {"claude": more, "late": chats(spark, [("d1", "dup", "2024-03-03", "late", "q", "a"), ("d2", "d", "", "late", "q", "a")])}
+    report = engine.sweep(both, dry_run=True)
+    assert [(p["source"], p["n_parsed"], p["n_new"], p["first"]) for p in report["plan"]] == [("claude", 2, 1, "2024-03-02"), ("late", 2, 1, "-")]
+    report = engine.sweep(both, k=2)
+    assert report["corpus_after"] == 6 and report["provider_before"] == {"grok": 4} and report["provider_after"] == {"grok": 4, "claude": 1, "late": 1}
+    assert engine.sweep(both)["action"] == "nothing to ingest"
+    export = chats(spark, [*rows[:2], ("e1", "e", "2024-05-01", "grok", "q", "a")])
+    assert engine.ingest_export(export, "grok", dry_run=True)["projected_after"] == 7
+    got = engine.ingest_export(export, "grok", k=2)
+    assert (got["new"], got["absent_from_export"], got["corpus_after"]) == (1, 2, 7)
+    assert {r.id for r in spark.read.parquet(got["record"]).collect()} == {"c2", "c3"} and engine.get("c2")["id"] == "c2"
+    assert engine.server_info({"grok": "/x"})["total_conversations"] == 7
+    for f in (tmp_path / "root/manifests" / engine._pointed("manifest")).glob("*.parquet"):
+        f.write_bytes(b"torn")
+    assert engine.manifest().count() == 0
+
+
+def test_messages_without_timestamp(spark, tmp_path):
+    engine = MemoryEngine(spark, str(tmp_path / "root"))
+    old = spark.createDataFrame([("a", "n", "", "claude", [("user", "hi", "then", 1)])], "id string, name string, created_at string, provider string, messages array<struct<role: string, text: string, created_at: string, extra: int>>")
+    engine.ingest(old)
+    assert engine.get("a")["messages"] == [{"role": "user", "text": "hi", "timestamp": "then"}]
+
+
+def test_stored_index_equals_bm25(spark, tmp_path):
+    from lorekeep.operators import lexical
+
+    docs = spark.createDataFrame([("a", "bread soup bread"), ("b", "soup"), ("c", ""), ("d", None), ("e", "boats, Bread")], "doc_id string, text string")
+    lexical.write_index(lexical.entries(docs), str(tmp_path / "i"))
+    for query in (["bread", "soup", "bread"], ["none"], []):
+        got, want = ({r.doc_id: pytest.approx(r.score) for r in df.collect()} for df in (lexical.search_index(spark, str(tmp_path / "i"), query), lexical.bm25(docs, query)))
+        assert got == want
