@@ -205,3 +205,21 @@ def test_stored_index_equals_bm25(spark, tmp_path):
     for query in (["bread", "soup", "bread"], ["none"], []):
         got, want = ({r.doc_id: pytest.approx(r.score) for r in df.collect()} for df in (lexical.search_index(spark, str(tmp_path / "i"), query), lexical.bm25(docs, query)))
         assert got == want
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lorekeep import config
+    from lorekeep.__main__ import main
+
+    chat = [{"uuid": f"u{i}", "name": f"about {w}", "created_at": f"2024-01-0{i + 1}", "chat_messages": [{"sender": "human", "text": f"tell me about {w}"}, {"sender": "assistant", "text": "yes"}]} for i, w in enumerate(("bread", "soup", "boats"))]
+    (tmp_path / "a.json").write_text(json.dumps(chat))
+    (tmp_path / "c.json").write_text(json.dumps({"engine": {"root": str(tmp_path / "root"), "clusters": 2}, "search": {"top_k": 1}, "extra": 1}))
+    assert config.load(spark, str(tmp_path / "none.json")) == config.DEFAULTS
+    assert config.load(spark, str(tmp_path / "c.json"))["engine"]["least_user_messages"] == 1
+    base = ["--config", str(tmp_path / "c.json")]
+    assert main([*base, "--source", str(tmp_path / "a.json"), "--dry-run"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["new"] == 3
+    assert main([*base, "--add-source", "claude", str(tmp_path / "a.json"), "--search", "soup", "--stats"], spark) == 0
+    said = capsys.readouterr()
+    report, hits, info = map(json.loads, said.out.strip().splitlines())
+    assert report["ingested"] == 3 and [h["id"] for h in hits] == ["u1"] and info["total_conversations"] == 3 and "timeline: 9/9" in said.err
