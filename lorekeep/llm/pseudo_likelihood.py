@@ -268,7 +268,7 @@ def tokenise_all(docs: DataFrame, known: dict[str, int], shares: dict[bytes, flo
 def rest_shares(ids: DataFrame, counts: DataFrame, totals: np.ndarray) -> DataFrame:
     """The sums of the logarithmic shares of the words in `_rest`, by `_row`."""
     total = F.get(F.array(*(F.lit(float(t)) for t in totals)), F.col("c") - TOP)
-    share = counts.select("w", F.log(F.col("n") / total).alias("share"))
+    share = counts.select("w", F.log(F.try_divide(F.col("n"), total)).alias("share"))  # a class all of whose words the network predicts has none
     return ids.select("_row", F.explode("_rest").alias("w")).join(share, "w").groupBy("_row").agg(F.sum("share").alias("_rest_share"))
 
 

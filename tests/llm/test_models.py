@@ -36,6 +36,58 @@ def test_classifier_edges(spark, as_docs, odd_texts):
     assert quality_classifier.op7(as_docs([]), labels).count() == 0
 
 
+def plain_features(raw: bytes) -> set:
+    """Byte 1-, 2- and 3-grams and repetitions of a word, by plain loops."""
+    q = quality_classifier
+    out = set(raw) | {256 + (a << 8) + b for a, b in zip(raw, raw[1:], strict=False)}
+    out |= {q.BASE3 + ((((a << 16) | (b << 8) | c) * 2654435761 % 2**32) >> (32 - q.TRI_BITS)) for a, b, c in zip(raw, raw[1:], raw[2:], strict=False)}
+    run, last = 0, None
+    for w in raw.split():
+        run, last = (run + 1 if w == last else 0), w
+        if 1 <= run <= q.REPEATS:
+            out.add(q.BASE_R + run - 1)
+    return out
+
+
+def test_features_equal_plain_ones(odd_texts):
+    seen = np.zeros(quality_classifier.SIZE, bool)
+    for _, text in odd_texts:
+        raw = (text or "").encode()
+        assert set(quality_classifier.features(raw, seen).tolist()) == plain_features(raw)
+
+
+def test_fit_reaches_the_plain_optimum():
+    """The weights, divided by the log-count ratios, minimise the hinge-loss objective that a plain solver minimises too; the
+    curve's gradient is zero at its slope and intercept."""
+    q, r = quality_classifier, np.random.default_rng(3)
+    y = r.integers(0, 2, 100)
+    rows = [np.flatnonzero(r.random(40) < np.where(np.arange(40) < 12, 0.15 + 0.3 * k, 0.25)).astype(np.uint32) for k in y]
+    w, a, b = q.fit(rows, y, 0.4)
+    fit_on = np.flatnonzero(np.arange(100) % 5 != 4)
+    count = np.ones((2, q.SIZE))
+    for i in fit_on:
+        count[y[i], rows[i]] += 1
+    ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
+    x = np.zeros((100, 40))
+    for i, ids in enumerate(rows):
+        x[i, ids] = ratio[ids] / max(1.0, np.sqrt(len(ids)))
+    sign, share = np.where(y == 1, 1.0, -1.0), [(y[fit_on] == k).mean() for k in (0, 1)]
+    c = np.array([q.C * 0.5 / share[k] for k in y])
+    value = lambda v: 0.5 * v @ v + (c * np.maximum(0, 1 - sign * (x @ v)))[fit_on].sum()
+    v = np.zeros(40)
+    for step in range(1, 30001):
+        on = fit_on[(sign * (x @ v))[fit_on] < 1]
+        v -= (v - (c * sign)[on] @ x[on]) / (step + 10)
+    found = np.where(ratio[:40] != 0, w[:40] / np.where(ratio[:40] == 0, 1, ratio[:40]), 0)
+    assert value(found) <= 1.02 * value(v) and abs(w[40:]).max() == 0
+    out = np.arange(100) % 5 == 4
+    m, t = x[out] @ found, y[out]
+    weight = np.where(t == 1, 0.4, 0.6) / np.where(t == 1, t.sum(), (1 - t).sum()) * out.sum()
+    target = np.where(t == 1, (t.sum() + 1) / (t.sum() + 2), 1 / ((1 - t).sum() + 2))
+    g = weight * (1 / (1 + np.exp(-(a * m + b))) - target)
+    assert abs((g * m).sum() + 1e-3 * a) < 1e-6 and abs(g.sum()) < 1e-6
+
+
 def test_features_in_blocks(monkeypatch):
     seen, text = np.zeros(quality_classifier.SIZE, bool), ("héllo wörld ! " * 300).encode()
     whole = quality_classifier.features(text, seen)
@@ -205,6 +257,45 @@ def test_pseudo_likelihood_plain(monkeypatch):
     assert np.allclose(got, want, atol=1e-4)
 
 
+def test_pseudo_likelihood_gradients(monkeypatch):
+    """With large sums of squares a step is the gradient times a constant: it equals differences of the loss."""
+    p, r = pseudo_likelihood, np.random.default_rng(6)
+    params = [x.astype(np.float64) + r.normal(0, 0.2, x.shape) for x in p.start()]
+    flat, at = p.stream([r.integers(0, p.PAD, 40).astype(np.int16), r.integers(0, p.PAD, 3).astype(np.int16)])
+    loss = lambda q: -p.log_probabilities(q, flat, at).mean()
+    after = [x.copy() for x in params]
+    p.train_on(after, [np.full(x.shape, 1e8) for x in params], flat, at)
+    probes = [(0, (k, int(flat[at[i] + o]), d)) for k, o in enumerate(p.OFFSETS) for i in (0, 7, 20, 41) for d in (0, 5)]
+    probes += [(1, (int(b), d)) for b in (0, 9, 31) for d in (0, 3, p.DIM)]
+    probes += [(2, (int(p.TARGET[flat[at[i]]]) // p.WIDTH, int(p.TARGET[flat[at[i]]]) % p.WIDTH, d)) for i in (0, 5, 30) for d in (0, p.DIM)]
+    for j, where in probes:
+        slope = []
+        for e in (2e-2, -2e-2):
+            moved = [x.copy() for x in params]
+            moved[j][where] += e
+            slope.append(loss(moved))
+        want = (slope[0] - slope[1]) / 4e-2
+        got = (params[j][where] - after[j][where]) * 1e4 / p.RATE
+        assert got == pytest.approx(want, rel=0.03, abs=2e-5)
+
+
+def test_pseudo_likelihood_sums_of_many_partitions(spark, monkeypatch):
+    """Parameters are averaged in proportion to tokens, in as many steps as there are: the same for one step or two."""
+    p = pseudo_likelihood
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 200").repartition(6, "doc_id")
+    ids = p.tokenise(docs, p.vocabulary(docs))
+    whole = p.train(ids, rounds=1)
+    monkeypatch.setattr(p, "STEP", 1)
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(whole, p.train(ids, rounds=1), strict=True))
+
+
+def test_pseudo_likelihood_of_a_very_long_text(as_docs):
+    r = random.Random(2)
+    text = " ".join(r.choice(["the", "cat", "sat", "on", "mats", f"rare{r.randint(0, 9999)}"]) for _ in range(60000))
+    one = pseudo_likelihood.op10(as_docs([(1, text), (2, "the cat"), (3, None)])).toPandas().set_index("doc_id")
+    assert one.n_tokens.to_dict() == {1: 60000, 2: 2, 3: 0} and np.isfinite(one.log_likelihood).all()
+
+
 def test_pseudo_likelihood_edges(as_docs, odd_texts):
     got = pseudo_likelihood.op10(as_docs(odd_texts)).collect()
     assert len(got) == len(odd_texts)
