@@ -29,17 +29,16 @@ def _blocks(vectors: DataFrame, block: int) -> DataFrame:
     return written(pairs.select("x", "vx", "y", "vy", (F.col("i") == F.col("j")).alias("same")).repartition(parts))
 
 
-def _products(batch, r: int):
-    """Strips of cosines of a row of _blocks: (places in x, places in y, cosines), a pair of different vectors once."""
+def _strips(batch, r: int):
+    """Strips of cosines of a row of _blocks: (first place in x, cosines, which of them count), so that a pair of different vectors
+    counts once. Cosines have twelve decimals, so that equal pairs are equal wherever they stand in a block."""
     x, y = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("vx", "vy"))
     n, m = len(batch.column("x")[r].values), len(batch.column("y")[r].values)
     x, y = x.reshape(n, -1), y.reshape(m, -1)
     same = batch.column("same")[r].as_py()
     for at in range(0, n, STRIP):
-        w = x[at : at + STRIP] @ y.T
-        i, j = np.indices(w.shape)
-        keep = (j > i + at) if same else np.ones(w.shape, bool)
-        yield i[keep] + at, j[keep], w[keep]
+        w = np.round(x[at : at + STRIP] @ y.T, 12)
+        yield at, w, np.arange(m)[None, :] > np.arange(at, at + len(w))[:, None] if same else np.ones(w.shape, bool)
 
 
 def _pairs(blocks: DataFrame, over: float | None = None) -> DataFrame:
@@ -52,10 +51,9 @@ def _pairs(blocks: DataFrame, over: float | None = None) -> DataFrame:
                 both = pa.concat_arrays([x, y])
                 place = np.empty(len(both), np.int64)
                 place[pc.sort_indices(both).to_numpy()] = np.arange(len(both))
-                for i, j, w in _products(batch, r):
-                    if over is not None:
-                        i, j, w = (v[w > over] for v in (i, j, w))
-                    j = j + len(x)
+                for at, w, counts in _strips(batch, r):
+                    i, j = np.nonzero(counts if over is None else counts & (w > over))
+                    w, i, j = w[i, j], i + at, j + len(x)
                     first = place[i] < place[j]
                     yield pa.RecordBatch.from_arrays([both.take(pa.array(np.where(first, i, j))), both.take(pa.array(np.where(first, j, i))), pa.array(w)], ["a", "b", "w"])
 
@@ -76,8 +74,8 @@ def _cut(blocks: DataFrame, p: float) -> float | None:
             counts, ends = np.zeros(BINS, np.int64), np.stack([np.full(BINS, np.inf), np.full(BINS, -np.inf)])
             for batch in batches:
                 for r in range(batch.num_rows):
-                    for _, _, w in _products(batch, r):
-                        w = w[(w >= low) & (w <= high)]
+                    for _, w, ok in _strips(batch, r):
+                        w = w[ok & (w >= low) & (w <= high)]
                         k = np.minimum(((w - low) / (high - low) * BINS).astype(np.int64), BINS - 1)
                         counts += np.bincount(k, minlength=BINS)
                         np.minimum.at(ends[0], k, w)
@@ -92,33 +90,36 @@ def _cut(blocks: DataFrame, p: float) -> float | None:
         def run(batches):
             for batch in batches:
                 for r in range(batch.num_rows):
-                    for _, _, w in _products(batch, r):
-                        yield pa.RecordBatch.from_arrays([pa.array(w[(w >= low) & (w <= high)])], ["w"])
+                    for _, w, ok in _strips(batch, r):
+                        yield pa.RecordBatch.from_arrays([pa.array(w[ok & (w >= low) & (w <= high)])], ["w"])
 
         return np.sort([r.w for r in blocks.mapInArrow(run, "w double").collect()])  # at most FEW
 
-    def statistic(rank: int, bins) -> float:
-        while True:
-            below = 0
-            for b in bins:
-                if below + b.n > rank:
-                    break
-                below += b.n
-            rank -= below
-            if b.low == b.high:
-                return b.low
-            if b.n <= FEW:
-                return float(values(b.low, b.high)[rank])
-            bins = histogram(b.low, b.high)
-
-    first = histogram(-1.0 - 1e-9, 1.0 + 1e-9)
-    n = sum(b.n for b in first)
+    def bin_of(rank: int, bins):
+        for b in bins:
+            if rank < b.n:
+                return b, rank
+            rank -= b.n
+        raise IndexError(rank)
+
+    def statistics(rank: int, n: int, bins) -> list[float]:
+        """The order statistics rank to rank + n - 1, n being 1 or 2, of the values in bins."""
+        first, at = bin_of(rank, bins)
+        if n == 2 and at + 1 == first.n:  # the second is in another bin: the least there
+            return [*statistics(rank, 1, bins), bin_of(rank + 1, bins)[0].low]
+        if first.low == first.high:
+            return [first.low] * n
+        if first.n <= FEW:
+            return values(first.low, first.high)[at : at + n].tolist()
+        return statistics(at, n, histogram(first.low, first.high))
+
+    bins = histogram(-1.0 - 1e-9, 1.0 + 1e-9)
+    n = sum(b.n for b in bins)
     if not n:
         return None
     at = p * (n - 1)
-    low = statistic(math.floor(at), first)
-    high = low if at == math.floor(at) else statistic(math.floor(at) + 1, first)
-    return low + (high - low) * (at - math.floor(at))
+    found = statistics(math.floor(at), 1 if at == math.floor(at) else 2, bins)
+    return found[0] + (found[-1] - found[0]) * (at - math.floor(at))
 
 
 def over_percentile(vectors: DataFrame, p: float = 0.95, block: int = BLOCK) -> DataFrame:

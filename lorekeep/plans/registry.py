@@ -144,11 +144,13 @@ def _exported(spark, sf, provider):
     else:
         content = F.when(c("turn") % 4 == 0, one('"text":', said)).when(c("turn") % 4 == 1, one('"content":', said)).when(c("turn") % 4 == 2, one('"content":[', said, ",", more, "]"))
         content = content.otherwise(one('"content":[{"type":"image"},{"type":"text","text":', said, "}]"))
+        content = one('"text":', said) if provider == "abacus" else content
         turns = t.select("conv_id", "turn", one('{"role":', _json(c("role")), ',"created_at":"t",', content, "}").alias("j"))
         whole = lambda ms, last: one('{"id":"', c("conv_id").cast("string"), '","uuid":"', c("conv_id").cast("string"), '","name":"n","messages":[', ms, "]}")
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "j"))), lambda x: x["j"]), ",")
     rows = turns.groupBy("conv_id").agg(ordered.alias("ms"), F.max("turn").alias("last")).select(F.pmod("conv_id", F.lit(8)).alias("shard"), whole(c("ms"), c("last")).alias("j"))
-    files = rows.groupBy("shard").agg(one("[", F.array_join(F.array_sort(F.collect_list("j")), ","), "]").alias("value"))
+    listed = one("[", F.array_join(F.array_sort(F.collect_list("j")), ","), "]")
+    files = rows.groupBy("shard").agg((one('{"conversations":', listed, "}") if provider == "abacus" else listed).alias("value"))
     folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     files.write.partitionBy("shard").text(folder)
     got = exports.read(spark, provider, f"{folder}/*/*.txt")
@@ -236,6 +238,7 @@ def queries() -> dict:
         "cluster_inertia": lambda s, d: _round(graph.inertia(_vectors(s, d), graph.centroids(_vectors(s, d), DIM)), "inertia"),
         "read_claude": lambda s, d: _exported(s, d, "claude"),
         "read_chatgpt": lambda s, d: _exported(s, d, "chatgpt"),
+        "read_abacus": lambda s, d: _exported(s, d, "abacus"),
         "read_grok": lambda s, d: _exported(s, d, "grok"),
         "keyword_filter": lambda s, d: _t(s, d, "documents").where(F.contains(F.lower("text"), F.lit("trash"))).orderBy("doc_id").limit(10).select("doc_id"),
     }
@@ -257,7 +260,7 @@ _Q = "[" + ", ".join(f"{((i * 7) % 11 - 5) / 5}::DOUBLE" for i in range(DIM)) +
 _V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vector, label AS cluster FROM embeddings)"
 _COS = f"list_cosine_similarity(vector, {_Q})"
 _UNIT = "u AS (SELECT id, cluster, list_transform(vector, lambda x: x / sqrt(list_inner_product(vector, vector))) AS v FROM v)"
-_PAIRS = f"{_V}, {_UNIT}, pr AS (SELECT a.id AS a, b.id AS b, list_inner_product(a.v, b.v) AS w FROM u a JOIN u b ON a.id < b.id), e AS (SELECT * FROM pr WHERE w > (SELECT quantile_cont(w, 0.95) FROM pr))"
+_PAIRS = f"{_V}, {_UNIT}, pr AS (SELECT a.id AS a, b.id AS b, round(list_inner_product(a.v, b.v), 12) AS w FROM u a JOIN u b ON a.id < b.id), e AS (SELECT * FROM pr WHERE w > (SELECT quantile_cont(w, 0.95) FROM pr))"
 _MEAN = f"{_V}, {_UNIT}, x AS (SELECT cluster, unnest(v) AS x, unnest(range(0, {DIM})) AS dim FROM u), m0 AS (SELECT cluster, dim, avg(x) AS x FROM x GROUP BY ALL), mm AS (SELECT cluster, list(x ORDER BY dim) AS m FROM m0 GROUP BY 1)"
 _ITEMS = "i AS (SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS created_at, o_orderpriority AS name, o_orderstatus AS provider, o_custkey % 7 AS n_messages, o_custkey % 5 AS cluster FROM orders)"
 _BEST = f"{_V}, bc AS (SELECT id // 4 AS doc_id, {_COS} AS score, id AS chunk_id FROM v QUALIFY row_number() OVER (PARTITION BY id // 4 ORDER BY score DESC, id) = 1)"
@@ -309,6 +312,9 @@ def oracle_sql() -> dict[str, str]:
         "similarity_pairs_p95": f"WITH {_PAIRS} SELECT count(*) AS n, round(min(w), 6) AS low, round(max(w), 6) AS high FROM e",
         "edge_topk_per_node": f"WITH {_PAIRS}, sd AS (SELECT a, b, w, a AS node FROM e UNION ALL SELECT a, b, w, b FROM e), t AS (SELECT a, b, w FROM sd QUALIFY row_number() OVER (PARTITION BY node ORDER BY w DESC, a, b) <= 3) SELECT DISTINCT a, b, round(w, 6) AS w FROM t",
         "edge_semi_filter": f"WITH {_PAIRS} SELECT a, b, round(w, 6) AS w FROM e WHERE a IN (SELECT id FROM v WHERE cluster < 5) AND b IN (SELECT id FROM v WHERE cluster < 5)",
+        "edges_degree_capped": f"""WITH RECURSIVE {_PAIRS}, k AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM v), oe AS (SELECT row_number() OVER (ORDER BY w DESC, a, b) AS i, a, b, w, x.k AS ka, y.k AS kb FROM e JOIN k x ON x.id = a JOIN k y ON y.id = b),
+s(i, d, ok) AS (SELECT 0::BIGINT, (SELECT list(0) FROM k), false UNION ALL SELECT oe.i, CASE WHEN d[ka] < 15 AND d[kb] < 15 THEN list_transform(d, lambda x, j: CASE WHEN j = ka OR j = kb THEN x + 1 ELSE x END) ELSE d END, d[ka] < 15 AND d[kb] < 15 FROM s JOIN oe ON oe.i = s.i + 1)
+SELECT a, b, round(w, 6) AS w FROM s JOIN oe USING (i) WHERE ok""",
         "nearest_centroid": f"WITH {_MEAN}, s AS (SELECT u.id, mm.cluster, list_inner_product(u.v, list_transform(m, lambda x: x / sqrt(list_inner_product(m, m)))) AS sim FROM u, mm) SELECT id, cluster, round(sim, 6) AS sim FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY s.sim DESC, cluster) = 1",
         "silhouette_simplified": f"WITH {_MEAN}, n AS (SELECT cluster, count(*) AS n FROM u GROUP BY 1), s AS (SELECT u.id, u.cluster, mm.cluster AS o, n, 1 - list_inner_product(u.v, mm.m) AS d FROM u, mm JOIN n ON n.cluster = mm.cluster), ab AS (SELECT id, max(CASE WHEN o = cluster THEN CASE WHEN n = 1 THEN 0 ELSE d END END) AS a, min(CASE WHEN o <> cluster THEN d END) AS b FROM s GROUP BY 1) SELECT id, round(CASE WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END, 6) AS s FROM ab",
         "cluster_sizes": "SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY 1",
@@ -363,6 +369,7 @@ SELECT cluster, coalesce(label, 'Cluster ' || cluster) AS label, {list(clusterin
         "trivial_sessions": "SELECT conv_id AS id FROM conversations GROUP BY 1 HAVING count(*) FILTER (WHERE role = 'user') < 2",
         "cluster_inertia": f"WITH {_MEAN}, cc AS (SELECT cluster, list_transform(m, lambda x: x / sqrt(list_inner_product(m, m))) AS c FROM mm) SELECT round(sum(list_distance(v, c) * list_distance(v, c)), 6) AS inertia FROM u JOIN cc USING (cluster)",
         "read_claude": _FLAT,
+        "read_abacus": _sql_read("text", "CASE WHEN role IN ('human', 'user') THEN 'user' ELSE 'assistant' END"),
         "read_grok": _FLAT,
         "read_chatgpt": _sql_read("CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN text || ' more' END", "CASE role WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'assistant' END"),
         "keyword_filter": "SELECT doc_id FROM documents WHERE contains(lower(text), 'trash') ORDER BY doc_id LIMIT 10",
