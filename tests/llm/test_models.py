@@ -233,9 +233,15 @@ def test_pseudo_likelihood_learns(spark):
     ids = pseudo_likelihood.Tokens(known)
     seen = [pseudo_likelihood.tokens(t, ids) for t in docs.select("text").toPandas().text]
     unigram = np.bincount(np.concatenate(seen), minlength=pseudo_likelihood.PAD) + 1.0
-    logs = np.log(unigram / unigram.sum())
-    plain = sum(logs[pseudo_likelihood.tokens(t, ids)].sum() for t in got.text)
-    assert got.log_likelihood.sum() > 0.95 * plain  # both are negative
+    unigram /= unigram.sum()
+    bigram = Counter(x for s in seen for x in zip(s[:-1].tolist(), s[1:].tolist(), strict=True))
+    before = Counter()
+    for (a, _), n in bigram.items():
+        before[a] += n
+    texts = [pseudo_likelihood.tokens(t, ids).tolist() for t in got.text]
+    one = sum(np.log(unigram[t]).sum() for t in texts)
+    two = sum(np.log(0.8 * bigram[(a, b)] / max(1, before[a]) + 0.2 * unigram[b]) for t in texts for a, b in zip([-1, *t], t, strict=False))
+    assert got.log_likelihood.sum() > 0.9 * one and got.log_likelihood.sum() > 0.97 * two  # all are negative
     mixed = spark.createDataFrame([(i, " ".join(random.Random(i).sample(t.split(), len(t.split())))) for i, t in zip(got.doc_id, got.text, strict=True)], "doc_id long, text string")
     assert got.log_likelihood.sum() > score(mixed).log_likelihood.sum()
 
