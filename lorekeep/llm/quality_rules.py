@@ -96,12 +96,12 @@ def order_rules(found: list[tuple[tuple[bool, ...], int]], seconds: dict[str, fl
     return out
 
 
-def cascade(docs: DataFrame, rules=RULES, sample: int = SAMPLE, seed: int = 11) -> list[tuple[str, float, float]]:
-    """The order of the rules for docs, as order_rules gives it, from a sample."""
+def cascade(docs: DataFrame, rules=RULES, sample: int = SAMPLE, seed: int = 11, counted=lambda df: df) -> list[tuple[str, float, float]]:
+    """The order of the rules for docs, as order_rules gives it, from a sample; counted(sample) adds the columns that rules use."""
     n = docs.count()
     if not n:
         return [(k, 0.0, 0.0) for k in rules]
-    some = docs.sample(min(1.0, sample / n), seed).persist()
+    some = counted(docs.sample(min(1.0, sample / n), seed)).persist()
 
     def took(column: Column) -> float:
         times = []
@@ -139,7 +139,7 @@ def op3(docs: DataFrame) -> DataFrame:
     """All counts of the base, as they are asked for, and the verdict: the cascade over them, which counts more of a text only where
     the rules before let it pass."""
     t, c = F.col("text"), F.col
-    counts = docs.select(
+    counted = lambda df: df.select(
         "doc_id", "text", n_words(t).alias("n_words"), word_chars(t).alias("word_chars"), n_symbols(t).alias("n_symbols"),
         n_dup_lines(t).alias("n_dup_lines"), n_repeat_words(t).alias("n_repeat_words"),
     )
@@ -148,9 +148,9 @@ def op3(docs: DataFrame) -> DataFrame:
         "word_length": lambda _: (c("word_chars") < 3 * c("n_words")) | (c("word_chars") > 10 * c("n_words")),
         "dup_lines": lambda t: 10 * c("n_dup_lines") > 3 * n_lines(t), "upper": lambda t: 10 * n_upper(t) > 3 * c("word_chars"),
     }
-    verdict = first_rejection(t, cascade(counts, rules), rules)
+    verdict = first_rejection(t, cascade(docs, rules, counted=counted), rules)
     base = rules["n_words"](t) | rules["repeat_words"](t)
-    return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), verdict.isNull().alias("kept"))
+    return counted(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), verdict.isNull().alias("kept"))
 
 
 OP3_SQL = r"""
