@@ -116,18 +116,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_cl
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), pa.array(ids, pa.binary())], ["_id", "_y", "ids"])
 
     def learn(batches):
-        seen_ids, xs, ys = set(), [], []
-        got = sorted(((i, y, x) for b in batches for i, y, x in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: (r[0], r[2]))
-        for i, y, x in got:
-            if i not in seen_ids:
-                seen_ids.add(i)
-                xs.append(np.frombuffer(x, np.uint32))
-                ys.append(int(y))
-        w, a, b = fit(xs, np.array(ys, int), prior)
+        got = sorted((i, y, x) for b in batches for i, y, x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        w, a, b = fit([np.frombuffer(x, np.uint32) for *_, x in got], np.array([y for _, y, _ in got], int), prior)
         yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float64).tobytes()], pa.binary()), pa.array([a]), pa.array([b])], ["w", "a", "b"])
 
     taught = rows.mapInArrow(prepare, f"_id {docs.schema['doc_id'].dataType.simpleString()}, _y int, ids binary")
-    model = taught.repartition(1).mapInArrow(learn, "w binary, a double, b double").first()
+    once = taught.groupBy("_id", "_y").agg(F.min("ids").alias("ids"))  # repeated rows are dropped before the one task, not in it
+    model = once.repartition(1).mapInArrow(learn, "w binary, a double, b double").first()
     if model is None:
         return fit([], np.zeros(0, int), 0.5)
     return np.frombuffer(model["w"], np.float64), model["a"], model["b"]

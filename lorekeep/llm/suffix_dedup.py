@@ -192,7 +192,6 @@ def repeated_starts(group: np.ndarray, off: np.ndarray, n: np.ndarray, pieces: l
     which = np.repeat(np.arange(m), sizes)
     table[(np.arange(len(flat)) - starts[which]) + (left - off)[which], which] = flat
     order = np.arange(m)  # suffixes of the column, by group and bytes
-    rank = np.arange(m)
     common = np.zeros(m, np.int32)  # prefix in common with the neighbour before, in that order
     out = np.zeros((m, int(n.max())), bool)
     base = group.astype(np.int64) << 9
