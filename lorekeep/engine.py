@@ -8,6 +8,8 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -85,6 +87,15 @@ class MemoryEngine:
             raise FileNotFoundError(f"no version under {self.root}")
         return self.spark.read.parquet(f"{self.root}/{version}/{name}")
 
+    def _labels(self) -> DataFrame:
+        """(id, cluster, label) of nodes; none if that table, which only adds to results, is missing or cannot be read."""
+        try:
+            held = self.table("nodes").select("id", "cluster", "label")
+            held.take(1)
+        except (PySparkException, Py4JJavaError):
+            return self.spark.createDataFrame([], "id string, cluster int, label string")
+        return held
+
     #: Tables of a version, in the order they are written.
     STEPS = ("conversations", "chunks", "index", "vectors", "members", "clusters", "edges", "nodes", "timeline")
 
@@ -141,7 +152,7 @@ class MemoryEngine:
         try:
             held = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{at}")
             held.agg(F.count_if(F.col("sha").isNotNull())).first()
-        except Exception:  # noqa: BLE001 (whatever is wrong with it, all conversations count as new)
+        except (PySparkException, Py4JJavaError):  # all conversations count as new
             return empty
         return held
 
@@ -277,7 +288,7 @@ class MemoryEngine:
         rows = hits.join(convs.withColumnRenamed("id", "doc_id"), "doc_id")
         said = self.table("chunks").select(F.col("id").alias("doc_id"), F.col("chunk_id").cast("long").alias("chunk_id"), F.col("text").alias("said"))
         rows = rows.join(said, ["doc_id", "chunk_id"], "left")
-        rows = rows.join(self.table("nodes").select(F.col("id").alias("doc_id"), "cluster", "label"), "doc_id", "left").join(self.notes.counts().withColumnRenamed("conv_id", "doc_id"), "doc_id", "left")
+        rows = rows.join(self._labels().withColumnRenamed("id", "doc_id"), "doc_id", "left").join(self.notes.counts().withColumnRenamed("conv_id", "doc_id"), "doc_id", "left")
         if provider:
             rows = rows.where(F.col("provider") == provider)
         out = rows.orderBy(F.desc("rrf"), F.desc("doc_id")).limit(top_k)
@@ -294,7 +305,7 @@ class MemoryEngine:
         """A conversation with its messages, notes and cluster, or {"error": ...}."""
         if not conversation_id or not str(conversation_id).strip():
             return {"error": "Invalid conversation ID"}
-        row = self.table("conversations").where(F.col("id") == conversation_id).join(self.table("nodes").select("id", "cluster", "label"), "id", "left").first()
+        row = self.table("conversations").where(F.col("id") == conversation_id).join(self._labels(), "id", "left").first()
         if row is None:
             return {"error": "Conversation not found"}
         notes = [n.asDict() for n in self.notes.of(conversation_id).drop("conv_id").collect()]

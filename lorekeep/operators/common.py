@@ -30,19 +30,31 @@ def _own() -> str:
 
 @cache
 def _part(root: str, application: str) -> str:
-    spark = SparkSession.active()
-    part = f"{root.rstrip('/')}/tables-{application}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(part)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = f"{root.rstrip('/')}/lorekeep-{application}"
+    fs, at = _store(SparkSession.active(), part)
     fs.mkdirs(at)
     fs.deleteOnExit(at)
     return part
 
 
+def _store(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _store(spark, path)
+    fs.delete(at, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: computed once, its lineage cut, safe from lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import catalog, clustering, compact, graph, incremental, lexical, search, views
-from ..operators.common import shared_dir
+from ..operators.common import new_folder
 from ..sources import exports
 from ..streaming import sessions
 
@@ -151,7 +149,7 @@ def _exported(spark, sf, provider):
     rows = turns.groupBy("conv_id").agg(ordered.alias("ms"), F.max("turn").alias("last")).select(F.pmod("conv_id", F.lit(8)).alias("shard"), whole(c("ms"), c("last")).alias("j"))
     listed = one("[", F.array_join(F.array_sort(F.collect_list("j")), ","), "]")
     files = rows.groupBy("shard").agg((one('{"conversations":', listed, "}") if provider == "abacus" else listed).alias("value"))
-    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    folder = new_folder(spark)
     files.write.partitionBy("shard").text(folder)
     got = exports.read(spark, provider, f"{folder}/*/*.txt")
     return got.select(F.regexp_replace("id", "^abacus_", "").cast("long").alias("id"), F.size("messages").alias("n"), F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("|"), m["text"])), "\n")).alias("said_md5"))

@@ -16,7 +16,7 @@ def sessionise(events: DataFrame, minutes: int = 30) -> DataFrame:
     at most two a range, so their list is broadcast.
     """
     order = ["user_id", "ts", "event_id"]
-    ranged = written(written(events).repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    ranged = written(events.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     at = lambda c: c.cast("timestamp").cast("double")
     w = Window.partitionBy("_p", "user_id").orderBy("ts", "event_id")
     own = ranged.withColumn("_new", F.coalesce((at(F.col("ts")) - at(F.lag("ts").over(w)) > minutes * 60).cast("int"), F.lit(0)))

@@ -108,6 +108,16 @@ def test_notes(spark, tmp_path):
     assert notes.read_sidecar(spark, str(tmp_path / "none.json"))[0].count() == 0
 
 
+def test_assign_and_older_notes(spark, tmp_path):
+    df, rows = blobs(spark)
+    members = clustering.kmeans(df, 3, seeds=(42,))
+    of = {r.id: r.cluster for r in members.collect()}
+    new = spark.createDataFrame([(100 + g, [2.0 if d == g else 0.1 for d in range(6)]) for g in range(3)], df.schema)
+    assert {r.id: r.cluster for r in clustering.assign(new, members, 6).collect()} == {100 + g: of[g * 8] for g in range(3)}
+    old = spark.createDataFrame([("a", [("n1", "t", "x")]), ("b", []), ("c", None)], "id string, notes array<struct<note_id: string, text: string, created_at: string>>")
+    assert [tuple(r) for r in notes.legacy_notes(old).collect()] == [("a", "n1", "t", "x")]
+
+
 def chats(spark, rows):
     return spark.createDataFrame([(i, n, at, p, [{"role": "user", "text": q, "timestamp": at}, {"role": "assistant", "text": a, "timestamp": at}]) for i, n, at, p, q, a in rows], EMPTY)
 
@@ -188,6 +198,9 @@ def test_engine_runs(spark, tmp_path):
     for f in (tmp_path / "root/manifests" / engine._pointed("manifest")).glob("*.parquet"):
         f.write_bytes(b"torn")
     assert engine.manifest().count() == 0
+    for f in (tmp_path / "root" / engine.version() / "nodes").glob("*.parquet"):
+        f.write_bytes(b"torn")
+    assert engine.get("c2")["cluster_label"] == "Unknown" and engine.search("another question", 1)[0]["cluster_id"] == 0
 
 
 def test_messages_without_timestamp(spark, tmp_path):
