@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.common import new_folder, remove, shared_dir
+from ..operators.common import written as materialise
+
+__all__ = ["WORD", "bound", "components", "join_spread", "materialise", "new_folder", "packed", "remove", "shared_dir", "table", "unpacked", "words"]
+
 #: A word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,55 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's part of the folder that driver and executors share; it goes when the application ends.
-
-    The folder is that of spark.checkpoint.dir, or of setCheckpointDir. Where neither is set, a local master gets an
-    own one, as in tests; a cluster, whose machines would each write to their own disks, gets an error.
-    """
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not root and not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return _own_part(root or _own_folder(), context.applicationId)
-
-
-@cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-")
-
-
-@cache
-def _own_part(root: str, application: str) -> str:
-    part = f"{root.rstrip('/')}/lorekeep-{application}"
-    fs, path = _store(SparkSession.active(), part)
-    fs.mkdirs(path)
-    fs.deleteOnExit(path)
-    return part
-
-
-def _store(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def new_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    fs, at = _store(spark, path)
-    fs.delete(at, True)
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_folder(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def join_spread(rows: DataFrame, given: DataFrame, keys: list[str], n: str = "n", how: str = "inner") -> DataFrame:
     """rows joined with given, which has one row a key and in column n (dropped) how many of rows have that key.
 
