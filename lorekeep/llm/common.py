@@ -23,7 +23,8 @@ def join_spread(rows: DataFrame, given: DataFrame, keys: list[str], n: str = "n"
 
     A key of more than its share of rows is dealt to as many salts as it has shares, a share being 1/P of all rows;
     so no task gets more than a share of one key. The list of such keys is broadcast: there are fewer than P. Rows without a key are spread too.
-    given is read several times: pass a written table.
+    given is read several times: pass a written table. The salt depends on the row and its partition, so it is the same when a task is
+    run again, and rows that are repeated are spread as well.
     """
     p = max(256, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     total = given.agg(F.sum(n)).first()[0] or 0
@@ -32,7 +33,8 @@ def join_spread(rows: DataFrame, given: DataFrame, keys: list[str], n: str = "n"
     for k in keys:
         nowhere = nowhere | F.col(k).isNull()
     salts = F.when(nowhere, F.lit(p)).otherwise(F.coalesce("_salts", F.lit(1)))
-    salted = rows.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), salts).cast("int")).drop("_salts")
+    held = [F.col(c) for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    salted = rows.withColumn("_salt", F.xxhash64(F.spark_partition_id(), *held)).join(hot, keys, "left").withColumn("_salt", F.pmod("_salt", salts).cast("int")).drop("_salts")
     copies = given.drop(n).join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 

@@ -30,7 +30,7 @@ from .common import join_spread, materialise
 
 SHARDS = 16
 #: Packets of a shard; groups of a lane; items that the driver packs; shards of a stretch.
-GRAIN, LANE, MOST, STRETCH = 1024, 50_000, 1 << 17, 64
+GRAIN, LANE, MOST, STRETCH = 4096, 50_000, 1 << 17, 64
 
 
 class _Tree:

@@ -212,6 +212,21 @@ def test_matching_in_blocks(monkeypatch):
         assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(zip(*(v.tolist() for v in np.nonzero(x @ y.T >= threshold)), strict=True))
 
 
+def test_join_of_hot_keys(spark):
+    """Keys of most rows, null keys, repeated rows and columns that have no hash: the same rows as a plain join."""
+    from pyspark.sql import functions as F
+
+    from lorekeep.llm.common import join_spread
+
+    rows = [(1, "a")] * 3000 + [(2, str(i)) for i in range(500)] + [(i, "b") for i in range(10, 90)] + [(None, "c")] * 900
+    df = spark.createDataFrame(rows, "k int, x string").repartition(4).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    given = spark.createDataFrame([(k, n, k * 10) for k, n in Counter(k for k, _ in rows).items() if k and k % 7], "k int, n long, y int")
+    for how in ("inner", "left"):
+        got = join_spread(df, given, ["k"], how=how).select("k", "x", "y")
+        want = df.join(given, "k", how).select("k", "x", "y")
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(400 + i, 401 + i) for i in range(60)]
