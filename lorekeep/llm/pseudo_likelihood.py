@@ -21,7 +21,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +39,8 @@ OFFSETS = (-2, -1, 1, 2)
 ROUNDS, RATE, BATCH, SPAN = 2, 0.15, 4096, 1 << 14
 #: Tokens remembered by a worker.
 REMEMBER = 1 << 19
-#: Words whose shares of their classes are sent to all tasks; those of rarer words are joined.
-KNOWN = 1 << 15
+#: Most words whose shares of their classes are sent to all tasks; those of rarer words are joined.
+KNOWN = 1 << 18
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -66,6 +65,21 @@ def most_frequent(counts: DataFrame, n: int) -> list:
     return counts.orderBy(F.desc("n"), "w").limit(n).collect()
 
 
+def frequent(counts: DataFrame, n: int) -> list:
+    """The TOP most frequent words and then the others of a count that at most n words in all reach; counts are taken in
+    eighths of a doubling, so that the bound is found among few sums."""
+    step = F.floor(F.log2("n") * 8)
+    top, at, total = most_frequent(counts, TOP), None, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["step"]):
+        total += r["k"]
+        if total > n:
+            break
+        at = r["step"]
+    mine = {bytes(r["w"]) for r in top}
+    more = [] if at is None else counts.where(step >= at).collect()  # at most n
+    return top + sorted((r for r in more if bytes(r["w"]) not in mine), key=lambda r: (-r["n"], bytes(r["w"])))
+
+
 def _ids(rows) -> dict[str, int]:
     return {bytes(r["w"]).decode(): i for i, r in enumerate(rows)}
 
@@ -245,20 +259,44 @@ def with_classes(counts: DataFrame) -> DataFrame:
     return counts.withColumn("c", shapes("w"))
 
 
-def tokenise_all(docs: DataFrame, known: dict[str, int], shares: dict[bytes, float]) -> DataFrame:
-    """docs with token_ids as tokenise gives them, the sum of the words' logarithmic shares and the words without one."""
-    spark = docs.sparkSession.sparkContext
-    given, parts = spark.broadcast(known), spark.broadcast(shares)
+class Codes(dict):
+    """Codes of words by their UTF-8 bytes: the place among given words, or behind them the row of a word of a class."""
+
+    def __init__(self, given: list[bytes]):
+        super().__init__(zip(given, range(len(given)), strict=True))
+        self.given = len(given)
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > self.given + REMEMBER:
+            for w in [w for w, i in self.items() if i >= self.given]:
+                del self[w]
+        self[word] = i = self.given + _row(word)
+        return i
+
+
+def _row(word: bytes) -> int:
+    return (shape(word.decode()) - TOP) * ROWS + zlib.crc32(word) % ROWS
+
+
+def tokenise_all(docs: DataFrame, rows: list, totals: np.ndarray) -> DataFrame:
+    """docs with token_ids as tokenise gives them for the first TOP of rows (see frequent), the sum of the words' logarithmic shares,
+    and the words that are not among rows."""
+    words_ = [bytes(r["w"]) for r in rows]
+    n_top = min(TOP, len(rows))
+    ids_of = np.concatenate([np.arange(n_top), PAD + 1 + np.array([_row(w) for w in words_[n_top:]], int), PAD + 1 + np.arange(SHAPES * ROWS)]).astype(np.int16)
+    shares = np.concatenate([np.zeros(n_top), [np.log(r["n"] / totals[r["c"] - TOP]) for r in rows[n_top:]], np.zeros(SHAPES * ROWS)])
+    given = docs.sparkSession.sparkContext.broadcast((words_, ids_of, shares))
 
     @F.pandas_udf("struct<ids binary, share double, rest array<binary>>")
     def ids(texts):
         import pandas as pd
 
-        words_, share, out = remembered(given.value), parts.value, []
+        words_, ids_of, shares = given.value
+        codes, out = coded(words_), []
         for t in texts:
             w = split(t)
-            x = np.fromiter(map(share.get, w, repeat(np.nan)), np.float64, len(w))
-            out.append((inputs(w, words_).tobytes(), np.nansum(x), [w[i] for i in np.flatnonzero(np.isnan(x))]))
+            x = np.fromiter(map(codes.__getitem__, w), np.int32, len(w))
+            out.append((ids_of[x].tobytes(), shares[x].sum(), [w[i] for i in np.flatnonzero(x >= len(words_))]))
         return pd.DataFrame(out, columns=["ids", "share", "rest"])
 
     x = docs.withColumn("_x", ids("text"))
@@ -273,6 +311,14 @@ def rest_shares(ids: DataFrame, counts: DataFrame, totals: np.ndarray) -> DataFr
 
 
 _WORDS: list = [None, None]
+_CODES: list = [None, None]
+
+
+def coded(given: list[bytes]) -> Codes:
+    """A worker's table of codes, kept from batch to batch."""
+    if _CODES[0] is not given and _CODES[0] != given:
+        _CODES[:] = given, Codes(given)
+    return _CODES[1]
 
 
 def remembered(known: dict[str, int]) -> Tokens:
@@ -346,10 +392,9 @@ def score(docs: DataFrame, params, ids_col: str = "token_ids", prefix: str = "")
 
 def op10(docs: DataFrame) -> DataFrame:
     counts = materialise(with_classes(word_counts(docs)))
-    rows = most_frequent(counts, KNOWN)
+    rows = frequent(counts, KNOWN)
     totals = class_totals(counts, rows[:TOP])
-    shares = {bytes(r["w"]): 0.0 if i < TOP else float(np.log(r["n"] / totals[r["c"] - TOP])) for i, r in enumerate(rows)}
-    ids = materialise(tokenise_all(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row")), _ids(rows[:TOP]), shares).drop("text"))
+    ids = materialise(tokenise_all(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row")), rows, totals).drop("text"))
     out = score(ids.drop("_rest"), train(ids)).join(rest_shares(ids, counts, totals), "_row", "left")
     s = F.col("log_likelihood") + F.col("_share") + F.coalesce("_rest_share", F.lit(0.0))
     return out.select("doc_id", "n_tokens", s.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, s / F.col("n_tokens")).alias("mean_log_likelihood"))
