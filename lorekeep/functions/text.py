@@ -47,6 +47,14 @@ def flatten(content: Column) -> Column:
     return F.coalesce(F.when(items.isNotNull(), F.array_join(F.transform(items, part), " ")), plain(content), F.lit(""))
 
 
+def strings(content: Column) -> Column:
+    """Text of a VARIANT: of an array its strings alone, of an object nothing, of another value its form as a string."""
+    items = F.try_variant_get(content, "$", "array<variant>")
+    plain = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    other = F.when(~F.startswith(F.schema_of_variant(content), F.lit("OBJECT")), F.try_variant_get(content, "$", "string"))
+    return F.coalesce(F.when(items.isNotNull(), F.array_join(F.transform(items, plain), " ")), other, F.lit(""))
+
+
 def file_name(path: Column) -> Column:
     return F.regexp_extract(path, "([^/]*)$", 1)
 

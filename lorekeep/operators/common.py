@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -51,9 +54,26 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside, in this thread, are removed at its end; so read what depends on them inside."""
+    token = _SCOPE.set([])
+    try:
+        yield
+    finally:
+        for path in _SCOPE.get():
+            remove(spark, path)
+        _SCOPE.reset(token)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: computed once, its lineage cut, safe from lost executors."""
+    """df as a table in the shared folder: computed once, its lineage cut, safe from lost executors. It goes with the scratch it is in, or with the application."""
     path = new_folder(df.sparkSession)
+    if _SCOPE.get() is not None:
+        _SCOPE.get().append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -70,3 +90,14 @@ def numbered(df: DataFrame, order: list[Column], name: str, by: tuple[str, ...]
     before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranged.groupBy("_p", *by).agg(F.count("*").alias("_n")).select("_p", *by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
     return ranged.withColumn(name, F.row_number().over(w)).join(F.broadcast(sizes), ["_p", *by]).withColumn(name, (F.col(name) + F.col("_b")).cast("long")).drop("_p", "_b")
+
+
+def small_join(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", order: list[str] | None = None, most: int = 100_000) -> DataFrame:
+    """rows joined with few, which is counted first: up to `most` rows of it are broadcast, more are joined by key.
+
+    With order, the rows of a partition keep the order they have, or are sorted by those columns.
+    """
+    if few.count() <= most:
+        return rows.join(F.broadcast(few), keys, how)
+    joined = rows.join(few, keys, how)
+    return joined.sortWithinPartitions(*order) if order else joined

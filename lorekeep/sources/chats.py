@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.common import small_join, written
 from ..streaming.sessions import sessionise
-from .exports import MESSAGE, TREES, linearise, register
-from .files import files, member, text_of
+from .exports import MESSAGE, linearise, register, told, trees
+from .files import files, text_of
+from .records import present, records
 
 COLUMNS = ["id", "name", "created_at", "provider", "messages"]
 
@@ -132,8 +134,8 @@ def read_activity_page(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_activity(spark: SparkSession, path: str) -> DataFrame:
-    """Activity entries (at, tz, prompt, response) of the JSON layout."""
-    df = spark.read.schema("title string, time string, safeHtmlItem array<struct<html: string>>").json(path, multiLine=True)
+    """Activity entries (at, tz, prompt, response) of the JSON layout, an array of any size."""
+    df = records(spark, [path]).select(F.from_json("text", "title string, time string, safeHtmlItem array<struct<html: string>>").alias("e")).select("e.*")
     prompt = T.strip(F.regexp_replace("title", "^(Prompted|Said) ", ""))
     response = T.html_clean(F.array_join(F.transform("safeHtmlItem", lambda x: x["html"]), " "), entities=True)
     return df.select(F.try_to_timestamp(F.regexp_replace("time", "Z$", "")).alias("at"), F.lit("UTC").alias("tz"), prompt.alias("prompt"), F.coalesce(response, F.lit("")).alias("response")).where("prompt <> '' and at is not null")
@@ -160,24 +162,18 @@ def read_gemini(spark: SparkSession, path: str) -> DataFrame:
     return group_activity((read_activity if path.endswith(".json") else read_activity_page)(spark, path))
 
 
-#: Members that an archive's conversations are looked for in, in this order.
-MEMBERS = ["conversations.json", "chats.json", "data.json", "messages.json", "history.json", "export.json"]
-
-
 def read_grok(spark: SparkSession, path: str) -> DataFrame:
-    """Conversations of a JSON file or a zip archive; the first record of a file tells message trees from flat
-    turns; files of another shape give no row."""
-    raw = files(spark, path).select("path", F.when(F.startswith("content", F.lit(b"PK")), member(F.col("content"), MEMBERS)).otherwise(F.col("content")).alias("c"))
-    df = raw.select("path", text_of(F.col("c")).alias("text")).withColumn("list", _get(F.try_parse_json("text"), "$", "array<variant>"))
-    has = lambda k: _get(F.get("list", 0), f"$.{k}", "variant").isNotNull()
-    df = df.withColumn("shape", F.when(has("mapping"), "trees").when(has("messages") | has("chat_messages"), "flat"))
-    trees = df.where("shape = 'trees'").select(F.posexplode(F.from_json("text", f"array<struct<{TREES}>>")).alias("pos", "t"), F.col("path").alias("shard")).select("t.*", "shard", "pos")
-    v, get = F.col("v"), lambda v, *keys: F.coalesce(*(_get(v, f"$.{k}") for k in keys), F.lit(""))
-    content = lambda m: T.flatten(F.coalesce(_get(m, "$.text", "variant"), _get(m, "$.content", "variant")))
-    turns = F.coalesce(_get(v, "$.messages", "array<variant>"), _get(v, "$.chat_messages", "array<variant>"))
-    told = F.transform(turns, lambda m: _message(T.role(get(m, "role", "sender")), T.strip(content(m)), get(m, "created_at", "timestamp")))
-    flat = df.where("shape = 'flat'").select(F.explode("list").alias("v")).select(get(v, "id", "uuid").alias("id"), T.coalesce_text(get(v, "title", "name"), F.lit("Untitled")).alias("name"), get(v, "created_at", "create_time").alias("created_at"), F.lit("grok").alias("provider"), F.filter(told, lambda m: m["text"] != "").alias("messages"))
-    return linearise(trees, "grok").unionByName(flat.where((F.col("id") != "") & (F.size("messages") > 0)))
+    """Conversations of JSON files and zip archives of any size; the first record of a file tells message trees from flat
+    turns; files of another shape give no row. Of a list that stands for a text the strings count."""
+    found = records(spark, [path])
+    v = F.col("v")
+    first = found.groupBy("path").agg(F.min(F.struct("pos", present(v, "mapping").isNotNull().alias("trees"), present(v, "messages", "chat_messages").isNotNull().alias("flat"))).alias("f"))
+    shaped = small_join(found, written(first.select("path", F.when(F.col("f.trees"), "trees").when(F.col("f.flat"), "flat").alias("shape"))), ["path"])
+    get = lambda *keys: F.coalesce(_get(present(v, *keys), "$"), F.lit(""))
+    turns = _get(present(v, "messages", "chat_messages"), "$", "array<variant>")
+    messages = told(turns, lambda t: T.strings(present(t, "text", "content")), lambda t: F.coalesce(_get(present(t, "created_at", "timestamp"), "$"), F.lit("")), ("role", "sender"))
+    flat = shaped.where("shape = 'flat'").select(get("id", "uuid").alias("id"), T.coalesce_text(get("title", "name"), F.lit("Untitled")).alias("name"), get("created_at", "create_time").alias("created_at"), F.lit("grok").alias("provider"), messages.alias("messages"))
+    return linearise(trees(shaped.where("shape = 'trees'")), "grok").unionByName(flat.where((F.col("id") != "") & (F.size("messages") > 0)))
 
 
 for _name, _reader in (("claude-code", read_sessions), ("notebooklm", read_notebooks), ("aistudio", read_prompts), ("gemini", read_gemini), ("grok", read_grok)):

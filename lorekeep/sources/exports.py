@@ -1,7 +1,7 @@
 """Readers of conversation exports: one row (id, name, created_at, provider, messages) per conversation.
 
-Files are parsed by Spark's readers with explicit schemas; only the walk over a message tree runs in Python, in
-Arrow batches.
+Files are cut into records where they lie and parsed as VARIANTs (records.py); an export that is damaged is an error. The walk over a
+message tree runs in Python, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -9,15 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import coalesce_text, epoch_iso, flatten, role, strip
+from ..functions.text import coalesce_text, epoch_iso, flatten, role, strings, strip
 from .files import shards
+from .records import field, present, records
 
 MESSAGE = "struct<role: string, text: string, timestamp: string>"
-_TURN = "struct<uuid: string, sender: string, role: string, text: variant, created_at: string, timestamp: string, content: variant>"
-_CHAT = f"uuid string, id string, conversation_id string, name string, title string, created_at string, create_time string, chat_messages array<{_TURN}>, messages array<{_TURN}>"
 
 _READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -36,35 +35,46 @@ def read(spark: SparkSession, provider: str, path: str) -> DataFrame:
     return _READERS[provider](spark, path)
 
 
-def _messages(turns, sender):
-    """Trimmed non-blank messages of flat turns; `content` stands in where there is no `text`, and either may be a string or a
-    list of strings and parts."""
+def _text(v: Column) -> Column:
+    """A VARIANT as a string; '' if it is none."""
+    return F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))
+
+
+def _list(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def told(turns: Column, text, at, who: tuple[str, str] = ("sender", "role")) -> Column:
+    """Trimmed non-blank messages of flat turns, by functions of a turn; a key that is missing, not one that is empty, gives way to the next."""
 
     def one(t):
-        began = F.transform(F.try_variant_get(t["content"], "$", "array<variant>"), lambda c: F.try_variant_get(c, "$.start_timestamp", "string"))
-        at = coalesce_text(t["created_at"], F.get(F.filter(began, lambda x: x != ""), 0), t["timestamp"])
-        return F.struct(role(sender(t)).alias("role"), strip(flatten(F.coalesce(t["text"], t["content"]))).alias("text"), at.alias("timestamp"))
+        said = strip(text(t))
+        return F.struct(role(_text(present(t, *who))).alias("role"), said.alias("text"), at(t).alias("timestamp"))
 
     return F.filter(F.transform(turns, one), lambda m: m["text"] != "")
 
 
-def _flat(df: DataFrame, provider: str, id_, name) -> DataFrame:
-    turns = F.coalesce("chat_messages", "messages")
-    out = df.select(id_.alias("id"), name.alias("name"), F.coalesce("created_at", "create_time", F.lit("")).alias("created_at"), F.lit(provider).alias("provider"), _messages(turns, lambda t: F.coalesce(t["sender"], t["role"])).alias("messages"))
-    return out.where(F.size("messages") > 0)
+def _began(t: Column) -> Column:
+    """When a turn was made: its own date, else the first of its parts that has one, else its timestamp."""
+    starts = F.transform(_list(present(t, "content")), lambda c: field(c, "start_timestamp"))
+    return coalesce_text(field(t, "created_at"), F.get(F.filter(starts, lambda x: x != ""), 0), field(t, "timestamp"))
 
 
 def read_claude(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.schema(_CHAT).json(path, multiLine=True)
-    return _flat(df, "claude", F.coalesce("uuid", "id"), F.coalesce("name", "title", F.lit("")))
+    """Conversations of a JSON array of any size. A conversation without a name is 'Untitled', one without an id has the id ''."""
+    v = F.col("v")
+    messages = told(_list(present(v, "chat_messages", "messages")), lambda t: flatten(present(t, "text", "content")), _began)
+    out = records(spark, [path]).select(_text(present(v, "uuid", "id")).alias("id"), coalesce_text(_text(present(v, "name", "title")), F.lit("Untitled")).alias("name"), _text(present(v, "created_at", "create_time")).alias("created_at"), F.lit("claude").alias("provider"), messages.alias("messages"))
+    return out.where(F.size("messages") > 0)
 
 
 def read_abacus(spark: SparkSession, path: str) -> DataFrame:
-    """An object with a list of conversations, or the bare list."""
-    df = spark.read.schema(f"conversations array<struct<{_CHAT}>>, {_CHAT}").json(path, multiLine=True)
-    bare = F.array(F.struct(*(c for c in df.columns if c != "conversations")))
-    df = df.select(F.explode(F.coalesce("conversations", bare)).alias("c")).select("c.*")
-    return _flat(df, "abacus", F.concat(F.lit("abacus_"), coalesce_text(F.col("conversation_id"), F.col("uuid"))), coalesce_text(F.col("name"), F.lit("Abacus chat")))
+    """An object with a list of conversations, or the bare list; turns may also stand under `messages`. Conversations without an id are skipped."""
+    v = F.col("v")
+    id_ = coalesce_text(field(v, "conversation_id"), field(v, "uuid"))
+    messages = told(_list(present(v, "chat_messages", "messages")), lambda t: strings(present(t, "text")), lambda t: _text(present(t, "created_at")))
+    out = records(spark, [path]).select(id_.alias("own"), F.concat(F.lit("abacus_"), id_).alias("id"), coalesce_text(field(v, "name"), F.lit("Abacus chat")).alias("name"), _text(present(v, "created_at")).alias("created_at"), F.lit("abacus").alias("provider"), messages.alias("messages"))
+    return out.where((F.col("own") != "") & (F.size("messages") > 0)).drop("own")
 
 
 _NODE = "struct<parent: string, message: struct<author: struct<role: string>, content: struct<content_type: string, parts: array<variant>>, create_time: double, weight: double>>"
@@ -75,14 +85,18 @@ TREES = f"id string, title string, create_time double, current_node string, mapp
 def read_chatgpt(spark: SparkSession, path: str, max_conversations: int | None = None) -> DataFrame:
     """The branch from current_node to the root, oldest first; the first shard of an id wins. With max_conversations, the first
     so many of all shards, in their order."""
-    df = spark.read.schema(TREES).json(shards(spark, path), multiLine=True)
-    return linearise(df.withColumns({"shard": F.col("_metadata.file_path"), "pos": F.monotonically_increasing_id()}), "chatgpt", max_conversations)
+    return linearise(trees(records(spark, shards(spark, path))), "chatgpt", max_conversations)
+
+
+def trees(found: DataFrame) -> DataFrame:
+    """Records (path, pos, text) as message trees."""
+    return found.select(F.from_json("text", TREES).alias("t"), F.col("path").alias("shard"), "pos").select("t.*", "shard", "pos")
 
 
-def linearise(trees: DataFrame, provider: str, most: int | None = None) -> DataFrame:
+def linearise(df: DataFrame, provider: str, most: int | None = None) -> DataFrame:
     """Conversations of message trees (TREES, shard and pos); rows without an id are skipped. Of the parts of a message the strings count,
     and a message counts whose first part is one."""
-    df = trees.where(F.coalesce("id", F.lit("")) != "")
+    df = df.where(F.coalesce("id", F.lit("")) != "")
 
     @F.pandas_udf("array<string>")
     def branch(current, links):

@@ -73,28 +73,6 @@ def members(content):
     return content.map(names)
 
 
-def member(content: Column, wanted: list[str]) -> Column:
-    """Content of the first wanted name in a zip archive, else of its first *.json; null if there is none."""
-
-    @F.pandas_udf("binary")
-    def pick(data):
-        import io
-        import zipfile
-
-        def one(raw):
-            try:
-                archive = zipfile.ZipFile(io.BytesIO(raw))
-                names = archive.namelist()
-                found = [n for n in wanted if n in names] or [n for n in names if n.endswith(".json")]
-                return archive.read(found[0]) if found else None
-            except (zipfile.BadZipFile, TypeError):
-                return None
-
-        return data.map(one)
-
-    return pick(content)
-
-
 def read_log(spark: SparkSession, path: str, n: int = 50, level: str | None = None) -> DataFrame:
     """(pos, level, message, line): the last n lines of a JSON-lines log, oldest first.
 
@@ -115,3 +93,10 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever store it names."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names right under a folder, none if it is not there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
