@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import join_spread, materialise
 
 #: Bytes of a shard, of a part of it (a row), and of all open shards of a task; cells of a range of the sketch.
-SHARD, PART, OPEN, RANGE = 8 << 20, 1 << 20, 32 << 20, 1 << 22
+SHARD, PART, OPEN, RANGE = 16 << 20, 1 << 20, 48 << 20, 1 << 22
 
 #: A-Z in lower case, tabs as spaces, and the marks and breaks between pieces as line feeds.
 _FOLD = bytes.maketrans(b"\t.,;:!?\x0b\x0c\r" + bytes(range(65, 91)), b" " + b"\n" * 9 + bytes(range(97, 123)))
@@ -43,11 +43,14 @@ def pieces(text: bytes):
 
 
 def shards(docs: DataFrame) -> DataFrame:
-    """(shard, part, lang, text, words) of (lang, text): parts of shards, pieces on lines of their own."""
+    """(shard, part, lang, text, words) of (lang, text): parts of shards, pieces on lines of their own, compressed."""
 
     def run(batches):
+        import zstandard
         from pyspark import TaskContext
 
+        small = zstandard.ZstdCompressor(3)
+
         open_: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
         number = TaskContext.get().partitionId() << 32
@@ -59,7 +62,7 @@ def shards(docs: DataFrame) -> DataFrame:
                 size += len(piece) + 1
                 if size >= PART or end == len(held):
                     text = b"\n".join(held[start:end])
-                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([part], pa.int32()), pa.array([lang]), pa.array([text], pa.binary()), pa.array([text.count(b" ") - (end - start)])], ["shard", "part", "lang", "text", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([part], pa.int32()), pa.array([lang]), pa.array([small.compress(text)], pa.binary()), pa.array([text.count(b" ") - (end - start)])], ["shard", "part", "lang", "text", "words"])
                     start, size, part = end, 0, part + 1
             number += 1
             del sizes[lang]
@@ -80,6 +83,13 @@ def shards(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "shard long, part int, lang string, text binary, words long")
 
 
+def plain(part: bytes) -> bytes:
+    """The text of a part."""
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(part)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -142,7 +152,7 @@ def sketched(parts: DataFrame, most: int, bits: int, least: int) -> DataFrame:
 
         for b in batches:
             for r in range(b.num_rows):
-                own, text = b.column("shard")[r].as_py(), b.column("text")[r].as_py()
+                own, text = b.column("shard")[r].as_py(), plain(b.column("text")[r].as_py())
                 if own != shard or size > 2 * SHARD:
                     if held:
                         yield from out()
@@ -171,9 +181,13 @@ def _held(cells: np.ndarray, good: np.ndarray) -> np.ndarray:
     return good[np.minimum(at, len(good) - 1)] == cells if len(good) else np.zeros(len(cells), bool)
 
 
-def _candidates(texts: list[bytes], lang: str, good: np.ndarray, most: int, shift) -> list[tuple[int, str]]:
-    """(words, phrase with its delimiters) of a shard's phrases whose cells, and those of all phrases inside them, are good."""
-    found: list[set[bytes]] = [set() for _ in range(most)]
+def _candidates(texts: list[bytes], lang: str, good: np.ndarray, most: int, shift, apart: bool = True) -> tuple[list[str], np.ndarray]:
+    """A shard's phrases, with their delimiters, whose cells, and those of all phrases inside them, are good; and how often phrases of each length occur.
+
+    With apart, phrases of equal hashes count as equal, which is faster; the occurrences tell if that lost any.
+    """
+    found: set[bytes] = set()
+    times = np.zeros(most, np.int64)
     for text in texts:
         words, ok = Words(text, lang), None
         for n, (at, h) in enumerate(words.phrases(most)):
@@ -181,40 +195,52 @@ def _candidates(texts: list[bytes], lang: str, good: np.ndarray, most: int, shif
                 some = ok[at] & ok[at + 1]
                 at, h = at[some], h[some]
             some = _held(h >> shift, good)
+            at, h = at[some], h[some]
             ok = np.zeros(len(words.start) + 1, bool)
-            ok[at[some]] = True
-            at = at[some]
-            found[n].update(map(text.__getitem__, map(slice, (words.start[at] - 1).tolist(), (words.end[at + n] + 1).tolist())))
-    return [(n, p.decode()) for n, held in enumerate(found, 1) for p in held]
+            ok[at] = True
+            times[n] += len(at)
+            if apart:
+                at = at[np.unique(h, return_index=True)[1]]
+            found.update(map(text.__getitem__, map(slice, (words.start[at] - 1).tolist(), (words.end[at + n] + 1).tolist())))
+    return [p.decode() for p in found], times
+
+
+def _scanned(texts: list[bytes], phrases: list[str]) -> np.ndarray:
+    """How often each phrase occurs in the texts, overlaps included."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for i, p in enumerate(phrases):
+        automaton.add_word(p, i)
+    automaton.make_automaton()
+    n = np.zeros(len(phrases), np.int64)
+    for text in texts:
+        n += np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text.decode())), np.int64), minlength=len(phrases))
+    return n
 
 
 def counted(parts: DataFrame, good: DataFrame, most: int, bits: int) -> DataFrame:
-    """(lang, phrase, words, n): each shard's counts of its candidates, by an automaton over its parts."""
+    """(lang, phrase, n): each shard's counts of its candidates, by an automaton over its parts."""
     shift = np.uint64(64 - bits)
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        import ahocorasick
-
-        empty = pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.string()), "words": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
+        empty = pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
         if not left.num_rows or not right.num_rows:
             return empty
-        texts, lang = left.column("text").to_pylist(), left.column("lang")[0].as_py()
+        texts, lang = [plain(t.as_py()) for t in left.column("text")], left.column("lang")[0].as_py()
         base = right.column("segment").to_numpy() * min(RANGE, 1 << bits)
         cells = np.unique(np.concatenate([_decoded(c.as_py()) + b for c, b in zip(right.column("cells"), base.tolist(), strict=True)])).astype(np.uint64)
-        phrases = _candidates(texts, lang, cells, most, shift)
+        phrases, times = _candidates(texts, lang, cells, most, shift)
         if not phrases:
             return empty
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, (_, p) in enumerate(phrases):
-            automaton.add_word(p, i)
-        automaton.make_automaton()
-        n = np.zeros(len(phrases), np.int64)
-        for text in texts:
-            n += np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text.decode())), np.int64), minlength=len(phrases))
-        return pa.table({"lang": pa.array([lang] * len(phrases)), "phrase": pa.array([p[1:-1] for _, p in phrases]), "words": pa.array([w for w, _ in phrases], pa.int32()), "n": pa.array(n)})
+        n = _scanned(texts, phrases)
+        if n.sum() != times.sum():  # different phrases had equal hashes
+            phrases, _ = _candidates(texts, lang, cells, most, shift, apart=False)
+            n = _scanned(texts, phrases)
+        return pa.table({"lang": pa.array([lang] * len(phrases)), "phrase": pa.array([p[1:-1] for p in phrases]), "n": pa.array(n)})
 
     both = parts.select("shard", "lang", "text").groupBy("shard").cogroup(good.groupBy("shard"))
-    return both.applyInArrow(scan, "lang string, phrase string, words int, n long")
+    return both.applyInArrow(scan, "lang string, phrase string, n long")
 
 
 def mine(docs: DataFrame, most: int = 3, least: int = 10, share: int = 50, first: int = 2000) -> DataFrame:
@@ -226,7 +252,7 @@ def mine(docs: DataFrame, most: int = 3, least: int = 10, share: int = 50, first
     parts = materialise(shards(docs.select("lang", "text")))
     bits = max(16, math.ceil(math.log2(2 * (parts.agg(F.sum("words")).first()[0] or 0) + 1)))
     good = sketched(parts, most, bits, least)
-    held = materialise(counted(parts, good, most, bits).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
+    held = materialise(counted(parts, good, most, bits).groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least).withColumn("words", F.size(F.split("phrase", " "))))
     words, k = F.split("phrase", " "), F.col("k")
     made = held.where("words >= 2").select("lang", "phrase", "words", "a", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
     piece = lambda at, n: F.array_join(F.slice(words, at, n), " ")
@@ -250,8 +276,10 @@ def mine(docs: DataFrame, most: int = 3, least: int = 10, share: int = 50, first
     total = parts.groupBy("lang").agg(F.sum("words").alias("n"))
     rows = low.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     order = [F.desc("score"), F.desc("a"), "phrase"]
-    near = rows.withColumn("_b", F.pmod(F.xxhash64("phrase"), F.lit(256)))  # first within each share of a language, so no task ranks it whole
-    near = near.withColumn("_r", F.row_number().over(Window.partitionBy("lang", "_b").orderBy(*order))).where(F.col("_r") <= first)
+    near = rows
+    for shares in (256, 16):  # first within shares of a language, so no task ranks it whole
+        near = near.withColumn("_b", F.pmod(F.xxhash64("phrase"), F.lit(shares)))
+        near = near.withColumn("_r", F.row_number().over(Window.partitionBy("lang", "_b").orderBy(*order))).where(F.col("_r") <= first)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= first)
     return ranked.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
