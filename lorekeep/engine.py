@@ -6,20 +6,21 @@ import json
 import time
 import uuid
 from collections.abc import Callable
-from datetime import datetime, timezone
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import vectors as V
-from .operators import catalog, clustering, graph, incremental, lexical, search
+from .operators import catalog, clustering, graph, incremental, lexical, search, similarity
+from .operators.common import scratch, written
 from .operators.notes import Notes
 from .sources.files import exists
+from .store import BUCKETS, Draft, Store, now
 
 EMPTY = "id string, name string, created_at string, provider string, messages array<struct<role: string, text: string, timestamp: string>>"
 MANIFEST = "id string, sha string, last_seen string"
@@ -56,35 +57,43 @@ def _texts(convs: DataFrame) -> DataFrame:
     return convs.select(F.col("id").alias("doc_id"), F.concat_ws(" ", "name", F.array_join(F.transform("messages", lambda m: m["text"]), " ")).alias("text"))
 
 
-def _now() -> str:
-    return datetime.now(timezone.utc).isoformat()
-
-
 class MemoryEngine:
-    """Tables of a root folder, a version a subfolder. A version counts once its pointer row is written, after its tables, so
-    readers see whole versions and a failed ingest changes nothing. progress(name, done, total) is called after each table."""
+    """Conversations, their vectors, index, clusters and graph in a folder of table versions (store.py), and what they answer. progress(name, done, total) is
+    called after each table."""
 
-    def __init__(self, spark: SparkSession, root: str, embed: Callable[[DataFrame], DataFrame] = hash_embed, progress: Callable[[str, int, int], None] | None = None):
+    def __init__(self, spark: SparkSession, root: str, embed: Callable[[DataFrame], DataFrame] = hash_embed, progress: Callable[[str, int, int], None] | None = None, buckets: int = BUCKETS):
         self.spark, self.root, self.embed, self.notes, self.progress, self.began = spark, root, embed, Notes(spark, f"{root}/notes"), progress, time.time()
+        self.store, self._held = Store(spark, root, buckets), {}
 
     def _pointed(self, name: str) -> str | None:
-        """Where the latest pointer row of a name points."""
-        if not exists(self.spark, f"{self.root}/{name}"):
-            return None
-        row = self.spark.read.schema("version string, at string").parquet(f"{self.root}/{name}").orderBy(F.desc("at")).first()
-        return row.version if row else None
-
-    def _point(self, name: str, version: str) -> None:
-        self.spark.createDataFrame([(version, _now())], "version string, at string").write.mode("append").parquet(f"{self.root}/{name}")
+        return self.store.pointed(name)
 
     def version(self) -> str | None:
-        return self._pointed("current")
-
-    def table(self, name: str) -> DataFrame:
-        """conversations, chunks, vectors, nodes, edges, clusters, or timeline of the current version."""
+        return self.store.pointed("current")
+
+    def _handles(self) -> dict:
+        """Tables of the current version, which is never written again, for as long as it is the current one."""
+        version = self._current()
+        if self._held.get("version") != version:
+            parts = self.store.parts(version)
+            own = lambda name: [p for p in parts if p.name == name]
+            gone = self.spark.read.parquet(f"{self.root}/{version}/gone")
+            index = lexical.read_segments(self.spark, [p.folder for p in own("index")], gone)
+            corpus = self.spark.read.parquet(f"{self.root}/{version}/corpus").first()
+            self._held = {"version": version, "parts": parts, "index": index, "corpus": corpus} | {n: self.store.read(own(n)) for n in self.BUCKETED}
+        return self._held
+
+    def _current(self) -> str:
         version = self.version()
         if version is None:
             raise FileNotFoundError(f"no version under {self.root}")
+        return version
+
+    def table(self, name: str) -> DataFrame:
+        """conversations, chunks, vectors, lengths, members, nodes, edges, clusters, or timeline of the current version."""
+        version = self._current()
+        if name in self.BUCKETED:
+            return self.store.read([p for p in self.store.parts(version) if p.name == name])
         return self.spark.read.parquet(f"{self.root}/{version}/{name}")
 
     def _labels(self) -> DataFrame:
@@ -96,57 +105,89 @@ class MemoryEngine:
             return self.spark.createDataFrame([], "id string, cluster int, label string")
         return held
 
-    #: Tables of a version, in the order they are written.
+    #: Tables of a version that progress tells of, in the order they are written; and those in buckets.
     STEPS = ("conversations", "chunks", "index", "vectors", "members", "clusters", "edges", "nodes", "timeline")
+    BUCKETED = ("conversations", "chunks", "vectors", "lengths")
+    #: Segments of the index that are merged into one.
+    SEGMENTS = 8
 
-    def _writer(self, version: str):
-        def to(name: str, df: DataFrame) -> DataFrame:
-            path = f"{self.root}/{version}/{name}"
-            if name == "index":
-                lexical.write_index(df, path)
-            else:
-                df.write.parquet(path)
-            if self.progress:
+    def _draft(self, base: list) -> Draft:
+        def told(name):
+            if self.progress and name in self.STEPS:
                 self.progress(name, self.STEPS.index(name) + 1, len(self.STEPS))
-            return lexical.read_index(self.spark, path) if name == "index" else self.spark.read.parquet(path)
 
-        return to
+        return Draft(self.store, base, told)
 
-    def ingest(self, conversations: DataFrame, mode: str = "upsert", k: int | None = None) -> str:
-        """Writes a new version and returns its name.
+    def ingest(self, conversations: DataFrame, mode: str = "upsert", k: int | None = None, token: str | None = None) -> str:
+        """Writes a new version and returns its name, or the current one if nothing is new.
 
         mode "upsert" keeps conversations that are not in `conversations`, "replace" drops them. Only new and changed ones
-        are embedded and indexed again; clusters, edges and layout are found anew. One row of an id counts, the latest date.
+        are embedded and indexed, and only the buckets they are in are written again; clusters, edges and layout are found anew. One row of an id counts, the
+        latest date. A write with a token that came to its end before does nothing and returns its version.
         """
         if mode not in ("upsert", "replace"):
             raise ValueError(f"mode {mode!r} is neither upsert nor replace")
-        old = self.version()
-        version = f"v-{uuid.uuid4().hex}"
-        to = self._writer(version)
-        fresh = hashed(normal(conversations))
-        fresh = fresh.groupBy("id").agg(F.max_by(F.struct(*fresh.columns), F.struct("created_at", "sha")).alias("r")).select("r.*")
-        if old is None:
-            convs = to("conversations", fresh)
-            chunks = to("chunks", self._chunks(convs))
-            to("index", lexical.entries(_texts(convs)))
-        else:
-            before = self.table("conversations")
-            convs = to("conversations", incremental.upsert(before, fresh) if mode == "upsert" else fresh)
-            stale = incremental.classify(convs, before).where("status <> 'unchanged'").select("id")
-            kept = convs.select("id").join(stale, "id", "left_anti")
-            again = convs.join(stale, "id", "left_semi")
-            chunks = to("chunks", self.table("chunks").join(kept, "id", "left_semi").unionByName(self._chunks(again)))
-            held = lexical.read_index(self.spark, f"{self.root}/{old}/index").drop("bucket").join(kept.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-            to("index", held.unionByName(lexical.entries(_texts(again))))
-        pooled = graph.pooled(chunks.select("id", "vector"))
-        vectors = to("vectors", convs.select("id").join(pooled, "id"))
-        self._derive(to, convs, vectors, k)
-        self._point("current", version)
-        return version
+        if token is not None and (done := self.store.of_token(token)):
+            return done
+        with scratch(self.spark):
+            fresh = hashed(normal(conversations))
+            fresh = written(fresh.groupBy("id").agg(F.max_by(F.struct(*fresh.columns), F.struct("created_at", "sha")).alias("r")).select("r.*"))
+            old = self.version()
+            if old is None:
+                stale = written(fresh.select("id", F.lit(False).alias("known")))
+            else:
+                before = self.table("conversations").select("id", "sha")
+                found = incremental.classify(fresh, before).where("status <> 'unchanged'").select("id", (F.col("status") == "changed").alias("known"))
+                gone = incremental.absent(before, fresh).select("id", F.lit(True).alias("known")) if mode == "replace" else found.limit(0)
+                stale = written(found.unionByName(gone))
+                if stale.isEmpty():
+                    if token is not None:
+                        self.store.point("current", old, token)
+                    return old
+            draft = self._draft(self.store.parts(old) if old else [])
+            again = written(fresh.join(stale.select("id"), "id", "left_semi"))
+            draft.put("conversations", again, stale)
+            chunks = written(self._chunks(again))
+            draft.put("chunks", chunks, stale)
+            self._index(draft, again, stale, old)
+            before = self.table("vectors") if old else None
+            vectors = draft.put("vectors", again.select("id").join(graph.pooled(chunks.select("id", "vector")), "id"), stale)
+            self._derive(draft, draft.table("conversations"), vectors, k, self._linked(old, before, vectors, stale))
+            return draft.finish(token)
+
+    def _graph(self, version: str) -> similarity.Graph:
+        """The similarity graph that a version has stored."""
+        read = lambda name: self.spark.read.parquet(f"{self.root}/{version}/{name}")
+        return similarity.Graph(read("edges"), read("cosines"), read("cut").first().cut, {})
+
+    def _linked(self, old: str | None, before: DataFrame | None, vectors: DataFrame, stale: DataFrame) -> similarity.Graph:
+        """The graph of the vectors: that of the old version extended, or a new one if much of it is stale; both give the same edges."""
+        if old is None or 4 * stale.count() > vectors.count():
+            return similarity.build(vectors)
+        return similarity.extend(self._graph(old), before, vectors, stale)
+
+    def _index(self, draft: Draft, again: DataFrame, stale: DataFrame, old: str | None) -> None:
+        """A segment of postings of new texts; those of stale ones in older segments are listed as gone. Many segments are merged into one."""
+        entries, segment = lexical.entries(_texts(again)), len(draft.parts.get("index", []))
+        gone = self.spark.createDataFrame([], "doc_id string, segment int")
+        if old:
+            dead = draft.table("lengths").join(stale.where("known").select("id"), "id", "left_semi").select(F.col("id").alias("doc_id"), "segment")
+            gone = written(self.spark.read.parquet(f"{self.root}/{old}/gone").unionByName(dead))
+        if segment >= self.SEGMENTS:
+            held = lexical.read_segments(self.spark, [p.folder for p in draft.parts["index"]], gone)
+            entries, segment, gone = written(held.select("doc_id", "len", "term", "tf").unionByName(entries)), 0, gone.limit(0)
+            draft.parts["index"] = []
+            del draft.parts["lengths"]
+        entries = written(entries)
+        draft.add("index", lambda folder: lexical.write_postings(entries, folder))
+        sizes = entries.groupBy(F.col("doc_id").alias("id")).agg(F.max("len").alias("len"), F.lit(segment).alias("segment"))
+        lengths = draft.put("lengths", sizes, stale)
+        draft.derive("gone", gone)
+        draft.derive("corpus", lexical.corpus(lengths))
 
     def manifest(self) -> DataFrame:
         """(id, sha, last_seen) of the conversations that runs have found; one that is missing or cannot be read is empty."""
-        empty, at = self.spark.createDataFrame([], MANIFEST), self._pointed("manifest")
+        empty, at = self.spark.createDataFrame([], MANIFEST), self.store.pointed("manifest")
         if at is None:
             return empty
         try:
@@ -163,27 +204,31 @@ class MemoryEngine:
         they change. A dry run writes nothing. The report is kept as JSON and, a row a conversation, as a table. Notes must be the same after it.
         """
         run, notes = uuid.uuid4().hex, self.notes.fingerprint()
-        report = {"started_at": _now(), "dry_run": dry_run, "notes_before": notes}
-        found = incremental.classify(hashed(normal(conversations)), manifest := self.manifest())
-        counts = {r.status: r["count"] for r in found.groupBy("status").count().collect()}
-        report |= {s: counts.get(s, 0) for s in ("new", "changed", "unchanged")}
-        todo = normal(conversations).join(found.where("status <> 'unchanged'").select("id"), "id", "left_semi")
-        if dry_run or report["new"] + report["changed"] == 0:
-            report["action"] = "dry run (nothing written)" if dry_run else "nothing to do"
-            return report if dry_run else self._finish(report, run, found)
-        told, trivial = incremental.with_users(todo, least)
-        report |= {"ingested": told.count(), "skipped_trivial": trivial.count(), "corpus_before": self._size()}
-        if report["ingested"]:
-            self.ingest(told, k=k)
-        report |= {"corpus_after": self._size(), "action": f"ingested {report['ingested']} conversations" if report["ingested"] else "all candidates skipped as trivial"}
-        incremental.next_manifest(manifest, found, report["started_at"]).write.parquet(f"{self.root}/manifests/{run}")
-        self._point("manifest", run)
-        return self._finish(report, run, found.join(trivial.select("id", F.lit(True).alias("trivial")), "id", "left"))
+        report = {"started_at": now(), "dry_run": dry_run, "notes_before": notes}
+        with scratch(self.spark):
+            manifest, given, seen = self.manifest(), normal(conversations), Observation()
+            users = F.size(F.filter("messages", lambda m: m["role"] == "user"))
+            found = incremental.classify(hashed(given).withColumn("users", users), manifest, ["users"])
+            found = found.withColumn("trivial", (F.col("status") != "unchanged") & (F.col("users") < least))
+            counts = [F.count_if(F.col("status") == s).alias(s) for s in ("new", "changed", "unchanged")]
+            found = written(found.observe(seen, *counts, F.count_if("trivial").alias("skipped_trivial")))  # counted in the pass that writes
+            report |= {s: seen.get[s] for s in ("new", "changed", "unchanged")}
+            todo = report["new"] + report["changed"]
+            if dry_run or not todo:
+                report["action"] = "dry run (nothing written)" if dry_run else "nothing to do"
+                return report if dry_run else self._finish(report, run, found)
+            report |= {"ingested": todo - seen.get["skipped_trivial"], "skipped_trivial": seen.get["skipped_trivial"], "corpus_before": self._size()}
+            if report["ingested"]:
+                self.ingest(given.join(found.where("status <> 'unchanged' and not trivial").select("id"), "id", "left_semi"), k=k)
+            report |= {"corpus_after": self._size(), "action": f"ingested {report['ingested']} conversations" if report["ingested"] else "all candidates skipped as trivial"}
+            incremental.next_manifest(manifest, found, report["started_at"]).write.parquet(f"{self.root}/manifests/{run}")
+            self.store.point("manifest", run)
+            return self._finish(report, run, found)
 
     def _finish(self, report: dict, run: str, rows: DataFrame) -> dict:
         notes = self.notes.fingerprint()
-        report |= {"notes_after": notes, "notes_untouched": notes == report["notes_before"], "finished_at": _now()}
-        rows.drop("sha").write.parquet(f"{self.root}/runs/{run}")
+        report |= {"notes_after": notes, "notes_untouched": notes == report["notes_before"], "finished_at": now()}
+        rows.select("id", "status", "trivial").write.parquet(f"{self.root}/runs/{run}")
         self._report(report)
         if not report["notes_untouched"]:
             raise RuntimeError("notes changed during an ingest")
@@ -211,7 +256,7 @@ class MemoryEngine:
         fresh = incremental.new_ids(parsed, known)
         plan = {r.source: r.asDict() for r in catalog.plan_summary(parsed, fresh).collect()}
         providers = lambda df: {r.provider: r["count"] for r in df.groupBy("provider").count().collect()}
-        report = {"started_at": _now(), "dry_run": dry_run, "corpus_before": known.count(), "plan": [plan[s] for s in sources if s in plan], "provider_before": providers(known)}
+        report = {"started_at": now(), "dry_run": dry_run, "corpus_before": known.count(), "plan": [plan[s] for s in sources if s in plan], "provider_before": providers(known)}
         report["total_new"] = sum(p["n_new"] for p in report["plan"])
         if dry_run or not report["total_new"]:
             return report | {"action": "dry run (nothing written)" if dry_run else "nothing to ingest"}
@@ -227,7 +272,7 @@ class MemoryEngine:
         known = self.table("conversations") if self.version() else self.spark.createDataFrame([], EMPTY)
         own, export = known.where(F.col("provider") == provider), normal(export)
         gone, new = incremental.absent(own, export).select("id"), incremental.new_ids(export.withColumn("pos", F.lit(0)), known).drop("pos")
-        report = {"started_at": _now(), "provider": provider, "dry_run": dry_run, "export_conversations": export.select("id").distinct().count(), "corpus_before": known.count(), "provider_before": own.count(), "new": new.count(), "absent_from_export": gone.count()}
+        report = {"started_at": now(), "provider": provider, "dry_run": dry_run, "export_conversations": export.select("id").distinct().count(), "corpus_before": known.count(), "provider_before": own.count(), "new": new.count(), "absent_from_export": gone.count()}
         if dry_run:
             return report | {"projected_after": report["corpus_before"] + report["new"], "projected_provider_after": report["provider_before"] + report["new"]}
         record = f"{self.root}/absent/{uuid.uuid4().hex}"
@@ -239,14 +284,18 @@ class MemoryEngine:
         return report
 
     def recluster(self, k: int) -> str:
-        """A version with k clusters over the same conversations and vectors."""
-        version = f"v-{uuid.uuid4().hex}"
-        to, old = self._writer(version), self.version()
-        convs, _ = to("conversations", self.table("conversations")), to("chunks", self.table("chunks"))
-        to("index", lexical.read_index(self.spark, f"{self.root}/{old}/index").drop("bucket"))
-        self._derive(to, convs, to("vectors", self.table("vectors")), k)
-        self._point("current", version)
-        return version
+        """A version with k clusters over the same conversations, vectors and edges, whose files it shares."""
+        old = self._current()
+        with scratch(self.spark):
+            draft = self._draft(self.store.parts(old))
+            for name in ("gone", "corpus"):
+                draft.derive(name, self.spark.read.parquet(f"{self.root}/{old}/{name}"))
+            self._derive(draft, draft.table("conversations"), draft.table("vectors"), k, self._graph(old))
+            return draft.finish()
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Removes all but the newest `keep` versions, what writes that failed have left, and data that no kept version has."""
+        return self.store.vacuum(keep)
 
     def _asked(self, convs: DataFrame) -> DataFrame:
         asked = F.transform(F.filter("messages", lambda m: (m["role"] == "user") & (T.strip(m["text"]) != "")), lambda m: m["text"])
@@ -256,38 +305,45 @@ class MemoryEngine:
         """(id, chunk_id, text, vector): a vector a user message; the name stands in where there is none."""
         return self.embed(self._asked(convs).select("id", F.posexplode("asked").alias("chunk_id", "text"))).select("id", "chunk_id", "text", "vector")
 
-    def _derive(self, to, convs: DataFrame, vectors: DataFrame, k: int | None) -> None:
+    def _derive(self, draft: Draft, convs: DataFrame, vectors: DataFrame, k: int | None, linked: similarity.Graph) -> None:
         dim = clustering.dimension(vectors)
-        members = to("members", clustering.kmeans(vectors, k) if k else clustering.sweep(vectors)[1])
+        members = draft.derive("members", clustering.kmeans(vectors, k) if k else clustering.sweep(vectors)[1])
         asked = self._asked(convs)
         first = F.coalesce(F.get(F.transform(F.filter("messages", lambda m: m["role"] == "user"), lambda m: m["text"]), 0), F.lit(""))
         heads = convs.select("id", "name", first.alias("first_message"))
-        groups = to("clusters", clustering.labels(members, heads, dim))
-        to("edges", graph.degree_capped(graph.over_percentile(vectors)))
+        groups = draft.derive("clusters", clustering.labels(members, heads, dim))
+        draft.derive("cosines", linked.counts)
+        draft.derive("cut", self.spark.createDataFrame([(linked.cut,)], "cut double"))
+        draft.derive("edges", linked.edges)
         terms = lexical.top_terms(asked.select(F.col("id").alias("doc_id"), F.concat_ws(" ", "name", F.array_join(F.slice("asked", 1, 3), " ")).alias("text")), 4)
         terms = terms.groupBy(F.col("doc_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
         day = F.coalesce(F.date_format(F.try_to_timestamp("created_at"), "yyyy-MM-dd"), F.lit(""))
         base = convs.join(members.select("id", "cluster"), "id").select("id", "name", "provider", "created_at", day.alias("date"), "cluster", F.size("messages").alias("n_messages"), T.snippet(first).alias("snippet"))
         nodes = base.join(F.broadcast(groups.select("cluster", "label", "color")), "cluster", "left").join(terms, "id", "left").join(clustering.layout(vectors, base), "id", "left")
-        nodes = to("nodes", nodes)
-        to("timeline", catalog.timeline(nodes))
+        nodes = draft.derive("nodes", nodes)
+        draft.derive("timeline", catalog.timeline(nodes))
 
     def search_df(self, query: str, top_k: int = 5, provider: str | None = None) -> DataFrame:
         """The best conversations by fused ranks; with a provider, those of the first 3 * top_k that have it."""
         if not query or not query.strip():
             return self.spark.createDataFrame([], FOUND)
         top_k = clamped(top_k, 5, 0) or 5
-        convs, version = self.table("conversations"), self.version()
-        asked = self.embed(self.spark.createDataFrame([(query,)], "text string")).first().vector
-        q = V.literal(asked)
-        semantic = self.table("vectors").select(F.col("id").alias("doc_id"), V.cosine(F.col("vector"), q).alias("score"))
-        chunk = search.best_chunk(self.table("chunks").select(F.col("id").alias("doc_id"), "chunk_id", "vector"), q)
-        words = self.spark.createDataFrame([(query,)], "q string").select(T.tokens(F.col("q")).alias("w")).first().w
-        fused = search.fuse(semantic, chunk, lexical.search_index(self.spark, f"{self.root}/{version}/index", words))
-        hits = fused.orderBy(F.desc("rrf"), F.desc("doc_id")).limit(top_k * 3 if provider else top_k)
-        rows = hits.join(convs.withColumnRenamed("id", "doc_id"), "doc_id")
-        said = self.table("chunks").select(F.col("id").alias("doc_id"), F.col("chunk_id").cast("long").alias("chunk_id"), F.col("text").alias("said"))
-        rows = rows.join(said, ["doc_id", "chunk_id"], "left")
+        held = self._handles()
+        said = self.embed(self.spark.createDataFrame([(query,)], "text string")).withColumn("_words", T.tokens(F.col("text"))).first()
+        q = V.literal(said.vector)
+        semantic = held["vectors"].select(F.col("id").alias("doc_id"), V.cosine(F.col("vector"), q).alias("score"))
+        chunks = held["chunks"].select(F.col("id").alias("doc_id"), F.col("chunk_id").cast("long").alias("chunk_id"), V.cosine(F.col("vector"), q).alias("score"))
+        found = lexical.search_segments(self.spark, held["index"], held["corpus"], said["_words"])
+        hits, self.last_search = search.top_fused(semantic, chunks, found, top_k * 3 if provider else top_k)
+        ids = [h.doc_id for h in hits]
+        if not ids:
+            return self.spark.createDataFrame([], FOUND)
+        rows = F.broadcast(self.spark.createDataFrame(hits, "doc_id string, rrf double, conversation_score double, chunk_score double, lexical_score double, chunk_id long"))
+        own = lambda name: [p for p in held["parts"] if p.name == name]
+        numbers = self.store.buckets_of(ids, own("conversations")[0].buckets)
+        convs = self.store.read_ids(own("conversations"), ids, numbers).withColumnRenamed("id", "doc_id")
+        said = self.store.read_ids(own("chunks"), ids, numbers).select(F.col("id").alias("doc_id"), F.col("chunk_id").cast("long").alias("chunk_id"), F.col("text").alias("said"))
+        rows = rows.join(convs, "doc_id").join(said, ["doc_id", "chunk_id"], "left")
         rows = rows.join(self._labels().withColumnRenamed("id", "doc_id"), "doc_id", "left").join(self.notes.counts().withColumnRenamed("conv_id", "doc_id"), "doc_id", "left")
         if provider:
             rows = rows.where(F.col("provider") == provider)

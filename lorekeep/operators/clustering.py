@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
+import math
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -11,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import snippet
 from ..functions.vectors import dot, norm, normalise
 from .common import written
-from .graph import centroids, nearest, silhouette
+from .graph import centroids, nearest
 from .lexical import top_terms
 
 #: Colours of clusters, by cluster modulo their number.
@@ -32,32 +37,203 @@ def kmeans(vectors: DataFrame, k: int, seeds=range(42, 52), rounds: int = 300) -
     Zero vectors, which have no direction, take part in no fit and join cluster 0. Clusters are numbered from 0 as found;
     fewer than k come out if there are fewer directions.
     """
-    unit = vectors.select("id", "vector", norm(F.col("vector")).alias("_n"), array_to_vector(normalise(F.col("vector"))).alias("features"))
-    some, none = written(unit.where("_n > 0")), unit.where("not coalesce(_n > 0, false)")
-    if k < 2 or some.isEmpty():
+    if k < 2:
         return vectors.select("id", "vector", F.lit(0).cast("int").alias("cluster"))
-    fits = (KMeans(k=k, distanceMeasure="cosine", seed=s, maxIter=rounds, tol=1e-6, predictionCol="cluster").fit(some) for s in seeds)
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    return best.transform(some).select("id", "vector", "cluster").union(none.select("id", "vector", F.lit(0).cast("int")))
+    blocks = _unit_blocks(vectors)
+    best = _best(lloyd(blocks, [(k, seed) for seed in seeds], rounds))
+    return _assigned(vectors, best[k].centres) if best else vectors.select("id", "vector", F.lit(0).cast("int").alias("cluster"))
 
 
-def sweep(vectors: DataFrame, low: int = 5, high: int = 20, seeds=range(42, 52)) -> tuple[int, DataFrame]:
+def sweep(vectors: DataFrame, low: int = 5, high: int = 20, seeds=range(42, 52), rounds: int = 300) -> tuple[int, DataFrame]:
     """(k, (id, vector, cluster)) of the k with the highest mean simplified silhouette, the first of equal ones.
 
-    k runs from low to high, but no higher than a third of the rows; fewer than four rows are one cluster.
+    k runs from low to high, but no higher than a third of the rows; fewer than four rows are one cluster. All k and seeds are fitted at
+    once, so the sweep takes the passes of its longest fit and one more.
     """
     vectors = written(vectors.select("id", "vector"))
     n = vectors.count()
+    one = vectors.withColumn("cluster", F.lit(0).cast("int"))
     if n < 4:
-        return 1, vectors.withColumn("cluster", F.lit(0).cast("int"))
+        return 1, one
     high = min(high, max(2, n // 3))
-    best, dim = (-2.0, 0, None), dimension(vectors)
-    for k in range(max(2, min(low, high)), high + 1):
-        found = written(kmeans(vectors, k, seeds))
-        score = silhouette(found, dim).agg(F.avg("s")).first()[0]
-        if (-1.0 if score is None else score) > best[0]:
-            best = (-1.0 if score is None else score, k, found)
-    return best[1], best[2]
+    blocks = _unit_blocks(vectors)
+    best = _best(lloyd(blocks, [(k, seed) for k in range(max(2, min(low, high)), high + 1) for seed in seeds], rounds))
+    if not best:
+        return max(2, min(low, high)), one
+    zeros = n - blocks.agg(F.sum("n")).first()[0]
+    scores = _silhouettes(blocks, [best[k] for k in sorted(best)], zeros)
+    k = max(sorted(best), key=lambda k: scores[sorted(best).index(k)])
+    return k, _assigned(vectors, best[k].centres)
+
+
+#: Unit vectors of a block, rows that starts are drawn from, partitions whose sums the driver adds up itself.
+ROWS, STARTS, FEW_PARTS = 2048, 4096, 16
+
+
+def _unit_blocks(vectors: DataFrame) -> DataFrame:
+    """(n, x): the unit vectors of rows that have a direction, as matrices of up to ROWS rows."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                flat = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                for at in range(0, len(flat), ROWS):
+                    part = flat[at : at + ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array([len(part)], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["n", "x"])
+
+    unit = vectors.where("vector is not null").select(norm(F.col("vector")).alias("n"), normalise(F.col("vector")).alias("v")).where("n > 0")
+    return written(unit.select("v").mapInArrow(run, "n long, x binary"))
+
+
+def _matrices(batches):
+    for b in batches:
+        for n, x in zip(b.column("n").to_pylist(), b.column("x"), strict=True):
+            yield np.frombuffer(x.as_py()).reshape(n, -1)
+
+
+class Fit:
+    """A run of k-means: its centres (rows), and, of the last pass, sizes, sums of members and cost."""
+
+    def __init__(self, k: int, seed: int, centres: np.ndarray):
+        self.k, self.seed, self.centres, self.done = k, seed, centres, False
+        self.sizes = self.sums = None
+        self.cost = math.inf
+
+
+def _starts(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k rows, each drawn by its squared distance to those before it; fewer if there are fewer different ones."""
+    r = np.random.default_rng(seed)
+    chosen = [int(r.integers(len(rows)))]
+    near = 2 - 2 * rows @ rows[chosen[0]]
+    while len(chosen) < k:
+        weight = np.where(near > 1e-12, near, 0.0)
+        if not weight.any():
+            break
+        chosen.append(int(r.choice(len(rows), p=weight / weight.sum())))
+        near = np.minimum(near, 2 - 2 * rows @ rows[chosen[-1]])
+    return rows[chosen].copy()
+
+
+def _pass(blocks: DataFrame, fits: list[Fit]) -> None:
+    """Brings sizes, sums and costs of all fits up to date in one pass; partial sums are added up per fit before they come to the driver."""
+    centres = np.concatenate([f.centres for f in fits])
+    ends = np.cumsum([len(f.centres) for f in fits])
+    starts = ends - [len(f.centres) for f in fits]
+
+    def run(batches):
+        total, seen = np.zeros((len(centres), centres.shape[1] + 1)), False
+        cost = np.zeros(len(starts))
+        for x in _matrices(batches):
+            seen = True
+            near, whole = x @ centres.T, np.c_[x, np.ones(len(x))]
+            for i, (a, b) in enumerate(zip(starts, ends, strict=True)):
+                own = near[:, a:b].argmax(1)
+                member = np.zeros((b - a, len(x)))
+                member[own, np.arange(len(x))] = 1
+                total[a:b] += member @ whole
+                cost[i] += (2 - 2 * near[np.arange(len(x)), a + own]).sum()
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(starts)), pa.int32()), pa.array(cost), pa.array([total[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], ["fit", "cost", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        sums = sum(np.frombuffer(s.as_py()) for s in table.column("sums"))
+        return pa.table({"fit": table.column("fit").slice(0, 1), "cost": pa.array([sum(table.column("cost").to_pylist())]), "sums": pa.array([sums.tobytes()], pa.binary())})
+
+    kind = "fit int, cost double, sums binary"
+    parts = blocks.mapInArrow(run, kind)
+    if blocks.rdd.getNumPartitions() > FEW_PARTS:
+        parts = parts.groupBy("fit").applyInArrow(add, kind)
+    found = parts.toArrow()
+    for i, f in enumerate(fits):
+        own = found.filter(pc.equal(found.column("fit"), i))
+        sums = sum(np.frombuffer(s.as_py()) for s in own.column("sums")).reshape(len(f.centres), -1)
+        f.sums, f.sizes, f.cost = sums[:, :-1], sums[:, -1], sum(own.column("cost").to_pylist())
+
+
+def lloyd(blocks: DataFrame, runs: list[tuple[int, int]], rounds: int = 300, tol: float = 1e-6) -> list[Fit]:
+    """Fits of (k, seed), all of whose rounds share passes over blocks: a pass assigns every vector in every fit that still moves.
+
+    Starts are drawn from at most about STARTS vectors, in the order of a hash; the fits take all. An empty cluster begins anew at one of those. The driver holds
+    the centres only: their number and dimension do not grow with the vectors.
+    """
+    some = blocks.orderBy(F.xxhash64("x")).limit(math.ceil(STARTS / ROWS)).collect()
+    rows = np.concatenate([np.frombuffer(b.x).reshape(b.n, -1) for b in some]) if some else np.zeros((0, 0))
+    if not len(rows):
+        return []
+    fits = [Fit(k, seed, _starts(rows, k, seed)) for k, seed in runs]
+    for step in range(rounds):
+        active = [f for f in fits if not f.done]
+        if not active:
+            break
+        _pass(blocks, active)
+        for f in active:
+            r = np.random.default_rng([f.seed, step])
+            length = np.sqrt((f.sums**2).sum(1, keepdims=True))
+            moved = np.where(length > 0, f.sums / np.where(length > 0, length, 1), f.centres)
+            empty = f.sizes == 0
+            moved[empty] = rows[r.integers(len(rows), size=int(empty.sum()))]
+            f.done = np.abs(moved - f.centres).max() <= tol
+            f.centres = moved
+    last = [f for f in fits if not f.done] or []
+    if last:  # stopped by the number of rounds: costs of the last centres
+        _pass(blocks, last)
+    return fits
+
+
+def _best(fits: list[Fit]) -> dict[int, Fit]:
+    """The fit of the least cost for each k, the first of equal ones."""
+    best: dict[int, Fit] = {}
+    for f in fits:
+        if f.k not in best or f.cost < best[f.k].cost:
+            best[f.k] = f
+    return best
+
+
+def _silhouettes(blocks: DataFrame, fits: list[Fit], zeros: int) -> list[float]:
+    """Mean simplified silhouettes of several fits in two passes: mean cosine distances are distances to the clusters' mean vectors. Zero vectors, in
+    cluster 0, are at distance 1 from every mean."""
+    _pass(blocks, fits)
+    held = []
+    for f in fits:
+        sizes = f.sizes.copy()
+        sizes[0] += zeros
+        some = np.flatnonzero(sizes > 0)
+        held.append((f.centres, some, f.sums[some] / sizes[some][:, None], sizes[some]))
+
+    def run(batches):
+        total = np.zeros(len(held))
+        for x in _matrices(batches):
+            for i, (centres, some, means, sizes) in enumerate(held):
+                if len(some) < 2:
+                    continue
+                own = np.searchsorted(some, (x @ centres.T).argmax(1))
+                far, at = 1 - x @ means.T, np.arange(len(x))
+                a = np.where(sizes[own] == 1, 0.0, far[at, own])
+                far[at, own] = np.inf
+                b = far.min(1)
+                top = np.maximum(a, b)
+                total[i] += np.where(top > 0, (b - a) / np.where(top > 0, top, 1), 0.0).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(held)), pa.int32()), pa.array(total)], ["fit", "s"])
+
+    sums = {r.fit: r.s for r in blocks.mapInArrow(run, "fit int, s double").groupBy("fit").agg(F.sum("s").alias("s")).collect()}
+    n = fits[0].sizes.sum() + zeros
+    return [-1.0 if len(h[1]) < 2 else sums.get(i, 0.0) / n for i, h in enumerate(held)]
+
+
+def _assigned(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """(id, vector, cluster): the nearest centre, ties to the lowest, 0 for vectors without a direction."""
+
+    @F.pandas_udf("int")
+    def own(v: pd.Series) -> pd.Series:
+        some = [i for i, x in enumerate(v) if x is not None]
+        out = np.zeros(len(v), np.int32)
+        if some:
+            x = np.asarray(np.stack([v.iloc[i] for i in some]), np.float64)
+            length = np.sqrt((x * x).sum(1))
+            out[some] = np.where(length > 0, (x @ centres.T).argmax(1), 0)
+        return pd.Series(out)
+
+    return vectors.select("id", "vector", own("vector").alias("cluster"))
 
 
 def labels(members: DataFrame, docs: DataFrame, dim: int, near: int = 5, terms: int = 3) -> DataFrame:

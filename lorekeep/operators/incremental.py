@@ -12,10 +12,10 @@ def new_ids(parsed: DataFrame, known: DataFrame) -> DataFrame:
     return parsed.join(known.select("id"), "id", "left_anti").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def classify(found: DataFrame, manifest: DataFrame) -> DataFrame:
-    """found (id, sha) with status new, changed or unchanged."""
+def classify(found: DataFrame, manifest: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """found (id, sha, and columns to carry) with status new, changed or unchanged."""
     old = manifest.select("id", F.col("sha").alias("old"))
-    return found.join(old, "id", "left").select("id", "sha", F.when(F.col("old").isNull(), "new").when(F.col("old") != F.col("sha"), "changed").otherwise("unchanged").alias("status"))
+    return found.join(old, "id", "left").select("id", "sha", *(carry or []), F.when(F.col("old").isNull(), "new").when(F.col("old") != F.col("sha"), "changed").otherwise("unchanged").alias("status"))
 
 
 def absent(known: DataFrame, parsed: DataFrame) -> DataFrame:

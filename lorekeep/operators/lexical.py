@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from functools import reduce
+from zlib import crc32
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,11 +57,16 @@ def bm25(docs: DataFrame, query: list[str], k1: float = K1, b: float = B) -> Dat
 
 
 #: Folders of a stored index; a query reads those of its terms.
-BUCKETS = 64
+BUCKETS = 16
 
 
 def bucket(term):
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.crc32(F.col(term)), F.lit(BUCKETS)).cast("int")
+
+
+def bucket_of(term: str) -> int:
+    """The same, on the driver."""
+    return crc32(term.encode()) % BUCKETS
 
 
 def entries(docs: DataFrame) -> DataFrame:
@@ -69,34 +75,54 @@ def entries(docs: DataFrame) -> DataFrame:
     return sized.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
 
 
-def write_index(postings_: DataFrame, folder: str) -> None:
-    """Entries as a stored index: postings, a folder a bucket of terms, and the row of the corpus (n, avgdl)."""
+def write_postings(postings_: DataFrame, folder: str) -> None:
+    """Entries as a segment of a stored index: a folder a bucket of terms, in which rows are by term."""
     spread = int(postings_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = postings_.withColumn("bucket", F.coalesce(bucket("term"), F.lit(BUCKETS)))
     held.repartition(spread, "bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
-    sizes = read_index(postings_.sparkSession, folder).groupBy("doc_id").agg(F.max("len").alias("len"))
-    sizes.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl")).write.parquet(f"{folder}/corpus")
+
+
+def corpus(lengths_: DataFrame) -> DataFrame:
+    """The row (n, avgdl) of documents (len)."""
+    return lengths_.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl"))
+
+
+def write_index(postings_: DataFrame, folder: str) -> None:
+    """Entries as a stored index of one segment, with the row of its corpus."""
+    write_postings(postings_, folder)
+    corpus(read_index(postings_.sparkSession, folder).groupBy("doc_id").agg(F.max("len").alias("len"))).write.parquet(f"{folder}/corpus")
 
 
 def read_index(spark, folder: str) -> DataFrame:
-    """The entries of a stored index, with their bucket."""
+    """The entries of a segment, with their bucket."""
     return spark.read.schema("doc_id string, len long, term string, tf long, bucket int").parquet(f"{folder}/postings")
 
 
-def search_index(spark, folder: str, query: list[str], k1: float = K1, b: float = B) -> DataFrame:
-    """bm25 (doc_ids are strings) from a stored index: only the folders of the query's terms are read, and of them only those terms' rows."""
+def read_segments(spark, folders: list[str], gone: DataFrame | None = None) -> DataFrame:
+    """The entries of segments, the number of each being its place in the list, without those of documents that are gone (doc_id, segment)."""
+    parts = [read_index(spark, f).withColumn("segment", F.lit(i)) for i, f in enumerate(folders)]
+    out = reduce(DataFrame.unionByName, parts)
+    return out if gone is None or gone.isEmpty() else out.join(gone, ["doc_id", "segment"], "left_anti")
+
+
+def search_segments(spark, entries_: DataFrame, row, query: list[str], k1: float = K1, b: float = B) -> DataFrame:
+    """bm25 (doc_ids are strings) from the entries of a stored index and the row of its corpus: only the folders of the query's terms are read, and of them only those terms' rows."""
     weight = Counter(query)
-    corpus = spark.read.schema("n long, avgdl double").parquet(f"{folder}/corpus").first()
-    if not weight or not corpus.n:
+    if not weight or not row.n:
         return spark.createDataFrame([], "doc_id string, score double")
-    places = [r.k for r in spark.createDataFrame([(t,) for t in weight], "t string").select(bucket("t").alias("k")).distinct().collect()]
-    held = read_index(spark, folder).where(F.col("bucket").isin(places) & F.col("term").isin(list(weight)))
+    places = sorted({bucket_of(t) for t in weight})
+    held = entries_.where(F.col("bucket").isin(places) & F.col("term").isin(list(weight)))
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     times = F.create_map(*(x for t, c in weight.items() for x in (F.lit(t), F.lit(float(c)))))
-    part = _score(times[F.col("term")], F.col("tf"), F.col("df"), F.lit(corpus.n), F.col("len"), F.lit(corpus.avgdl), k1, b)
+    part = _score(times[F.col("term")], F.col("tf"), F.col("df"), F.lit(row.n), F.col("len"), F.lit(row.avgdl), k1, b)
     return held.join(F.broadcast(df), "term").groupBy("doc_id").agg(F.sum(part).alias("score"))
 
 
+def search_index(spark, folder: str, query: list[str], k1: float = K1, b: float = B) -> DataFrame:
+    """search_segments of an index of one segment."""
+    return search_segments(spark, read_index(spark, folder), spark.read.schema("n long, avgdl double").parquet(f"{folder}/corpus").first(), query, k1, b)
+
+
 def top_terms(docs: DataFrame, n: int = 5) -> DataFrame:
     """(doc_id, rank, term, n): most frequent words of three letters or more, ties by first appearance."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))

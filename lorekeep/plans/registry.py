@@ -58,11 +58,12 @@ def _split(spark, sf):
     return now, known.union(gone)
 
 
-def _hybrid(spark, sf):
+def _hybrid(spark, sf, k):
     v = _vectors(spark, sf)
     semantic = v.select(F.col("id").alias("doc_id"), F.round(V.cosine(F.col("vector"), _query_vector()), 6).alias("score"))
-    chunk = _best(spark, sf).select("doc_id", F.round("score", 6).alias("score"))
-    return search.fuse(semantic, chunk, _round(lexical.bm25(_t(spark, sf, "documents").select("doc_id", "text"), QUERY), "score")).select("doc_id", "rrf")
+    chunks = semantic.select(F.floor(F.col("doc_id") / 4).alias("doc_id"), F.col("doc_id").alias("chunk_id"), "score")
+    found = search.top_fused(semantic, chunks, _round(lexical.bm25(_t(spark, sf, "documents").select("doc_id", "text"), QUERY), "score"), k)[0]
+    return spark.createDataFrame([(h.doc_id, h.rrf) for h in found], "doc_id long, rrf double")
 
 
 def _best(spark, sf):
@@ -177,8 +178,8 @@ def queries() -> dict:
         "cosine_topk": lambda s, d: _vectors(s, d).select("id", F.round(V.cosine(c("vector"), _query_vector()), 6).alias("score")).orderBy(F.desc("score"), F.desc("id")).limit(10),
         "mean_pool_by_label": lambda s, d: graph.centroids(_vectors(s, d), DIM).select("cluster", F.posexplode("centre").alias("dim", "x")).withColumn("x", F.round("x", 6)),
         "best_chunk_per_conv": lambda s, d: _round(_best(s, d), "score"),
-        "hybrid_rrf_search": lambda s, d: _round(_hybrid(s, d).orderBy(F.desc("rrf"), F.desc("doc_id")).limit(10), "rrf"),
-        "provider_postfilter_search": lambda s, d: _round(search.post_filter(_hybrid(s, d), c("doc_id") % 3 == 0, 5), "rrf"),
+        "hybrid_rrf_search": lambda s, d: _round(_hybrid(s, d, 10), "rrf"),
+        "provider_postfilter_search": lambda s, d: _round(search.post_filter(_hybrid(s, d, 15), c("doc_id") % 3 == 0, 5), "rrf"),
         "similarity_pairs_p95": lambda s, d: _edges(s, d).agg(F.count("*").alias("n"), F.round(F.min("w"), 6).alias("low"), F.round(F.max("w"), 6).alias("high")),
         "edge_topk_per_node": lambda s, d: _round(graph.top_edges(_edges(s, d), 3), "w"),
         "edge_semi_filter": lambda s, d: _round(graph.visible(_edges(s, d), _vectors(s, d).where("cluster < 5")), "w"),

@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..operators.common import small_join, written
 from ..streaming.sessions import sessionise
 from .exports import MESSAGE, linearise, register, told, trees
-from .files import files, text_of
+from .files import files, listed, text_of
 from .records import present, records
 
 COLUMNS = ["id", "name", "created_at", "provider", "messages"]
@@ -32,13 +32,18 @@ def _first(df: DataFrame) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "path")
 
 
-def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+def read_sessions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Coding sessions: a *.jsonl file is a conversation.
 
     Lines that do not parse, meta and side-chain records and blank texts are skipped; the last title record names
     it, else its first user text; files without a message give no row.
     """
-    lines = files(spark, path, "*.jsonl").select("path", F.posexplode(F.split(text_of(F.col("content")), "\n")).alias("n", "line"))
+    return sessions(files(spark, path, "*.jsonl").select("path", text_of(F.col("content")).alias("text")))
+
+
+def sessions(texts: DataFrame) -> DataFrame:
+    """Conversations of files (path, text)."""
+    lines = texts.select("path", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     v = F.col("v")
     rows = lines.select("path", "n", F.try_parse_json(F.trim("line")).alias("v")).where("v is not null").select(
         "path", "n", _get(v, "$.type").alias("type"), T.coalesce_text(_get(v, "$.aiTitle"), _get(v, "$.title")).alias("title"),
@@ -55,10 +60,14 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     return out.select(F.concat(F.lit("local_"), T.file_stem(F.col("path"))).alias("id"), name.alias("name"), F.coalesce(began, F.lit("")).alias("created_at"), F.lit("claude-code").alias("provider"), "messages")
 
 
-def read_notebooks(spark: SparkSession, path: str) -> DataFrame:
+def read_notebooks(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Notebook chats: pages named "Chat Session - <id>.html"; turns begin at lines of USER: or MODEL:; the folder above names it."""
-    glob = "*.html" if path.endswith(".html") else "Chat Session*.html"
-    df = files(spark, path, glob).select("path", text_of(F.col("content")).alias("text"))
+    glob = "*.html" if all(p.endswith(".html") for p in listed(path)) else "Chat Session*.html"
+    return notebooks(files(spark, path, glob).select("path", text_of(F.col("content")).alias("text")))
+
+
+def notebooks(df: DataFrame) -> DataFrame:
+    """Conversations of pages (path, text)."""
     turn = r"(?md)^(?:USER|MODEL):[ \t]?"
     who, said = F.regexp_extract_all("text", F.lit(r"(?md)^(USER|MODEL):[ \t]?"), F.lit(1)), F.split("text", turn)
     turns = df.select("path", F.posexplode(F.zip_with(who, F.slice(said, F.lit(2), F.size(said)), lambda w, s: F.struct(w.alias("who"), s.alias("said")))).alias("n", "t"))
@@ -82,9 +91,14 @@ def _parts(v: Column, path: str) -> Column:
     return F.array_join(texts, " ")
 
 
-def read_prompts(spark: SparkSession, path: str) -> DataFrame:
+def read_prompts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Prompt files of a studio, with model and system_instruction; only those with a user and a model turn. Other files give no row."""
-    df = files(spark, path).select("path", F.try_parse_json(text_of(F.col("content"))).alias("v")).where("v is not null")
+    return prompts(files(spark, path).select("path", text_of(F.col("content")).alias("text")))
+
+
+def prompts(texts: DataFrame) -> DataFrame:
+    """Conversations of files (path, text)."""
+    df = texts.select("path", F.try_parse_json("text").alias("v")).where("v is not null")
     v, stem = F.col("v"), T.file_stem(F.col("path"))
     system = T.strip(T.coalesce_text(_get(v, "$.systemInstruction.text"), _parts(v, "$.systemInstruction.parts")))
     out = df.select(
@@ -103,7 +117,7 @@ ATTACHMENTS = (
 )
 
 
-def read_prompt_folder(spark: SparkSession, path: str) -> DataFrame:
+def read_prompt_folder(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The older layout of prompt files in one folder: texts in parts, the file's time as the date; not registered."""
     name = T.file_name(F.col("path"))
     ending = F.lower(F.regexp_extract(name, r"(?<=.)\.([^.]*)$", 1))
@@ -120,9 +134,14 @@ def read_prompt_folder(spark: SparkSession, path: str) -> DataFrame:
     return out.where(F.size("messages") > 0)
 
 
-def read_activity_page(spark: SparkSession, path: str) -> DataFrame:
+def read_activity_page(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Activity entries (at, tz, prompt, response) of the HTML layout; entries without a prompt or a date are dropped."""
-    cells = files(spark, path).select(F.explode(F.split(text_of(F.col("content")), '<div class="outer-cell')).alias("cell"))
+    return activity_of_pages(files(spark, path).select("path", text_of(F.col("content")).alias("text")))
+
+
+def activity_of_pages(pages: DataFrame) -> DataFrame:
+    """Activity entries of pages (text)."""
+    cells = pages.select(F.explode(F.split("text", '<div class="outer-cell')).alias("cell"))
     asked = F.get(F.split("cell", "Prompted", 2), 1)
     stamp = r"((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{1,2}, \d{4}, \d{1,2}:\d{2}:\d{2})(?U:\s*)(AM|PM)(?U:\s*)([A-Z]{2,4})"
     df = cells.select(asked.alias("rest")).where("rest is not null").select("*", *(F.regexp_extract("rest", stamp, k).alias(x) for k, x in ((1, "day"), (2, "half"), (3, "tz"))), F.split("rest", stamp, 2).alias("sides"))
@@ -133,9 +152,14 @@ def read_activity_page(spark: SparkSession, path: str) -> DataFrame:
     return df.select(at.alias("at"), "tz", T.html_clean(F.get("sides", 0), entities=True).alias("prompt"), response.alias("response")).where("prompt <> '' and at is not null")
 
 
-def read_activity(spark: SparkSession, path: str) -> DataFrame:
+def read_activity(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Activity entries (at, tz, prompt, response) of the JSON layout, an array of any size."""
-    df = records(spark, [path]).select(F.from_json("text", "title string, time string, safeHtmlItem array<struct<html: string>>").alias("e")).select("e.*")
+    return activity_of_records(records(spark, listed(path)))
+
+
+def activity_of_records(found: DataFrame) -> DataFrame:
+    """Activity entries of records (text)."""
+    df = found.select(F.from_json("text", "title string, time string, safeHtmlItem array<struct<html: string>>").alias("e")).select("e.*")
     prompt = T.strip(F.regexp_replace("title", "^(Prompted|Said) ", ""))
     response = T.html_clean(F.array_join(F.transform("safeHtmlItem", lambda x: x["html"]), " "), entities=True)
     return df.select(F.try_to_timestamp(F.regexp_replace("time", "Z$", "")).alias("at"), F.lit("UTC").alias("tz"), prompt.alias("prompt"), F.coalesce(response, F.lit("")).alias("response")).where("prompt <> '' and at is not null")
@@ -157,15 +181,19 @@ def group_activity(entries: DataFrame, since: str = "2023-03-01", minutes: int =
     return out.select(T.short_id("gemini_", F.concat_ws("|", first["iso"], first["prompt"])).alias("id"), T.title(first["prompt"]).alias("name"), first["iso"].alias("created_at"), F.lit("gemini").alias("provider"), said.alias("messages"))
 
 
-def read_gemini(spark: SparkSession, path: str) -> DataFrame:
+def read_gemini(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Conversations of an activity log, HTML or JSON by its ending."""
-    return group_activity((read_activity if path.endswith(".json") else read_activity_page)(spark, path))
+    return group_activity((read_activity if listed(path)[0].endswith(".json") else read_activity_page)(spark, path))
 
 
-def read_grok(spark: SparkSession, path: str) -> DataFrame:
+def read_grok(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Conversations of JSON files and zip archives of any size; the first record of a file tells message trees from flat
     turns; files of another shape give no row. Of a list that stands for a text the strings count."""
-    found = records(spark, [path])
+    return grok(records(spark, listed(path)))
+
+
+def grok(found: DataFrame) -> DataFrame:
+    """Conversations of records (path, pos, text, v)."""
     v = F.col("v")
     first = found.groupBy("path").agg(F.min(F.struct("pos", present(v, "mapping").isNotNull().alias("trees"), present(v, "messages", "chat_messages").isNotNull().alias("flat"))).alias("f"))
     shaped = small_join(found, written(first.select("path", F.when(F.col("f.trees"), "trees").when(F.col("f.flat"), "flat").alias("shape"))), ["path"])

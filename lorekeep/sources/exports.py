@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import coalesce_text, epoch_iso, flatten, role, strings, strip
-from .files import shards
+from .files import listed, shards
 from .records import field, present, records
 
 MESSAGE = "struct<role: string, text: string, timestamp: string>"
@@ -29,7 +29,7 @@ def providers() -> list[str]:
     return sorted(_READERS)
 
 
-def read(spark: SparkSession, provider: str, path: str) -> DataFrame:
+def read(spark: SparkSession, provider: str, path: str | list[str]) -> DataFrame:
     if provider not in _READERS:
         raise ValueError(f"unknown provider {provider!r}; available: {', '.join(providers())}")
     return _READERS[provider](spark, path)
@@ -60,20 +60,30 @@ def _began(t: Column) -> Column:
     return coalesce_text(field(t, "created_at"), F.get(F.filter(starts, lambda x: x != ""), 0), field(t, "timestamp"))
 
 
-def read_claude(spark: SparkSession, path: str) -> DataFrame:
+def read_claude(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Conversations of a JSON array of any size. A conversation without a name is 'Untitled', one without an id has the id ''."""
+    return claude(records(spark, listed(path)))
+
+
+def claude(found: DataFrame) -> DataFrame:
+    """Conversations of records (v)."""
     v = F.col("v")
     messages = told(_list(present(v, "chat_messages", "messages")), lambda t: flatten(present(t, "text", "content")), _began)
-    out = records(spark, [path]).select(_text(present(v, "uuid", "id")).alias("id"), coalesce_text(_text(present(v, "name", "title")), F.lit("Untitled")).alias("name"), _text(present(v, "created_at", "create_time")).alias("created_at"), F.lit("claude").alias("provider"), messages.alias("messages"))
+    out = found.select(_text(present(v, "uuid", "id")).alias("id"), coalesce_text(_text(present(v, "name", "title")), F.lit("Untitled")).alias("name"), _text(present(v, "created_at", "create_time")).alias("created_at"), F.lit("claude").alias("provider"), messages.alias("messages"))
     return out.where(F.size("messages") > 0)
 
 
-def read_abacus(spark: SparkSession, path: str) -> DataFrame:
+def read_abacus(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """An object with a list of conversations, or the bare list; turns may also stand under `messages`. Conversations without an id are skipped."""
+    return abacus(records(spark, listed(path)))
+
+
+def abacus(found: DataFrame) -> DataFrame:
+    """Conversations of records (v)."""
     v = F.col("v")
     id_ = coalesce_text(field(v, "conversation_id"), field(v, "uuid"))
     messages = told(_list(present(v, "chat_messages", "messages")), lambda t: strings(present(t, "text")), lambda t: _text(present(t, "created_at")))
-    out = records(spark, [path]).select(id_.alias("own"), F.concat(F.lit("abacus_"), id_).alias("id"), coalesce_text(field(v, "name"), F.lit("Abacus chat")).alias("name"), _text(present(v, "created_at")).alias("created_at"), F.lit("abacus").alias("provider"), messages.alias("messages"))
+    out = found.select(id_.alias("own"), F.concat(F.lit("abacus_"), id_).alias("id"), coalesce_text(field(v, "name"), F.lit("Abacus chat")).alias("name"), _text(present(v, "created_at")).alias("created_at"), F.lit("abacus").alias("provider"), messages.alias("messages"))
     return out.where((F.col("own") != "") & (F.size("messages") > 0)).drop("own")
 
 
@@ -82,7 +92,7 @@ _NODE = "struct<parent: string, message: struct<author: struct<role: string>, co
 TREES = f"id string, title string, create_time double, current_node string, mapping map<string, {_NODE}>"
 
 
-def read_chatgpt(spark: SparkSession, path: str, max_conversations: int | None = None) -> DataFrame:
+def read_chatgpt(spark: SparkSession, path: str | list[str], max_conversations: int | None = None) -> DataFrame:
     """The branch from current_node to the root, oldest first; the first shard of an id wins. With max_conversations, the first
     so many of all shards, in their order."""
     return linearise(trees(records(spark, shards(spark, path))), "chatgpt", max_conversations)

@@ -11,12 +11,19 @@ from ..functions.text import file_name
 ARCHIVE = r"data-\d{4}-\d{2}-\d{2}-\d{2}-\d{2}-\d{2}-batch-\d{4}\.zip$"
 
 
+FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
+def listed(path: str | list[str]) -> list[str]:
+    return [path] if isinstance(path, str) else list(path)
+
+
 def listing(spark: SparkSession, path: str, glob: str | None = None, deep: bool = True) -> DataFrame:
     """(path, modificationTime, length) of files; their content is not read. Names with a leading '.' or '_' are hidden."""
     return files(spark, path, glob, deep).select("path", "modificationTime", "length")
 
 
-def files(spark: SparkSession, path: str, glob: str | None = None, deep: bool = True) -> DataFrame:
+def files(spark: SparkSession, path: str | list[str], glob: str | None = None, deep: bool = True) -> DataFrame:
     """Whole files: path, modificationTime, length and content; only selected columns are read. Empty files give no row."""
     options = {"recursiveFileLookup": deep} | ({"pathGlobFilter": glob} if glob else {})
     return spark.read.format("binaryFile").options(**options).load(path)
@@ -27,9 +34,11 @@ def text_of(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def shards(spark: SparkSession, path: str) -> list[str]:
+def shards(spark: SparkSession, path: str | list[str]) -> list[str]:
     """Paths of one export: the shards of a folder if there are any, also where conversations.json is named beside
     them; else the file itself. A glob stays a glob. Only names come to the driver, as they do in any listing."""
+    if not isinstance(path, str):
+        return path
     folder, _, last = path.rstrip("/").rpartition("/")
     if last.endswith(".json") and last != "conversations.json" or any(c in path for c in "*?["):
         return [path]
