@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import catalog, clustering, compact, graph, incremental, lexical, search, views
+from ..operators import catalog, clustering, compact, graph, incremental, lexical, search, similarity, views
 from ..operators.common import new_folder
 from ..sources import exports
 from ..streaming import sessions
@@ -43,6 +43,13 @@ def _edges(spark, sf):
     return graph.over_percentile(_vectors(spark, sf), 0.95)
 
 
+def _grown(spark, sf):
+    """Edges of the graph of all vectors, grown from that of all but one label's."""
+    t = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    before, after = t.where("label <> 3").select("id", "vector"), t.select("id", "vector")
+    return similarity.extend(similarity.build(before), before, after, t.where("label = 3").select("id")).edges
+
+
 def _round(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -183,6 +190,7 @@ def queries() -> dict:
         "similarity_pairs_p95": lambda s, d: _edges(s, d).agg(F.count("*").alias("n"), F.round(F.min("w"), 6).alias("low"), F.round(F.max("w"), 6).alias("high")),
         "edge_topk_per_node": lambda s, d: _round(graph.top_edges(_edges(s, d), 3), "w"),
         "edge_semi_filter": lambda s, d: _round(graph.visible(_edges(s, d), _vectors(s, d).where("cluster < 5")), "w"),
+        "graph_extended": lambda s, d: _round(_grown(s, d), "w"),
         "edges_degree_capped": lambda s, d: _round(graph.degree_capped(_edges(s, d)), "w"),
         "nearest_centroid": lambda s, d: _round(graph.nearest(_vectors(s, d), graph.centroids(_vectors(s, d), DIM)), "sim"),
         "silhouette_simplified": lambda s, d: _round(graph.silhouette(_vectors(s, d), DIM), "s"),
@@ -295,7 +303,7 @@ _SESS = "q AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, ev
 def oracle_sql() -> dict[str, str]:
     stop = ", ".join(f"'{w}'" for w in T.STOP)
     bm = f"WITH {_SQL_DOCS}, {_sql_bm25('docs')} SELECT doc_id, round(score, 6) AS score FROM bm"
-    return {
+    found = {
         "bm25_topk": f"{bm} ORDER BY bm.score DESC, doc_id DESC LIMIT 10",
         "bm25_scores": bm,
         "term_idf": f"WITH {_SQL_DOCS}, {_sql_bm25('docs')} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, cn",
@@ -369,7 +377,8 @@ SELECT cluster, coalesce(label, 'Cluster ' || cluster) AS label, {list(clusterin
         "cluster_inertia": f"WITH {_MEAN}, cc AS (SELECT cluster, list_transform(m, lambda x: x / sqrt(list_inner_product(m, m))) AS c FROM mm) SELECT round(sum(list_distance(v, c) * list_distance(v, c)), 6) AS inertia FROM u JOIN cc USING (cluster)",
         "read_claude": _FLAT,
         "read_abacus": _sql_read("text", "CASE WHEN role IN ('human', 'user') THEN 'user' ELSE 'assistant' END"),
-        "read_grok": _FLAT,
+        "read_grok": _sql_read("CASE WHEN turn % 4 < 3 THEN text END", "CASE WHEN role IN ('human', 'user') THEN 'user' ELSE 'assistant' END"),  # of a list the strings count, not its parts
         "read_chatgpt": _sql_read("CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN text || ' more' END", "CASE role WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'assistant' END"),
         "keyword_filter": "SELECT doc_id FROM documents WHERE contains(lower(text), 'trash') ORDER BY doc_id LIMIT 10",
     }
+    return found | {"graph_extended": found["edges_degree_capped"]}
