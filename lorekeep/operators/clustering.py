@@ -39,8 +39,7 @@ def kmeans(vectors: DataFrame, k: int, seeds=range(42, 52), rounds: int = 300) -
     """
     if k < 2:
         return vectors.select("id", "vector", F.lit(0).cast("int").alias("cluster"))
-    blocks = _unit_blocks(vectors)
-    best = _best(lloyd(blocks, [(k, seed) for seed in seeds], rounds))
+    best = _best(lloyd(_unit_blocks(vectors), _sample(vectors), [(k, seed) for seed in seeds], rounds))
     return _assigned(vectors, best[k].centres) if best else vectors.select("id", "vector", F.lit(0).cast("int").alias("cluster"))
 
 
@@ -57,7 +56,7 @@ def sweep(vectors: DataFrame, low: int = 5, high: int = 20, seeds=range(42, 52),
         return 1, one
     high = min(high, max(2, n // 3))
     blocks = _unit_blocks(vectors)
-    best = _best(lloyd(blocks, [(k, seed) for k in range(max(2, min(low, high)), high + 1) for seed in seeds], rounds))
+    best = _best(lloyd(blocks, _sample(vectors), [(k, seed) for k in range(max(2, min(low, high)), high + 1) for seed in seeds], rounds))
     if not best:
         return max(2, min(low, high)), one
     zeros = n - blocks.agg(F.sum("n")).first()[0]
@@ -70,6 +69,17 @@ def sweep(vectors: DataFrame, low: int = 5, high: int = 20, seeds=range(42, 52),
 ROWS, STARTS, FEW_PARTS = 2048, 4096, 16
 
 
+def _directed(vectors: DataFrame) -> DataFrame:
+    """(v): unit vectors of rows that have a direction."""
+    return vectors.where("vector is not null").select(norm(F.col("vector")).alias("n"), normalise(F.col("vector")).alias("v")).where("n > 0").select("v")
+
+
+def _sample(vectors: DataFrame) -> np.ndarray:
+    """At most STARTS unit vectors, the same ones however the rows lie."""
+    found = _directed(vectors).orderBy(F.xxhash64("v")).limit(STARTS).toArrow().column("v").combine_chunks()
+    return found.flatten().to_numpy(zero_copy_only=False).reshape(len(found), -1 if len(found) else 0)
+
+
 def _unit_blocks(vectors: DataFrame) -> DataFrame:
     """(n, x): the unit vectors of rows that have a direction, as matrices of up to ROWS rows."""
 
@@ -81,8 +91,7 @@ def _unit_blocks(vectors: DataFrame) -> DataFrame:
                     part = flat[at : at + ROWS]
                     yield pa.RecordBatch.from_arrays([pa.array([len(part)], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["n", "x"])
 
-    unit = vectors.where("vector is not null").select(norm(F.col("vector")).alias("n"), normalise(F.col("vector")).alias("v")).where("n > 0")
-    return written(unit.select("v").mapInArrow(run, "n long, x binary"))
+    return written(_directed(vectors).mapInArrow(run, "n long, x binary"))
 
 
 def _matrices(batches):
@@ -150,14 +159,12 @@ def _pass(blocks: DataFrame, fits: list[Fit]) -> None:
         f.sums, f.sizes, f.cost = sums[:, :-1], sums[:, -1], sum(own.column("cost").to_pylist())
 
 
-def lloyd(blocks: DataFrame, runs: list[tuple[int, int]], rounds: int = 300, tol: float = 1e-6) -> list[Fit]:
+def lloyd(blocks: DataFrame, rows: np.ndarray, runs: list[tuple[int, int]], rounds: int = 300, tol: float = 1e-6) -> list[Fit]:
     """Fits of (k, seed), all of whose rounds share passes over blocks: a pass assigns every vector in every fit that still moves.
 
-    Starts are drawn from at most about STARTS vectors, in the order of a hash; the fits take all. An empty cluster begins anew at one of those. The driver holds
+    Starts are drawn from rows, a sample; the fits take all. An empty cluster begins anew at one of those. The driver holds
     the centres only: their number and dimension do not grow with the vectors.
     """
-    some = blocks.orderBy(F.xxhash64("x")).limit(math.ceil(STARTS / ROWS)).collect()
-    rows = np.concatenate([np.frombuffer(b.x).reshape(b.n, -1) for b in some]) if some else np.zeros((0, 0))
     if not len(rows):
         return []
     fits = [Fit(k, seed, _starts(rows, k, seed)) for k, seed in runs]

