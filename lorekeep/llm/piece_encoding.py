@@ -2,9 +2,9 @@
 
 A text is normalised as the model asks (spaces become U+2581, one goes in front) and cut into words, a
 run of U+2581 and what follows it; no piece spans two of them. The distinct words of a batch that have
-equal length advance together, one column at a time: a rolling hash of each substring that ends at the column
-probes the sorted hashes of the pieces, and a vectorised maximum over the substring lengths stores a
-backpointer. For a unigram model the maximum is of the summed scores. The scores of a BPE model are merge
+equal length advance together, one column at a time (over 32 characters also those a quarter longer at most; a word that
+has ended drops out): rolling hashes of all their substrings probe the sorted hashes of the pieces, and a vectorised
+maximum over the pieces that end at the column stores a backpointer. For a unigram model the maximum is of the summed scores. The scores of a BPE model are merge
 ranks, whose sum says nothing; there a candidate piece scores 0 if it may follow the piece before it (the
 two, written together, are merged back into just these two) and minus infinity otherwise. Exactly
 one way through such allowed pairs exists, and it is the model's own merge result.
@@ -13,7 +13,7 @@ Characters outside the vocabulary become their UTF-8 byte pieces (or the unknown
 pieces, gathers bytes and drops the space in front.
 
 Edge cases. A null text gives null ids; an empty one gives none. U+2581 in a text decodes as a space, as
-with the model's own library; all else round-trips. A word of over `LONG` characters is cut in blocks that advance together,
+with the model's own library; all else round-trips. Words of over `LONG` characters are cut in blocks that all advance together,
 each from some characters before it; a block counts if it comes to the same state there as the block before it, as later
 columns depend on no more, and is else started at the places nearby or, at last, from that state. Very long texts are taken word by
 word. Repeated rows are encoded alike. Other columns are carried through.
@@ -39,6 +39,10 @@ TEXTS, BACK = 1024, 256
 LEAD, PAIR_BITS = 20, 20
 #: Characters above which a word is cut in blocks, and of a block.
 LONG, PART = 2048, 1024
+#: Cells (characters and padding) of words that advance together.
+CELLS = 1 << 20
+#: Rows below which the pairs of pieces of all columns are judged before.
+FEW = 512
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -202,13 +206,56 @@ class Pieces:
 
 
 def _codes(words: list[str]) -> np.ndarray:
-    """Code points plus one of words of equal length, a row a word."""
-    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1).astype(np.uint64) + np.uint64(1)
+    """Code points plus one of words, a row a word; 0 after the end of a shorter one."""
+    sizes = np.array([len(w) for w in words])
+    out = np.zeros((len(words), sizes.max()), np.uint64)
+    out[np.arange(sizes.max()) < sizes[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    return out
+
+
+def _hits(p: Pieces, codes: np.ndarray, done: int):
+    """The pieces that end after `done` columns, in the order of their ends, the longest first: where in a flat table of prefixes
+    (row 0: of none) they end, their lengths, their ids; and whether a character has no piece of its own."""
+    n, size = codes.shape
+    c = np.ascontiguousarray(codes.T)
+    lone, ends, lengths, ids = c > 0, [], [], []
+    h = c
+    for k in range(1, min(p.width, size) + 1):
+        if k > 1:
+            h = h[:-1] * MULT + c[k - 1 :]
+        skip = max(0, done - k + 1)  # row j of h: substrings that end after j + k characters
+        at, got = p.probe(h[skip:].ravel())
+        at += (skip + k - 1) * n
+        if k == 1:
+            lone.ravel()[at] = False
+        good = c.ravel()[at] > 0
+        if p.bpe:
+            good &= p.alone[got]
+        at, got = at[good], got[good]
+        ends.append(at + n)
+        lengths.append(np.full(len(at), k))
+        ids.append(got)
+    ends, lengths, ids = (np.concatenate(x[::-1]) for x in (ends, lengths, ids))
+    order = np.argsort(ends // n, kind="stable")
+    return ends[order], lengths[order], ids[order], lone
+
+
+def _look_ahead(p: Pieces, ends: np.ndarray, begins: np.ndarray, ids: np.ndarray) -> None:
+    """Judge the pairs of pieces that meet anywhere, so that columns of few rows find them judged."""
+    by_end = np.argsort(ends, kind="stable")
+    first, last = (np.searchsorted(ends[by_end], begins, side) for side in ("left", "right"))
+    for at in range(0, len(ids), 1 << 15):
+        n = (last - first)[at : at + (1 << 15)]
+        b = np.repeat(np.arange(len(n)), n)
+        a = by_end[np.arange(len(b)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at : at + (1 << 15)], n)]
+        pair = np.unique(ids[a] * p.n + ids[at + b])
+        p.allowed(pair // p.n, pair % p.n)
 
 
 def advance(p: Pieces, codes: np.ndarray, given=None):
     """Sums, lengths of last pieces and last pieces (best, back, piece) of all prefixes of the rows, a column at a time.
 
+    All substrings of all rows are looked up before; a row that has ended has no pieces left and drops out of the columns.
     given: the same of the first columns, from which to go on; else a row begins a word.
     """
     n, size = codes.shape
@@ -221,47 +268,38 @@ def advance(p: Pieces, codes: np.ndarray, given=None):
         for table, known in zip((best, back, piece), given, strict=True):
             table[: done + 1] = known
     floor = p.score_of.min() - 10.0
-    recent = np.zeros((0, n), np.uint64)  # row k: hash of the substring that ends here and has k + 1 characters
-    for end in range(1, size + 1):
-        c = codes[:, end - 1]
-        recent = np.concatenate([c[None], recent[: p.width - 1] * MULT + c])
-        if end <= done:
-            continue
-        todo, lone = np.arange(n), np.zeros(n, bool)
-        for k in reversed(range(len(recent))):  # a BPE prefix has one last piece: words that have found theirs drop out
-            start = end - k - 1
-            at, got = p.probe(recent[k] if len(todo) == n else recent[k][todo])
-            at = todo[at]
-            if k == 0:
-                lone[todo] = True
-                lone[at] = False
-            if not len(at):
-                continue
-            if p.bpe:
-                good = p.alone[got] & (best[start, at] > -np.inf)
-                at, got = at[good], got[good]
-                before = piece[start, at]
-                pair = np.flatnonzero((before >= 0) & (before < unknown))
-                if len(pair):
-                    good = np.ones(len(at), bool)
-                    good[pair] = p.allowed(before[pair], got[pair])
-                    at, got = at[good], got[good]
-                value = best[start, at]
-            else:
-                value = best[start, at] + p.score_of[got]
+    ends, lengths, ids, lone = _hits(p, codes, done)
+    begins = ends - lengths * n
+    cuts = np.searchsorted(ends, np.arange(size + 2) * n)
+    if p.bpe and n < FEW:
+        _look_ahead(p, ends, begins, ids)
+    some_lone = lone.any(axis=1)
+    sums, lasts = best.ravel(), piece.ravel()
+    for end in range(done + 1, size + 1):
+        here = slice(cuts[end], cuts[end + 1])
+        at, k, got = ends[here], lengths[here], ids[here]
+        if p.bpe:  # a prefix has one last piece
+            before = lasts[begins[here]]
+            good = np.flatnonzero(sums[begins[here]] > -np.inf)
+            pair = good[(before[good] >= 0) & (before[good] < unknown)]
+            ok = np.zeros(len(at), bool)
+            ok[good] = True
+            if len(pair):
+                ok[pair] = p.allowed(before[pair], got[pair])
+            value = sums[begins[here]]
+        else:
+            value = sums[begins[here]] + p.score_of[got]
+            np.maximum.at(sums, at, value)
+            ok = (value == sums[at]) & (value > -np.inf)
+        won = np.flatnonzero(ok)[::-1]  # of equal ones the longest, which is written last
+        at = at[won]
+        sums[at], lasts[at], back.ravel()[at] = value[won], got[won], k[won]
+        if some_lone[end - 1]:  # a character without a piece of its own
+            at = np.flatnonzero(lone[end - 1] & (best[end] == -np.inf if p.bpe else True))
+            value = best[end - 1, at] + (0.0 if p.bpe else floor)
             better = value > best[end, at]
-            at, got = at[better], got[better]
-            best[end, at], back[end, at], piece[end, at] = value[better], k + 1, got
-            if p.bpe and len(at):
-                todo = todo[best[end, todo] == -np.inf]
-                if not len(todo):
-                    break
-        # a character without a piece of its own
-        at = np.flatnonzero(lone & (best[end] == -np.inf if p.bpe else lone))
-        value = best[end - 1, at] + (0.0 if p.bpe else floor)
-        better = value > best[end, at]
-        at = at[better]
-        best[end, at], back[end, at], piece[end, at] = value[better], 1, unknown
+            at = at[better]
+            best[end, at], back[end, at], piece[end, at] = value[better], 1, unknown
     return best, back, piece
 
 
@@ -274,53 +312,74 @@ def _agree(p: Pieces, a, b) -> bool:
     return bool(same and (not len(shift) or np.ptp(shift) <= 1e-6))
 
 
-def _advance_long(p: Pieces, codes: np.ndarray):
-    """back and piece of all prefixes of one long word, block by block."""
-    size, w = len(codes), p.width
+def _advance_long(p: Pieces, words: list[np.ndarray]):
+    """back and piece of all prefixes of long words (their codes), a pair a word; the blocks of all words advance together."""
+    w = p.width
     lead = 8 * w
     part = max(PART, lead)
-    starts = list(range(part, size, part))
-    last = lambda t, i=0: tuple(x[-w:, i] for x in t)
-    first = advance(p, codes[None, :part])
-    held = [tuple(x[1:, 0] for x in first[1:])]
-    state = last(first)
-
-    def tried(at: list[int], shift: int) -> dict:
-        """By block: its columns from w before its start on, begun lead - shift characters before it."""
-        out = {}
-        for length in {min(part, size - s) for s in at}:
-            some = [s for s in at if min(part, size - s) == length]
-            for k in range(0, len(some), 4096):
-                few = some[k : k + 4096]
-                got = advance(p, np.stack([codes[s - lead + shift : s + length] for s in few]))
-                out |= {s: tuple(x[lead - shift - w + 1 :, i] for x in got) for i, s in enumerate(few)}
-        return out
 
-    plain, others = tried(starts, 0), None
-    for k, s in enumerate(starts):
-        found = [plain[s]] if _agree(p, state, tuple(x[:w] for x in plain[s])) else []
-        if not found:
-            if others is None:  # the blocks from here on, begun at each place of the length of a piece
-                others = [tried(starts[k:], shift) for shift in range(1, w)]
-            found = [o[s] for o in others if _agree(p, state, tuple(x[:w] for x in o[s]))]
-        if found:
-            new = tuple(x[w:] for x in found[0])
-        else:
-            begun = advance(p, codes[None, s - w + 1 : s + part], tuple(x[:, None] for x in state))
-            new = tuple(x[w:, 0] for x in begun)
-        held.append(new[1:])
-        state = tuple(np.concatenate([a, b])[-w:] for a, b in zip(state, new, strict=True))
-    return tuple(np.concatenate([np.zeros(1, np.int64), *(h[j] for h in held)])[:, None] for j in (0, 1))
+    def stacked(rows: list[np.ndarray]):
+        """What advance gives for rows of unequal length, a triple of columns a row."""
+        step = max(1, CELLS // (lead + part))
+        for k in range(0, len(rows), step):
+            few = rows[k : k + step]
+            codes = np.zeros((len(few), max(map(len, few))), np.uint64)
+            for i, r in enumerate(few):
+                codes[i, : len(r)] = r
+            got = advance(p, codes)
+            for i, r in enumerate(few):
+                yield tuple(x[: len(r) + 1, i] for x in got)
+
+    def tried(at: list[tuple[int, int]], shift: int) -> dict:
+        """By word and start of a block: its columns from w before its start on, begun lead - shift characters before it."""
+        rows = [words[i][s - lead + shift : s + part] for i, s in at]
+        return {b: tuple(x[lead - shift - w + 1 :].copy() for x in got) for b, got in zip(at, stacked(rows), strict=True)}
+
+    starts = [(i, s) for i, codes in enumerate(words) for s in range(part, len(codes), part)]
+    plain = tried(starts, 0)
+    held = [[tuple(x.copy() for x in got)] for got in stacked([codes[:part] for codes in words])]
+    state = [tuple(x[-w:] for x in h[0]) for h in held]
+    others: list[dict] = []
+    reached = [part] * len(words)
+
+    def go_on(i: int, alone: bool) -> None:
+        """Accept the blocks of word i as far as they agree with what is before them; if alone, all: those that do not, from that state."""
+        codes = words[i]
+        while reached[i] < len(codes):
+            s = reached[i]
+            found = next((o[i, s] for o in [plain, *others] if (i, s) in o and _agree(p, state[i], tuple(x[:w] for x in o[i, s]))), None)
+            if found is not None:
+                new = tuple(x[w:] for x in found)
+            elif alone:
+                begun = advance(p, codes[None, s - w + 1 : s + part], tuple(x[:, None] for x in state[i]))
+                new = tuple(x[w:, 0] for x in begun)
+            else:
+                return
+            held[i].append(new)
+            state[i] = tuple(np.concatenate([a, b])[-w:] for a, b in zip(state[i], new, strict=True))
+            reached[i] = s + part
+
+    for i in range(len(words)):
+        go_on(i, False)
+    left = [(i, s) for i, s in starts if s >= reached[i]]
+    if left:  # begun at each place of the length of a piece
+        others.extend(tried(left, shift) for shift in range(1, w))
+        for i in {i for i, _ in left}:
+            go_on(i, True)
+    return [tuple(np.concatenate([h[j] for h in hs]) for j in (1, 2)) for hs in held]
 
 
 def viterbi(p: Pieces, words: list[str]) -> list[bytes]:
-    """The piece ids (int32) of words of equal length, all advancing together."""
-    n, size, unknown = len(words), len(words[0]), p.n
+    """The piece ids (int32) of words, all advancing together."""
+    n, sizes, unknown = len(words), np.array([len(w) for w in words]), p.n
     codes = _codes(words)
-    if size > max(LONG, PART, 16 * p.width) and n > 1:
-        return [x for w in words for x in viterbi(p, [w])]
-    back, piece = _advance_long(p, codes[0]) if size > max(LONG, PART, 16 * p.width) else advance(p, codes)[1:]
-    pos, alive, who, what, lone = np.full(n, size), np.arange(n), [], [], set()
+    if sizes.min() > max(LONG, PART, 16 * p.width):
+        back, piece = np.zeros((sizes.max() + 1, n), np.int64), np.zeros((sizes.max() + 1, n), np.int64)
+        for i, (b, q) in enumerate(_advance_long(p, [row[:size] for row, size in zip(codes, sizes, strict=True)])):
+            back[: len(b), i], piece[: len(q), i] = b, q
+    else:
+        back, piece = advance(p, codes)[1:]
+    pos, alive, who, what, lone = sizes.copy(), np.arange(n), [], [], set()
     while len(alive):
         at = pos[alive]
         got = piece[at, alive]
@@ -357,6 +416,12 @@ def pieces(path: str) -> Pieces:
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+def _width(size: int) -> int:
+    """The columns in which a word of that length advances: up to 32 its length, else at most a quarter more; above LONG in blocks."""
+    step = 1 << max(0, size.bit_length() - 3) if size > 32 else 1
+    return -(-size // step) * step
+
+
 def encode_batch(p: Pieces, texts: list[str | None]) -> list[np.ndarray | None]:
     cut = [None if t is None else _WORD.findall((p.prefix + t).replace(" ", SPACE)) if t else [] for t in texts]
     new = set(chain.from_iterable(ws for ws in cut if ws)).difference(p.words)
@@ -365,9 +430,9 @@ def encode_batch(p: Pieces, texts: list[str | None]) -> list[np.ndarray | None]:
         new = set(chain.from_iterable(ws for ws in cut if ws))
     by_size: dict[int, list[str]] = {}
     for w in new:
-        by_size.setdefault(len(w), []).append(w)
-    for size, ws in by_size.items():
-        step = max(1, min(TOGETHER, (1 << 22) // size))
+        by_size.setdefault(_width(len(w)), []).append(w)
+    for width, ws in by_size.items():
+        step = max(1, min(TOGETHER, CELLS // width))
         for at in range(0, len(ws), step):
             p.words.update(zip(ws[at : at + step], viterbi(p, ws[at : at + step]), strict=True))
     known = p.words.__getitem__
