@@ -5,16 +5,17 @@ lines selects the smallest first hash in it (the rightmost of equal ones) as a f
 `min_lines` lines or more share one at the same place in the run. With `min_words`, a line of that many words or more
 is a fingerprint of its own too, so it is found in any surroundings.
 
-Positions of fingerprints found twice or more are joined: each goes to the earliest position, in the order of doc_id, text
-hash and line, with the same window about it (both hashes of all its lines are equal). From there the match is
-extended line by line, both ways, up to the lines where the next fingerprint must lie, which goes on by its
-own match; a long line that is no part of such a run is deleted without its neighbours. The later run is deleted, whatever
-its length.
+Positions of fingerprints found twice or more are joined, a row a position. Positions that agree in all lines about them,
+as far as the next fingerprint of either side can lie (`min_lines` - 1 lines, or to the end of the text; both hashes of all lines
+are equal), go to the earliest of them, in the order of doc_id, text hash and line: there the match is extended both ways over these
+lines, and goes on from the next fingerprint. Only the earliest position of each surroundings is taken apart into the windows that
+selected it, as it may share one with others; a window goes to the earliest position with it, too, and a long line that is no part
+of such a run is deleted without its neighbours. The later run is deleted, whatever its length.
 
 Edge cases. A text of fewer lines than `min_lines` is one window and is deleted if an earlier text is
 the same. Null and empty texts have no lines and stay. Rows equal in doc_id and text are one document
-repeated: they keep the same lines. A null doc_id comes before all others. Blank lines count as lines. A fingerprint or
-window of very many positions is joined in many tasks. Columns other than doc_id and text are carried through by
+repeated: they keep the same lines. A null doc_id comes before all others. Blank lines count as lines. A very long text is hashed
+whole, in its row, and its positions are rows of their own. A fingerprint, surroundings or a window of very many positions is joined in many tasks. Columns other than doc_id and text are carried through by
 `line_dedup`; `n_chars`, if there, is counted anew.
 """
 
@@ -34,46 +35,58 @@ def _lines(text):
     return F.split(text, "\n", -1)
 
 
-def _fingerprints(hs, ks, long, t: int):
-    """Structs (at, fp, windows) of the positions that windows of t lines select or that hold a long line: windows are
-    (pos, len, k1, k2), the windows that selected it and the long line itself."""
-    n = F.size(hs)
-
-    def window(i, size):
-        keys = [F.xxhash64(F.slice(x, i + 1, size), F.lit(salt)) for x, salt in ((hs, 1), (ks, 2))]
-        return F.struct(i.alias("pos"), size.alias("len"), keys[0].alias("k1"), keys[1].alias("k2"))
+def _selected(hs, t: int):
+    """By window of t lines the line it selects."""
 
     def chosen(i):
-        lines = F.slice(hs, i + 1, F.lit(t))
-        return bound(lines, lambda x: F.struct((i + F.size(x) - F.array_position(F.reverse(x), F.array_min(x))).cast("int").alias("at"), F.least(F.lit(t), n).alias("size"), i.alias("i")))
+        return bound(F.slice(hs, i + 1, F.lit(t)), lambda x: (i + F.size(x) - F.array_position(F.reverse(x), F.array_min(x))).cast("int"))
+
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(hs) - t, F.lit(0))), chosen)
+
+
+def _keys(hs, ks, start, size, *more):
+    """Two hashes of so many lines from start on."""
+    return [F.xxhash64(F.slice(x, start + 1, size), F.lit(salt), *more).alias(k) for x, salt, k in ((hs, 1, "k1"), (ks, 2, "k2"))]
+
+
+def _positions(hs, ks, long, t: int):
+    """Structs of the positions that windows of t lines select or that hold a long line: at, fp, how many lines to the left and to the right belong to
+    them, the hashes of all these lines, and the windows (pos, len, k1, k2) that selected it, the long line itself among them."""
+    n = F.size(hs)
+    size = F.least(F.lit(t), n)
+
+    def position(at, selected):
+        left, right = F.least(at, F.lit(t - 1)), F.least(n - 1 - at, F.lit(t - 1))
+        window = lambda i, k: F.struct(i.cast("int").alias("pos"), k.cast("int").alias("len"), *_keys(hs, ks, i, k))
+        mine = F.filter(F.sequence(F.greatest(at - t + 1, F.lit(0)), F.least(at, F.greatest(n - t, F.lit(0)))), lambda i: F.get(selected, i) == at)
+        alone = F.filter(F.array(F.get(long, at)), lambda i: i.isNotNull())
+        windows = F.concat(F.transform(mine, lambda i: window(i, size)), F.transform(alone, lambda i: window(i, F.lit(1))))
+        return F.struct(at.alias("at"), F.get(hs, at).alias("fp"), left.alias("left"), right.alias("right"), *_keys(hs, ks, at - left, left + right + 1, left, size), windows.alias("windows"))
 
-    windows = F.transform(F.sequence(F.lit(0), F.greatest(n - t, F.lit(0))), chosen)
-    alone = F.transform(long, lambda i: F.struct(i.alias("at"), F.lit(1).alias("size"), i.alias("i")))
-    return F.transform(F.concat(windows, alone), lambda w: F.struct(w["at"].alias("at"), F.get(hs, w["at"]).alias("fp"), window(w["i"], w["size"]).alias("w")))
+    return bound(_selected(hs, t), lambda s: F.transform(F.array_distinct(F.concat(s, F.array_compact(long))), lambda at: position(at, s)))
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """Runs (_id, _t, pos, len) of lines that equal an earlier run."""
     lines = F.transform(_lines(F.col("text")), lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit("line"), x).alias("k"), _long(x, i, min_words).alias("long")))
     hashed = docs.where(F.length("text") > 0).select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_t"), lines.alias("ls"))
-    hashed = materialise(hashed.select("_id", "_t", F.col("ls.h").alias("hs"), F.col("ls.k").alias("ks"), F.array_compact(F.col("ls.long")).alias("long")))
-    prints = _fingerprints(F.col("hs"), F.col("ks"), F.col("long"), min_lines)
-    distinct = F.array_distinct(F.transform(prints, lambda x: F.struct(x["at"].alias("at"), x["fp"].alias("fp"))))
-    shared = materialise(hashed.select(F.explode(distinct).alias("x")).groupBy("x.fp").agg(F.count("*").alias("n")).where("n > 1"))
-    reach = min_lines - 1
-    around = lambda w: F.transform(F.sequence(w["pos"] - reach, w["pos"] + w["len"] + reach - 1), lambda i: F.when(i >= 0, F.get(F.col("hs"), i)))
-    found = hashed.select("_id", "_t", F.explode(F.transform(prints, lambda x: F.struct(x["fp"].alias("fp"), x["w"].alias("w"), around(x["w"]).alias("lines")))).alias("x"))
-    found = join_spread(found.select("_id", "_t", "x.fp", "x.w", "x.lines"), shared, ["fp"])
-    found = materialise(found.select("_id", "_t", "w.pos", "w.len", "w.k1", "w.k2", "lines"))
-    place = F.struct("_id", "_t", "pos")
-    first = materialise(found.groupBy("k1", "k2", "len").agg(F.min(F.struct("_id", "_t", "pos", "lines")).alias("first"), F.count("*").alias("n")).where("n > 1"))
-    pairs = join_spread(found, first, ["k1", "k2", "len"]).where(~place.eqNullSafe(F.struct(*(F.col("first")[c].alias(c) for c in ("_id", "_t", "pos")))))
-    same = F.zip_with("lines", "first.lines", lambda a, b: F.coalesce(a == b, F.lit(False)))
-    runs = pairs.select("_id", "_t", "pos", "len", same.alias("same"))
-    left = F.array_position(F.reverse(F.slice("same", 1, reach)), False) if reach else F.lit(0)
-    right = F.array_position(F.slice("same", F.lit(reach + 1) + F.col("len"), F.lit(reach)), False) if reach else F.lit(0)
-    ahead = lambda found_at: F.when(F.col("len") < min_lines, 0).when(found_at == 0, F.lit(reach)).otherwise(found_at - 1).cast("int")
-    return runs.select("_id", "_t", (F.col("pos") - ahead(left)).alias("pos"), (F.col("len") + ahead(left) + ahead(right)).alias("len")).distinct()
+    hs, ks, long = (F.col(c) for c in ("hs", "ks", "long"))
+    hashed = materialise(hashed.select("_id", "_t", F.col("ls.h").alias("hs"), F.col("ls.k").alias("ks"), F.col("ls.long").alias("long")))
+    at = F.array_distinct(F.concat(_selected(hs, min_lines), F.array_compact(long)))
+    shared = materialise(hashed.select(F.explode(bound(at, lambda x: F.transform(x, lambda i: F.get(hs, i)))).alias("fp")).groupBy("fp").agg(F.count("*").alias("n")).where("n > 1"))
+    found = hashed.select("_id", "_t", F.explode(_positions(hs, ks, long, min_lines)).alias("x")).select("_id", "_t", "x.*")
+    found = materialise(join_spread(found, shared, ["fp"]).drop("fp"))
+    around = materialise(found.groupBy("k1", "k2").agg(F.min(F.struct("_id", "_t", "at", "windows")).alias("first"), F.count("*").alias("n")))
+    extended = _later(found.drop("windows"), around.where("n > 1"), ["k1", "k2"], "at").select("_id", "_t", (F.col("at") - F.col("left")).alias("pos"), (F.col("left") + F.col("right") + 1).alias("len"))
+    windows = materialise(around.select("first._id", "first._t", F.explode("first.windows").alias("w")).select("_id", "_t", "w.*"))
+    first = materialise(windows.groupBy("k1", "k2", "len").agg(F.min(F.struct("_id", "_t", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    return extended.union(_later(windows, first, ["k1", "k2", "len"], "pos").select("_id", "_t", "pos", "len")).distinct()
+
+
+def _later(rows: DataFrame, first: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """The rows that are not the first of their keys."""
+    first = first.select(*keys, "n", F.struct("first._id", "first._t", f"first.{at}").alias("_first"))
+    return join_spread(rows, first, keys).where(~F.struct("_id", "_t", at).eqNullSafe(F.col("_first")))
 
 
 def _long(line, i, min_words: int | None):

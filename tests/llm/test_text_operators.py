@@ -57,6 +57,23 @@ def test_line_dedup_stage_deletes_long_lines(as_docs):
     assert got == {1: f"a\n{long}\nb", 2: f"c\n{other}\nd", 4: f"{short}\ne", 5: f"f\n{short}", 6: "g"}
 
 
+def test_line_dedup_takes_few_rows_and_extends(as_docs):
+    """Of a run that is repeated with its surroundings only the first is taken apart into windows; the others are matched at their
+    fingerprints, which are fewer than their windows, and extended: the runs are longer than what selected them."""
+    run = "\n".join(f"line {i}" for i in range(40))
+    docs = as_docs([(i, f"head {i}\n{run}\ntail {i}") for i in range(30)])
+    runs = line_dedup.repeated_runs(docs).collect()
+    assert max(r.len for r in runs) == 2 * line_dedup.MIN_LINES - 1
+    covered = defaultdict(set)
+    for r in runs:
+        covered[r._id] |= set(range(r.pos, r.pos + r.len))
+    assert covered == {i: set(range(1, 41)) for i in range(1, 30)}
+    assert len(runs) < 29 * 30  # windows: 29 x 38; selected lines: about half
+    whole = [r for r in runs if r.len > line_dedup.MIN_LINES]
+    alone = {r._id: len({k for x in runs if x._id == r._id and x.len <= line_dedup.MIN_LINES for k in range(x.pos, x.pos + x.len)}) for r in runs}
+    assert whole and max(alone.values()) < 40  # windows alone would leave lines of the run
+
+
 def test_line_dedup_carries_columns(as_docs, odd_texts):
     docs = as_docs(odd_texts)
     out = line_dedup.stage(None, docs, "")
