@@ -1,9 +1,10 @@
 """Quality rules: a short-circuit cascade, native DataFrame functions only.
 
-Each rule rejects a document by a count of its whole text. On a sample the cost of each rule (the least of several
-timings of a job that evaluates it alone, less that of an empty job) and the joint rejections of all rules are
-estimated. The next rule asked is always that with most rejections per cost among the documents that the rules before
-let pass; the cascade stops at the first that rejects. The order never changes the verdict, only the work.
+Each rule rejects a document by counts of its whole text. On a sample the work of each count (its units for a character and a word,
+times those of the sample's texts) and the joint rejections of all rules are estimated. A rule costs the counts it needs that no rule
+before it needed, so a shared count is charged once. The next rule asked is always that with most rejections per cost among the documents
+that the rules before let pass; the cascade stops at the first that rejects. The order never changes the verdict, only the work, and as
+nothing in it is timed, the same rows always give the same order.
 
 Edge cases. Null, empty and blank texts have no words and are rejected by `n_words`. Repeated rows get
 the same verdict each. Very long texts are counted whole, in their row. An empty table keeps the given
@@ -12,15 +13,15 @@ order and gives an empty result. Columns other than the text are carried through
 
 from __future__ import annotations
 
-import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, bound, words
 
-#: Expected documents of the sample that the order is estimated on, and timings of a rule.
-SAMPLE, TIMINGS = 2000, 3
+#: Expected documents of the sample that the order is estimated on.
+SAMPLE = 2000
 WINDOW = 5
 
 
@@ -81,44 +82,52 @@ RULES = BASE | {
 }
 
 
-def order_rules(found: list[tuple[tuple[bool, ...], int]], seconds: dict[str, float]) -> list[tuple[str, float, float]]:
-    """(rule, seconds, share rejected of the documents that reach it) in the order in which to ask the rules.
+#: Counts that a rule needs.
+NEEDS = {
+    "n_words": ("n_words",), "repeat_words": ("n_repeat_words", "n_words"), "symbols": ("n_symbols", "n_words"), "word_length": ("word_chars", "n_words"),
+    "dup_lines": ("n_dup_lines", "n_lines"), "upper": ("n_upper", "word_chars"),
+}
+#: Work of a count for a character and for a word, in units of what n_words takes for a character (some 10 ns of a core); comparing counts takes one.
+WORK = {
+    "n_words": (1.0, 0.0), "word_chars": (1.2, 0.0), "n_symbols": (0.6, 0.0), "n_upper": (0.4, 0.0), "n_lines": (0.2, 0.0), "n_dup_lines": (0.2, 0.0), "n_repeat_words": (1.0, 36.0),
+}
 
-    found: which of the rules (in the order of seconds) reject, and how many documents of the sample they do so together.
+
+def order_rules(found: list[tuple[tuple[bool, ...], int]], cost: dict[str, float], after: Callable[[str, list[str]], float] | None = None) -> list[tuple[str, float, float]]:
+    """(rule, cost, share rejected of the documents that reach it) in the order in which to ask the rules.
+
+    found: which of the rules (in the order of cost) reject, and how many documents of the sample they do so together.
+    after(rule, rules before it): what a rule then costs, if that is not always the same.
     """
-    names, out = list(seconds), []
+    names, out = list(cost), []
     while len(out) < len(names):
-        n = sum(k for _, k in found)
-        hit = {r: sum(k for v, k in found if v[i]) / max(1, n) for i, r in enumerate(names) if r not in {x[0] for x in out}}
-        best = max(hit, key=lambda r: hit[r] / seconds[r])
-        out.append((best, seconds[best], hit[best]))
+        n, asked = sum(k for _, k in found), [x[0] for x in out]
+        hit = {r: sum(k for v, k in found if v[i]) / max(1, n) for i, r in enumerate(names) if r not in asked}
+        price = {r: after(r, asked) if after else cost[r] for r in hit}
+        best = max(hit, key=lambda r: hit[r] / price[r])
+        out.append((best, price[best], hit[best]))
         found = [(v, k) for v, k in found if not v[names.index(best)]]
     return out
 
 
-def cascade(docs: DataFrame, rules=RULES, sample: int = SAMPLE, seed: int = 11, counted=lambda df: df) -> list[tuple[str, float, float]]:
-    """The order of the rules for docs, as order_rules gives it, from a sample; counted(sample) adds the columns that rules use."""
+def cascade(docs: DataFrame, rules=RULES, sample: int = SAMPLE, seed: int = 11, counted=lambda df: df, paid: tuple[str, ...] = (), needs=NEEDS, work=WORK) -> list[tuple[str, float, float]]:
+    """The order of the rules for docs, as order_rules gives it, from a sample; counted(sample) adds the columns that rules use, paid are
+    counts that are taken of every document in any case. Costs are units of work a document."""
     n = docs.count()
     if not n:
         return [(k, 0.0, 0.0) for k in rules]
-    some = counted(docs.sample(min(1.0, sample / n), seed)).persist()
-
-    def took(column: Column) -> float:
-        times = []
-        for _ in range(TIMINGS):
-            began = time.perf_counter()
-            some.agg(column).first()
-            times.append(time.perf_counter() - began)
-        return min(times)
-
-    verdicts = {k: F.coalesce(rule(F.col("text")), F.lit(False)) for k, rule in rules.items()}
-    try:
-        found = some.groupBy(*(v.alias(k) for k, v in verdicts.items())).count().collect()  # at most 2 ** rules rows
-        empty = took(F.count("*"))
-        seconds = {k: max(took(F.count_if(v)) - empty, 1e-4) for k, v in verdicts.items()}
-    finally:
-        some.unpersist()
-    return order_rules([(tuple(r[:-1]), r[-1]) for r in found], seconds)
+    some = counted(docs.sample(min(1.0, sample / n), seed))
+    text = F.coalesce("text", F.lit(""))
+    verdicts = [F.coalesce(rule(F.col("text")), F.lit(False)).alias(k) for k, rule in rules.items()]
+    rows = some.groupBy(*verdicts).agg(F.count("*"), F.sum(F.length(text)), F.sum(n_words(text))).collect()  # at most 2 ** rules rows
+    total = max(1, sum(r[-3] for r in rows))
+    chars, words_ = sum(r[-2] for r in rows) / total, sum(r[-1] for r in rows) / total
+
+    def after(rule: str, asked: list[str]) -> float:
+        known = {*paid, *(c for r in asked for c in needs[r])}
+        return 1 + sum(work[c][0] * chars + work[c][1] * words_ for c in needs[rule] if c not in known)
+
+    return order_rules([(tuple(r[:-3]), r[-3]) for r in rows], {k: after(k, []) for k in rules}, after)
 
 
 def first_rejection(text: Column, order, rules=RULES) -> Column:
@@ -137,7 +146,7 @@ def apply_rules(docs: DataFrame, rules=RULES, keep_only: bool = True, name: str
 
 def op3(docs: DataFrame) -> DataFrame:
     """All counts of the base, as they are asked for, and the verdict: the cascade over them, which counts more of a text only where
-    the rules before let it pass."""
+    the rules before let it pass. The counts of the base cost a rule nothing, as they are taken of every document."""
     t, c = F.col("text"), F.col
     counted = lambda df: df.select(
         "doc_id", "text", n_words(t).alias("n_words"), word_chars(t).alias("word_chars"), n_symbols(t).alias("n_symbols"),
@@ -148,7 +157,7 @@ def op3(docs: DataFrame) -> DataFrame:
         "word_length": lambda _: (c("word_chars") < 3 * c("n_words")) | (c("word_chars") > 10 * c("n_words")),
         "dup_lines": lambda t: 10 * c("n_dup_lines") > 3 * n_lines(t), "upper": lambda t: 10 * n_upper(t) > 3 * c("word_chars"),
     }
-    verdict = first_rejection(t, cascade(docs, rules, counted=counted), rules)
+    verdict = first_rejection(t, cascade(docs, rules, counted=counted, paid=("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), rules)
     base = rules["n_words"](t) | rules["repeat_words"](t)
     return counted(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), verdict.isNull().alias("kept"))
 

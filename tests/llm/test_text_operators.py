@@ -133,6 +133,21 @@ def test_cascade_keeps_the_verdict(as_docs, odd_texts):
     assert kept.count() == quality_rules.op3(docs).where("kept").count() and kept.columns == docs.columns
 
 
+def test_order_is_the_same_each_time(spark):
+    """Ten calls agree; a count is charged to the first rule that needs it, or to none if it is taken anyway."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    orders = [quality_rules.cascade(docs, sample=100) for _ in range(10)]
+    assert len({tuple(o) for o in orders}) == 1
+    n = docs.sample(min(1.0, 100 / docs.count()), 11).select(F.avg(F.length(F.coalesce("text", F.lit("")))), F.avg(quality_rules.n_words(F.col("text")))).first()
+    seen = set()
+    for name, cost, _ in orders[0]:
+        new = set(quality_rules.NEEDS[name]) - seen
+        assert abs(cost - 1 - sum(quality_rules.WORK[c][0] * n[0] + quality_rules.WORK[c][1] * n[1] for c in new)) < 1e-6 * cost
+        seen |= new
+    paid = dict((name, cost) for name, cost, _ in quality_rules.cascade(docs, paid=tuple(quality_rules.WORK)))
+    assert set(paid.values()) == {1}
+
+
 def test_later_rules_are_not_evaluated(spark, as_docs):
     """A rule that fails where it is asked does no harm behind one that rejects all."""
     rules = {"all": lambda t: F.length(F.coalesce(t, F.lit(""))) >= 0, "error": lambda t: F.raise_error(F.concat(F.lit("asked "), t)).cast("boolean")}
