@@ -1,4 +1,4 @@
-"""Similarity graph: pairs, thresholds, degree caps, thinning."""
+"""Similarity graph: pairs, thresholds, thinning; similarity.py holds the capped graph."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,11 +62,6 @@ def _pairs(blocks: DataFrame, over: float | None = None) -> DataFrame:
     return blocks.mapInArrow(run, f"a {kind}, b {kind}, w double")
 
 
-def similar_pairs(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b, w) for all a < b of (id, vector), ids being distinct: cosines, as products of blocks."""
-    return _pairs(_blocks(vectors, block))
-
-
 def _cut(blocks: DataFrame, p: float) -> float | None:
     """The interpolated percentile of all cosines: histograms narrow the range of each of the two order statistics about
     it until few values, or equal ones, are left. No pair is written or shuffled; None if there are none."""
@@ -141,28 +138,15 @@ def at_percentile(edges: DataFrame, p: float) -> DataFrame:
     return placed.crossJoin(F.broadcast(bound)).where("w >= _cut").select("a", "b", "w")
 
 
-def degree_capped(edges: DataFrame, cap: int = 15, keep=written) -> DataFrame:
-    """Edges (a, b, w) that a scan by w descending (then a, b) accepts while both ends have fewer than cap.
+def by_weight(edges: DataFrame) -> DataFrame:
+    """Edges (a, b, w) with `place`, from 1, by weight descending (then a, b)."""
+    return numbered(edges.select("a", "b", "w"), [F.desc("w"), F.col("a"), F.col("b")], "place")
 
-    Rounds accept every edge that is among the first of the room left at both of its ends; the same edges, no scan.
-    """
-    open_, taken = keep(edges.select("a", "b", "w")), None
-    w = Window.partitionBy("node").orderBy(F.desc("w"), "a", "b")
-    while not open_.isEmpty():
-        ends = F.explode(F.array("a", "b")).alias("node")
-        sides = open_.select("a", "b", "w", ends)
-        if taken is not None:
-            sides = sides.join(taken.select(ends).groupBy("node").agg(F.count("*").alias("used")), "node", "left").fillna(0, ["used"])
-            full = sides.where(F.col("used") >= cap).select("a", "b").distinct()
-            sides = sides.join(full, ["a", "b"], "left_anti")
-        else:
-            sides = sides.withColumn("used", F.lit(0))
-        ok = F.row_number().over(w) + F.col("used") <= cap
-        judged = keep(sides.withColumn("ok", ok).groupBy("a", "b", "w").agg(F.bool_and("ok").alias("ok")))
-        new = judged.where("ok").select("a", "b", "w")
-        taken = keep(new if taken is None else taken.union(new))
-        open_ = judged.where("not ok").select("a", "b", "w")
-    return taken if taken is not None else edges.select("a", "b", "w")
+
+def misplaced(assigned: DataFrame, dim: int) -> DataFrame:
+    """Rows of (id, vector, cluster) that are nearer to another cluster's centre than to their own: none, if a fit has converged."""
+    near = nearest(assigned, centroids(assigned, dim)).select("id", F.col("cluster").alias("best"))
+    return assigned.join(near, "id").where("best <> cluster").select("id", "cluster", "best")
 
 
 def top_edges(edges: DataFrame, k: int) -> DataFrame:
@@ -183,10 +167,10 @@ def visible(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def pooled(chunks: DataFrame) -> DataFrame:
-    """(id, vector): unit mean of the vectors of (id, vector), per id; a zero mean stays zero."""
-    dims = chunks.select("id", F.posexplode("vector").alias("dim", "x")).groupBy("id", "dim").agg(F.avg("x").alias("x"))
-    mean = dims.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("d"))
-    return mean.select("id", normalise(F.transform("d", lambda d: d["x"])).alias("vector"))
+    """(id, vector): unit mean of the vectors of (id, vector), per id; a zero mean stays zero. Null vectors do not count; the others have equal
+    lengths and no null components. One partial mean an id and task is shuffled, so an id of very many vectors is in many tasks."""
+    mean = Summarizer.mean(array_to_vector(F.col("vector").cast("array<double>")))
+    return chunks.where("vector is not null").groupBy("id").agg(vector_to_array(mean).alias("m")).select("id", normalise(F.col("m")).alias("vector"))
 
 
 def centroids(vectors: DataFrame, dim: int) -> DataFrame:

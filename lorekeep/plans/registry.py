@@ -50,6 +50,13 @@ def _grown(spark, sf):
     return similarity.extend(similarity.build(before), before, after, t.where("label = 3").select("id")).edges
 
 
+def _fitted(spark, sf):
+    """What holds for any converged fit: rows and ids, how many are nearer to another centre, and how many clusters of the eight have no rows."""
+    v = clustering.kmeans(_vectors(spark, sf).select("id", "vector"), 8)
+    rows = v.agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"), (8 - F.count_distinct("cluster")).alias("n_empty"))
+    return rows.crossJoin(graph.misplaced(v, DIM).agg(F.count("*").alias("n_misplaced")))
+
+
 def _round(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -191,7 +198,7 @@ def queries() -> dict:
         "edge_topk_per_node": lambda s, d: _round(graph.top_edges(_edges(s, d), 3), "w"),
         "edge_semi_filter": lambda s, d: _round(graph.visible(_edges(s, d), _vectors(s, d).where("cluster < 5")), "w"),
         "graph_extended": lambda s, d: _round(_grown(s, d), "w"),
-        "edges_degree_capped": lambda s, d: _round(graph.degree_capped(_edges(s, d)), "w"),
+        "edges_degree_capped": lambda s, d: _round(similarity.accepted(_edges(s, d), 15), "w"),
         "nearest_centroid": lambda s, d: _round(graph.nearest(_vectors(s, d), graph.centroids(_vectors(s, d), DIM)), "sim"),
         "silhouette_simplified": lambda s, d: _round(graph.silhouette(_vectors(s, d), DIM), "s"),
         "cluster_sizes": lambda s, d: _vectors(s, d).groupBy("cluster").agg(F.count("*").alias("n")),
@@ -221,6 +228,8 @@ def queries() -> dict:
         "cluster_ring": lambda s, d: _round(clustering.ring(_items(s, d).groupBy("cluster").agg(F.count("*").alias("n"))), "x", "y", "z"),
         "time_axis": lambda s, d: _round(clustering.time_axis(_items(s, d)), "tx"),
         "kmeans_clusters": lambda s, d: clustering.kmeans(_vectors(s, d).select("id", "vector"), 8).select("id", "cluster"),
+        "kmeans_invariants": _fitted,
+        "edges_by_weight": lambda s, d: graph.by_weight(_edges(s, d)).select("place", "a", "b"),
         "principal_components": lambda s, d: _round(clustering.scaled(clustering.components(_vectors(s, d))).select("id", *(c("p")[k].alias(n) for k, n in enumerate("xyz"))), "x", "y", "z"),
         "edge_percentile_filter": lambda s, d: graph.at_percentile(_viewed(s, d)[1], 90),
         "visible_nodes": lambda s, d: views.filtered(*_viewed(s, d), hidden_clusters=[3], hidden_providers=["P"], months=("1995-02", "1996-11"))[0],
@@ -319,6 +328,8 @@ def oracle_sql() -> dict[str, str]:
         "similarity_pairs_p95": f"WITH {_PAIRS} SELECT count(*) AS n, round(min(w), 6) AS low, round(max(w), 6) AS high FROM e",
         "edge_topk_per_node": f"WITH {_PAIRS}, sd AS (SELECT a, b, w, a AS node FROM e UNION ALL SELECT a, b, w, b FROM e), t AS (SELECT a, b, w FROM sd QUALIFY row_number() OVER (PARTITION BY node ORDER BY w DESC, a, b) <= 3) SELECT DISTINCT a, b, round(w, 6) AS w FROM t",
         "edge_semi_filter": f"WITH {_PAIRS} SELECT a, b, round(w, 6) AS w FROM e WHERE a IN (SELECT id FROM v WHERE cluster < 5) AND b IN (SELECT id FROM v WHERE cluster < 5)",
+        "kmeans_invariants": "SELECT count(*) AS n, count(DISTINCT vec_id) AS n_ids, 0::BIGINT AS n_empty, 0::BIGINT AS n_misplaced FROM embeddings",
+        "edges_by_weight": f"WITH {_PAIRS} SELECT row_number() OVER (ORDER BY w DESC, a, b) AS place, a, b FROM e",
         "edges_degree_capped": f"""WITH RECURSIVE {_PAIRS}, k AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM v), oe AS (SELECT row_number() OVER (ORDER BY w DESC, a, b) AS i, a, b, w, x.k AS ka, y.k AS kb FROM e JOIN k x ON x.id = a JOIN k y ON y.id = b),
 s(i, d, ok) AS (SELECT 0::BIGINT, (SELECT list(0) FROM k), false UNION ALL SELECT oe.i, CASE WHEN d[ka] < 15 AND d[kb] < 15 THEN list_transform(d, lambda x, j: CASE WHEN j = ka OR j = kb THEN x + 1 ELSE x END) ELSE d END, d[ka] < 15 AND d[kb] < 15 FROM s JOIN oe ON oe.i = s.i + 1)
 SELECT a, b, round(w, 6) AS w FROM s JOIN oe USING (i) WHERE ok""",

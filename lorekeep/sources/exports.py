@@ -1,7 +1,7 @@
 """Readers of conversation exports: one row (id, name, created_at, provider, messages) per conversation.
 
 Files are cut into records where they lie and parsed as VARIANTs (records.py); an export that is damaged is an error. The walk over a
-message tree runs in Python, in Arrow batches.
+message tree doubles pointers in array functions.
 """
 
 from __future__ import annotations
@@ -103,33 +103,40 @@ def trees(found: DataFrame) -> DataFrame:
     return found.select(F.from_json("text", TREES).alias("t"), F.col("path").alias("shard"), "pos").select("t.*", "shard", "pos")
 
 
+def _branches(df: DataFrame) -> DataFrame:
+    """Message trees with `nodes`, the entries of the mapping, and `branch`, the places (from 1) in it from the root to current_node.
+
+    Pointer doubling: a round appends to the path of 2^k nodes the 2^k-th ancestor of each, so there are log2(n) rounds of array operations. A parent
+    that is missing ends the branch, and so does a node that was met before.
+    """
+    keys, place = F.map_keys("mapping"), lambda key: F.coalesce(F.array_position("keys", key), F.lit(0)).cast("int")
+    df = df.withColumn("nodes", F.map_entries("mapping")).withColumn("keys", keys)
+    df = df.withColumn("up", F.concat(F.array(F.lit(0)), F.transform("nodes", lambda e: place(e["value"]["parent"]))))  # places of parents, 0 for none
+    met = lambda places: F.filter(places, lambda i: i > 0)
+
+    def doubled(s, _):
+        beyond = lambda places: F.transform(places, lambda i: F.get(s["up"], i))
+        return F.struct(F.concat(s["path"], met(beyond(s["path"]))).alias("path"), beyond(s["up"]).alias("up"))
+
+    start = F.struct(met(F.array(place(F.col("current_node")))).alias("path"), F.col("up").alias("up"))
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size("nodes") + 1)).cast("int"))
+    return df.withColumn("branch", F.aggregate(rounds, start, doubled, lambda s: F.reverse(F.array_distinct(s["path"]))))
+
+
 def linearise(df: DataFrame, provider: str, most: int | None = None) -> DataFrame:
     """Conversations of message trees (TREES, shard and pos); rows without an id are skipped. Of the parts of a message the strings count,
     and a message counts whose first part is one."""
     df = df.where(F.coalesce("id", F.lit("")) != "")
 
-    @F.pandas_udf("array<string>")
-    def branch(current, links):
-        import pandas as pd
-
-        out = []
-        for at, pairs in zip(current, links, strict=True):
-            up, seen = {p["node"]: p["parent"] for p in pairs} if pairs is not None else {}, {}
-            while at in up and at not in seen:
-                seen[at] = True
-                at = up[at]
-            out.append(list(seen)[::-1])
-        return pd.Series(out)
-
-    links = F.transform(F.map_entries("mapping"), lambda e: F.struct(e["key"].alias("node"), e["value"]["parent"].alias("parent")))
-    told = F.transform(F.col("nodes"), lambda n: F.col("mapping")[n]["message"])
+    told = F.transform("branch", lambda i: F.get("nodes", i - 1)["value"]["message"])
     plain = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
     first = lambda m: plain(F.get(m["content"]["parts"], 0))
     fit = lambda m: m["author"]["role"].isin("user", "assistant") & (m["content"]["content_type"] == "text") & (strip(first(m)) != "") & (F.coalesce(m["weight"], F.lit(1.0)) != 0)
     text = lambda m: strip(F.array_join(F.transform(m["content"]["parts"], plain), " "))
     messages = F.transform(F.filter(told, fit), lambda m: F.struct(role(m["author"]["role"]).alias("role"), text(m).alias("text"), epoch_iso(m["create_time"]).alias("timestamp")))
+    once = F.explode(F.array(messages))  # a generator: the filter on messages below would otherwise compute them a second time
     title = strip(F.coalesce("title", F.lit("")))
-    out = df.withColumn("nodes", branch("current_node", links)).select("id", F.when(title.isin("", "New chat"), "Untitled").otherwise(title).alias("name"), epoch_iso(F.col("create_time")).alias("created_at"), F.lit(provider).alias("provider"), messages.alias("messages"), "shard", "pos")
+    out = _branches(df).select("id", F.when(title.isin("", "New chat"), "Untitled").otherwise(title).alias("name"), epoch_iso(F.col("create_time")).alias("created_at"), F.lit(provider).alias("provider"), once.alias("messages"), "shard", "pos")
     w = Window.partitionBy("id").orderBy("shard", "pos")
     out = out.where(F.size("messages") > 0).withColumn("r", F.row_number().over(w)).where("r = 1")
     return (out if most is None else out.orderBy("shard", "pos").limit(most)).drop("r", "shard", "pos")

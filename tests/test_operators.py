@@ -25,7 +25,7 @@ def test_pairs_and_their_percentile(spark, kind, monkeypatch):
     key = (lambda i: i) if kind == "int" else str
     ids = [key(i) for i, v in rows if v]
     want = {tuple(sorted((ids[i], ids[j]))): w[i, j] for i in range(len(ids)) for j in range(i)}
-    got = {(e.a, e.b): e.w for e in graph.similar_pairs(df, block=8).collect()}
+    got = {(e.a, e.b): e.w for e in graph._pairs(graph._blocks(df, 8)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
     monkeypatch.setattr(graph, "BINS", 16)
     monkeypatch.setattr(graph, "FEW", 10)

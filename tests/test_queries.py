@@ -7,6 +7,7 @@ import json
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lorekeep.plans import registry
 from lorekeep.sources import exports
@@ -32,8 +33,9 @@ def test_same_rows(spark, duck, name):
     assert rows(registry.queries()[name](spark, SF).toPandas()) == rows(duck.execute(registry.oracle_sql()[name]).df())
 
 
-def test_degree_cap_equals_a_scan(spark):
-    from lorekeep.operators.graph import degree_capped
+@pytest.mark.parametrize("few", [1 << 20, 20])
+def test_degree_cap_equals_a_scan(spark, few):
+    from lorekeep.operators.similarity import accepted
 
     import random
 
@@ -44,7 +46,7 @@ def test_degree_cap_equals_a_scan(spark):
         if degree[a] < 4 and degree[b] < 4:
             degree[a], degree[b] = degree[a] + 1, degree[b] + 1
             want.add((a, b, w))
-    assert {tuple(x) for x in degree_capped(spark.createDataFrame(edges, "a int, b int, w double"), 4).collect()} == want
+    assert {tuple(x) for x in accepted(spark.createDataFrame(edges, "a int, b int, w double"), 4, few=few).collect()} == want
 
 
 def test_readers(spark, tmp_path):
@@ -77,9 +79,30 @@ def test_readers(spark, tmp_path):
         exports.read(spark, "none", "x")
 
 
-def test_chunks_of_paragraphs(spark):
-    from pyspark.sql import functions as F
+def test_branches_of_trees(spark):
+    """Branches as a walk finds them: side branches, parents that are missing, cycles, no nodes, and a chain of 3,000."""
+    import random
+
+    r = random.Random(7)
+    trees = [("none", "a", None), ("empty", "a", {}), ("lost", "z", {"a": None}), ("start", None, {"a": None}), ("self", "a", {"a": "a"}), ("null", "b", {"a": None, "b": "a"})]
+    for i in range(60):
+        n = r.randint(1, 40)
+        trees.append((f"t{i}", f"n{r.randrange(n)}", {f"n{k}": r.choice([f"n{r.randrange(n + 2)}", f"n{max(0, k - 1)}", None]) for k in range(n)}))
+    trees.append(("chain", "n2999", {f"n{k}": f"n{k - 1}" for k in range(3000)}))
+
+    def plain(at, up):
+        seen = {}
+        while at in up and at not in seen:
+            seen[at] = True
+            at = up[at]
+        return list(seen)[::-1]
 
+    df = spark.createDataFrame(trees, "id string, current_node string, up map<string, string>")
+    got = exports._branches(df.withColumn("mapping", F.transform_values("up", lambda _, p: F.struct(p.alias("parent"))))).select("id", F.transform("branch", lambda i: F.get("keys", i - 1)).alias("b")).collect()
+    assert {x.id: x.b or [] for x in got} == {i: plain(at, up or {}) for i, at, up in trees}
+
+
+def test_chunks_of_paragraphs(spark):
     from lorekeep.functions.text import chunk_paragraphs
 
     def plain(text, size):
