@@ -19,6 +19,7 @@ An empty table gives an empty result. Columns other than the text are carried th
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -90,11 +91,13 @@ def vocabulary(docs: DataFrame) -> dict[str, int]:
 
 
 _KINDS = (re.compile(r"[^\W\d_]"), re.compile(r"\d"), re.compile(r"[^\w\s]"))
+_MARKS = string.punctuation.replace("_", "")
 
 
 def shape(word: str) -> int:
     """The class of a word outside the vocabulary: kinds of characters (8) and length (4)."""
-    kinds = sum(bool(k.search(word)) << i for i, k in enumerate(_KINDS))
+    plain = word.isalpha() or word.strip(_MARKS).isalpha()  # letters, and marks before or after them
+    kinds = 1 + 4 * (not word.isalpha()) if plain else sum(bool(k.search(word)) << i for i, k in enumerate(_KINDS))
     return TOP + kinds * 4 + min(3, len(word) // 5)
 
 
@@ -140,72 +143,106 @@ def stream(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.flatnonzero(flat != PAD)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return x
+#: Logits up to this size, by a bound of them all, need no shift before they are exponents.
+PLAIN = 60.0
+_ONES = np.ones(WIDTH, np.float32)
+
+
+def _small(*weights) -> bool:
+    """Whether no logit can pass PLAIN: the inputs of the weights, of which the last is 1, lie between -1 and 1."""
+    return all(np.abs(w).sum(-1).max() < PLAIN for w in weights)
 
 
 def hidden(params, flat, at) -> np.ndarray:
     e = params[0]
-    h = e[0][flat[at + OFFSETS[0]]]
+    h = e[0].take(flat[at + OFFSETS[0]], axis=0)
     for k in range(1, len(OFFSETS)):
-        h += e[k][flat[at + OFFSETS[k]]]
-    out = np.ones((len(at), DIM + 1), np.float32)
+        h += e[k].take(flat[at + OFFSETS[k]], axis=0)
+    out = np.ones((len(at), DIM + 1), h.dtype)
     np.tanh(h, out=out[:, :DIM])
     return out
 
 
+def _by_block(flat, at) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """The order of places by the blocks of their outputs; blocks and places in the block in that order, and the blocks' slices (those of some places)."""
+    y = TARGET[flat[at]]
+    order = np.argsort((y // WIDTH).astype(np.uint8), kind="stable")
+    block, place = np.divmod(y[order], WIDTH)
+    ends = np.searchsorted(block, np.arange(BLOCKS + 1)).tolist()
+    return order, block, place, [(b, slice(i, j)) for b, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if i < j]
+
+
+def _logits(params, h, slices, small: bool) -> np.ndarray:
+    """In rows: logits of the blocks for each row of h, then those of the places in its block; unless they are small, rows are shifted to a maximum of 0."""
+    n = len(h)
+    x = np.empty((2 * n, WIDTH), h.dtype)
+    np.matmul(h, params[1].T, out=x[:n])
+    for b, i in slices:
+        np.matmul(h[i], params[2][b].T, out=x[n + i.start : n + i.stop])
+    if not small:
+        x -= x.max(1, keepdims=True)
+    return x
+
+
 def log_probabilities(params, flat, at) -> np.ndarray:
     """Conditional log-probability of the token at each place."""
-    out = np.empty(len(at))
+    out, small = np.empty(len(at)), _small(params[1], params[2])
     for s in range(0, len(at), SPAN):
         p = at[s : s + SPAN]
-        y = TARGET[flat[p]]
-        order = np.argsort((y // WIDTH).astype(np.uint8), kind="stable")
-        h, yo = hidden(params, flat, p[order]), y[order]
-        lp = np.log(_softmax(h @ params[1].T)[np.arange(len(p)), yo // WIDTH])
-        ends = np.searchsorted(yo // WIDTH, np.arange(BLOCKS + 1))
-        for b in range(BLOCKS):
-            i = slice(ends[b], ends[b + 1])
-            if ends[b] < ends[b + 1]:
-                lp[i] += np.log(_softmax(h[i] @ params[2][b].T)[np.arange(ends[b + 1] - ends[b]), yo[i] % WIDTH])
-        out[s : s + SPAN][order] = lp
+        order, block, place, slices = _by_block(flat, p)
+        x = _logits(params, hidden(params, flat, p[order]), slices, small)
+        n = len(p)
+        lp = x[np.arange(2 * n), np.concatenate([block, place])]
+        lp -= np.log(np.exp(x, out=x) @ _ONES)
+        out[s : s + SPAN][order] = lp[:n] + lp[n:]
+    return out
+
+
+def _summed(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows, by the first row of each; those of one or two rows, which are most, all at once."""
+    n = np.diff(first, append=len(x))
+    out = x.take(first, axis=0)
+    two, more = np.flatnonzero(n == 2), np.flatnonzero(n > 2)
+    if len(two):
+        out[two] += x.take(first.take(two) + 1, axis=0)
+    if len(more):
+        out[more] = np.add.reduceat(x[np.repeat(n > 2, n)], np.cumsum(n.take(more)) - n.take(more))
     return out
 
 
 def train_on(params, squares, flat, at) -> None:
     """One pass of Adagrad over the places, in batches, in place."""
     for s in range(0, len(at), BATCH):
-        p = at[s : s + BATCH]
-        y = TARGET[flat[p]]
-        order = np.argsort((y // WIDTH).astype(np.uint8), kind="stable")
-        p, y = p[order], y[order]
-        n, block = len(p), y // WIDTH
+        order, block, place, slices = _by_block(flat, at[s : s + BATCH])
+        p = at[s : s + BATCH][order]
+        n = len(p)
         h = hidden(params, flat, p)
-        g = _softmax(h @ params[1].T)
-        g[np.arange(n), block] -= 1
+        x = _logits(params, h, slices, _small(params[1], params[2]))
+        np.exp(x, out=x)
+        x *= (1 / (x @ _ONES))[:, None]
+        x[np.arange(2 * n), np.concatenate([block, place])] -= 1
+        g, mine = x[:n], x[n:]
         grads = [None, g.T @ h / n, np.zeros_like(params[2])]
         gh = g @ params[1]
-        ends = np.searchsorted(block, np.arange(BLOCKS + 1))
-        for b in range(BLOCKS):
-            i, m = slice(ends[b], ends[b + 1]), ends[b + 1] - ends[b]
-            if m:
-                g = _softmax(h[i] @ params[2][b].T)
-                g[np.arange(m), y[i] % WIDTH] -= 1
-                grads[2][b] = g.T @ h[i] / n
-                gh[i] += g @ params[2][b]
-        gh = gh[:, :DIM] * (1 - h[:, :DIM] ** 2) / n
+        for b, i in slices:
+            np.matmul(mine[i].T, h[i], out=grads[2][b])
+            gh[i] += mine[i] @ params[2][b]
+        grads[2] /= n
+        gh = gh[:, :DIM] * ((1 - h[:, :DIM] ** 2) / n)
         for k, o in enumerate(OFFSETS):
             t = flat[p + o]
             by = np.argsort(t, kind="stable")
-            t = t[by]
-            first = np.flatnonzero(np.diff(t, prepend=-1))
-            ids = t[first]
-            ge = np.add.reduceat(gh[by], first)
-            squares[0][k, ids] += ge * ge
-            params[0][k, ids] -= RATE * ge / (np.sqrt(squares[0][k, ids]) + 1e-6)
+            t = t.take(by)
+            first = np.concatenate([[0], np.flatnonzero(t[1:] != t[:-1]) + 1])
+            ids, ge = t.take(first), _summed(gh.take(by, axis=0), first)
+            q = squares[0][k].take(ids, axis=0)
+            q += ge * ge
+            squares[0][k][ids] = q
+            np.sqrt(q, out=q)
+            q += 1e-6
+            np.divide(ge, q, out=q)
+            q *= RATE
+            params[0][k][ids] = params[0][k].take(ids, axis=0) - q
         for j in (1, 2):
             squares[j] += grads[j] * grads[j]
             params[j] -= RATE * grads[j] / (np.sqrt(squares[j]) + 1e-6)
@@ -278,6 +315,11 @@ def _row(word: bytes) -> int:
     return (shape(word.decode()) - TOP) * ROWS + zlib.crc32(word) % ROWS
 
 
+def packed_rows(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of the numbers of each row, which end before `ends` (0 first)."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((ends * ids.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
+
+
 def tokenise_all(docs: DataFrame, rows: list, totals: np.ndarray) -> DataFrame:
     """docs with token_ids as tokenise gives them for the first TOP of rows (see frequent), the sum of the words' logarithmic shares,
     and the words that are not among rows."""
@@ -287,17 +329,21 @@ def tokenise_all(docs: DataFrame, rows: list, totals: np.ndarray) -> DataFrame:
     shares = np.concatenate([np.zeros(n_top), [np.log(r["n"] / totals[r["c"] - TOP]) for r in rows[n_top:]], np.zeros(SHAPES * ROWS)])
     given = docs.sparkSession.sparkContext.broadcast((words_, ids_of, shares))
 
-    @F.pandas_udf("struct<ids binary, share double, rest array<binary>>")
-    def ids(texts):
-        import pandas as pd
-
+    @F.arrow_udf("struct<ids binary, share double, rest array<binary>>")
+    def ids(texts: pa.Array) -> pa.Array:
         words_, ids_of, shares = given.value
-        codes, out = coded(words_), []
+        codes, found, rest, size, n_rest = coded(words_), [np.zeros(0, np.int32)], [], [0], [0]
         for t in texts:
-            w = split(t)
+            w = split(t.as_py())
             x = np.fromiter(map(codes.__getitem__, w), np.int32, len(w))
-            out.append((ids_of[x].tobytes(), shares[x].sum(), [w[i] for i in np.flatnonzero(x >= len(words_))]))
-        return pd.DataFrame(out, columns=["ids", "share", "rest"])
+            rest += [w[i] for i in np.flatnonzero(x >= len(words_))]
+            found.append(x)
+            size.append(len(w))
+            n_rest.append(len(rest))
+        x, ends = np.concatenate(found), np.cumsum(size)
+        share = np.bincount(np.repeat(np.arange(len(texts)), size[1:]), shares[x], len(texts))
+        columns = [packed_rows(ids_of[x], ends), pa.array(share), pa.ListArray.from_arrays(pa.array(n_rest, pa.int32()), pa.array(rest, pa.binary()))]
+        return pa.StructArray.from_arrays(columns, ["ids", "share", "rest"])
 
     x = docs.withColumn("_x", ids("text"))
     return x.withColumns({"token_ids": F.col("_x.ids"), "_share": F.col("_x.share"), "_rest": F.col("_x.rest")}).drop("_x")

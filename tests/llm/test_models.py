@@ -377,3 +377,41 @@ def test_pseudo_likelihood_tells_neighbours_of_one_class_apart():
     ids = p.Tokens({})
     a, b = (p.inputs(p.split(t), ids) for t in ("x stone x", "x stoat x"))
     assert a[1] != b[1] and p.TARGET[a[1]] == p.TARGET[b[1]] == p.shape("stone")
+
+
+def test_pseudo_likelihood_steps_equal_plain_steps(monkeypatch):
+    """Steps of all blocks and offsets at once are those of plain sums a token, for logits that need a shift and for those that do not."""
+    p, r = pseudo_likelihood, np.random.default_rng(3)
+    flat, at = p.stream([np.minimum(r.zipf(1.3, n), p.PAD - 1).astype(np.int16) for n in (700, 0, 1, 60)])
+    monkeypatch.setattr(p, "BATCH", 500)
+    for spread in (0.1, 30.0):
+        params = [x.astype(np.float64) + r.normal(0, spread, x.shape) * (j > 0) for j, x in enumerate(p.start())]
+        assert p._small(params[1], params[2]) == (spread < 1)
+        got, squares = [x.copy() for x in params], [np.zeros(x.shape) for x in params]
+        p.train_on(got, squares, flat, at)
+        want, sums = [x.copy() for x in params], [np.zeros(x.shape) for x in params]
+        for s in range(0, len(at), 500):
+            grads, some = [np.zeros(x.shape) for x in want], at[s : s + 500]
+            for i in some:
+                y = int(p.TARGET[flat[i]])
+                h = np.append(np.tanh(sum(want[0][k][flat[i + o]] for k, o in enumerate(p.OFFSETS))), 1)
+                back = np.zeros(p.DIM + 1)
+                for w, g, right in ((want[1], grads[1], y // p.WIDTH), (want[2][y // p.WIDTH], grads[2][y // p.WIDTH], y % p.WIDTH)):
+                    x = w @ h
+                    e = np.exp(x - x.max())
+                    e /= e.sum()
+                    e[right] -= 1
+                    g += np.outer(e, h) / len(some)
+                    back += w.T @ e / len(some)
+                for k, o in enumerate(p.OFFSETS):
+                    grads[0][k][flat[i + o]] += back[: p.DIM] * (1 - h[: p.DIM] ** 2)
+            for w, q, g in zip(want, sums, grads, strict=True):
+                q += g * g
+                w -= p.RATE * g / (np.sqrt(q) + 1e-6)
+        assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(got, want, strict=True)) and all(np.allclose(a, b) for a, b in zip(squares, sums, strict=True))
+
+
+def test_pseudo_likelihood_shapes_by_characters():
+    p, r = pseudo_likelihood, random.Random(1)
+    for w in ["", "_", "a_", "don't", "́", "x²", *("".join(r.choice("abé漢_-.,'1٣²½ªⅣ́‍#😀") for _ in range(r.randint(0, 6))) for _ in range(3000))]:
+        assert p.shape(w) == p.TOP + sum(bool(k.search(w)) << i for i, k in enumerate(p._KINDS)) * 4 + min(3, len(w) // 5)
