@@ -5,7 +5,7 @@ sketch of one row of cells, twice as many as there are words, counts phrases of
 tasks, and each shard sends only the cells it has, so the work grows with the texts. The bound of a phrase is the least of the cells of
 all phrases inside it, so it is never under the count. Each shard compiles its own phrases whose bound reaches the least
 count, with a delimiter on either side, into an automaton (pyahocorasick), and scans its texts for overlapping matches. The counts of all shards are
-summed, and thresholds, scores and the rule of longer phrases are joins of those sums. Nothing is bounded by a number of phrases, and a
+sent in compressed buckets of phrases and summed, and thresholds, scores and the rule of longer phrases are joins of those sums. Nothing is bounded by a number of phrases, and a
 task holds one shard or one range of cells.
 
 Edge cases. Null texts are empty, null languages are `und`. Rows are counted as they come, so repeated rows count again. A text longer than
@@ -21,6 +21,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from .common import join_spread, materialise
 
 #: Bytes of a shard, of a part of it (a row), and of all open shards of a task; cells of a range of the sketch.
 SHARD, PART, OPEN, RANGE = 16 << 20, 1 << 20, 48 << 20, 1 << 22
+#: Words of the texts for a bucket of phrases; phrases that are dealt to buckets at once.
+BUCKET, LINES = 1 << 22, 1 << 16
 
 #: A-Z in lower case, tabs as spaces, and the marks and breaks between pieces as line feeds.
 _FOLD = bytes.maketrans(b"\t.,;:!?\x0b\x0c\r" + bytes(range(65, 91)), b" " + b"\n" * 9 + bytes(range(97, 123)))
@@ -123,13 +126,32 @@ class Words:
             yield at, h
 
 
+def _small(x: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(1).compress(x) if x else b""
+
+
+def _plain(b: bytes) -> bytes:
+    return plain(b) if b else b""
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers under 2^32, the bytes of equal worth together, so that codecs find the zeros; compressed."""
+    return _small(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _numbers(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_plain(b), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _encoded(x: np.ndarray) -> bytes:
-    """Ascending numbers as gaps, the bytes of equal worth together, so that codecs find the zeros."""
-    return np.diff(x, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Ascending numbers as gaps; none as no bytes."""
+    return _planes(np.diff(x, prepend=0))
 
 
 def _decoded(b: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.int64)
+    return np.cumsum(_numbers(b), dtype=np.int64)
 
 
 def sketched(parts: DataFrame, most: int, bits: int, least: int) -> DataFrame:
@@ -145,7 +167,7 @@ def sketched(parts: DataFrame, most: int, bits: int, least: int) -> DataFrame:
             n = np.minimum(n, least).astype(np.uint8)
             ends = np.searchsorted(cells, np.arange(0, (1 << bits) + 1, width, dtype=np.uint64))
             some = np.flatnonzero(np.diff(ends))
-            rows = [(int(s), _encoded(cells[ends[s] : ends[s + 1]].astype(np.int64) - int(s) * width), n[ends[s] : ends[s + 1]].tobytes()) for s in some]
+            rows = [(int(s), _encoded(cells[ends[s] : ends[s + 1]].astype(np.int64) - int(s) * width), _small(n[ends[s] : ends[s + 1]].tobytes())) for s in some]
             for at in range(0, len(rows), 64):
                 part = rows[at : at + 64]
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * len(part)), pa.array([r[0] for r in part]), pa.array([r[1] for r in part]), pa.array([r[2] for r in part])], ["shard", "segment", "cells", "n"])
@@ -165,7 +187,7 @@ def sketched(parts: DataFrame, most: int, bits: int, least: int) -> DataFrame:
     def reach(table: pa.Table) -> pa.Table:
         total = np.zeros(width, np.uint32)
         for cells, n in zip(table.column("cells"), table.column("n"), strict=True):
-            total[_decoded(cells.as_py())] += np.frombuffer(n.as_py(), np.uint8)
+            total[_decoded(cells.as_py())] += np.frombuffer(_plain(n.as_py()), np.uint8)
         good, out = total >= least, []
         for cells in table.column("cells"):
             x = _decoded(cells.as_py())
@@ -202,7 +224,7 @@ def _candidates(texts: list[bytes], lang: str, good: np.ndarray, most: int, shif
             if apart:
                 at = at[np.unique(h, return_index=True)[1]]
             found.update(map(text.__getitem__, map(slice, (words.start[at] - 1).tolist(), (words.end[at + n] + 1).tolist())))
-    return [p.decode() for p in found], times
+    return [p.decode() for p in sorted(found)], times
 
 
 def _scanned(texts: list[bytes], phrases: list[str]) -> np.ndarray:
@@ -219,12 +241,27 @@ def _scanned(texts: list[bytes], phrases: list[str]) -> np.ndarray:
     return n
 
 
-def counted(parts: DataFrame, good: DataFrame, most: int, bits: int) -> DataFrame:
-    """(lang, phrase, n): each shard's counts of its candidates, by an automaton over its parts."""
+def _buckets(text: bytes, lang: str, buckets: int) -> np.ndarray:
+    """Buckets of the phrases on the lines of a text, delimiters on either side: of equal first two words in four buckets at most, so that a bucket's phrases share words."""
+    words = Words(text, lang)
+    first = np.flatnonzero(~np.r_[False, words.next[:-1]])
+    second = np.minimum(first + 1, len(words.word) - 1)
+    third = np.minimum(first + 2, len(words.word) - 1)
+    two = words.next[first]
+    three = two & words.next[second]
+    head = words.word[first] * np.uint64(_ODD) + np.where(two, words.word[second], np.uint64(0))
+    return ((_mixed(head) + np.where(three, words.word[third] & np.uint64(3), np.uint64(0))) % np.uint64(buckets)).astype(np.int64)
+
+
+def counted(parts: DataFrame, good: DataFrame, most: int, bits: int, buckets: int = 16, least: int = 1) -> DataFrame:
+    """(lang, phrase, n): counts of the candidates of all shards, by an automaton over each shard's parts, that reach `least`.
+
+    A shard sends its phrases, sorted and compressed, in a row a bucket of phrases; buckets are summed.
+    """
     shift = np.uint64(64 - bits)
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+        empty = pa.table({"lang": pa.array([], pa.string()), "bucket": pa.array([], pa.int64()), "phrases": pa.array([], pa.binary()), "n": pa.array([], pa.binary())})
         if not left.num_rows or not right.num_rows:
             return empty
         texts, lang = [plain(t.as_py()) for t in left.column("text")], left.column("lang")[0].as_py()
@@ -237,10 +274,24 @@ def counted(parts: DataFrame, good: DataFrame, most: int, bits: int) -> DataFram
         if n.sum() != times.sum():  # different phrases had equal hashes
             phrases, _ = _candidates(texts, lang, cells, most, shift, apart=False)
             n = _scanned(texts, phrases)
-        return pa.table({"lang": pa.array([lang] * len(phrases)), "phrase": pa.array([p[1:-1] for p in phrases]), "n": pa.array(n)})
+        lines = [p.encode() for p in phrases]
+        bucket = np.concatenate([_buckets(b"\n".join(lines[i : i + LINES]), lang, buckets) for i in range(0, len(lines), LINES)])
+        by = np.argsort(bucket, kind="stable")
+        some, first = np.unique(bucket[by], return_index=True)
+        runs = np.split(by, first[1:])
+        held = [_small(b"\n".join([lines[i][1:-1] for i in run.tolist()])) for run in runs]
+        return pa.table({"lang": pa.array([lang] * len(runs)), "bucket": pa.array(some), "phrases": pa.array(held, pa.binary()), "n": pa.array([_planes(n[run]) for run in runs], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        lists = [pa.array(plain(b.as_py()).decode().split("\n"), pa.string()) for b in table.column("phrases")]
+        n = np.concatenate([_numbers(b.as_py()) for b in table.column("n")]).astype(np.int64)
+        sums = pa.table({"phrase": pa.chunked_array(lists), "n": pa.array(n)}).group_by("phrase").aggregate([("n", "sum")])
+        sums = sums.filter(pc.greater_equal(sums.column("n_sum"), least))
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * sums.num_rows, pa.string()), "phrase": sums.column("phrase"), "n": sums.column("n_sum")})
 
     both = parts.select("shard", "lang", "text").groupBy("shard").cogroup(good.groupBy("shard"))
-    return both.applyInArrow(scan, "lang string, phrase string, n long")
+    sent = both.applyInArrow(scan, "lang string, bucket long, phrases binary, n binary")
+    return sent.groupBy("lang", "bucket").applyInArrow(add, "lang string, phrase string, n long")
 
 
 def mine(docs: DataFrame, most: int = 3, least: int = 10, share: int = 50, first: int = 2000) -> DataFrame:
@@ -250,9 +301,10 @@ def mine(docs: DataFrame, most: int = 3, least: int = 10, share: int = 50, first
     language. A phrase inside a longer candidate that has at least `share` percent of its count is dropped.
     """
     parts = materialise(shards(docs.select("lang", "text")))
-    bits = max(16, math.ceil(math.log2(2 * (parts.agg(F.sum("words")).first()[0] or 0) + 1)))
+    size = parts.agg(F.sum("words")).first()[0] or 0
+    bits = max(16, math.ceil(math.log2(2 * size + 1)))
     good = sketched(parts, most, bits, least)
-    held = materialise(counted(parts, good, most, bits).groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least).withColumn("words", F.size(F.split("phrase", " "))))
+    held = materialise(counted(parts, good, most, bits, max(16, size // BUCKET), least).withColumnRenamed("n", "a").withColumn("words", F.size(F.split("phrase", " "))))
     words, k = F.split("phrase", " "), F.col("k")
     made = held.where("words >= 2").select("lang", "phrase", "words", "a", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
     piece = lambda at, n: F.array_join(F.slice(words, at, n), " ")

@@ -204,3 +204,24 @@ def test_bounds_leave_most_products_out():
 def test_large_products_are_exact():
     x = np.array([[2.0**30 + 1, 3.0], [2.0**30, 5.0]])
     assert pivot_search.products(x, x[0]).tolist() == [(2**30 + 1) ** 2 + 9, 2**30 * (2**30 + 1) + 15]
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 1000])
+def test_phrases_are_sent_once_a_bucket(spark, spoken, buckets):
+    """Sums of buckets are those of all shards, each phrase once, however many buckets there are."""
+    parts = phrase_mining.materialise(phrase_mining.shards(_said(spark, spoken).select("lang", "text")))
+    found = phrase_mining.counted(parts, phrase_mining.sketched(parts, 3, 12, 10), 3, 12, buckets, 10).collect()
+    _, f = plain_counts(spoken, 3)
+    assert sorted((r.lang, r.phrase, r.n) for r in found) == sorted((lang, " ".join(p), n) for (lang, p), n in f.items() if n >= 10)
+
+
+def test_sorted_phrases_and_cells_are_small():
+    """What a shard sends: phrases in under 6 bytes each, and cells of random gaps, with counts that are nearly all 1, in under 1.5."""
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(40)]
+    phrases = sorted({f" {a} {b} {c} ".encode() for a in words for b in words for c in r.sample(words, 20)})
+    bucket = phrase_mining._buckets(b"\n".join(phrases), "en", 8)
+    sent = [phrase_mining._small(b"\n".join([phrases[i] for i in np.flatnonzero(bucket == k)])) for k in range(8)]
+    assert sum(map(len, sent)) < 6 * len(phrases) and max(map(len, sent)) < 2 * min(map(len, sent))
+    cells = np.cumsum(np.random.default_rng(1).geometric(1 / 200, 20000))
+    assert len(phrase_mining._encoded(cells)) + len(phrase_mining._small(bytes(np.random.default_rng(2).geometric(0.95, 20000).astype(np.uint8)))) < 1.5 * 20000
