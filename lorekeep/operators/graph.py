@@ -13,120 +13,130 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, normalise
+from . import cosines
 from .common import numbered, written
 
-#: Vectors of a block, rows of a block that are multiplied at a time, bins of a histogram, values that are sorted at last.
-BLOCK, STRIP, BINS, FEW = 2048, 256, 1 << 14, 20000
+#: Vectors of a block, bins of a histogram, values that are sorted at last, how far about a block's percentile that of all is looked for first.
+BLOCK, BINS, FEW, ABOUT = 2048, 1 << 14, 1 << 19, 0.02
+#: Bins of weights, and edges that one task numbers unless a bin has more.
+WEIGHTS, RANGE = 1 << 14, 1 << 20
 
 
 def _blocks(vectors: DataFrame, block: int) -> DataFrame:
-    """All pairs of blocks of (id, vector), each pair once: ids and flat unit vectors of both (x, vx, y, vy, same). Rows without a
-    vector are left out; the others have equal lengths."""
+    """All pairs of blocks of (id, vector), each pair once: numbers, ids and flat unit vectors of both (i, x, vx, j, y, vy, same). Rows without a
+    vector are left out; the others have equal lengths. Only the blocks are written, not their pairs."""
     unit = written(vectors.where("vector is not null").select("id", normalise(F.col("vector")).alias("v")))
     k = max(6, math.ceil(unit.count() / block))  # six blocks at least, so that all cores have some of their 21 pairs
-    dealt = written(unit.groupBy(F.pmod(F.xxhash64("id"), F.lit(k)).cast("int").alias("i")).agg(F.collect_list("id").alias("x"), F.flatten(F.collect_list("v")).alias("vx")))
+    dealt = unit.groupBy(F.pmod(F.xxhash64("id"), F.lit(k)).cast("int").alias("i")).agg(F.collect_list("id").alias("x"), F.flatten(F.collect_list("v")).alias("vx"))
+    dealt = written(dealt.repartition(k, "i"))
     other = dealt.select(F.col("i").alias("j"), F.col("x").alias("y"), F.col("vx").alias("vy"))
-    pairs = dealt.select("i").withColumn("j", F.explode(F.sequence("i", F.lit(k - 1)))).join(other, "j").join(dealt, "i")
-    parts = min(k * (k + 1) // 2, 8 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return written(pairs.select("x", "vx", "y", "vy", (F.col("i") == F.col("j")).alias("same")).repartition(parts))
+    return cosines.met(dealt, other, F.col("i") <= F.col("j")).withColumn("same", F.col("i") == F.col("j"))
 
 
-def _strips(batch, r: int):
-    """Strips of cosines of a row of _blocks: (first place in x, cosines, which of them count), so that a pair of different vectors
-    counts once. Cosines have twelve decimals, so that equal pairs are equal wherever they stand in a block."""
-    x, y = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("vx", "vy"))
-    n, m = len(batch.column("x")[r].values), len(batch.column("y")[r].values)
-    x, y = x.reshape(n, -1), y.reshape(m, -1)
-    same = batch.column("same")[r].as_py()
-    for at in range(0, n, STRIP):
-        w = np.round(x[at : at + STRIP] @ y.T, 12)
-        yield at, w, np.arange(m)[None, :] > np.arange(at, at + len(w))[:, None] if same else np.ones(w.shape, bool)
+def _rows(batches):
+    """(numbers of the blocks, ids of both, x, y, same) of each row of _blocks."""
+    for b in batches:
+        for r in range(b.num_rows):
+            ids = [b.column(c)[r].values for c in ("x", "y")]
+            x, y = (b.column(c)[r].values.to_numpy(zero_copy_only=False).reshape(len(n), -1) for c, n in zip(("vx", "vy"), ids, strict=True))
+            yield (b.column("i")[r].as_py(), b.column("j")[r].as_py()), ids, x, y, b.column("same")[r].as_py()
 
 
-def _pairs(blocks: DataFrame, over: float | None = None) -> DataFrame:
+def _pairs(blocks: DataFrame, over: float = -math.inf, top: int = 0) -> DataFrame:
+    """(a, b, w) with w > over. With top, what is not among the `top` heaviest (then by a, b) of either end in its task may be left out."""
     kind = blocks.schema["x"].dataType.elementType.simpleString()
 
     def run(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                x, y = batch.column("x")[r].values, batch.column("y")[r].values
-                both = pa.concat_arrays([x, y])
-                place = np.empty(len(both), np.int64)
-                place[pc.sort_indices(both).to_numpy()] = np.arange(len(both))
-                for at, w, counts in _strips(batch, r):
-                    i, j = np.nonzero(counts if over is None else counts & (w > over))
-                    w, i, j = w[i, j], i + at, j + len(x)
-                    first = place[i] < place[j]
-                    yield pa.RecordBatch.from_arrays([both.take(pa.array(np.where(first, i, j))), both.take(pa.array(np.where(first, j, i))), pa.array(w)], ["a", "b", "w"])
+        best: dict[int, np.ndarray] = {}
+        for numbers, ids, x, y, same in _rows(batches):
+            both = pa.concat_arrays(ids)
+            place = np.empty(len(both), np.int64)
+            place[pc.sort_indices(both).to_numpy()] = np.arange(len(both))
+            for i, j, w in [_heaviest(best, numbers, place, x, y, same, over, top)] if top else cosines.between(x, y, same, over):
+                j = j + len(x)
+                first = place[i] < place[j]
+                yield pa.RecordBatch.from_arrays([both.take(pa.array(np.where(first, i, j))), both.take(pa.array(np.where(first, j, i))), pa.array(w)], ["a", "b", "w"])
 
     return blocks.mapInArrow(run, f"a {kind}, b {kind}, w double")
 
 
+def _heaviest(best: dict[int, np.ndarray], numbers: tuple[int, int], place: np.ndarray, x: np.ndarray, y: np.ndarray, same: bool, over: float, k: int):
+    """(i, j, w) of the pairs with w > over that are among the first k of one of their ends, here and by weight in what the task has seen: best has
+    the k heaviest weights of each row of the blocks by their numbers."""
+    for number, rows in zip(numbers, (x, y), strict=True):
+        best.setdefault(number, np.full((len(rows), k), -np.inf))
+    low = [np.maximum(best[number][:, -1], over) - cosines.OFF for number in numbers]
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for at, s in cosines.strips(x, y, same):
+        i, j = np.nonzero((s >= low[0][at : at + len(s), None]) | (s >= low[1][None, :]))
+        w = cosines.rounded(x, y, i + at, j, s[i, j])
+        ok = w > over
+        found.append((i[ok] + at, j[ok], w[ok]))
+    i, j, w = (np.concatenate(v) for v in zip(*found, strict=True))
+    p, q = place[i], place[j + len(x)]
+    order = np.lexsort((np.maximum(p, q), np.minimum(p, q), -w))
+    keep = np.zeros(len(w), bool)
+    for number, end in zip(numbers, (i, j), strict=True):
+        at = order[np.argsort(end[order], kind="stable")]
+        new = np.r_[True, end[at[1:]] != end[at[:-1]]][: len(at)]
+        rank = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0)) if len(at) else at
+        at, rank = at[rank < k], rank[rank < k]
+        keep[at] |= w[at] >= best[number][end[at], -1]
+        here = np.full(best[number].shape, -np.inf)
+        here[end[at], rank] = w[at]
+        best[number] = -np.sort(-np.hstack([best[number], here]), axis=1)[:, :k]
+    return i[keep], j[keep], w[keep]
+
+
 def _cut(blocks: DataFrame, p: float) -> float | None:
-    """The interpolated percentile of all cosines: histograms narrow the range of each of the two order statistics about
-    it until few values, or equal ones, are left. No pair is written or shuffled; None if there are none."""
-
-    def histogram(low: float, high: float):
-        def run(batches):
-            counts, ends = np.zeros(BINS, np.int64), np.stack([np.full(BINS, np.inf), np.full(BINS, -np.inf)])
-            for batch in batches:
-                for r in range(batch.num_rows):
-                    for _, w, ok in _strips(batch, r):
-                        w = w[ok & (w >= low) & (w <= high)]
-                        k = np.minimum(((w - low) / (high - low) * BINS).astype(np.int64), BINS - 1)
-                        counts += np.bincount(k, minlength=BINS)
-                        np.minimum.at(ends[0], k, w)
-                        np.maximum.at(ends[1], k, w)
-            k = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (k, counts[k], ends[0][k], ends[1][k])], ["k", "n", "low", "high"])
-
-        found = blocks.mapInArrow(run, "k long, n long, low double, high double")
-        return found.groupBy("k").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("k").collect()  # at most BINS
-
-    def values(low: float, high: float) -> np.ndarray:
-        def run(batches):
-            for batch in batches:
-                for r in range(batch.num_rows):
-                    for _, w, ok in _strips(batch, r):
-                        yield pa.RecordBatch.from_arrays([pa.array(w[ok & (w >= low) & (w <= high)])], ["w"])
-
-        return np.sort([r.w for r in blocks.mapInArrow(run, "w double").collect()])  # at most FEW
-
-    def bin_of(rank: int, bins):
-        for b in bins:
-            if rank < b.n:
-                return b, rank
-            rank -= b.n
-        raise IndexError(rank)
-
-    def statistics(rank: int, n: int, bins) -> list[float]:
-        """The order statistics rank to rank + n - 1, n being 1 or 2, of the values in bins."""
-        first, at = bin_of(rank, bins)
-        if n == 2 and at + 1 == first.n:  # the second is in another bin: the least there
-            return [*statistics(rank, 1, bins), bin_of(rank + 1, bins)[0].low]
-        if first.low == first.high:
-            return [first.low] * n
-        if first.n <= FEW:
-            return values(first.low, first.high)[at : at + n].tolist()
-        return statistics(at, n, histogram(first.low, first.high))
-
-    bins = histogram(-1.0 - 1e-9, 1.0 + 1e-9)
-    n = sum(b.n for b in bins)
-    if not n:
-        return None
-    at = p * (n - 1)
-    found = statistics(math.floor(at), 1 if at == math.floor(at) else 2, bins)
-    return found[0] + (found[-1] - found[0]) * (at - math.floor(at))
-
-
-def over_percentile(vectors: DataFrame, p: float = 0.95, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b, w) of (id, vector) strictly over the interpolated percentile of the cosines of all pairs.
-
-    All pairs are multiplied, a block with a block, once for each histogram and once for the result; only the result leaves its task.
-    """
+    """The interpolated percentile of all cosines, None if there are none; it is first looked for about that of one block."""
+
+    def run(use, kind):
+        return blocks.mapInArrow(lambda batches: use((x, y, same) for _, _, x, y, same in _rows(batches)), kind)
+
+    guess = cosines.ALL
+    if some := blocks.where("same").select("i", "j", "x", "vx", "y", "vy", "same").limit(1).toArrow().to_batches():
+        _, _, x, y, _ = next(_rows(some))
+        if len(x) > 1:
+            at = float(np.quantile((x @ y.T)[np.triu_indices(len(x), 1)], p))
+            guess = (at - ABOUT, at + ABOUT)
+    return cosines.percentile(run, p, guess, BINS, FEW)
+
+
+def _over(vectors: DataFrame, p: float, block: int) -> tuple[DataFrame, float]:
     blocks = _blocks(vectors, block)
     cut = _cut(blocks, p)
-    return _pairs(blocks, math.inf if cut is None else cut)
+    return blocks, math.inf if cut is None else cut
+
+
+def over_percentile(vectors: DataFrame, p: float = 0.95, block: int = BLOCK, nodes: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b, w) of (id, vector) strictly over the interpolated percentile of the cosines of all pairs; with nodes (id), those both of whose
+    ends are in it.
+
+    All pairs are multiplied, a block with a block, once for each histogram and once for the result, of the nodes only; only the result leaves its task.
+    """
+    blocks, cut = _over(vectors, p, block)
+    return _pairs(blocks if nodes is None else _blocks(vectors.join(nodes.select("id"), "id", "left_semi"), block), cut)
+
+
+def top_over_percentile(vectors: DataFrame, k: int, p: float = 0.95, block: int = BLOCK) -> DataFrame:
+    """The edges of over_percentile that are among the k heaviest of either end; a task hands on some k a node at most as it goes, not all its edges."""
+    return top_edges(_pairs(*_over(vectors, p, block), k), k)
+
+
+def summary_over_percentile(vectors: DataFrame, p: float = 0.95, block: int = BLOCK) -> DataFrame:
+    """One row (n, low, high) of the edges of over_percentile, which are counted where they are made."""
+    blocks, cut = _over(vectors, p, block)
+
+    def run(batches):
+        n, low, high = 0, math.inf, -math.inf
+        for _, _, x, y, same in _rows(batches):
+            for _, _, w in cosines.between(x, y, same, cut):
+                if len(w):
+                    n, low, high = n + len(w), min(low, w.min()), max(high, w.max())
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([low if n else None], pa.float64()), pa.array([high if n else None], pa.float64())], ["n", "low", "high"])
+
+    return blocks.mapInArrow(run, "n long, low double, high double").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def at_percentile(edges: DataFrame, p: float) -> DataFrame:
@@ -139,8 +149,28 @@ def at_percentile(edges: DataFrame, p: float) -> DataFrame:
 
 
 def by_weight(edges: DataFrame) -> DataFrame:
-    """Edges (a, b, w) with `place`, from 1, by weight descending (then a, b)."""
-    return numbered(edges.select("a", "b", "w"), [F.desc("w"), F.col("a"), F.col("b")], "place")
+    """Edges (a, b, w) with `place`, from 1, by weight descending (then a, b).
+
+    A pass finds the ends of the weights and one counts them in bins, so the place each range of bins begins at is known before edges are dealt to
+    ranges. They are shuffled once and written nowhere else, but computed three times: write them before if that is dear.
+    """
+    edges = edges.select("a", "b", "w")
+    ends = edges.agg(F.min("w").alias("low"), F.max("w").alias("high")).first()
+    if ends.low is None:
+        return edges.select("*", F.lit(0).cast("long").alias("place")).limit(0)
+    width = (ends.high - ends.low) / WEIGHTS or 1.0
+    bin_ = F.least(F.lit(WEIGHTS), F.floor((F.lit(ends.high) - F.col("w")) / F.lit(width))).cast("int")
+    counts = np.zeros(WEIGHTS + 1, np.int64)
+    for r in edges.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n")).collect():  # at most WEIGHTS + 1
+        counts[r.bin] = r.n
+    before = np.cumsum(counts) - counts
+    ranges = np.maximum.accumulate(before // RANGE)
+    first = [int(before[ranges == r].min()) for r in np.unique(ranges)]
+    ranges = np.unique(ranges, return_inverse=True)[1]
+    range_ = F.lit(ranges.tolist())[bin_]
+    w = Window.partitionBy("_r").orderBy(F.desc("w"), "a", "b")
+    dealt = edges.repartition(len(first), range_).withColumn("_r", range_)
+    return dealt.withColumn("place", F.row_number().over(w) + F.lit(first)[F.col("_r")]).select("a", "b", "w", "place")
 
 
 def misplaced(assigned: DataFrame, dim: int) -> DataFrame:
