@@ -86,8 +86,8 @@ def between(x: np.ndarray, y: np.ndarray, same: bool, low: float, high: float =
         yield i[ok], j[ok], w[ok]
 
 
-def _counted(run: Callable, low: float, high: float, bins: int) -> tuple[int, np.ndarray, int]:
-    """How many products are under low, in each of equal bins up to high, and over it."""
+def counted(run: Callable, low: float, high: float, bins: int) -> tuple[int, np.ndarray, int]:
+    """How many products are under low, in each of equal bins up to high, and over it; run(use, kind) is the frame of use(Pairs) in each task."""
 
     def use(pairs: Pairs):
         n = np.zeros(bins + 2, np.int64)
@@ -125,39 +125,39 @@ def _values(run: Callable, low: float, high: float) -> tuple[int, np.ndarray, np
     found = run(use, "w double, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
     w, n = found.column("w").to_numpy(), found.column("n").to_numpy()
     order = np.argsort(w)
-    return int(n[order[0]]), w[order[1:]], np.cumsum(n[order[1:]])
+    return int(n[order[0]]), w[order[1:]], np.cumsum(n[order[1:]]) if len(w) > 1 else np.zeros(1, np.int64)
 
 
-def percentile(run: Callable, p: float, guess: tuple[float, float] = ALL, bins: int | None = None, few: int | None = None) -> float | None:
-    """The interpolated percentile of all cosines, None if there are none; run(use, kind) is the frame of use(Pairs) in each task.
+def percentile(run: Callable, p: float, low: float, high: float, counts: tuple[int, np.ndarray, int], bins: int = BINS, few: int = FEW) -> float | None:
+    """The interpolated percentile of all cosines, None if there are none, from counts of them from low to high.
 
     Histograms narrow the range about each of the two order statistics until few values are left, or only equal ones; those are taken with their
-    twelve decimals. A guess spares a histogram if it is right. No pair is written, and at most bins or few numbers a task leave it.
+    twelve decimals. No pair is written, and a task hands on at most bins or few numbers. Counts need only be right about their sum: where they lead
+    to a range without the place, all cosines are counted anew.
     """
-    bins, few = bins or BINS, few or FEW
-    start = (*guess, *_counted(run, *guess, bins))
-    total = start[2] + int(start[3].sum()) + start[4]
+    start, total = (low, high, *counts[:2]), counts[0] + int(counts[1].sum()) + counts[2]
     if not total:
         return None
     held = (0, np.empty(0), np.zeros(1, np.int64))
 
     def value(rank: int) -> float:
         nonlocal held
-        if not held[0] <= rank < held[0] + held[2][-1]:
-            low, high, below, counts, _ = start
-            while True:
-                if not below <= rank < below + counts.sum():  # the guess was wrong
+        low, high, below, counts = start
+        while not held[0] <= rank < held[0] + held[2][-1]:
+            if below <= rank < below + counts.sum():
+                k = int(np.searchsorted(below + np.cumsum(counts), rank, side="right"))
+                width = (high - low) / len(counts)
+                low, high = low + k * width - OFF, low + (k + 1) * width + OFF
+                if counts[k] <= few or high - low < 1e-10:
+                    held = _values(run, low, high)
                     low, high = ALL
-                else:
-                    k = int(np.searchsorted(below + np.cumsum(counts), rank, side="right"))
-                    width = (high - low) / bins
-                    low, high = low + k * width - OFF, low + (k + 1) * width + OFF
-                    if counts[k] <= few or high - low < 1e-10:
+                    if held[0] <= rank < held[0] + held[2][-1]:
                         break
-                below, counts, _ = _counted(run, low, high, bins)
-            held = _values(run, low, high)
+            else:
+                low, high = ALL
+            below, counts, _ = counted(run, low, high, bins)
         return float(held[1][np.searchsorted(held[0] + held[2], rank, side="right")])
 
     at = p * (total - 1)
-    low = value(math.floor(at))
-    return low + (value(math.ceil(at)) - low) * (at - math.floor(at))
+    first = value(math.floor(at))
+    return first + (value(math.ceil(at)) - first) * (at - math.floor(at))

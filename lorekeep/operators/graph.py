@@ -100,7 +100,7 @@ def _cut(blocks: DataFrame, p: float) -> float | None:
         if len(x) > 1:
             at = float(np.quantile((x @ y.T)[np.triu_indices(len(x), 1)], p))
             guess = (at - ABOUT, at + ABOUT)
-    return cosines.percentile(run, p, guess, BINS, FEW)
+    return cosines.percentile(run, p, *guess, cosines.counted(run, *guess, BINS), BINS, FEW)
 
 
 def _over(vectors: DataFrame, p: float, block: int) -> tuple[DataFrame, float]:

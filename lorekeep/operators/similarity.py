@@ -1,13 +1,14 @@
 """A similarity graph that grows: cosines of all pairs as a mergeable histogram, and the heaviest edges with at most `cap` at a node.
 
-The graph keeps pairs over a percentile of all cosines, and of those the ones a scan by weight descending accepts while both ends have room. A
-build multiplies tiles of vectors once for the histogram, from which the percentile is read, and once more for each band of descending weight; a
-band takes only vectors with room left, and leaves out pairs of tiles whose centres and radii bound them under it. New vectors multiply
-new x all: the histogram is additive, so removed pairs are subtracted and new ones added, and the scan's result is repaired outward from the nodes
-that changed until no other node loses an edge. Repaired and rebuilt graphs are equal.
-
-Cosines have twelve decimals and are counted in `BINS` bins, so the percentile is right to 2/BINS. Vectors are of equal length; null vectors
-take no part, a zero vector has the cosine 0 to all.
+The graph keeps pairs over the percentile of all cosines, and of those the ones a scan by weight descending accepts while both ends have room. A
+build multiplies tiles of vectors once for the histogram, once for the cosines in the bin of the percentile, which make it exact, and once more for
+each band of descending weight; a band takes only vectors with room left, and leaves out pairs of tiles whose centres and radii bound them under it.
+New vectors multiply new x all for the histogram, which is additive: removed pairs are subtracted and new ones added; all x all for the bin of the
+percentile; and the scan goes down the same bands, of old edges and the pairs of nodes that changed, and takes up a band again until no other node
+loses an edge in it. Repaired and rebuilt graphs are equal.
+
+Cosines have twelve decimals. Vectors are of equal length; null vectors take no part, a zero vector has the cosine 0 to all. Tiles meet where they lie
+(cosines.py), so no pairs of tiles are written, and of the edges only those of the band at hand.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, normalise
+from . import cosines
 from .common import written
 
-#: Vectors of a tile, rows that are multiplied at a time, bins of cosines, directions that order vectors, vectors for one of them at least, and rows they are taken from.
-TILE, STRIP, BINS, DIRECTIONS, PER_WAY, SAMPLE = 8192, 256, 1 << 20, 64, 512, 2048
+#: Vectors of a tile, bins of cosines, directions that order vectors, vectors for one of them at least, and rows they are taken from.
+TILE, BINS, DIRECTIONS, PER_WAY, SAMPLE = 8192, 1 << 20, 64, 512, 2048
 #: Edges of the first band as a multiple of all room there is; each band has so many times the edges of the one before.
 FIRST, NEXT = 4, 4
 #: Edges that one task scans.
@@ -92,26 +94,23 @@ def _listed(left: DataFrame, right: DataFrame | None) -> DataFrame:
 
 
 def _multiplied(left: DataFrame, right: DataFrame | None, pairs: DataFrame, use, kind: str) -> DataFrame:
-    """use(ids, ids, x, y, same) of pairs of tiles (i, j, same), which yields record batches of `kind`."""
-    other = left if right is None else right
+    """use((ids, ids, x, y, same), ...) in each task, of pairs of tiles (i, j), which yields record batches of `kind`."""
 
     def run(batches):
-        for b in batches:
-            for r in range(b.num_rows):
-                a, c = b.column("a")[r].values, b.column("b")[r].values
-                x, y = (np.frombuffer(b.column(k)[r].as_py()).reshape(len(ids), -1) for k, ids in (("x", a), ("y", c)))
-                yield from use(a, c, x, y, b.column("same")[r].as_py())
-
-    rows = pairs.join(other.select(F.col("tile").alias("j"), F.col("ids").alias("b"), F.col("x").alias("y")), "j").join(left.select(F.col("tile").alias("i"), F.col("ids").alias("a"), "x"), "i")
-    n = max(1, min(pairs.count(), 8 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return rows.select("a", "b", "x", "y", "same").repartition(n).mapInArrow(run, kind)
+        def rows():
+            for t in batches:
+                for r in range(t.num_rows):
+                    a, b = t.column("a")[r].values, t.column("b")[r].values
+                    x, y = (np.frombuffer(t.column(k)[r].as_py()).reshape(len(ids), -1) for k, ids in (("x", a), ("y", b)))
+                    yield a, b, x, y, t.column("same")[r].as_py()
 
+        yield from use(rows())
 
-def _strips(x: np.ndarray, y: np.ndarray, same: bool):
-    """(first row, cosines, which count): each pair of different vectors once."""
-    for at in range(0, len(x), STRIP):
-        w = np.round(x[at : at + STRIP] @ y.T, 12)
-        yield at, w, np.arange(len(y))[None, :] > np.arange(at, at + len(w))[:, None] if same else np.ones(w.shape, bool)
+    wanted = pairs.groupBy(F.col("i").alias("tile")).agg(F.collect_list("j").alias("js"))
+    mine = left.join(F.broadcast(wanted), "tile").select(F.col("tile").alias("i"), F.col("ids").alias("a"), "x", "js")
+    yours = (left if right is None else right).select(F.col("tile").alias("j"), F.col("ids").alias("b"), F.col("x").alias("y"))
+    rows = cosines.met(mine, yours, F.array_contains("js", F.col("j")))
+    return rows.select("a", "b", "x", "y", ((F.col("i") == F.col("j")) & F.lit(right is None)).alias("same")).mapInArrow(run, kind)
 
 
 def _bin(w: np.ndarray) -> np.ndarray:
@@ -121,10 +120,11 @@ def _bin(w: np.ndarray) -> np.ndarray:
 def histogram(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
     """COUNTS of the cosines of all pairs of tiles of left with those of right, or of left with itself."""
 
-    def use(a, b, x, y, same):
+    def use(rows):
         counts = np.zeros(BINS, np.int64)
-        for _, w, ok in _strips(x, y, same):
-            counts += np.bincount(_bin(w[ok]), minlength=BINS)
+        for _, _, x, y, same in rows:
+            for _, w in cosines.strips(x, y, same):
+                counts += np.bincount(_bin(w[w == w] if same else w.ravel()), minlength=BINS)
         k = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(counts[k])], ["bin", "n"])
 
@@ -144,18 +144,15 @@ class Counts:
         np.add.at(n, found.column("bin").to_numpy(), found.column("n").to_numpy())
         return cls(n)
 
-    def value(self, rank: int) -> float:
-        """About the rank-th cosine in ascending order: the middle of its bin."""
-        return (int(np.searchsorted(np.cumsum(self.n), rank, side="right")) + 0.5) * 2 / BINS - 1
+    def percentile(self, p: float, whole: DataFrame) -> float:
+        """The interpolated percentile of the cosines of all pairs of tiles, whose counts these are; infinity if there are no pairs."""
+        pairs = written(_listed(whole, None))
+
+        def run(use, kind):
+            return _multiplied(whole, None, pairs, lambda rows: use((x, y, same) for _, _, x, y, same in rows), kind)
 
-    def percentile(self, p: float) -> float:
-        """The interpolated percentile; infinity if there are no pairs."""
-        total = int(self.n.sum())
-        if not total:
-            return math.inf
-        at = p * (total - 1)
-        low, high = self.value(math.floor(at)), self.value(math.ceil(at))
-        return low + (high - low) * (at - math.floor(at))
+        cut = cosines.percentile(run, p, -1.0, 1.0, (0, self.n, 0))
+        return math.inf if cut is None else cut
 
     def bands(self, first: int, cut: float) -> list[float]:
         """Descending lower ends of bands of about first, NEXT * first, ... pairs, the last the cut."""
@@ -180,15 +177,15 @@ def between(left: DataFrame, right: DataFrame | None, low: float, high: float) -
     """((a, b, w) with low < w <= high, pairs of tiles, pairs that were left out by their bounds)."""
     kind = left.schema["ids"].dataType.elementType.simpleString()
 
-    def use(a, b, x, y, same):
-        both = pa.concat_arrays([a, b])
-        place = np.empty(len(both), np.int64)
-        place[pc.sort_indices(both).to_numpy()] = np.arange(len(both))
-        for at, w, ok in _strips(x, y, same):
-            i, j = np.nonzero(ok & (w > low) & (w <= high))
-            w, i, j = w[i, j], i + at, j + len(a)
-            first = place[i] < place[j]
-            yield pa.RecordBatch.from_arrays([both.take(pa.array(np.where(first, i, j))), both.take(pa.array(np.where(first, j, i))), pa.array(w)], ["a", "b", "w"])
+    def use(rows):
+        for a, b, x, y, same in rows:
+            both = pa.concat_arrays([a, b])
+            place = np.empty(len(both), np.int64)
+            place[pc.sort_indices(both).to_numpy()] = np.arange(len(both))
+            for i, j, w in cosines.between(x, y, same, low, high):
+                j = j + len(a)
+                first = place[i] < place[j]
+                yield pa.RecordBatch.from_arrays([both.take(pa.array(np.where(first, i, j))), both.take(pa.array(np.where(first, j, i))), pa.array(w)], ["a", "b", "w"])
 
     pairs = written(_listed(left, right))
     some = pairs.where(F.col("bound") > low)
@@ -267,7 +264,7 @@ def build(vectors: DataFrame, p: float = 0.95, cap: int = 15) -> Graph:
     spark = vectors.sparkSession
     whole = tiles(vectors)
     counts = Counts.of(histogram(whole))
-    cut, n = counts.percentile(p), whole.select(F.sum(F.size("ids"))).first()[0] or 0
+    cut, n = counts.percentile(p, whole), whole.select(F.sum(F.size("ids"))).first()[0] or 0
     edges, used, high, work = None, None, math.inf, {"tile_pairs": 0, "skipped": 0, "bands": 0}
     if n > 1:
         for low in counts.bands(FIRST * n * cap // 2, cut):
@@ -288,53 +285,42 @@ def build(vectors: DataFrame, p: float = 0.95, cap: int = 15) -> Graph:
 def extend(graph: Graph, before: DataFrame, after: DataFrame, stale: DataFrame, p: float = 0.95, cap: int = 15) -> Graph:
     """The graph of `after` (id, vector), from that of `before`; stale (id) are the ids whose rows differ, are new or are gone.
 
-    Multiplies the stale vectors, and those of nodes that are repaired, with all.
+    A band takes the old edges in it and its pairs with an end in dirty: the stale nodes and all that had an edge with one. Another node keeps its
+    edges or, if a scan takes one of them, is dirty from there on. What it refused for want of room it refuses again as long as it keeps them.
     """
     spark = before.sparkSession
     stale = written(stale.select("id").distinct())
-    same = after.join(stale, "id", "left_anti")
-    rest = tiles(same)
+    rest = tiles(after.join(stale, "id", "left_anti"))
 
     def counted(rows: DataFrame) -> np.ndarray:
         own = tiles(rows)
         return Counts.of(histogram(own)).n + Counts.of(histogram(own, rest)).n
 
     counts = Counts(Counts.of(graph.counts).n - counted(before.join(stale, "id", "left_semi")) + counted(after.join(stale, "id", "left_semi")))
-    cut = counts.percentile(p)
-    touching = lambda edges, ids: edges.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").unionByName(edges.join(ids.withColumnRenamed("id", "b"), "b", "left_semi")).distinct()
+    whole = tiles(after)
+    cut, n = counts.percentile(p, whole), whole.select(F.sum(F.size("ids"))).first()[0] or 0
     ends = lambda edges: edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    apart = lambda edges, ids: edges.join(ids.withColumnRenamed("id", "a"), "a", "left_anti").join(ids.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b", "w")
-    old = written(apart(graph.edges, stale).where(F.col("w") > cut))
-    dirty = stale.unionByName(ends(touching(graph.edges, stale)))
+    without = lambda edges, ids: edges.join(ids.withColumnRenamed("id", "a"), "a", "left_anti").join(ids.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b", "w")
+    old = written(without(graph.edges, stale))
+    dirty = stale.unionByName(ends(graph.edges.join(old.select("a", "b"), ["a", "b"], "left_anti")))
     if cut < graph.cut:  # nodes with room may take pairs between the cuts
         full = _degrees(graph.edges).where(F.col("used") >= cap).select("id")
-        dirty = dirty.unionByName(same.select("id").join(full, "id", "left_anti"))
-    dirty, found, rounds = written(dirty.distinct()), None, 0
-    fresh = dirty
-    while True:
-        rounds += 1
-        found = _rows_of(after, fresh, dirty, old, cut, cap, found)
-        edges = written(accepted(apart(old, dirty).unionByName(found), cap))
-        lost = apart(old, dirty).join(edges.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = written(ends(lost))
-        if fresh.isEmpty():
+        dirty = dirty.unionByName(after.where("vector is not null").select("id").join(full, "id", "left_anti"))
+    dirty, edges, used, high, rounds = written(dirty.distinct()), None, None, math.inf, 0
+    for low in counts.bands(FIRST * n * cap // 2, cut) if n > 1 else []:
+        open_ = after if used is None else after.join(used.where(F.col("used") >= cap), "id", "left_anti")
+        kept = old.where((F.col("w") > low) & (F.col("w") <= high))
+        while True:
+            rounds += 1
+            own, others = tiles(open_.join(dirty, "id", "left_semi")), tiles(open_.join(dirty, "id", "left_anti"))
+            found = without(kept, dirty).unionByName(between(own, None, low, high)[0]).unionByName(between(own, others, low, high)[0])
+            new = written(accepted(found, cap, used))
+            fresh = written(ends(kept.join(new, ["a", "b"], "left_anti")).join(dirty, "id", "left_anti"))
+            if fresh.isEmpty():
+                break
+            dirty = written(dirty.unionByName(fresh))
+        edges = new if edges is None else written(edges.unionByName(new))
+        used, high = written(_degrees(edges)), low
+        if n - used.where(F.col("used") >= cap).count() < 2:  # no two nodes have room
             break
-        dirty = written(dirty.unionByName(fresh).distinct())
-    return Graph(edges, counts.frame(spark), cut, {"stale": stale.count(), "repaired": dirty.count(), "rounds": rounds})
-
-
-def _rows_of(vectors: DataFrame, fresh: DataFrame, dirty: DataFrame, old: DataFrame, cut: float, cap: int, before: DataFrame | None) -> DataFrame:
-    """Pairs over the cut with an end in dirty: those found before, and those of the fresh nodes.
-
-    An end outside of dirty that has cap heavier edges in old takes no lighter pair, as long as it keeps them; if it loses one, it becomes dirty.
-    """
-    own = tiles(vectors.join(fresh, "id", "left_semi"))
-    others = tiles(vectors.join(fresh, "id", "left_anti"))
-    found = between(own, None, cut, math.inf)[0].unionByName(between(own, others, cut, math.inf)[0])
-    least = old.select(F.explode(F.array("a", "b")).alias("id"), "w").groupBy("id").agg(F.count("*").alias("n"), F.min("w").alias("m")).where(F.col("n") >= cap).select("id", "m").join(dirty, "id", "left_anti")
-    for end in ("a", "b"):
-        found = found.join(least.withColumnRenamed("id", end), end, "left").where("m is null or w >= m").drop("m")
-    found = found.select("a", "b", "w")
-    if before is not None:
-        found = found.unionByName(before)
-    return written(found.distinct())
+    return Graph(edges if edges is not None else old.limit(0), counts.frame(spark), cut, {"stale": stale.count(), "repaired": dirty.count(), "rounds": rounds})
