@@ -35,11 +35,15 @@ def kmeans(vectors: DataFrame, k: int, seeds=range(42, 52), rounds: int = 300) -
     """(id, vector, cluster) of (id, vector) by cosine k-means; the seed of the least cost wins, the first of equal ones.
 
     Zero vectors, which have no direction, take part in no fit and join cluster 0. Clusters are numbered from 0 as found;
-    fewer than k come out if there are fewer directions.
+    fewer than k come out if there are fewer directions. Seeds are compared after `rounds` rounds at most; the one that wins goes on until no vector
+    is nearer to another centre than to its own.
     """
     if k < 2:
         return vectors.select("id", "vector", F.lit(0).cast("int").alias("cluster"))
-    best = _best(lloyd(_unit_blocks(vectors), _sample(vectors), [(k, seed) for seed in seeds], rounds))
+    blocks, rows = _unit_blocks(vectors), _sample(vectors)
+    best = _best(lloyd(blocks, rows, [(k, seed) for seed in seeds], rounds))
+    if best:
+        _settle(blocks, rows, best[k])
     return _assigned(vectors, best[k].centres) if best else vectors.select("id", "vector", F.lit(0).cast("int").alias("cluster"))
 
 
@@ -101,12 +105,22 @@ def _matrices(batches):
 
 
 class Fit:
-    """A run of k-means: its centres (rows), and, of the last pass, sizes, sums of members and cost."""
+    """A run of k-means: its centres (rows), and, of the last pass, sizes, sums of members and cost; with the centres before, the vectors that are not
+    where those put them."""
 
     def __init__(self, k: int, seed: int, centres: np.ndarray):
         self.k, self.seed, self.centres, self.done = k, seed, centres, False
-        self.sizes = self.sums = None
-        self.cost = math.inf
+        self.sizes = self.sums = self.before = None
+        self.cost, self.moved = math.inf, 0
+
+    def means(self, rows: np.ndarray, step: int) -> np.ndarray:
+        """The unit means of the members; an empty cluster begins anew at one of rows."""
+        r = np.random.default_rng([self.seed, step])
+        length = np.sqrt((self.sums**2).sum(1, keepdims=True))
+        moved = np.where(length > 0, self.sums / np.where(length > 0, length, 1), self.centres)
+        empty = self.sizes == 0
+        moved[empty] = rows[r.integers(len(rows), size=int(empty.sum()))]
+        return moved
 
 
 def _starts(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -128,8 +142,10 @@ def _pass(blocks: DataFrame, fits: list[Fit]) -> None:
     centres = np.concatenate([f.centres for f in fits])
     ends = np.cumsum([len(f.centres) for f in fits])
     starts = ends - [len(f.centres) for f in fits]
+    before = [f.before for f in fits]
 
     def run(batches):
+        moved = np.zeros(len(starts), np.int64)
         total, seen = np.zeros((len(centres), centres.shape[1] + 1)), False
         cost = np.zeros(len(starts))
         for x in _matrices(batches):
@@ -141,14 +157,16 @@ def _pass(blocks: DataFrame, fits: list[Fit]) -> None:
                 member[own, np.arange(len(x))] = 1
                 total[a:b] += member @ whole
                 cost[i] += (2 - 2 * near[np.arange(len(x)), a + own]).sum()
+                if before[i] is not None:
+                    moved[i] += np.count_nonzero((x @ before[i].T).argmax(1) != own)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(starts)), pa.int32()), pa.array(cost), pa.array([total[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], ["fit", "cost", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(starts)), pa.int32()), pa.array(cost), pa.array(moved), pa.array([total[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], ["fit", "cost", "moved", "sums"])
 
     def add(table: pa.Table) -> pa.Table:
         sums = sum(np.frombuffer(s.as_py()) for s in table.column("sums"))
-        return pa.table({"fit": table.column("fit").slice(0, 1), "cost": pa.array([sum(table.column("cost").to_pylist())]), "sums": pa.array([sums.tobytes()], pa.binary())})
+        return pa.table({"fit": table.column("fit").slice(0, 1), "cost": pa.array([sum(table.column("cost").to_pylist())]), "moved": pa.array([sum(table.column("moved").to_pylist())]), "sums": pa.array([sums.tobytes()], pa.binary())})
 
-    kind = "fit int, cost double, sums binary"
+    kind = "fit int, cost double, moved long, sums binary"
     parts = blocks.mapInArrow(run, kind)
     if blocks.rdd.getNumPartitions() > FEW_PARTS:
         parts = parts.groupBy("fit").applyInArrow(add, kind)
@@ -156,7 +174,7 @@ def _pass(blocks: DataFrame, fits: list[Fit]) -> None:
     for i, f in enumerate(fits):
         own = found.filter(pc.equal(found.column("fit"), i))
         sums = sum(np.frombuffer(s.as_py()) for s in own.column("sums")).reshape(len(f.centres), -1)
-        f.sums, f.sizes, f.cost = sums[:, :-1], sums[:, -1], sum(own.column("cost").to_pylist())
+        f.sums, f.sizes, f.cost, f.moved = sums[:, :-1], sums[:, -1], sum(own.column("cost").to_pylist()), sum(own.column("moved").to_pylist())
 
 
 def lloyd(blocks: DataFrame, rows: np.ndarray, runs: list[tuple[int, int]], rounds: int = 300, tol: float = 1e-6) -> list[Fit]:
@@ -174,11 +192,7 @@ def lloyd(blocks: DataFrame, rows: np.ndarray, runs: list[tuple[int, int]], roun
             break
         _pass(blocks, active)
         for f in active:
-            r = np.random.default_rng([f.seed, step])
-            length = np.sqrt((f.sums**2).sum(1, keepdims=True))
-            moved = np.where(length > 0, f.sums / np.where(length > 0, length, 1), f.centres)
-            empty = f.sizes == 0
-            moved[empty] = rows[r.integers(len(rows), size=int(empty.sum()))]
+            moved = f.means(rows, step)
             f.done = np.abs(moved - f.centres).max() <= tol
             f.centres = moved
     last = [f for f in fits if not f.done] or []
@@ -187,6 +201,19 @@ def lloyd(blocks: DataFrame, rows: np.ndarray, runs: list[tuple[int, int]], roun
     return fits
 
 
+def _settle(blocks: DataFrame, rows: np.ndarray, fit: Fit) -> None:
+    """Moves the fit's centres on until a pass leaves every vector where the centres before had it. A fit's cost falls with each move, so this ends;
+    if it were to come to the same members again, by rounding, it ends there."""
+    seen: set[bytes] = set()
+    while True:
+        _pass(blocks, [fit])
+        state = fit.sizes.tobytes() + np.round(fit.sums, 9).tobytes()
+        if fit.before is not None and not fit.moved or state in seen and fit.sizes.all():
+            return
+        seen.add(state)
+        fit.before, fit.centres = fit.centres, fit.means(rows, len(seen))
+
+
 def _best(fits: list[Fit]) -> dict[int, Fit]:
     """The fit of the least cost for each k, the first of equal ones."""
     best: dict[int, Fit] = {}
